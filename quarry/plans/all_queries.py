@@ -1,4 +1,4 @@
 """Import every catalog module so their queries register themselves."""
 
-from quarry.plans import catalog, catalog_prep  # noqa: F401
+from quarry.plans import catalog, catalog_models, catalog_prep  # noqa: F401
 from quarry.plans.registry import ORACLE, REGISTRY  # noqa: F401
