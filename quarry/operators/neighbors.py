@@ -192,15 +192,19 @@ def dbscan(df: DataFrame, id_col: str, feats: Sequence[str], eps: float = 0.5, m
     core_ids = core.withColumnRenamed("id", "r")
     edges = (pairs.join(core_ids, "r").join(core.withColumnRenamed("id", "q"), "q").select("q", "r")
              .persist(StorageLevel.MEMORY_AND_DISK))
-    labels = core.select("id", F.col("id").alias("lab"))
+    labels = core.select("id", F.col("id").alias("lab")).persist(StorageLevel.MEMORY_AND_DISK)
     for it in range(max_iter):
         prop = (edges.join(labels.withColumnRenamed("id", "r"), "r")
                 .groupBy(F.col("q").alias("id")).agg(F.min("lab").alias("cand")))
-        new = (labels.join(prop, "id", "left")
-               .select("id", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
-        if it % 4 == 3:
-            new = cut_lineage(new)
+        hooked = (labels.join(prop, "id", "left")
+                  .select("id", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
+        # shortcut (pointer jumping): a label's own label is in the same component
+        jump = hooked.select(F.col("id").alias("lab"), F.col("lab").alias("lab2"))
+        new = (hooked.join(jump, "lab", "left")
+               .select("id", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
+        new = cut_lineage(new) if it % 4 == 3 else new.persist(StorageLevel.MEMORY_AND_DISK)
         changed = new.join(labels.withColumnRenamed("lab", "old"), "id").where(F.col("lab") != F.col("old")).count()
+        labels.unpersist()
         labels = new
         if changed == 0:
             break
