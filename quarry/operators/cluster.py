@@ -198,9 +198,9 @@ def scan_k(df: DataFrame, feats: Sequence[str], ks: Sequence[int] = range(2, 9),
     for k in ks:
         fn = {"kmeans": kmeans, "bisecting_kmeans": bisecting_kmeans}.get(method, kmeans)
         m = fn(df, feats, k, seed)
-        lab = m.transform(df, "__c")
-        s = silhouette_squared(lab, feats, "__c").first()[0]
-        cs = cluster_scores(lab, feats, "__c").first()
+        lab = m.transform(df, "cluster_k")
+        s = silhouette_squared(lab, feats, "cluster_k").first()[0]
+        cs = cluster_scores(lab, feats, "cluster_k").first()
         rows.append((int(k), s, cs["calinski_harabasz"], cs["davies_bouldin"]))
     return df.sparkSession.createDataFrame(
         rows, "k int, silhouette_sq double, calinski_harabasz double, davies_bouldin double")

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.exprs import col, column_quantiles, to_double
@@ -76,7 +77,6 @@ class QuantileModel:
     n_quantiles: int
 
     def transform(self, df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-        import pandas as pd
         cols = list(cols or self.landmarks)
         refs = np.linspace(0, 1, self.n_quantiles)
         lm = {c: np.asarray(self.landmarks[c], float) for c in cols}
