@@ -150,3 +150,98 @@ def q_f5(spark, sf):
     sp = split.train_test_split(t(spark, sf, "lineitem"), LI_KEYS, 0.2, SEED).select(*LI_KEYS, "split", *LI_FEATS)
     m = transform.fit_quantile(sp.where(F.col("split") == "train"), LI_FEATS)
     return m.transform(sp, LI_FEATS)
+
+
+# ------------------------------------------------------------------ X explanation tables and S17
+
+from quarry.operators import explain  # noqa: E402
+from quarry.plans.catalog_models import SPLIT_SQL  # noqa: E402
+from quarry.sources import sinks  # noqa: E402
+
+
+def _ols_coef_cte() -> str:
+    xs = LI_FEATS
+    p = len(xs)
+    stats = ["count(*) AS n", f"avg({LI_TARGET}) AS my"]
+    for i, a in enumerate(xs):
+        stats += [f"avg({a}) AS m{i}", f"covar_pop({a}, {LI_TARGET}) AS cy{i}"]
+        for j in range(i, p):
+            stats.append(f"covar_pop({a}, {xs[j]}) AS c{i}_{j}")
+    A = [[f"c{min(i, j)}_{max(i, j)}" for j in range(p)] for i in range(p)]
+    w = solve_sql(A, [f"cy{i}" for i in range(p)])
+    icpt = " - ".join(["my"] + [f"b{i} * m{i}" for i in range(p)])
+    return f"""{SPLIT_SQL},
+st AS (SELECT {', '.join(stats)} FROM sp WHERE split = 'train'),
+co0 AS (SELECT *, {', '.join(f'{c} AS b{i}' for i, c in enumerate(w))} FROM st),
+co AS (SELECT *, {icpt} AS b0x FROM co0)"""
+
+
+def _ols_fit(spark, sf):
+    sp = split.train_test_split(t(spark, sf, "lineitem"), LI_KEYS, 0.2, SEED)
+    return sp, linear.fit(sp.where(F.col("split") == "train"), LI_FEATS, LI_TARGET, "ols")
+
+
+_PRED_SQL = "b0x + " + " + ".join(f"b{i} * {a}" for i, a in enumerate(LI_FEATS))
+
+
+@register("x7_residuals_lineitem", f"""WITH {_ols_coef_cte()}
+SELECT {K}, split, {SIG(LI_TARGET)} AS actual, {SIG(_PRED_SQL)} AS predicted,
+       {SIG(f'{LI_TARGET} - ({_PRED_SQL})', 6)} AS residual FROM sp, co""")
+def q_x7(spark, sf):
+    sp, m = _ols_fit(spark, sf)
+    scored = m.transform(sp)
+    res = explain.residual_rows(scored, LI_TARGET, "prediction")  # actual, predicted, residual, split
+    return _resid_sig(scored.select(*LI_KEYS, *[F.col(c) for c in res.columns if False],
+                                    "split", F.col(LI_TARGET).cast("double").alias("actual"),
+                                    F.col("prediction").alias("predicted"),
+                                    (F.col(LI_TARGET) - F.col("prediction")).alias("residual")))
+
+
+def _resid_sig(df):
+    from quarry.plans.common import sig
+    return df.select(*LI_KEYS, "split", sig("actual", 8).alias("actual"), sig("predicted", 8).alias("predicted"),
+                     sig("residual", 6).alias("residual"))
+
+
+@register("x1_importance_ols_lineitem", f"""WITH {_ols_coef_cte()}
+SELECT feature, {SIG('abs(b)')} AS importance FROM co,
+  (SELECT * FROM (VALUES {', '.join(f"('{a}', {i})" for i, a in enumerate(LI_FEATS))}) v(feature, i)) f,
+  LATERAL (SELECT CASE f.i {' '.join(f'WHEN {i} THEN b{i}' for i in range(len(LI_FEATS)))} END AS b)""")
+def q_x1(spark, sf):
+    _, m = _ols_fit(spark, sf)
+    rows = explain.model_importance(m, LI_FEATS)
+    return sig_all(spark.createDataFrame(rows, "feature string, importance double"), 8)
+
+
+@register("x3_partial_dependence_lineitem", f"""WITH {_ols_coef_cte()},
+q AS (SELECT quantile_cont(l_quantity, 0.05) AS lo, quantile_cont(l_quantity, 0.95) AS hi FROM sp),
+g AS (SELECT CASE WHEN i = 49 THEN hi ELSE lo + i * ((hi - lo) / 49) END AS v
+      FROM q, (SELECT range AS i FROM range(50))),
+mx AS (SELECT avg(l_discount) AS md, avg(l_tax) AS mt FROM sp)
+SELECT {SIG('v', 10)} AS value, {SIG('b0x + b0 * v + b1 * md + b2 * mt')} AS mean_prediction FROM g, co, mx""")
+def q_x3(spark, sf):
+    sp, m = _ols_fit(spark, sf)
+    return sig_all(explain.partial_dependence(m, sp, "l_quantity", 50).select(
+        sig_value("value"), "mean_prediction"), 8, skip=("value",))
+
+
+def sig_value(c):
+    from quarry.plans.common import sig
+    return sig(c, 10).alias(c)
+
+
+@register("s17_downsample_lineitem", f"""
+WITH h AS (SELECT {K}, {HASH('order', LI_KEYS)} AS h FROM lineitem),
+r AS (SELECT *, row_number() OVER (ORDER BY h) - 1 AS rk, count(*) OVER () AS n FROM h),
+pos AS (SELECT DISTINCT (i * ((SELECT count(*) FROM lineitem) - 1)) // 499 AS p FROM (SELECT range AS i FROM range(500)))
+SELECT {K} FROM r WHERE rk IN (SELECT p FROM pos)""")
+def q_s17(spark, sf):
+    li = t(spark, sf, "lineitem").select(*LI_KEYS)
+    return sinks.downsample_evenly(li, LI_KEYS, 500).select(*LI_KEYS)
+
+
+@register("x5_pca_embeddings")
+def q_x5(spark, sf):
+    e, feats = neighbors.vector_columns(t(spark, sf, "embeddings"), "embedding", 64)
+    out, ratio = explain.pca2(e, feats)
+    return out.select("vec_id", "label", "pc1", "pc2")
