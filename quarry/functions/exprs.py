@@ -109,13 +109,32 @@ def quantile_expr(c: Column, probs: list[float], exact: bool) -> Column:
     return F.percentile_approx(c, arr, APPROX_ACCURACY)
 
 
+EXACT_QUANTILE_MAX_BYTES = "spark.quarry.quantile.exactMaxBytes"
+DEFAULT_EXACT_QUANTILE_MAX_BYTES = 2 * 1024 ** 3
+
+
+def plan_size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimised plan (no job is run)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:
+        return None
+
+
 def use_exact_quantiles(df: DataFrame, n_rows: int | None = None) -> bool:
     """Exact ``percentile`` keeps every distinct value in its buffer; above the
-    configured row limit switch to ``percentile_approx``."""
-    limit = exact_quantile_limit(df.sparkSession)
-    if n_rows is None:
-        n_rows = df.count()
-    return n_rows <= limit
+    configured limit switch to ``percentile_approx``. The decision uses a known
+    row count when given, else Catalyst's size estimate (no extra job)."""
+    if n_rows is not None:
+        return n_rows <= exact_quantile_limit(df.sparkSession)
+    try:
+        max_bytes = int(df.sparkSession.conf.get(EXACT_QUANTILE_MAX_BYTES))
+    except Exception:
+        max_bytes = DEFAULT_EXACT_QUANTILE_MAX_BYTES
+    size = plan_size_bytes(df)
+    if size is None:
+        return df.count() <= exact_quantile_limit(df.sparkSession)
+    return size <= max_bytes
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],

@@ -4,10 +4,11 @@
   population sds over the rows where both values are present
   (pairwise-complete, like pandas). r = covar / (sd_a * sd_b) through
   ``try_divide`` so a constant column gives NULL instead of an ANSI error.
-* Spearman: Pearson on average ranks. Ranks come from the distinct-value
-  counts of each column; values are range-bucketed on approximate quantile
-  edges (Bucketizer, binary search), per-bucket totals give offsets, and a
-  cumulative window runs inside each bucket only.
+* Spearman: Pearson on average ranks. Ranks of all columns come from one
+  stacked (column, value) count table and distributed prefix sums (range
+  buckets on approximate quantile edges, broadcast bucket offsets, a
+  cumulative window inside each bucket only); ranks are joined back per
+  column (broadcast when the rank table is small enough).
 * Kendall tau-b: see ``kendall``.
 """
 
@@ -16,12 +17,10 @@ from __future__ import annotations
 from itertools import combinations_with_replacement
 from typing import Sequence
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, numeric_columns, to_double
 
-RANK_BUCKETS = 1024
 BROADCAST_MAX_ROWS = 2_000_000  # rank table rows below which it is broadcast
 
 
@@ -48,41 +47,28 @@ def pearson(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def average_ranks(df: DataFrame, c: str, out_col: str = "rank",
-                  n_buckets: int = RANK_BUCKETS) -> DataFrame:
-    """Distinct values of ``c`` with their average (tie-mean) 1-based rank.
-
-    No global window: values are range-bucketed, bucket totals (bounded by
-    ``n_buckets``) give offsets, and ranks are cumulated inside each bucket.
-    """
-    x = to_double(c)
-    vals = df.where(x.isNotNull()).groupBy(x.alias("v")).agg(F.count(F.lit(1)).alias("cnt"))
-    edges = vals.agg(F.percentile_approx("v", [i / n_buckets for i in range(1, n_buckets)],
-                                         10_000).alias("e")).first()["e"] or []
-    splits = [float("-inf")] + sorted(set(edges)) + [float("inf")]
-    vb = Bucketizer(splits=splits, inputCol="v", outputCol="b").transform(vals)
-    totals = sorted((int(r["b"]), r["t"]) for r in vb.groupBy("b").agg(F.sum("cnt").alias("t")).collect())
-    offsets, acc = [], 0
-    for b, t in totals:
-        offsets.append((float(b), acc))
-        acc += t
-    off = df.sparkSession.createDataFrame(offsets, "b double, off long")  # <= n_buckets rows
-    w = Window.partitionBy("b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (vb.join(F.broadcast(off), "b")
-              .withColumn("before", F.coalesce(F.sum("cnt").over(w), F.lit(0)))
-              .select(F.col("v"), (F.col("off") + F.col("before") + (F.col("cnt") + 1) / 2.0).alias(out_col)))
-    return ranked
+def rank_tables(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(ci, v, rank): average ranks of every column's distinct values, all
+    columns in ONE pass (stacked long, grouped by (column, value), prefix
+    sums per column over range buckets)."""
+    from quarry.functions.prefix import prefix_sums
+    long = (df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("ci"), to_double(c).alias("v"))
+                                          for i, c in enumerate(cols)])).alias("s"))
+            .select("s.*").where(F.col("v").isNotNull()))
+    cells = long.groupBy("ci", "v").agg(F.count(F.lit(1)).alias("cnt"))
+    ranked = prefix_sums(cells, "v", ["cnt"], group="ci")
+    return ranked.select("ci", "v", (F.col("cnt_cum") + (F.col("cnt") + 1) / 2.0).alias("rank"))
 
 
 def _attach_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = df.select(*[to_double(c).alias(c) for c in cols])
-    n_distinct = out.agg(*[F.approx_count_distinct(c).alias(c) for c in cols]).first()
-    for c in cols:
-        rk = average_ranks(out, c, out_col=f"__r_{c}").withColumnRenamed("v", f"__v_{c}")
+    ranks = rank_tables(out, cols).persist()
+    sizes = {r["ci"]: r["n"] for r in ranks.groupBy("ci").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for i, c in enumerate(cols):
+        rk = ranks.where(F.col("ci") == i).select(F.col("v").alias(f"__v_{c}"), F.col("rank").alias(f"__r_{c}"))
         # one row per distinct value: broadcast only below a checked size,
         # otherwise a shuffle join (AQE splits a hot value's partition)
-        small = (n_distinct[c] or 0) <= BROADCAST_MAX_ROWS
-        side = F.broadcast(rk) if small else rk
+        side = F.broadcast(rk) if sizes.get(i, 0) <= BROADCAST_MAX_ROWS else rk
         out = out.join(side, col(c) == F.col(f"__v_{c}"), "left").drop(f"__v_{c}")
     return out.select(*[F.col(f"__r_{c}").alias(c) for c in cols])
 

@@ -131,9 +131,10 @@ def pca2(df: DataFrame, features: Sequence[str], fit_df: DataFrame | None = None
     return out, ratio
 
 
-def residual_rows(scored: DataFrame, y: str, pred: str, split_col: str | None = "split") -> DataFrame:
+def residual_rows(scored: DataFrame, y: str, pred: str, split_col: str | None = "split",
+                  keep: Sequence[str] = ()) -> DataFrame:
     """Actual, predicted and residual per row, with the split."""
-    cols = [to_double(y).alias("actual"), to_double(pred).alias("predicted"),
+    cols = [col(k) for k in keep] + [to_double(y).alias("actual"), to_double(pred).alias("predicted"),
             (to_double(y) - to_double(pred)).alias("residual")]
     if split_col and split_col in scored.columns:
         cols.append(col(split_col))

@@ -172,40 +172,48 @@ def _score_cells(long: DataFrame) -> DataFrame:
                                               F.sum(F.lit(1) - F.col("hit")).alias("neg"))
 
 
-def roc_auc_by_class(long: DataFrame) -> DataFrame:
-    """E9/E10 per class: AUC = P(score_pos > score_neg) + 0.5 P(tie)."""
-    cells = prefix_sums(_score_cells(long), "score", ["neg"], group="class")  # neg strictly below
-    return (cells.groupBy("class")
-            .agg(F.sum(F.col("pos") * (F.col("neg_cum") + 0.5 * F.col("neg"))).alias("u"),
-                 F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+def rank_metrics(long: DataFrame, with_micro: bool = False) -> DataFrame:
+    """E9-E11 per class from ONE prefix-sum pass over distinct scores:
+    (class, roc_auc, average_precision, support).
+
+    AUC = sum_s pos_s * (negatives below s + 0.5 * negatives at s) / (P N);
+    AP  = sum_s pos_s / P * precision at threshold s (scores descending).
+    ``with_micro`` adds the pooled '__micro__' class in the same pass.
+    """
+    cells = _score_cells(long)
+    if with_micro:
+        cells = cells.unionByName(_score_cells(long.withColumn("class", F.lit("__micro__"))))
+    pre = prefix_sums(cells, "score", ["pos", "neg"], group="class", descending=True, inclusive=True)
+    tot = cells.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    j = pre.join(F.broadcast(tot), "class")  # one row per class
+    below = F.col("N") - F.col("neg_cum")
+    return (j.groupBy("class", "P", "N")
+            .agg(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))).alias("u"),
+                 F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("P") * F.col("pos_cum")
+                              / (F.col("pos_cum") + F.col("neg_cum"))).otherwise(F.lit(0.0))).alias("ap"))
             .select("class", F.try_divide(F.col("u"), F.col("P") * F.col("N")).alias("roc_auc"),
+                    F.when(F.col("P") > 0, F.col("ap")).alias("average_precision"),
                     F.col("P").alias("support")))
 
 
+def roc_auc_by_class(long: DataFrame) -> DataFrame:
+    """E9/E10 per class: AUC = P(score_pos > score_neg) + 0.5 P(tie)."""
+    return rank_metrics(long).select("class", "roc_auc", "support")
+
+
 def average_precision_by_class(long: DataFrame) -> DataFrame:
     """E11 per class: sum over distinct thresholds of (R_k - R_(k-1)) * P_k."""
-    cells = prefix_sums(_score_cells(long), "score", ["pos", "neg"], group="class",
-                        descending=True, inclusive=True)
-    tot = long.groupBy("class").agg(F.sum("hit").alias("P"))
-    return (cells.join(F.broadcast(tot), "class")
-            .groupBy("class", "P")
-            .agg(F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("P")
-                              * F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum")))
-                       .otherwise(F.lit(0.0))).alias("average_precision"))
-            .select("class", F.when(F.col("P") > 0, F.col("average_precision")).alias("average_precision")))
+    return rank_metrics(long).select("class", "average_precision")
 
 
 def auc_ap_summary(long: DataFrame) -> DataFrame:
     """E10/E11 macro, weighted and micro (pooled) AUC and AP, one row."""
-    auc = roc_auc_by_class(long)
-    ap = average_precision_by_class(long)
-    per = auc.join(ap, "class")
-    pooled = long.withColumn("class", F.lit("__micro__"))
-    micro = roc_auc_by_class(pooled).select(F.lit(1).alias("__one"), F.col("roc_auc").alias("roc_auc_micro")).join(
-        average_precision_by_class(pooled).select(F.lit(1).alias("__one"),
-                                                  F.col("average_precision").alias("average_precision_micro")),
-        "__one")
-    agg = per.agg(F.lit(1).alias("__one"), F.avg("roc_auc").alias("roc_auc_macro"),
+    per = rank_metrics(long, with_micro=True)
+    cls = per.where(F.col("class") != "__micro__")
+    micro = per.where(F.col("class") == "__micro__").select(
+        F.lit(1).alias("__one"), F.col("roc_auc").alias("roc_auc_micro"),
+        F.col("average_precision").alias("average_precision_micro"))
+    agg = cls.agg(F.lit(1).alias("__one"), F.avg("roc_auc").alias("roc_auc_macro"),
                   F.try_divide(F.sum(F.col("roc_auc") * F.col("support")), F.sum("support")).alias("roc_auc_weighted"),
                   F.avg("average_precision").alias("average_precision_macro"),
                   F.try_divide(F.sum(F.col("average_precision") * F.col("support")),

@@ -189,12 +189,7 @@ SELECT {K}, split, {SIG(LI_TARGET)} AS actual, {SIG(_PRED_SQL)} AS predicted,
        {SIG(f'{LI_TARGET} - ({_PRED_SQL})', 6)} AS residual FROM sp, co""")
 def q_x7(spark, sf):
     sp, m = _ols_fit(spark, sf)
-    scored = m.transform(sp)
-    res = explain.residual_rows(scored, LI_TARGET, "prediction")  # actual, predicted, residual, split
-    return _resid_sig(scored.select(*LI_KEYS, *[F.col(c) for c in res.columns if False],
-                                    "split", F.col(LI_TARGET).cast("double").alias("actual"),
-                                    F.col("prediction").alias("predicted"),
-                                    (F.col(LI_TARGET) - F.col("prediction")).alias("residual")))
+    return _resid_sig(explain.residual_rows(m.transform(sp), LI_TARGET, "prediction", "split", keep=LI_KEYS))
 
 
 def _resid_sig(df):

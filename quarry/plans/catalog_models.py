@@ -267,8 +267,8 @@ def q_e10(spark, sf):
 SELECT class, {SIG('roc_auc')} AS roc_auc, support, {SIG('average_precision')} AS average_precision
 FROM auc JOIN ap USING (class)""")
 def q_e11(spark, sf):
-    long = _nb_long(spark, sf)
-    return sig_all(metrics.roc_auc_by_class(long).join(metrics.average_precision_by_class(long), "class"), 8)
+    out = metrics.rank_metrics(_nb_long(spark, sf))
+    return sig_all(out.select("class", "roc_auc", "support", "average_precision"), 8)
 
 
 _CURVE_CELLS = f"""cells AS (
@@ -311,5 +311,4 @@ def q_e9(spark, sf):
     lab, doc = t(spark, sf, "labels"), t(spark, sf, "documents")
     joined = lab.join(doc.select("doc_id", "n_chars"), "doc_id")
     long = metrics.stack_scores(joined, "quality", {"1": "n_chars"})
-    out = metrics.roc_auc_by_class(long).join(metrics.average_precision_by_class(long), "class")
-    return sig_all(out.select("roc_auc", "average_precision"), 8)
+    return sig_all(metrics.rank_metrics(long).select("roc_auc", "average_precision"), 8)

@@ -49,12 +49,15 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, model_ke
         total = None
         for mo in fm.values():
             total = mo if total is None else total.combine(mo)
+        # every fold's held-out predictions in ONE expression, scored in one grouped pass
+        pred = None
         for f, part in sorted(fm.items()):
             coef, b, _ = linear.solve(total.minus(part), len(features), GRAM_METHODS[model_key], True, True)
-            pred = linear.LinearModel(list(features), coef, b, target).transform(folded.where(F.col("fold") == f))
-            r = metrics.regression_metrics(pred, target, "prediction").first()
-            rows.append((int(f), r["r2"], r["rmse"], r["mae"]))
-        fold_df = spark.createDataFrame(rows, "fold int, r2 double, rmse double, mae double")
+            e = linear.LinearModel(list(features), coef, b, target).predict_expr()
+            pred = F.when(F.col("fold") == f, e) if pred is None else pred.when(F.col("fold") == f, e)
+        scored = folded.withColumn("prediction", pred)
+        fold_df = (metrics.regression_metrics(scored, target, "prediction", group=["fold"])
+                   .select(F.col("fold").cast("int").alias("fold"), "r2", "rmse", "mae"))
     else:
         for f in range(n_folds):
             tr = folded.where(F.col("fold") != f)
