@@ -132,7 +132,7 @@ def use_exact_quantiles(df: DataFrame, n_rows: int | None = None) -> bool:
     except Exception:
         max_bytes = DEFAULT_EXACT_QUANTILE_MAX_BYTES
     size = plan_size_bytes(df)
-    if size is None:
+    if size is None or size >= 2 ** 62:  # unknown (e.g. an RDD-backed frame): count instead
         return df.count() <= exact_quantile_limit(df.sparkSession)
     return size <= max_bytes
 

@@ -4,40 +4,31 @@ Every row gets ``h = md5(seed|key...)``. A split "first m rows in h order" is
 resolved without a global sort:
 
 1. one aggregation counts rows per (stratum, leading-4-hex-digit bucket)
-   -> at most strata x 65,536 small rows on the driver;
+   -> at most strata x 4,096 small rows on the driver;
 2. for every cut rank the driver finds the bucket holding it and the offset
-   inside that bucket;
-3. rows outside cut buckets get their piece from a CASE expression on the
-   bucket number; only rows inside the (few) cut buckets are ranked, with
-   ``row_number()`` partitioned by (stratum, bucket).
-
-md5 buckets are uniform, so no task ever holds more than ~n/65,536 rows of a
-stratum, even when a single stratum is a third of the table. The result is
-identical to ``row_number() OVER (PARTITION BY stratum ORDER BY h)`` cut at
-the same ranks, which is what the SQL oracle computes.
+   inside that bucket, then narrows it with the next 4 hex digits (one small
+   grouped count per level) until the bucket is small enough to read its
+   hashes: the cut becomes an exact threshold hash h*;
+3. every row's piece is ``sum(h >= h*)`` - a single projection, no window,
+   no shuffle, no union - so every later pass pays for one md5 only.
+
+md5 prefixes are uniform, so each narrowing level divides the bucket by
+65,536 whatever the skew of the strata. The result is identical to
+``row_number() OVER (PARTITION BY stratum ORDER BY h)`` cut at the same
+ranks, which is what the SQL oracle computes.
 """
 
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.exprs import col, hash_bucket, key_hash
 
-BUCKET_DIGITS = 4
+BUCKET_DIGITS = 3
 _H, _B, _S = "__h", "__bucket", "__stratum"
 
 
-@dataclass(frozen=True)
-class _Cut:
-    stratum: str | None
-    bucket: int
-    offset: int  # rank inside the bucket where the next piece starts
-
-
 def _with_hash(df: DataFrame, seed, key_cols: list[str], strata_col: str | None) -> DataFrame:
     h = key_hash(seed, key_cols)
     out = df.withColumn(_H, h).withColumn(_B, hash_bucket(F.col(_H), BUCKET_DIGITS))
@@ -46,7 +37,7 @@ def _with_hash(df: DataFrame, seed, key_cols: list[str], strata_col: str | None)
 
 
 def _bucket_counts(hdf: DataFrame) -> dict[str | None, list[tuple[int, int]]]:
-    rows = hdf.groupBy(_S, _B).count().collect()  # bounded: strata x 65,536
+    rows = hdf.groupBy(_S, _B).count().collect()  # bounded: strata x 16**BUCKET_DIGITS
     out: dict = {}
     for r in rows:
         out.setdefault(r[_S], []).append((r[_B], r["count"]))
@@ -65,61 +56,89 @@ def _locate(buckets: list[tuple[int, int]], cut_rank: int) -> tuple[int, int] |
     return None  # cut beyond the end: nothing reaches it
 
 
+MAX_COLLECT = 100_000  # rows of one hash-prefix bucket that may be read on the driver
+
+
+def _strata_cond(stratum) -> Column:
+    return F.col(_S).isNull() if stratum is None else (F.col(_S) == F.lit(stratum))
+
+
+def _sel(items) -> Column:
+    out = None
+    for stratum, plen, prefix in items:
+        c = _strata_cond(stratum) & (F.substring(_H, 1, plen) == F.lit(prefix))
+        out = c if out is None else out | c
+    return out
+
+
+def _threshold_hashes(hdf: DataFrame, wanted: list[tuple]) -> dict:
+    """Exact hash value at each (stratum, rank) via hierarchical prefix counts.
+
+    ``wanted``: [(stratum, level-1 bucket, offset inside it, bucket count)].
+    A bucket holding <= MAX_COLLECT rows has its hashes read and the
+    offset-th smallest is the threshold; a larger one is split by the next
+    4 hex digits (one grouped count for all such cuts) and the search goes on
+    in the sub-bucket holding the offset.
+    """
+    todo = {(s, b, o): (BUCKET_DIGITS, f"{b:0{BUCKET_DIGITS}x}", o, n) for s, b, o, n in wanted}
+    done: dict = {}
+    while todo:
+        small = {k: v for k, v in todo.items() if v[3] <= MAX_COLLECT}
+        big = {k: v for k, v in todo.items() if v[3] > MAX_COLLECT}
+        if small:
+            rows = hdf.where(_sel([(k[0], v[0], v[1]) for k, v in small.items()])).select(_S, _H).collect()
+            for key, (plen, prefix, off, _) in small.items():
+                hs = sorted(r[_H] for r in rows if r[_S] == key[0] and r[_H].startswith(prefix))
+                done[key] = hs[off]
+        todo = {}
+        for plen in sorted({v[0] for v in big.values()}):
+            group = {k: v for k, v in big.items() if v[0] == plen}
+            sub = F.substring(_H, 1, plen + 4)
+            rows = (hdf.where(_sel([(k[0], v[0], v[1]) for k, v in group.items()]))
+                    .groupBy(_S, sub.alias("p")).count().collect())  # <= cuts x 65,536 rows
+            by: dict = {}
+            for r in rows:
+                by.setdefault((r[_S], r["p"][:plen]), []).append((r["p"], r["count"]))
+            for key, (_, prefix, off, _) in group.items():
+                acc = 0
+                for p2, c in sorted(by.get((key[0], prefix), [])):
+                    if off < acc + c:
+                        todo[key] = (plen + 4, p2, off - acc, c)
+                        break
+                    acc += c
+    return done
+
+
 def assign_pieces(df: DataFrame, seed, key_cols: list[str], cuts_by_stratum,
                   strata_col: str | None = None, out_col: str = "piece",
                   counts: dict | None = None) -> DataFrame:
     """Label each row with the number of cut ranks <= its rank in h order.
 
     ``cuts_by_stratum``: function ``(stratum, n_stratum) -> sorted cut ranks``.
+    Each cut becomes an exact threshold hash, so the label is one projection
+    (``piece = sum(h >= h*)``): no window, no shuffle, no union.
     """
     hdf = _with_hash(df, seed, key_cols, strata_col)
     counts = counts if counts is not None else _bucket_counts(hdf)
-    cuts: list[_Cut] = []
-    branches = []
-    for s, buckets in counts.items():
+    wanted, per_stratum = [], {}
+    for s_, buckets in counts.items():
         n_s = sum(c for _, c in buckets)
-        located = []
-        for r in cuts_by_stratum(s, n_s):
+        for r in cuts_by_stratum(s_, n_s):
             loc = _locate(buckets, int(r))
             if loc is not None:
-                located.append(loc)
-                cuts.append(_Cut(s, loc[0], loc[1]))
-        base = F.lit(0)
-        for b, _ in located:
-            base = base + (F.col(_B) > F.lit(b)).cast("int")
-        cond = F.col(_S).isNull() if s is None else (F.col(_S) == F.lit(s))
-        branches.append((cond, base))
-    piece = F.lit(0)
-    if branches:
-        expr = None
-        for cond, val in branches:
-            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-        piece = expr.otherwise(F.lit(0))
-
-    if not cuts:
-        return hdf.withColumn(out_col, piece).drop(_H, _B, _S)
-
-    def in_cut_bucket() -> Column:
-        conds = []
-        for c in {(c.stratum, c.bucket) for c in cuts}:
-            sc = F.col(_S).isNull() if c[0] is None else (F.col(_S) == F.lit(c[0]))
-            conds.append(sc & (F.col(_B) == F.lit(c[1])))
-        e = conds[0]
-        for x in conds[1:]:
-            e = e | x
-        return e
-
-    flag = in_cut_bucket()
-    rest = hdf.where(~flag).withColumn(out_col, piece)
-    w = Window.partitionBy(_S, _B).orderBy(_H)
-    ranked = hdf.where(flag).withColumn("__rn", F.row_number().over(w) - 1)
-    extra = F.lit(0)
-    for c in cuts:
-        sc = F.col(_S).isNull() if c.stratum is None else (F.col(_S) == F.lit(c.stratum))
-        extra = extra + (sc & (F.col(_B) == F.lit(c.bucket))
-                         & (F.col("__rn") >= F.lit(c.offset))).cast("int")
-    ranked = ranked.withColumn(out_col, piece + extra).drop("__rn")
-    return rest.unionByName(ranked).drop(_H, _B, _S)
+                size = dict(buckets)[loc[0]]
+                wanted.append((s_, loc[0], loc[1], size))
+                per_stratum.setdefault(s_, []).append((s_, loc[0], loc[1]))
+    thresholds = _threshold_hashes(hdf, wanted) if wanted else {}
+    expr = None
+    for s_, keys in per_stratum.items():
+        val = F.lit(0)
+        for key in keys:
+            val = val + (F.col(_H) >= F.lit(thresholds[key])).cast("int")
+        cond = _strata_cond(s_)
+        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+    piece = F.lit(0) if expr is None else expr.otherwise(F.lit(0))
+    return hdf.withColumn(out_col, piece).drop(_H, _B, _S)
 
 
 # ---------------------------------------------------------------- split sizes

@@ -16,10 +16,9 @@ NB_FEATS = ["l_quantity", "l_discount", "l_tax", LI_TARGET]
 NB_CLASSES = ["A", "N", "R"]  # Fixed values: l_returnflag levels in label order
 
 SPLIT_SQL = f"""sp AS (
-  SELECT l.*, CASE WHEN r.rk < ceil(0.2::DOUBLE * r.n) THEN 'test' ELSE 'train' END AS split
-  FROM lineitem l JOIN (
-    SELECT {K}, row_number() OVER (ORDER BY h) - 1 AS rk, count(*) OVER () AS n
-    FROM (SELECT {K}, {HASH(SEED, LI_KEYS)} AS h FROM lineitem)) r USING ({K}))"""
+  SELECT *, CASE WHEN rk < ceil(0.2::DOUBLE * nrows) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY h) - 1 AS rk, count(*) OVER () AS nrows
+        FROM (SELECT *, {HASH(SEED, LI_KEYS)} AS h FROM lineitem)))"""
 
 
 def _split_li(spark, sf):

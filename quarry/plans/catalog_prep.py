@@ -14,10 +14,9 @@ K = LI_KEYS_SQL
 NUM4 = ["l_quantity", "l_discount", "l_tax", LI_TARGET]
 
 SPLIT_LI_SQL = f"""sp AS (
-  SELECT l.*, CASE WHEN r.rk < ceil(0.2::DOUBLE * r.n) THEN 'test' ELSE 'train' END AS split
-  FROM lineitem l JOIN (
-    SELECT {K}, row_number() OVER (ORDER BY h) - 1 AS rk, count(*) OVER () AS n
-    FROM (SELECT {K}, {HASH(SEED, LI_KEYS)} AS h FROM lineitem)) r USING ({K}))"""
+  SELECT *, CASE WHEN rk < ceil(0.2::DOUBLE * nrows) THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT *, row_number() OVER (ORDER BY h) - 1 AS rk, count(*) OVER () AS nrows
+        FROM (SELECT *, {HASH(SEED, LI_KEYS)} AS h FROM lineitem)))"""
 
 
 def _split_li(spark, sf):
@@ -200,9 +199,9 @@ def q_f10(spark, sf):
 
 
 @register("f11_median_imputer_lineitem", f"""WITH {LI_NULLS_SQL},
-sp AS (SELECT li_n.*, CASE WHEN r.rk < ceil(0.2::DOUBLE * r.n) THEN 'test' ELSE 'train' END AS split
-       FROM li_n JOIN (SELECT {K}, row_number() OVER (ORDER BY h) - 1 AS rk, count(*) OVER () AS n
-                       FROM (SELECT {K}, {HASH(SEED, LI_KEYS)} AS h FROM lineitem)) r USING ({K})),
+sp AS (SELECT *, CASE WHEN rk < ceil(0.2::DOUBLE * nrows) THEN 'test' ELSE 'train' END AS split
+       FROM (SELECT *, row_number() OVER (ORDER BY h) - 1 AS rk, count(*) OVER () AS nrows
+             FROM (SELECT *, {HASH(SEED, LI_KEYS)} AS h FROM li_n))),
 st AS (SELECT quantile_cont(l_quantity, 0.5) AS mq, quantile_cont(l_tax, 0.5) AS mt FROM sp WHERE split = 'train')
 SELECT {K}, split, {SIG('coalesce(l_quantity, mq)', 12)} AS l_quantity, {SIG('coalesce(l_tax, mt)', 12)} AS l_tax
 FROM sp, st""")
