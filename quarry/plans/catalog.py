@@ -359,3 +359,30 @@ def q_ordinal(spark, sf):
     codes = label_order(od, "o_orderpriority")  # one row per class
     return (od.join(bounded_broadcast(codes), od.o_orderpriority == codes.label)
             .select("o_orderkey", F.col("label_order").cast("long").alias("code")))
+
+
+# ------------------------------------------------------------------ A7 Kendall tau-b
+
+_KEN_COLS = ["p_size", "p_retailprice", "p_partkey"]
+
+
+def _kendall_sql() -> str:
+    parts = [f"SELECT '{c}' AS col_a, '{c}' AS col_b, CASE WHEN count(DISTINCT {c}) > 1 THEN 1.0 END AS r FROM part"
+             for c in _KEN_COLS]
+    for i, a in enumerate(_KEN_COLS):
+        for b in _KEN_COLS[i + 1:]:
+            tau = f"""(SELECT round(least(greatest(s / sqrt((n0 - n1) * (n0 - n2)), -1.0), 1.0), 9) FROM
+  (SELECT CAST(sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b})) AS DOUBLE) AS s
+   FROM part p JOIN part q ON p.p_partkey < q.p_partkey),
+  (SELECT count(*) * (count(*) - 1) / 2.0 AS n0 FROM part),
+  (SELECT sum(c * (c - 1) / 2.0) AS n1 FROM (SELECT count(*) AS c FROM part GROUP BY {a})),
+  (SELECT sum(c * (c - 1) / 2.0) AS n2 FROM (SELECT count(*) AS c FROM part GROUP BY {b})))"""
+            parts.append(f"SELECT '{a}', '{b}', {tau}")
+            parts.append(f"SELECT '{b}', '{a}', {tau}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("a7_kendall_part", _kendall_sql())
+def q_kendall(spark, sf):
+    out = correlate.kendall(t(spark, sf, "part"), _KEN_COLS)
+    return out.select("col_a", "col_b", F.round("r", 9).alias("r"))
