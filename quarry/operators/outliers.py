@@ -48,13 +48,19 @@ def inlier_expr(method: str, bounds, cols: Sequence[str]) -> Column:
     raise ValueError(method)
 
 
-def detect(train: DataFrame, cols: Sequence[str], method: str = "IQR", **kw) -> Column:
-    """Fit on train, return the inlier boolean expression."""
+def detect(train: DataFrame, cols: Sequence[str], method: str = "IQR", key_cols: Sequence[str] | None = None,
+           **kw) -> Column:
+    """Fit on train, return the inlier boolean expression (IQR, ZScore,
+    IsolationForest; LocalOutlierFactor needs a join, see ``handle``)."""
     if method == "IQR":
         return inlier_expr("IQR", iqr_bounds(train, cols), cols)
     if method == "ZScore":
         return inlier_expr("ZScore", zscore_bounds(train, cols), cols)
-    raise ValueError(f"unknown method {method!r}; IsolationForest/LocalOutlierFactor have own modules")
+    if method == "IsolationForest":
+        from quarry.operators.isolation import fit_isolation_forest
+        m = fit_isolation_forest(train, cols, list(key_cols or cols), **kw)
+        return (-m.score_expr()) >= F.lit(m.offset)
+    raise ValueError(f"unknown method {method!r}")
 
 
 def cap_model(train: DataFrame, cols: Sequence[str], method: str = "IQR") -> ClipModel:
@@ -69,7 +75,8 @@ def cap_model(train: DataFrame, cols: Sequence[str], method: str = "IQR") -> Cli
 
 
 def handle(df: DataFrame, cols: Sequence[str], split_col: str = "split", method: str = "IQR",
-           action: str = "remove", inlier: Column | None = None) -> tuple[DataFrame, DataFrame]:
+           action: str = "remove", inlier: Column | None = None,
+           key_cols: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """O5/O6/O7 on a frame holding both splits.
 
     remove: drop train outliers, test untouched. cap: clip both splits to
@@ -80,9 +87,19 @@ def handle(df: DataFrame, cols: Sequence[str], split_col: str = "split", method:
         flag = F.lit(True)
     elif inlier is not None:
         flag = inlier
+    elif method == "LocalOutlierFactor":
+        from quarry.operators.neighbors import local_outlier_factor
+        keys = list(key_cols or cols)
+        ided = df.withColumn("__oid", F.xxhash64(*[col(k) for k in keys]))
+        lof = local_outlier_factor(ided.where(col(split_col) == "train"), "__oid", cols, 20, 0.1)
+        df = ided.join(lof.select("__oid", F.col("inlier").alias("__lof_in")), "__oid", "left").drop("__oid")
+        train = df.where(col(split_col) == "train")
+        flag = F.coalesce(F.col("__lof_in"), F.lit(True))
     else:
-        flag = detect(train, cols, method)
+        flag = detect(train, cols, method, key_cols)
     marked = df.withColumn("__inlier", F.when(col(split_col) == "train", flag).otherwise(F.lit(True)))
+    if "__lof_in" in marked.columns:
+        marked = marked.drop("__lof_in")
     info = (marked.where(col(split_col) == "train")
             .agg(F.count_if(~F.col("__inlier")).alias("outliers"), F.count(F.lit(1)).alias("original"))
             .select(F.lit(method).alias("method"), F.lit(action).alias("action"), "outliers", "original",

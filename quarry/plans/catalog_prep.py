@@ -330,3 +330,10 @@ FROM (SELECT n, m, v, sum(n * m) OVER () / sum(n) OVER () AS gm
 def q_k2(spark, sf):
     out = select.f_classif(t(spark, sf, "lineitem"), _KFEATS, "l_returnflag", k=2)
     return out.select("feature", sig("score", 8).alias("score"), "rank", "selected")
+
+
+@register("o3_isolation_forest_lineitem")
+def q_o3(spark, sf):
+    sp = _split_li(spark, sf)
+    train = sp.where(F.col("split") == "train")
+    return train.select(*LI_KEYS, outliers.detect(train, NUM4, "IsolationForest", LI_KEYS).alias("inlier"))

@@ -26,3 +26,15 @@ def test_kendall_pair_vs_brute_force_with_heavy_ties(spark):
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(4)
     got = kendall.kendall_pair(df, "x", "y", n_slabs=8)
     assert np.isclose(got, _brute(x, y))
+
+
+def test_isolation_forest_flags_far_points(spark):
+    from quarry.operators.isolation import fit_isolation_forest
+    rng = np.random.default_rng(11)
+    X = np.vstack([rng.normal(0, 1, (500, 2)), [[9, 9], [-9, 8], [10, -9]]])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "id long, x double, y double")
+    m = fit_isolation_forest(df, ["x", "y"], ["id"], n_trees=50, contamination=0.1)
+    out = {r["id"]: r["inlier"] for r in m.transform(df).collect()}
+    assert not out[500] and not out[501] and not out[502]
+    share = sum(1 for v in out.values() if not v) / len(out)
+    assert 0.05 < share < 0.15
