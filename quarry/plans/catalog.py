@@ -386,3 +386,36 @@ def _kendall_sql() -> str:
 def q_kendall(spark, sf):
     out = correlate.kendall(t(spark, sf, "part"), _KEN_COLS)
     return out.select("col_a", "col_b", F.round("r", 9).alias("r"))
+
+
+# ------------------------------------------------------------------ A8 all methods, A23 density curve
+
+def _spearman_sql_for(table: str, cols: list[str]) -> str:
+    ranks = ", ".join(
+        f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0::DOUBLE AS {c}" for c in cols)
+    return f"SELECT * FROM (WITH rk AS (SELECT {ranks} FROM {table})\n{_pearson_sql('rk', cols)})"
+
+
+@register("a8_correlations_part", "\nUNION ALL\n".join([
+    f"SELECT *, 'pearson' AS method FROM ({_pearson_sql('part', _KEN_COLS)})",
+    f"SELECT *, 'spearman' AS method FROM ({_spearman_sql_for('part', _KEN_COLS)})",
+    f"SELECT *, 'kendall' AS method FROM ({_kendall_sql()})"]))
+def q_a8(spark, sf):
+    out = correlate.correlations(t(spark, sf, "part"), _KEN_COLS)
+    return out.select("col_a", "col_b", F.round("r", 9).alias("r"), "method")
+
+
+@register("a23_kde_lineitem", f"""
+WITH xs AS (SELECT l_extendedprice AS x FROM lineitem),
+st AS (SELECT count(x) AS n, stddev_samp(x) AS sd, min(x) AS lo, max(x) AS hi FROM xs),
+bw AS (SELECT *, sd * pow(n, -1.0 / 5) AS bw FROM st),
+b AS (SELECT CAST(least(greatest(floor((x - lo) * 4096.0 / (hi - lo)), 0), 4095) AS INTEGER) AS b,
+             count(*) AS nb, avg(x) AS m FROM xs, bw GROUP BY 1),
+g AS (SELECT CAST(range AS INTEGER) AS point,
+             CASE WHEN range = 199 THEN hi ELSE range * ((hi - lo) / 199) + lo END AS gx FROM range(200), bw)
+SELECT point, {SIG('gx', 10)} AS x,
+       {SIG('sum(nb * exp(-0.5 * ((gx - m) / bw) * ((gx - m) / bw))) / (n * bw * sqrt(2 * pi()))')} AS density
+FROM g, b, bw GROUP BY point, gx, n, bw""")
+def q_a23(spark, sf):
+    out = profile.kde_curve(t(spark, sf, "lineitem"), LI_TARGET, 200)
+    return out.select("point", sig("x", 10).alias("x"), sig("density", 8).alias("density"))

@@ -72,3 +72,57 @@ def _distributed_rank(df: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy("__b").orderBy(key)
     return (b.join(F.broadcast(off), "__b")
             .withColumn("__rank", F.col("__off") + F.row_number().over(w) - 1).drop("__b", "__off"))
+
+
+def save_model(spark: SparkSession, model, path: str) -> str:
+    """Persist a fitted model for later scoring.
+
+    Spark ML models use their own writer; expression models (linear, naive
+    Bayes family, scalers, clusters) are small JSON documents.
+    """
+    import dataclasses
+    import numpy as np
+    inner = getattr(model, "model", None)
+    if inner is not None and hasattr(inner, "write"):
+        inner.write().overwrite().save(f"{path}/spark_model")
+        meta = {"kind": "spark", "class": type(inner).__name__, "features": model.features,
+                "classes": model.classes}
+        return write_json_doc(spark, meta, f"{path}/meta")
+
+    def enc(v):
+        if isinstance(v, np.ndarray):
+            return v.tolist()
+        if isinstance(v, dict):
+            return {k: enc(x) for k, x in v.items()}
+        if isinstance(v, (list, tuple)):
+            return [enc(x) for x in v]
+        return v
+    if not dataclasses.is_dataclass(model):
+        raise TypeError(f"cannot save {type(model).__name__}")
+    doc = {"kind": type(model).__name__, "fields": {f.name: enc(getattr(model, f.name))
+                                                     for f in dataclasses.fields(model)
+                                                     if f.name not in ("feature_map",)}}
+    return write_json_doc(spark, doc, f"{path}/meta")
+
+
+def load_model(spark: SparkSession, path: str):
+    """Inverse of ``save_model``."""
+    import importlib
+    import numpy as np
+    meta = read_json_doc(spark, f"{path}/meta")
+    if meta["kind"] == "spark":
+        from quarry.operators.native import FittedSpark
+        mod = importlib.import_module("pyspark.ml.classification")
+        cls = getattr(mod, meta["class"] if hasattr(mod, meta["class"]) else "", None)
+        if cls is None:
+            cls = getattr(importlib.import_module("pyspark.ml.regression"), meta["class"])
+        return FittedSpark(cls.load(f"{path}/spark_model"), meta["features"], meta["classes"])
+    from quarry.operators import bayes, cluster, linear, transform
+    for m in (linear, bayes, transform, cluster):
+        if hasattr(m, meta["kind"]):
+            cls = getattr(m, meta["kind"])
+            f = meta["fields"]
+            if meta["kind"] == "LinearModel":
+                f["coef"] = np.array(f["coef"])
+            return cls(**f)
+    raise TypeError(meta["kind"])

@@ -40,3 +40,19 @@ def test_streaming_scoring(spark, sf):
     q.processAllAvailable()
     q.stop()
     assert spark.table("scored_test").count() == li.count()
+
+
+def test_save_and_load_models(spark, sf):
+    from quarry.operators import bayes, linear
+    from quarry.plans import models
+    from quarry.sources.sinks import load_model, save_model
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    d = tempfile.mkdtemp(dir="/tmp")
+    for name, m in (("lin", linear.fit(li, ["l_quantity"], "l_extendedprice")),
+                    ("nb", bayes.fit_gaussian_nb(li, ["l_quantity", "l_tax"], "l_returnflag")),
+                    ("tree", models.make("DecisionTree").fit(li, ["l_quantity", "l_tax"], "l_extendedprice"))):
+        save_model(spark, m, f"{d}/{name}")
+        back = load_model(spark, f"{d}/{name}")
+        a = [r["prediction"] for r in m.transform(li.limit(20)).collect()]
+        b = [r["prediction"] for r in back.transform(li.limit(20)).collect()]
+        assert a == b
