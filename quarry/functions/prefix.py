@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -32,8 +31,6 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: s
     edges = work.agg(F.percentile_approx("__k", probs, 10_000).alias("e")).first()["e"] or []
     splits = [float("-inf")] + sorted({e for e in edges if e is not None}) + [float("inf")]
     work = Bucketizer(splits=splits, inputCol="__k", outputCol="__b", handleInvalid="keep").transform(work)
-    # read twice more (bucket totals, final window): keep it instead of recomputing upstream
-    work = work.persist(StorageLevel.MEMORY_AND_DISK)
     totals = work.groupBy("__g", "__b").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
     by_group: dict = {}
     for r in totals:

@@ -62,7 +62,7 @@ def rank_tables(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def _attach_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     out = df.select(*[to_double(c).alias(c) for c in cols])
-    ranks = rank_tables(out, cols).persist()
+    ranks = rank_tables(out, cols)
     sizes = {r["ci"]: r["n"] for r in ranks.groupBy("ci").agg(F.count(F.lit(1)).alias("n")).collect()}
     for i, c in enumerate(cols):
         rk = ranks.where(F.col("ci") == i).select(F.col("v").alias(f"__v_{c}"), F.col("rank").alias(f"__r_{c}"))

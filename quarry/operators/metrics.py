@@ -299,24 +299,31 @@ def cluster_scores(df: DataFrame, feats: Sequence[str], label: str, noise_label=
 
 def silhouette_squared(df: DataFrame, feats: Sequence[str], label: str) -> DataFrame:
     """E16 (squared-Euclidean form, O(n k)): a(i), b(i) from per-cluster
-    sums of x and |x|^2; reported under its own name, never as the Euclidean one."""
-    cent = df.groupBy(col(label).alias("__c")).agg(
-        F.count(F.lit(1)).alias("__n"), F.sum(sum((to_double(f) ** 2 for f in feats), F.lit(0.0))).alias("__q"),
-        *[F.sum(to_double(f)).alias(f"__s{i}") for i, f in enumerate(feats)])
-    rows = cent.collect()  # k rows
+    sums of x and |x|^2; reported under its own name, never as the Euclidean one.
+
+    Per-cluster sums are one grouped pass (k rows); each row's mean squared
+    distance to cluster c is n_c |x|^2 - 2 x.S_c + Q_c, computed with array
+    higher-order functions so the plan stays O(k) whatever the dimension.
+    """
+    vec = F.array(*[to_double(f) for f in feats])
+    base = df.select(col(label).alias("__c"), vec.alias("__v"))
+    sq = F.aggregate(F.transform("__v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
+    stats = base.groupBy("__c").agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"),
+                                    *[F.sum(F.col("__v")[i]).alias(f"s{i}") for i in range(len(feats))])
+    rows = stats.collect()  # k rows
     if len(rows) < 2:
         return df.sparkSession.createDataFrame([(None,)], "silhouette_sq double")
-    xx = sum((to_double(f) ** 2 for f in feats), F.lit(0.0))
-    dists = []
+    w = base.withColumn("__xx", sq)
+    mean_d = []
     for r in rows:
-        dot = sum((to_double(f) * F.lit(float(r[f"__s{i}"])) for i, f in enumerate(feats)), F.lit(0.0))
-        total = F.lit(float(r["__n"])) * xx - F.lit(2.0) * dot + F.lit(float(r["__q"]))
-        own = col(label) == F.lit(r["__c"])
-        mean_d = F.when(own, F.try_divide(total, F.lit(float(r["__n"] - 1))))\
-                  .otherwise(total / F.lit(float(r["__n"])))
-        dists.append((own, mean_d, r["__n"]))
-    a = F.coalesce(*[F.when(o, d) for o, d, _ in dists])
-    b = F.least(*[F.when(~o, d) for o, d, _ in dists])
-    own_n = F.coalesce(*[F.when(o, F.lit(n_)) for o, _, n_ in dists])
+        S = F.array(*[F.lit(float(r[f"s{i}"])) for i in range(len(feats))])
+        dot = F.aggregate(F.zip_with("__v", S, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        total = F.lit(float(r["n"])) * F.col("__xx") - F.lit(2.0) * dot + F.lit(float(r["q"]))
+        own = F.col("__c") == F.lit(r["__c"])
+        mean_d.append((own, F.when(own, F.try_divide(total, F.lit(float(r["n"] - 1))))
+                       .otherwise(total / F.lit(float(r["n"]))), r["n"]))
+    a = F.coalesce(*[F.when(o, d) for o, d, _ in mean_d])
+    b = F.least(*[F.when(~o, d) for o, d, _ in mean_d])
+    own_n = F.coalesce(*[F.when(o, F.lit(n_)) for o, _, n_ in mean_d])
     s = F.when(own_n <= 1, F.lit(0.0)).otherwise(F.try_divide(b - a, F.greatest(a, b)))
-    return df.agg(F.avg(s).alias("silhouette_sq"))
+    return w.agg(F.avg(s).alias("silhouette_sq"))

@@ -192,19 +192,19 @@ def dbscan(df: DataFrame, id_col: str, feats: Sequence[str], eps: float = 0.5, m
     core_ids = core.withColumnRenamed("id", "r")
     edges = (pairs.join(core_ids, "r").join(core.withColumnRenamed("id", "q"), "q").select("q", "r")
              .persist(StorageLevel.MEMORY_AND_DISK))
-    labels = core.select("id", F.col("id").alias("lab")).persist(StorageLevel.MEMORY_AND_DISK)
+    labels = cut_lineage(core.select("id", F.col("id").alias("lab")))
     for it in range(max_iter):
         prop = (edges.join(labels.withColumnRenamed("id", "r"), "r")
                 .groupBy(F.col("q").alias("id")).agg(F.min("lab").alias("cand")))
-        hooked = (labels.join(prop, "id", "left")
-                  .select("id", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
+        # hook, then materialise: the shortcut below reads the result twice,
+        # so without a cut the plan would double every round
+        hooked = cut_lineage(labels.join(prop, "id", "left")
+                             .select("id", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
         # shortcut (pointer jumping): a label's own label is in the same component
         jump = hooked.select(F.col("id").alias("lab"), F.col("lab").alias("lab2"))
-        new = (hooked.join(jump, "lab", "left")
-               .select("id", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
-        new = cut_lineage(new) if it % 4 == 3 else new.persist(StorageLevel.MEMORY_AND_DISK)
+        new = cut_lineage(hooked.join(jump, "lab", "left")
+                          .select("id", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
         changed = new.join(labels.withColumnRenamed("lab", "old"), "id").where(F.col("lab") != F.col("old")).count()
-        labels.unpersist()
         labels = new
         if changed == 0:
             break
@@ -213,6 +213,9 @@ def dbscan(df: DataFrame, id_col: str, feats: Sequence[str], eps: float = 0.5, m
     out = (df.select(col(id_col).alias("id")).join(labels, "id", "left").join(border, "id", "left")
            .select(F.col("id").alias(id_col),
                    F.coalesce("lab", "blab", F.lit(-1)).cast("long").alias("cluster")))
+    out = cut_lineage(out)  # materialise on shared storage, then release the cached inputs
+    for cached in (edges, pairs):
+        cached.unpersist()
     return out
 
 
@@ -232,5 +235,8 @@ def local_outlier_factor(df: DataFrame, id_col: str, feats: Sequence[str], k: in
     lof = (nb.join(lrd.select(F.col(id_col).alias(nid), F.col("lrd").alias("lrd_o")), nid)
            .groupBy(id_col).agg(F.avg("lrd_o").alias("m")).join(lrd, id_col)
            .select(id_col, (F.col("m") / F.col("lrd")).alias("lof")))
-    thr = lof.agg(F.percentile(-F.col("lof"), F.lit(100 * contamination / 100.0)).alias("t")).first()["t"]
+    lof = cut_lineage(lof)
+    nb.unpersist()
+    from quarry.functions.exprs import quantile_expr, use_exact_quantiles
+    thr = lof.agg(quantile_expr(-F.col("lof"), [contamination], use_exact_quantiles(lof))[0]).first()[0]
     return lof.withColumn("inlier", (-F.col("lof")) >= F.lit(thr))
