@@ -17,6 +17,7 @@ from quarry.functions.prefix import prefix_sums
 from quarry.operators.split import bin_by_edges
 
 EPS = float(np.finfo(np.float64).eps)
+MAX_DENSE_CLASSES = 1000
 
 
 # ------------------------------------------------------------------ regression
@@ -74,8 +75,17 @@ def metrics_by_bin(df: DataFrame, y: str, pred: str, bin_col: str) -> DataFrame:
 # ------------------------------------------------------------------ classification
 
 def confusion_counts(df: DataFrame, y: str, pred: str, classes: Sequence[str]) -> DataFrame:
-    """Classes x classes counts, zero cells kept (classes is the label order)."""
+    """Classes x classes counts, zero cells kept (classes is the label order).
+
+    The dense grid has classes^2 rows; above MAX_DENSE_CLASSES only the
+    non-zero cells are returned."""
     spark = df.sparkSession
+    if len(classes) > MAX_DENSE_CLASSES:
+        idx = F.array(*[F.lit(c) for c in classes])
+        return (df.groupBy(col(y).cast("string").alias("actual"), col(pred).cast("string").alias("predicted"))
+                .agg(F.count(F.lit(1)).alias("count"))
+                .select("actual", "predicted", (F.array_position(idx, F.col("actual")) - 1).cast("int").alias("actual_idx"),
+                        (F.array_position(idx, F.col("predicted")) - 1).cast("int").alias("predicted_idx"), "count"))
     pairs = spark.createDataFrame([(a, b, i, j) for i, a in enumerate(classes) for j, b in enumerate(classes)],
                                   "actual string, predicted string, actual_idx int, predicted_idx int")
     counts = (df.groupBy(col(y).cast("string").alias("actual"), col(pred).cast("string").alias("predicted"))
@@ -97,25 +107,28 @@ def normalize_confusion(cm: DataFrame, how: str = "true") -> DataFrame:
 
 
 def per_class_stats(df: DataFrame, y: str, pred: str, classes: Sequence[str]) -> DataFrame:
-    """Support, tp, fp, fn, precision, recall, f1 per class (0 on empty)."""
-    yy, pp = col(y).cast("string"), col(pred).cast("string")
-    aggs = []
-    for i, c in enumerate(classes):
-        aggs += [F.count_if(yy == c).alias(f"s{i}"), F.count_if((yy == c) & (pp == c)).alias(f"tp{i}"),
-                 F.count_if((yy != c) & (pp == c)).alias(f"fp{i}")]
-    wide = df.agg(*aggs)
-    structs = []
-    for i, c in enumerate(classes):
-        s, tp, fp = F.col(f"s{i}"), F.col(f"tp{i}"), F.col(f"fp{i}")
-        fn = s - tp
-        prec = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))
-        rec = F.coalesce(F.try_divide(tp, s), F.lit(0.0))
-        f1 = F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(0.0))
-        structs.append(F.struct(F.lit(c).alias("class"), F.lit(i).alias("class_idx"), s.alias("support"),
-                                tp.alias("tp"), fp.alias("fp"), fn.alias("fn"),
-                                prec.cast("double").alias("precision"), rec.cast("double").alias("recall"),
-                                f1.cast("double").alias("f1")))
-    return wide.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+    """Support, tp, fp, fn, precision, recall, f1 per class (0 on empty).
+
+    One ``groupBy(actual, predicted)`` count; per-class sums are taken on
+    that small table and joined to the class list (one row per class)."""
+    spark = df.sparkSession
+    pairs = df.groupBy(col(y).cast("string").alias("a"), col(pred).cast("string").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"))
+    sup = pairs.groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("support"))
+    npred = pairs.groupBy(F.col("p").alias("class")).agg(F.sum("n").alias("npred"))
+    tp = pairs.where(F.col("a") == F.col("p")).groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("tp"))
+    cls = spark.createDataFrame([(c, i) for i, c in enumerate(classes)], "class string, class_idx int")
+    j = (cls.join(sup, "class", "left").join(npred, "class", "left").join(tp, "class", "left")
+         .select("class", "class_idx", F.coalesce("support", F.lit(0)).cast("long").alias("support"),
+                 F.coalesce("tp", F.lit(0)).cast("long").alias("tp"),
+                 F.coalesce("npred", F.lit(0)).cast("long").alias("npred")))
+    s_, t_, np_ = F.col("support"), F.col("tp"), F.col("npred")
+    fp, fn = np_ - t_, s_ - t_
+    return j.select(
+        "class", "class_idx", "support", "tp", fp.alias("fp"), fn.alias("fn"),
+        F.coalesce(F.try_divide(t_, np_), F.lit(0.0)).cast("double").alias("precision"),
+        F.coalesce(F.try_divide(t_, s_), F.lit(0.0)).cast("double").alias("recall"),
+        F.coalesce(F.try_divide(2 * t_, 2 * t_ + fp + fn), F.lit(0.0)).cast("double").alias("f1"))
 
 
 def classification_summary(df: DataFrame, y: str, pred: str, classes: Sequence[str],

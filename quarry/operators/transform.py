@@ -139,15 +139,16 @@ class OneHotModel:
 
 
 def fit_onehot(df: DataFrame, cols: Sequence[str], max_levels: int = 50) -> OneHotModel:
-    rows = (df.select(*[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(cols)])
-            .agg(*[F.slice(F.array_sort(F.collect_set(f"c{i}")), 1, max_levels + 1).alias(f"c{i}")
-                   for i in range(len(cols))]).first())
+    """Levels seen in training, sorted; a distributed distinct with a limit of
+    max_levels + 1 per column, so a high-cardinality column fails fast
+    instead of buffering every value."""
     levels = {}
-    for i, c in enumerate(cols):
-        vals = rows[f"c{i}"] or []
+    for c in cols:
+        vals = [r[0] for r in df.select(col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
+                .distinct().limit(max_levels + 1).collect()]
         if len(vals) > max_levels:
             raise ValueError(f"{c}: more than {max_levels} levels; not categorical")
-        levels[c] = vals
+        levels[c] = sorted(vals)
     return OneHotModel(levels)
 
 
