@@ -31,9 +31,9 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: s
     edges = work.agg(F.percentile_approx("__k", probs, 10_000).alias("e")).first()["e"] or []
     splits = [float("-inf")] + sorted({e for e in edges if e is not None}) + [float("inf")]
     work = Bucketizer(splits=splits, inputCol="__k", outputCol="__b", handleInvalid="keep").transform(work)
-    totals = work.groupBy("__g", "__b").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
+    totals = work.groupBy("__g", "__b").agg(*[F.sum(c).alias(c) for c in sum_cols]).toPandas()
     by_group: dict = {}
-    for r in totals:
+    for r in totals.to_dict("records"):  # groups x buckets rows, one Arrow batch
         by_group.setdefault(r["__g"], []).append(r)
     rows = []
     for g, lst in by_group.items():
@@ -41,7 +41,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: Sequence[str], group: s
         acc = [0.0] * len(sum_cols)
         for r in lst:
             rows.append((g, float(r["__b"]), *acc))
-            acc = [a + (r[c] or 0) for a, c in zip(acc, sum_cols)]
+            acc = [a + (0 if r[c] is None or r[c] != r[c] else float(r[c])) for a, c in zip(acc, sum_cols)]
     gtype = dict(work.dtypes)["__g"]
     schema = f"__g {gtype}, __b double, " + ", ".join(f"`__o_{c}` double" for c in sum_cols)
     offs = df.sparkSession.createDataFrame(rows, schema)  # groups x buckets rows: small

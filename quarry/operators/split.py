@@ -37,10 +37,12 @@ def _with_hash(df: DataFrame, seed, key_cols: list[str], strata_col: str | None)
 
 
 def _bucket_counts(hdf: DataFrame) -> dict[str | None, list[tuple[int, int]]]:
-    rows = hdf.groupBy(_S, _B).count().collect()  # bounded: strata x 16**BUCKET_DIGITS
+    # bounded: strata x 16**BUCKET_DIGITS rows, fetched as one Arrow batch
+    pdf = hdf.groupBy(_S, _B).count().toPandas()
     out: dict = {}
-    for r in rows:
-        out.setdefault(r[_S], []).append((r[_B], r["count"]))
+    for s_, b, c in zip(pdf[_S], pdf[_B], pdf["count"]):
+        s_ = None if s_ is None or (isinstance(s_, float) and s_ != s_) else s_
+        out.setdefault(s_, []).append((int(b), int(c)))
     for v in out.values():
         v.sort()
     return out
@@ -86,9 +88,10 @@ def _threshold_hashes(hdf: DataFrame, wanted: list[tuple]) -> dict:
         small = {k: v for k, v in todo.items() if v[3] <= MAX_COLLECT}
         big = {k: v for k, v in todo.items() if v[3] > MAX_COLLECT}
         if small:
-            rows = hdf.where(_sel([(k[0], v[0], v[1]) for k, v in small.items()])).select(_S, _H).collect()
+            pdf = hdf.where(_sel([(k[0], v[0], v[1]) for k, v in small.items()])).select(_S, _H).toPandas()
+            strata = [None if (x is None or (isinstance(x, float) and x != x)) else x for x in pdf[_S]]
             for key, (plen, prefix, off, _) in small.items():
-                hs = sorted(r[_H] for r in rows if r[_S] == key[0] and r[_H].startswith(prefix))
+                hs = sorted(h for st, h in zip(strata, pdf[_H]) if st == key[0] and h.startswith(prefix))
                 done[key] = hs[off]
         todo = {}
         for plen in sorted({v[0] for v in big.values()}):
