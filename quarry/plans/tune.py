@@ -56,8 +56,10 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, model_ke
             e = linear.LinearModel(list(features), coef, b, target).predict_expr()
             pred = F.when(F.col("fold") == f, e) if pred is None else pred.when(F.col("fold") == f, e)
         scored = folded.withColumn("prediction", pred)
-        fold_df = (metrics.regression_metrics(scored, target, "prediction", group=["fold"])
-                   .select(F.col("fold").cast("int").alias("fold"), "r2", "rmse", "mae"))
+        # k rows: evaluate now, while the folded frame is still cached
+        got = (metrics.regression_metrics(scored, target, "prediction", group=["fold"])
+               .select(F.col("fold").cast("int").alias("fold"), "r2", "rmse", "mae").collect())
+        fold_df = spark.createDataFrame([tuple(r) for r in got], "fold int, r2 double, rmse double, mae double")
     else:
         for f in range(n_folds):
             tr = folded.where(F.col("fold") != f)
