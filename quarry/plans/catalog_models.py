@@ -311,3 +311,175 @@ def q_e9(spark, sf):
     joined = lab.join(doc.select("doc_id", "n_chars"), "doc_id")
     long = metrics.stack_scores(joined, "quality", {"1": "n_chars"})
     return sig_all(metrics.rank_metrics(long).select("roc_auc", "average_precision"), 8)
+
+
+# ------------------------------------------------------------------ C6-C8 count-based naive Bayes
+
+def _nb_linear_sql(kind: str) -> str:
+    """Test-row predictions of multinomial / complement / Bernoulli NB (alpha 1)."""
+    xs = NB_FEATS
+    if kind == "bernoulli":
+        sums = ", ".join(f"sum(CASE WHEN {x} > 0 THEN 1.0 ELSE 0.0 END) AS s{i}" for i, x in enumerate(xs))
+    else:
+        sums = ", ".join(f"sum({x}) AS s{i}" for i, x in enumerate(xs))
+    cs = f"cs AS (SELECT l_returnflag AS cls, count(*) AS n, {sums} FROM sp WHERE split = 'train' GROUP BY l_returnflag)"
+    if kind == "multinomial":
+        tot = " + ".join(f"(s{i} + 1.0)" for i in range(len(xs)))
+        w = ", ".join(f"ln(s{i} + 1.0) - ln({tot}) AS w{i}" for i in range(len(xs)))
+        par = f"par AS (SELECT cls, ln(n / (SELECT sum(n) FROM cs)) AS b, {w} FROM cs)"
+        score = " + ".join(f"w{i} * {x}" for i, x in enumerate(xs))
+    elif kind == "complement":
+        comp = [f"((SELECT sum(s{i}) FROM cs) - s{i} + 1.0)" for i in range(len(xs))]
+        tot = " + ".join(comp)
+        w = ", ".join(f"-ln({c} / ({tot})) AS w{i}" for i, c in enumerate(comp))
+        par = f"par AS (SELECT cls, 0.0 AS b, {w} FROM cs)"
+        score = " + ".join(f"w{i} * {x}" for i, x in enumerate(xs))
+    else:
+        p = [f"((s{i} + 1.0) / (n + 2.0))" for i in range(len(xs))]
+        w = ", ".join(f"ln({pi}) - ln(1 - {pi}) AS w{i}" for i, pi in enumerate(p))
+        base = " + ".join(f"ln(1 - {pi})" for pi in p)
+        par = f"par AS (SELECT cls, ln(n / (SELECT sum(n) FROM cs)) + {base} AS b, {w} FROM cs)"
+        score = " + ".join(f"w{i} * CASE WHEN {x} > 0 THEN 1.0 ELSE 0.0 END" for i, x in enumerate(xs))
+    return f"""WITH {SPLIT_SQL}, {cs}, {par},
+j AS (SELECT {K}, l_returnflag AS y, cls, b + {score} AS jll FROM sp, par WHERE split = 'test')
+SELECT {K}, y, prediction FROM (
+  SELECT {K}, y, cls AS prediction, row_number() OVER (PARTITION BY {K} ORDER BY jll DESC, cls) AS pos FROM j)
+WHERE pos = 1"""
+
+
+def _nb_linear_q(fitter):
+    def q(spark, sf):
+        sp = _split_li(spark, sf)
+        model = fitter(sp.where(F.col("split") == "train"), NB_FEATS, "l_returnflag")
+        return (model.transform(sp.where(F.col("split") == "test"), with_probs=False)
+                .select(*LI_KEYS, F.col("l_returnflag").alias("y"), "prediction"))
+    return q
+
+
+register("c6_multinomial_nb_lineitem", _nb_linear_sql("multinomial"))(_nb_linear_q(bayes.fit_multinomial_nb))
+register("c7_complement_nb_lineitem", _nb_linear_sql("complement"))(_nb_linear_q(bayes.fit_complement_nb))
+register("c8_bernoulli_nb_lineitem", _nb_linear_sql("bernoulli"))(_nb_linear_q(bayes.fit_bernoulli_nb))
+
+
+# ------------------------------------------------------------------ C2 ridge classifier, C9 categorical NB
+
+def _ridge_clf_sql(alpha: float = 1.0) -> str:
+    xs = NB_FEATS
+    p = len(xs)
+    stats = ["count(*) AS n"]
+    for i, a in enumerate(xs):
+        stats += [f"avg({a}) AS m{i}", f"stddev_pop({a}) AS s{i}"]
+        for j in range(i, p):
+            stats.append(f"covar_pop({a}, {xs[j]}) AS c{i}_{j}")
+    ycls = [f"CASE WHEN l_returnflag = '{c}' THEN 1.0 ELSE -1.0 END" for c in NB_CLASSES]
+    for k, yc in enumerate(ycls):
+        stats.append(f"avg({yc}) AS my{k}")
+        stats += [f"covar_pop({a}, {yc}) AS cy{k}_{i}" for i, a in enumerate(xs)]
+    A = [[f"n * c{min(i, j)}_{max(i, j)} / (s{i} * s{j})" + (f" + {alpha}" if i == j else "") for j in range(p)]
+         for i in range(p)]
+    cols = []
+    for k in range(len(NB_CLASSES)):
+        w = solve_sql(A, [f"n * cy{k}_{i} / s{i}" for i in range(p)])
+        cols += [f"{w[i]} / s{i} AS b{k}_{i}" for i in range(p)]
+    co = f"co AS (SELECT *, {', '.join(cols)} FROM st)"
+    scores = []
+    for k, c in enumerate(NB_CLASSES):
+        icpt = " - ".join([f"my{k}"] + [f"b{k}_{i} * m{i}" for i in range(p)])
+        lin = " + ".join(f"b{k}_{i} * {a}" for i, a in enumerate(xs))
+        scores.append(f"SELECT {K}, l_returnflag AS y, '{c}' AS cls, ({icpt}) + {lin} AS jll FROM sp, co "
+                      f"WHERE split = 'test'")
+    return f"""WITH {SPLIT_SQL},
+st AS (SELECT {', '.join(stats)} FROM sp WHERE split = 'train'),
+{co},
+j AS ({' UNION ALL '.join(scores)})
+SELECT {K}, y, prediction FROM (
+  SELECT {K}, y, cls AS prediction, row_number() OVER (PARTITION BY {K} ORDER BY jll DESC, cls) AS pos FROM j)
+WHERE pos = 1"""
+
+
+@register("c2_ridge_classifier_lineitem", _ridge_clf_sql(1.0))
+def q_c2(spark, sf):
+    from quarry.plans.models import RidgeClassifierTrainer
+    sp = _split_li(spark, sf)
+    model = RidgeClassifierTrainer(1.0).fit(sp.where(F.col("split") == "train"), NB_FEATS, "l_returnflag")
+    return (model.transform(sp.where(F.col("split") == "test"), with_probs=False)
+            .select(*LI_KEYS, F.col("l_returnflag").alias("y"), "prediction"))
+
+
+_CAT_FEATS = ["l_linestatus", "l_linenumber"]
+
+
+@register("c9_categorical_nb_lineitem", f"""WITH {SPLIT_SQL},
+tr AS (SELECT l_returnflag AS cls, CAST(l_linestatus AS VARCHAR) AS f0, CAST(l_linenumber AS VARCHAR) AS f1
+       FROM sp WHERE split = 'train'),
+nc AS (SELECT cls, count(*) AS n FROM tr GROUP BY cls),
+lv AS (SELECT 0 AS f, count(DISTINCT f0) AS L FROM tr UNION ALL SELECT 1, count(DISTINCT f1) FROM tr),
+cnt AS (SELECT cls, 0 AS f, f0 AS lvl, count(*) AS c FROM tr GROUP BY cls, f0
+        UNION ALL SELECT cls, 1, f1, count(*) FROM tr GROUP BY cls, f1),
+te AS (SELECT {K}, l_returnflag AS y, CAST(l_linestatus AS VARCHAR) AS f0, CAST(l_linenumber AS VARCHAR) AS f1
+       FROM sp WHERE split = 'test'),
+j AS (SELECT te.*, nc.cls, ln(nc.n / (SELECT sum(n) FROM nc))
+        + ln((coalesce(c0.c, 0) + 1.0) / (nc.n + (SELECT L FROM lv WHERE f = 0)))
+        + ln((coalesce(c1.c, 0) + 1.0) / (nc.n + (SELECT L FROM lv WHERE f = 1))) AS jll
+      FROM te CROSS JOIN nc
+      LEFT JOIN cnt c0 ON c0.cls = nc.cls AND c0.f = 0 AND c0.lvl = te.f0
+      LEFT JOIN cnt c1 ON c1.cls = nc.cls AND c1.f = 1 AND c1.lvl = te.f1)
+SELECT {K}, y, prediction FROM (
+  SELECT {K}, y, cls AS prediction, row_number() OVER (PARTITION BY {K} ORDER BY jll DESC, cls) AS pos FROM j)
+WHERE pos = 1""")
+def q_c9(spark, sf):
+    sp = _split_li(spark, sf)
+    model = bayes.fit_categorical_nb(sp.where(F.col("split") == "train"), _CAT_FEATS, "l_returnflag")
+    return (model.transform(sp.where(F.col("split") == "test"), with_probs=False)
+            .select(*LI_KEYS, F.col("l_returnflag").alias("y"), "prediction"))
+
+
+# ------------------------------------------------------------------ E3 / A19 overall row, A20 spread
+
+_MULTI = [("l_extendedprice", "l_quantity"), ("l_quantity", "l_discount")]  # (target, feature)
+_MCOLS = ["r2", "explained_variance", "mse", "rmse", "mae", "median_ae", "max_error", "mape"]
+
+
+def _multi_target_metrics(spark, sf):
+    sp = _split_li(spark, sf)
+    tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    parts = []
+    for tgt, x in _MULTI:
+        m = linear.fit(tr, [x], tgt, "ols")
+        parts.append(metrics.regression_metrics(m.transform(te), tgt, "prediction").withColumn("Target", F.lit(tgt)))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+def _multi_sql() -> str:
+    blocks = []
+    for tgt, x in _MULTI:
+        blocks.append(f"""SELECT '{tgt}' AS target, y, e FROM (
+  SELECT {tgt} AS y, {tgt} - (a + b * {x}) AS e FROM sp,
+    (SELECT regr_slope({tgt}, {x}) AS b, regr_intercept({tgt}, {x}) AS a FROM sp WHERE split = 'train')
+  WHERE split = 'test')""")
+    return f"""{SPLIT_SQL},
+pr AS ({' UNION ALL '.join(blocks)}),
+mt AS (SELECT target,
+  CASE WHEN var_pop(y) > 0 THEN 1 - avg(e * e) / var_pop(y) WHEN avg(e * e) = 0 THEN 1.0 ELSE 0.0 END AS r2,
+  CASE WHEN var_pop(y) > 0 THEN 1 - var_pop(e) / var_pop(y) WHEN var_pop(e) = 0 THEN 1.0 ELSE 0.0 END
+      AS explained_variance,
+  avg(e * e) AS mse, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae, quantile_cont(abs(e), 0.5) AS median_ae,
+  max(abs(e)) AS max_error, avg(abs(e) / greatest(abs(y), 2.220446049250313e-16)) AS mape
+  FROM pr GROUP BY target)"""
+
+
+@register("e3_overall_metrics_lineitem", f"""WITH {_multi_sql()},
+al AS (SELECT target AS "Target", {', '.join(_MCOLS)} FROM mt
+       UNION ALL SELECT 'Overall', {', '.join(f'avg({c})' for c in _MCOLS)} FROM mt)
+SELECT "Target", {', '.join(f'round_even({c}, 3) AS {c}' for c in _MCOLS)} FROM al""")
+def q_e3(spark, sf):
+    return metrics.overall_row(_multi_target_metrics(spark, sf), "Target", _MCOLS, digits=3)
+
+
+@register("a20_target_spread_lineitem", f"""WITH {_multi_sql()}
+SELECT {SIG('stddev_pop(rmse)')} AS rmse_sd, {SIG('stddev_pop(mae)')} AS mae_sd FROM mt""")
+def q_a20(spark, sf):
+    return sig_all(metrics.spread_over_targets(_multi_target_metrics(spark, sf)), 8)
