@@ -123,7 +123,7 @@ SELECT split AS candidate, count(*) AS n,
 FROM pr GROUP BY split""")
 def q_t10(spark, sf):
     li = t(spark, sf, "lineitem")
-    cut = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp")
+    cut = F.col("l_shipdate") < F.lit("1999-01-01").cast("timestamp_ntz")  # wall-clock, session-TZ free
     out = batch.external_validation(li.where(cut), li.where(~cut), ["l_quantity"], LI_TARGET,
                                     ["Linear", "Linear:winsor"])
     return sig_all(out, 8)
