@@ -148,8 +148,11 @@ def histogram2d(df: DataFrame, cx: str, cy: str, bins: int = 40) -> DataFrame:
 
 def pair_view(df: DataFrame, cx: str, cy: str, bins: int = 20, fraction: float = 0.05,
               seed: int = 42):
-    """Seeded sample of (x, y) points for a scatter plus both histograms."""
-    pts = df.select(col(cx).alias("x"), col(cy).alias("y")).sample(fraction=fraction, seed=seed)
+    """Seeded sample of (x, y) points for a scatter plus both histograms.
+    The sample is hash-based (xxhash64 of seed and values), so it does not
+    depend on partitioning."""
+    keep = F.pmod(F.xxhash64(F.lit(seed), col(cx), col(cy)), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000))
+    pts = df.where(keep).select(col(cx).alias("x"), col(cy).alias("y"))
     return pts, histogram(df, cx, bins), histogram(df, cy, bins)
 
 

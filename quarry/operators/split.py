@@ -286,10 +286,12 @@ def quantile_strata(df: DataFrame, target: str, max_bins: int = 5, min_bins: int
     qs = column_quantiles(df, [target], probs)[target]
     lookup = dict(zip(probs, qs))
     c = col(target).cast("double")
+    collapsed = True
     for qq in range(max_bins, min_bins - 1, -1):
         edges = sorted({lookup[j / qq] for j in range(qq + 1) if lookup[j / qq] is not None})
         if len(edges) < 2:
             continue
+        collapsed = False
         inner = edges[1:-1]
         lab = bin_by_edges(c, inner)
         counts = {r[0]: r[1] for r in df.groupBy(lab.alias("b")).count().collect()}
@@ -297,6 +299,8 @@ def quantile_strata(df: DataFrame, target: str, max_bins: int = 5, min_bins: int
             continue
         if _accept(counts, test_size):
             return df.withColumn(out_col, lab), qq, dict(sorted(counts.items()))
+    if collapsed and target != "__rq":  # B4: every candidate collapsed -> rank-based bins
+        return rank_quantile_strata(df, target, max_bins, min_bins, test_size, out_col)
     return None, None, {}
 
 
@@ -330,3 +334,41 @@ def strata_counts(df: DataFrame, target: str, test_size: float = 0.2) -> DataFra
     lab = col(target).cast("string").alias("stratum")
     return (df.groupBy(lab).count()
             .withColumn("ok", (F.col("count") >= 2) & (F.col("count") * F.lit(float(test_size)) >= 1)))
+
+
+def rank_quantile_strata(df: DataFrame, target: str, max_bins: int = 5, min_bins: int = 2,
+                         test_size: float = 0.2, out_col: str = "__stratum"):
+    """When value quantiles collapse (heavy ties), bin the average rank
+    divided by (n + 1e-9) instead. Ranks come from the distributed rank table
+    (joined back by value; broadcast only when small)."""
+    from quarry.operators.correlate import BROADCAST_MAX_ROWS, rank_tables
+    x = col(target).cast("double")
+    n = df.where(x.isNotNull()).count()
+    ranks = rank_tables(df.select(x.alias("__t")), ["__t"]).select(F.col("v").alias("__v"), "rank")
+    size = ranks.count()
+    side = F.broadcast(ranks) if size <= BROADCAST_MAX_ROWS else ranks
+    ranked = df.join(side, x == F.col("__v"), "left").withColumn(
+        "__rq", F.col("rank") / F.lit(n + 1e-9)).drop("__v", "rank")
+    got, q, counts = quantile_strata(ranked, "__rq", max_bins, min_bins, test_size, out_col)
+    return (got.drop("__rq") if got is not None else None), q, counts
+
+
+def robustness_strata(df: DataFrame, target: str, test_size: float = 0.2, max_bins: int = 5,
+                      min_bins: int = 2, out_col: str = "__stratum"):
+    """Quantile bins max_bins -> min_bins; if none qualifies, equal-width
+    bins over [min, max] with the same range of counts; accepted when at
+    least 2 strata hold >= 2 rows each."""
+    got, q, counts = quantile_strata(df, target, max_bins, min_bins, test_size, out_col)
+    if got is not None:
+        return got, "quantile", counts
+    x = col(target).cast("double")
+    mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = mm["lo"], mm["hi"]
+    if lo is None or hi == lo:
+        return None, None, {}
+    for k in range(max_bins, min_bins - 1, -1):
+        lab = F.least(F.floor((x - F.lit(lo)) * F.lit(float(k)) / F.lit(hi - lo)).cast("int"), F.lit(k - 1))
+        counts = {r[0]: r[1] for r in df.groupBy(lab.alias("b")).count().collect() if r[0] is not None}
+        if sum(1 for v in counts.values() if v >= 2) >= 2:
+            return df.withColumn(out_col, lab), "width", dict(sorted(counts.items()))
+    return None, None, {}

@@ -66,3 +66,13 @@ def test_too_small_strata_rejected(spark):
     df = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "y double")
     got, q, counts = split.quantile_strata(df, "y", 5, 2, 0.2)
     assert got is None
+
+
+def test_rank_fallback_and_robustness_strata(spark):
+    # heavy ties: 80 % of rows on one value -> value quantiles collapse
+    rows = [(float(i), 0.0 if i < 80 else float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id double, y double")
+    got, q, counts = split.quantile_strata(df, "y", 5, 2, 0.2)
+    assert got is not None and sum(counts.values()) == 100
+    g2, how, c2 = split.robustness_strata(df, "y", 0.2)
+    assert g2 is not None and sum(c2.values()) == 100
