@@ -146,15 +146,19 @@ def birch(df: DataFrame, feats: Sequence[str], k: int = 8, threshold: float = 0.
 
 def mean_shift(df: DataFrame, feats: Sequence[str], bandwidth: float | None = None, bins: int = 10,
                max_iter: int = 30, seed: int = 42) -> ClusterModel:
-    """Seeds on a coarse grid (bounded by ``bins`` per axis, occupied cells
-    only); each step moves every seed to the mean of the rows within the
-    bandwidth (one aggregation over rows x seeds expressions)."""
+    """Bin seeding (as the usual bin_seeding option): seeds are the most
+    populated bandwidth-sized cells (``bins**2`` at most, a parameter); each
+    step moves every seed to the mean of the rows within the bandwidth (one
+    aggregation over rows x seeds expressions); converged seeds closer than
+    the bandwidth merge."""
     if bandwidth is None:
         sd = df.agg(*[F.stddev_pop(to_double(f)).alias(f"s{i}") for i, f in enumerate(feats)]).first()
         bandwidth = float(np.mean([sd[f"s{i}"] or 1.0 for i in range(len(feats))]))
     grid = df.select(*[F.floor(to_double(f) / F.lit(bandwidth)).alias(f"g{i}") for i, f in enumerate(feats)])
-    seeds = np.array([[(r[f"g{i}"] + 0.5) * bandwidth for i in range(len(feats))]
-                      for r in grid.distinct().limit(bins ** 2).collect()], float)
+    gcols = [f"g{i}" for i in range(len(feats))]
+    # seeds: the most populated bandwidth cells (deterministic order), at most bins**2 of them
+    cells = (grid.groupBy(*gcols).count().orderBy(F.desc("count"), *gcols).limit(bins ** 2).collect())
+    seeds = np.array([[(r[f"g{i}"] + 0.5) * bandwidth for i in range(len(feats))] for r in cells], float)
     for _ in range(max_iter):
         aggs = []
         for s_i, s in enumerate(seeds):

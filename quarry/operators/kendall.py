@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame, functions as F
 from quarry.functions.exprs import to_double
 
 N_SLABS = 256
+MAX_SLABS = 2048  # grid (2 * slabs + 1)^2 cells on the driver: <= ~17M
+SLAB_ROWS = 2_000_000  # target rows per slab once the data outgrows N_SLABS
 
 
 def _tie_pairs(sorted_vals: np.ndarray) -> int:
@@ -88,9 +90,12 @@ def _slab(df: DataFrame, c: str, out: str, n_slabs: int) -> tuple[DataFrame, lis
     return b.transform(df).withColumn(out, slab).drop(f"{out}_b"), edges
 
 
-def kendall_pair(df: DataFrame, cx: str, cy: str, n_slabs: int = N_SLABS) -> float | None:
+def kendall_pair(df: DataFrame, cx: str, cy: str, n_slabs: int | None = None) -> float | None:
     data = df.select(to_double(cx).alias("x"), to_double(cy).alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
+    if n_slabs is None:  # keep slabs near SLAB_ROWS rows as the table grows
+        n_rows = data.count()
+        n_slabs = int(min(MAX_SLABS, max(N_SLABS, n_rows // SLAB_ROWS)))
     data, ex = _slab(data, "x", "sx", n_slabs)
     data, ey = _slab(data, "y", "sy", n_slabs)
     data = data.persist()

@@ -111,11 +111,6 @@ def radius_join(queries: DataFrame, refs: DataFrame, qid: str, rid: str, feats:
             .applyInPandas(tile, "q long, r long, dist double"))
 
 
-def _broadcast_bounded(df: DataFrame, max_rows: int = 100_000):
-    from quarry.functions.exprs import bounded_broadcast
-    return bounded_broadcast(df, max_rows)
-
-
 def knn_regress(train: DataFrame, test: DataFrame, id_col: str, feats: Sequence[str], target: str,
                 k: int = 5, weights: str = "uniform") -> DataFrame:
     """Mean (or 1/d-weighted mean) of the k nearest training targets."""

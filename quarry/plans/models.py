@@ -128,13 +128,17 @@ class KnnTrainer:
 
         class _Fitted:
             def transform(self_inner, frame, out_col="prediction"):
-                q = frame if self.id_col in frame.columns else frame.withColumn(self.id_col, F.monotonically_increasing_id())
+                # deterministic row id from the row's values when none is given
+                q = frame if self.id_col in frame.columns else frame.withColumn(
+                    self.id_col, F.xxhash64(*[col(c) for c in frame.columns]))
+                # identical rows share an id: query each distinct id once
+                qd = q.select(self.id_col, *[col(f) for f in features]).dropDuplicates([self.id_col])
                 if self.radius is not None:
-                    pred = neighbors.radius_regress(train, q, self.id_col, features, target, self.radius)
+                    pred = neighbors.radius_regress(train, qd, self.id_col, features, target, self.radius)
                 elif self.task == "regression":
-                    pred = neighbors.knn_regress(train, q, self.id_col, features, target, self.k)
+                    pred = neighbors.knn_regress(train, qd, self.id_col, features, target, self.k)
                 else:
-                    pred = neighbors.knn_classify(train, q, self.id_col, features, target, self.k)
+                    pred = neighbors.knn_classify(train, qd, self.id_col, features, target, self.k)
                 return q.join(pred.withColumnRenamed("prediction", out_col), self.id_col, "left")
         return _Fitted()
 
