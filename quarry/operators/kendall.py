@@ -107,11 +107,10 @@ def kendall_pair(df: DataFrame, cx: str, cy: str, n_slabs: int | None = None) ->
     ties = lambda c: data.groupBy(c).count().agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0
     n1, n2 = int(ties("x")), int(ties("y"))
     # cross-slab part from the slab grid (<= (2 n_slabs + 1)^2 cells)
-    cells = data.groupBy("sx", "sy").count().collect()
+    cells = data.groupBy("sx", "sy").count().toPandas()  # non-empty grid cells, one Arrow batch
     gx, gy = 2 * len(ex) + 1, 2 * len(ey) + 1
     G = np.zeros((gx, gy))
-    for r in cells:
-        G[r["sx"], r["sy"]] += r["count"]
+    np.add.at(G, (cells["sx"].to_numpy(int), cells["sy"].to_numpy(int)), cells["count"].to_numpy(float))
     after = np.cumsum(G[::-1], axis=0)[::-1]  # rows >= a
     after = np.vstack([after[1:], np.zeros((1, gy))])  # rows > a
     up = np.cumsum(after[:, ::-1], axis=1)[:, ::-1]  # columns >= b
