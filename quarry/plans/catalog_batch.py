@@ -240,3 +240,16 @@ def q_x5(spark, sf):
     e, feats = neighbors.vector_columns(t(spark, sf, "embeddings"), "embedding", 64)
     out, ratio = explain.pca2(e, feats)
     return out.select("vec_id", "label", "pc1", "pc2")
+
+
+@register("i4_prediction_summary_lineitem", f"""WITH {_ols_coef_cte()},
+pr AS (SELECT {_PRED_SQL} AS p FROM sp, co WHERE split = 'test')
+SELECT 'Predicted_Target' AS column, count(p) AS n, {SIG('min(p)')} AS min, {SIG('max(p)')} AS max,
+       {SIG('avg(p)')} AS mean, {SIG('CASE WHEN count(p) > 1 THEN stddev_samp(p) END')} AS sd,
+       {SIG('quantile_cont(p, 0.25)')} AS p25, {SIG('quantile_cont(p, 0.5)')} AS p50,
+       {SIG('quantile_cont(p, 0.75)')} AS p75, {SIG('quantile_cont(p, 1.0)')} AS p100 FROM pr""")
+def q_i4(spark, sf):
+    from quarry.plans.workflow import prediction_summary
+    sp, m = _ols_fit(spark, sf)
+    scored = m.transform(sp.where(F.col("split") == "test"), "Predicted_Target")
+    return sig_all(prediction_summary(scored, "Predicted_Target"), 8)

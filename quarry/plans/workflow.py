@@ -192,3 +192,58 @@ def baseline_vs_advanced(df: DataFrame, roles: Roles, cfg: TrainConfig) -> DataF
 def add_row_key(df: DataFrame, cols: Sequence[str], name: str = "__rid") -> DataFrame:
     """Deterministic 64-bit row id from natural key columns."""
     return df.withColumn(name, F.xxhash64(*[col(c) for c in cols]))
+
+
+@dataclass
+class ClusterRun:
+    model: object
+    k: int
+    scan: DataFrame | None
+    labels: DataFrame
+    scores: DataFrame
+    sizes: DataFrame
+
+
+def train_cluster(df: DataFrame, features: Sequence[str], key: Sequence[str], model: str = "kmeans",
+                  k: int = 3, scan: Sequence[int] | None = range(2, 9), refit_best_k: bool = True,
+                  scaler: str = "standard", test_size: float = 0.2, seed: int = 42) -> ClusterRun:
+    """Clustering lifecycle: seeded split, scaler fitted on train, optional
+    k scan by silhouette (U10), fit with the chosen k, labels for both splits
+    where the method can assign new points (U11), then CH / DB / squared
+    silhouette and cluster sizes on the test split (NULL scores with < 2
+    clusters)."""
+    from quarry.operators import metrics as M
+    from quarry.operators.cluster import ClusterModel, scan_k
+    feats = list(features)
+    sp = split.train_test_split(df.select(*dict.fromkeys(list(key) + feats)).na.drop(), list(key), test_size, seed)
+    sc = transform.fit_scaler(sp.where(F.col("split") == "train"), feats, scaler)
+    sp = sc.transform(sp, feats)
+    train_df = sp.where(F.col("split") == "train")
+    table = None
+    chosen = k
+    if scan and model in ("kmeans", "bisecting_kmeans"):
+        table = scan_k(train_df, feats, scan, model, seed)
+        best = table.orderBy(F.desc_nulls_last("silhouette_sq"), "k").first()
+        if refit_best_k and best is not None:
+            chosen = int(best["k"])
+    fitted = models.make(model)(train_df, feats, chosen, id_col=key[0] if len(key) == 1 else None, seed=seed)
+    if isinstance(fitted, ClusterModel):
+        labels = fitted.transform(sp, "cluster")
+    elif hasattr(fitted, "transform"):  # Spark ML mixture model
+        from pyspark.ml.feature import VectorAssembler
+        vec = VectorAssembler(inputCols=feats, outputCol="__x", handleInvalid="keep").transform(sp)
+        labels = fitted.setFeaturesCol("__x").transform(vec).drop("__x", "probability")
+    else:  # density / graph methods label the rows they were fitted on
+        labels = sp.join(fitted, key[0], "inner") if len(key) == 1 else fitted
+    test = labels.where(F.col("split") == "test")
+    scores = M.cluster_scores(test, feats, "cluster", noise_label=-1)
+    sil = M.silhouette_squared(test.where(F.col("cluster") != -1), feats, "cluster")
+    sizes = profile_sizes(labels)
+    s_val = sil.first()[0]
+    return ClusterRun(fitted, chosen, table, labels, scores.withColumn("silhouette_sq", F.lit(s_val).cast("double")),
+                      sizes)
+
+
+def profile_sizes(labels: DataFrame) -> DataFrame:
+    """Cluster sizes per split."""
+    return labels.groupBy("split", "cluster").agg(F.count(F.lit(1)).alias("size"))

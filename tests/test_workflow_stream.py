@@ -56,3 +56,14 @@ def test_save_and_load_models(spark, sf):
         a = [r["prediction"] for r in m.transform(li.limit(20)).collect()]
         b = [r["prediction"] for r in back.transform(li.limit(20)).collect()]
         assert a == b
+
+
+def test_cluster_run(spark, sf):
+    emb = spark.read.parquet(f"{sf}/embeddings.parquet")
+    from quarry.operators.neighbors import vector_columns
+    e, feats = vector_columns(emb, "embedding", 8)
+    run = workflow.train_cluster(e.drop("embedding"), feats, ["vec_id"], "kmeans", k=3, scan=range(2, 4))
+    assert run.k in (2, 3)
+    r = run.scores.first()
+    assert r["n_clusters"] == run.k and r["calinski_harabasz"] > 0
+    assert run.sizes.agg(F.sum("size")).first()[0] == emb.count()
