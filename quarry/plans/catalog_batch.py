@@ -253,3 +253,43 @@ def q_i4(spark, sf):
     sp, m = _ols_fit(spark, sf)
     scored = m.transform(sp.where(F.col("split") == "test"), "Predicted_Target")
     return sig_all(prediction_summary(scored, "Predicted_Target"), 8)
+
+
+# ------------------------------------------------------------------ rows-only: explanations, selection, clusterers
+
+@register("x2_permutation_importance_lineitem")
+def q_x2(spark, sf):
+    sp, m = _ols_fit(spark, sf)
+    test = sp.where(F.col("split") == "test")
+    return explain.permutation_importance(m, test, LI_FEATS, LI_TARGET, LI_KEYS, "regression", repeats=2)
+
+
+@register("x4_shapley_lineitem")
+def q_x4(spark, sf):
+    sp, m = _ols_fit(spark, sf)
+    return explain.kernel_shap(m, sp.where(F.col("split") == "test"), LI_FEATS, LI_KEYS)
+
+
+@register("k4_select_from_model_lineitem")
+def q_k4(spark, sf):
+    from quarry.operators import select
+    sp = split.train_test_split(t(spark, sf, "lineitem"), LI_KEYS, 0.2, SEED)
+    return select.select_from_model(sp.where(F.col("split") == "train"), LI_FEATS + ["l_linenumber"],
+                                    LI_TARGET, "regression", n_trees=20)
+
+
+@register("u1_cluster_models_embeddings")
+def q_u1(spark, sf):
+    e, feats = neighbors.vector_columns(t(spark, sf, "embeddings"), "embedding", 8)
+    e = e.drop("embedding")
+    fits = {"kmeans": lambda: cluster.kmeans(e, feats, 5),
+            "bisecting_kmeans": lambda: cluster.bisecting_kmeans(e, feats, 5),
+            "agglo": lambda: cluster.agglomerative(e, feats, 5, micro=50),
+            "birch": lambda: cluster.birch(e, feats, 5)}
+    rows = []
+    for name, fit in fits.items():
+        lab = fit().transform(e, "cluster")
+        s = metrics.cluster_scores(lab, feats, "cluster").first()
+        rows.append((name, int(s["n_clusters"]), s["calinski_harabasz"], s["davies_bouldin"]))
+    return spark.createDataFrame(rows, "model string, n_clusters long, calinski_harabasz double, "
+                                       "davies_bouldin double")
