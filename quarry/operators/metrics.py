@@ -193,20 +193,27 @@ def rank_metrics(long: DataFrame, with_micro: bool = False) -> DataFrame:
     AP  = sum_s pos_s / P * precision at threshold s (scores descending).
     ``with_micro`` adds the pooled '__micro__' class in the same pass.
     """
+    from pyspark import StorageLevel
     cells = _score_cells(long)
     if with_micro:
         cells = cells.unionByName(_score_cells(long.withColumn("class", F.lit("__micro__"))))
+    # the distinct-score table feeds four jobs; keep it while they run
+    cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     pre = prefix_sums(cells, "score", ["pos", "neg"], group="class", descending=True, inclusive=True)
     tot = cells.groupBy("class").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
     j = pre.join(F.broadcast(tot), "class")  # one row per class
     below = F.col("N") - F.col("neg_cum")
-    return (j.groupBy("class", "P", "N")
+    rows = (j.groupBy("class", "P", "N")
             .agg(F.sum(F.col("pos") * (below + 0.5 * F.col("neg"))).alias("u"),
                  F.sum(F.when(F.col("pos") > 0, F.col("pos") / F.col("P") * F.col("pos_cum")
                               / (F.col("pos_cum") + F.col("neg_cum"))).otherwise(F.lit(0.0))).alias("ap"))
             .select("class", F.try_divide(F.col("u"), F.col("P") * F.col("N")).alias("roc_auc"),
                     F.when(F.col("P") > 0, F.col("ap")).alias("average_precision"),
-                    F.col("P").alias("support")))
+                    F.col("P").cast("long").alias("support"))
+            .collect())  # one row per class: evaluate now, then release the cache
+    cells.unpersist()
+    return long.sparkSession.createDataFrame(
+        [tuple(r) for r in rows], "class string, roc_auc double, average_precision double, support long")
 
 
 def roc_auc_by_class(long: DataFrame) -> DataFrame:
