@@ -60,10 +60,12 @@ def rank_tables(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return ranked.select("ci", "v", (F.col("cnt_cum") + (F.col("cnt") + 1) / 2.0).alias("rank"))
 
 
-def _attach_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _attach_ranks(df: DataFrame, cols: Sequence[str], sizes: dict | None = None) -> DataFrame:
     out = df.select(*[to_double(c).alias(c) for c in cols])
     ranks = rank_tables(out, cols)
-    sizes = {r["ci"]: r["n"] for r in ranks.groupBy("ci").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sizes is None:  # distinct values per column (approximate is enough for the broadcast decision)
+        row = out.agg(*[F.approx_count_distinct(c).alias(f"d{i}") for i, c in enumerate(cols)]).first()
+        sizes = {i: row[f"d{i}"] for i in range(len(cols))}
     for i, c in enumerate(cols):
         rk = ranks.where(F.col("ci") == i).select(F.col("v").alias(f"__v_{c}"), F.col("rank").alias(f"__r_{c}"))
         # one row per distinct value: broadcast only below a checked size,
@@ -76,9 +78,12 @@ def _attach_ranks(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def spearman(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Spearman = Pearson on average ranks (pairwise-complete)."""
     cols = numeric_columns(df, cols)
-    nulls = df.agg(*[F.count_if(to_double(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    # one pass: NULL counts (pairwise path needed?) and distinct counts (broadcast decision)
+    nulls = df.agg(*[F.count_if(to_double(c).isNull()).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.approx_count_distinct(to_double(c)).alias(f"d{i}") for i, c in enumerate(cols)]).first()
     if not any(nulls[f"n{i}"] for i in range(len(cols))):
-        return pearson(_attach_ranks(df, cols), cols)
+        sizes = {i: nulls[f"d{i}"] for i in range(len(cols))}
+        return pearson(_attach_ranks(df, cols, sizes), cols)
     # with missing values each pair is ranked on its own complete rows
     out = None
     for i, a in enumerate(cols):

@@ -241,26 +241,36 @@ def auc_ap_summary(long: DataFrame) -> DataFrame:
     return agg.join(micro, "__one").drop("__one")
 
 
+def _curve_cells(long: DataFrame):
+    from pyspark import StorageLevel
+    cells = _score_cells(long).persist(StorageLevel.MEMORY_AND_DISK)  # read by 3-4 jobs below
+    pre = prefix_sums(cells, "score", ["pos", "neg"], group="class", descending=True, inclusive=True)
+    tot = cells.groupBy("class").agg(F.sum("pos").alias("P"), F.sum(F.col("neg")).alias("N"))
+    return cells, pre.join(F.broadcast(tot), "class")  # tot: one row per class
+
+
+def _materialise(df: DataFrame, cached: DataFrame) -> DataFrame:
+    """Write the result to the shared checkpoint folder, then drop the cache."""
+    from quarry.session import cut_lineage
+    out = cut_lineage(df)
+    cached.unpersist()
+    return out
+
+
 def roc_curve(long: DataFrame) -> DataFrame:
     """(class, threshold, fpr, tpr) at every distinct score, descending."""
-    cells = prefix_sums(_score_cells(long), "score", ["pos", "neg"], group="class",
-                        descending=True, inclusive=True)
-    tot = long.groupBy("class").agg(F.sum("hit").alias("P"), F.sum(F.lit(1) - F.col("hit")).alias("N"))
-    return (cells.join(F.broadcast(tot), "class")
-            .select("class", F.col("score").alias("threshold"),
-                    F.try_divide(F.col("neg_cum"), F.col("N")).alias("fpr"),
-                    F.try_divide(F.col("pos_cum"), F.col("P")).alias("tpr")))
+    cells, j = _curve_cells(long)
+    return _materialise(j.select("class", F.col("score").alias("threshold"),
+                                 F.try_divide(F.col("neg_cum"), F.col("N")).alias("fpr"),
+                                 F.try_divide(F.col("pos_cum"), F.col("P")).alias("tpr")), cells)
 
 
 def pr_curve(long: DataFrame) -> DataFrame:
     """(class, threshold, precision, recall) at every distinct score."""
-    cells = prefix_sums(_score_cells(long), "score", ["pos", "neg"], group="class",
-                        descending=True, inclusive=True)
-    tot = long.groupBy("class").agg(F.sum("hit").alias("P"))
-    return (cells.join(F.broadcast(tot), "class")
-            .select("class", F.col("score").alias("threshold"),
-                    F.try_divide(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum")).alias("precision"),
-                    F.try_divide(F.col("pos_cum"), F.col("P")).alias("recall")))
+    cells, j = _curve_cells(long)
+    return _materialise(j.select("class", F.col("score").alias("threshold"),
+                                 F.try_divide(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum")).alias("precision"),
+                                 F.try_divide(F.col("pos_cum"), F.col("P")).alias("recall")), cells)
 
 
 def calibration_curve(long: DataFrame, n_bins: int = 10) -> DataFrame:
