@@ -97,30 +97,49 @@ def moments(df: DataFrame, cols: Sequence[str], group: str | None = None) -> dic
 
 
 def _moments_wide(data: DataFrame, cols: list[str], group: str | None) -> dict:
-    """Per-partition numpy co-moments (Arrow batches), then exact merge."""
+    """Wide tables: per-partition numpy cross-products of mean-shifted values,
+    emitted as (group, i, j, value) rows and summed by Spark, so the driver
+    receives p(p+1)/2 + p + 1 numbers per group whatever the partition count.
+    Shifting by the global column means keeps the raw sums well conditioned."""
     k = len(cols)
-    gcol = [col(group).cast("string").alias("__g")] if group else [F.lit(None).cast("string").alias("__g")]
-    sel = data.select(*gcol, *[to_double(c).alias(f"x{i}") for i, c in enumerate(cols)])
+    xs = [to_double(c).alias(f"x{i}") for i, c in enumerate(cols)]
+    shift_row = data.agg(*[F.avg(to_double(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([shift_row[f"m{i}"] or 0.0 for i in range(k)])
+    gcol = col(group).cast("string") if group else F.lit(None).cast("string")
+    sel = data.select(gcol.alias("__g"), *xs)
+    iu, ju = np.triu_indices(k)
 
     def part(it):
         import pandas as pd
         acc: dict = {}
         for pdf in it:
             for g, sub in pdf.groupby("__g", dropna=False):
-                X = sub[[f"x{i}" for i in range(k)]].to_numpy(float)
-                m = X.mean(axis=0)
-                Xc = X - m
-                mo = Moments(float(len(X)), m, Xc.T @ Xc)
-                acc[g] = acc[g].combine(mo) if g in acc else mo
-        rows = [{"__g": (None if (isinstance(g, float) and np.isnan(g)) else g), "n": mo.n,
-                 "mean": mo.mean.tolist(), "C": mo.C.ravel().tolist()} for g, mo in acc.items()]
-        yield pd.DataFrame(rows, columns=["__g", "n", "mean", "C"])
-
-    parts = sel.mapInPandas(part, "__g string, n double, mean array<double>, C array<double>").collect()
+                X = sub[[f"x{i}" for i in range(k)]].to_numpy(float) - shift
+                n, sx, sxx = acc.get(g, (0.0, np.zeros(k), np.zeros((k, k))))
+                acc[g] = (n + len(X), sx + X.sum(0), sxx + X.T @ X)
+        for g, (n, sx, sxx) in acc.items():
+            gv = None if (isinstance(g, float) and np.isnan(g)) else g
+            ii = np.concatenate([[-1], -np.ones(k, int) - 1, iu])
+            jj = np.concatenate([[-1], np.arange(k), ju])
+            vv = np.concatenate([[n], sx, sxx[iu, ju]])
+            yield pd.DataFrame({"__g": [gv] * len(vv), "i": ii, "j": jj, "v": vv})
+
+    sums = (sel.mapInPandas(part, "__g string, i long, j long, v double")
+            .groupBy("__g", "i", "j").agg(F.sum("v").alias("v")).toPandas())  # p^2 rows per group
     out: dict = {}
-    for r in parts:  # one row per (partition, group): bounded by partitions x groups
-        mo = Moments(r["n"], np.array(r["mean"]), np.array(r["C"]).reshape(k, k))
-        out[r["__g"]] = out[r["__g"]].combine(mo) if r["__g"] in out else mo
+    for g, grp in sums.groupby("__g", dropna=False):
+        gv = None if (isinstance(g, float) and np.isnan(g)) else g
+        n = float(grp[(grp.i == -1) & (grp.j == -1)].v.sum())
+        sx = np.zeros(k)
+        row = grp[grp.i == -2]
+        sx[row.j.to_numpy(int)] = row.v.to_numpy()
+        sxx = np.zeros((k, k))
+        cr = grp[grp.i >= 0]
+        sxx[cr.i.to_numpy(int), cr.j.to_numpy(int)] = cr.v.to_numpy()
+        sxx = np.triu(sxx) + np.triu(sxx, 1).T
+        mean_shifted = sx / n if n else sx
+        C = sxx - n * np.outer(mean_shifted, mean_shifted)
+        out[gv] = Moments(n, mean_shifted + shift, C)
     return out
 
 

@@ -77,3 +77,15 @@ def test_constant_feature_does_not_fail(spark):
     df = spark.createDataFrame([(1.0, float(i), 2.0 * i) for i in range(20)], "k double, x double, y double")
     m = linear.fit(df, ["k", "x"], "y", "ols")
     assert abs(m.coef[1] - 2.0) < 1e-9
+
+
+def test_wide_moments_match_narrow(spark):
+    rng = np.random.default_rng(12)
+    X = rng.normal(size=(200, 4)) * [1, 10, 100, 0.01] + [5, -3, 1000, 0]
+    df = spark.createDataFrame([tuple(map(float, r)) + (int(i % 3),) for i, r in enumerate(X)],
+                               "a double, b double, c double, d double, g int").repartition(6)
+    narrow = linear.moments(df, ["a", "b", "c", "d"], group="g")
+    wide = linear._moments_wide(df, ["a", "b", "c", "d"], "g")
+    for g, mo in narrow.items():
+        w = wide[str(g)]
+        assert np.isclose(w.n, mo.n) and np.allclose(w.mean, mo.mean) and np.allclose(w.C, mo.C, rtol=1e-8)
