@@ -15,7 +15,6 @@ from typing import Callable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.functions.labels import sort_labels_local
 from quarry.operators import linear, metrics, split, transform
 from quarry.plans import models
 
@@ -72,7 +71,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, model_ke
                 r = metrics.regression_metrics(pred, target, "prediction").first()
                 rows.append((f, r["r2"], r["rmse"], r["mae"]))
             else:
-                classes = sort_labels_local([x[0] for x in folded.select(F.col(target).cast("string")).distinct().collect()])
+                from quarry.operators.native import class_list
+                classes = class_list(folded, target)  # bounded distinct labels, bin-aware order
                 s = metrics.classification_summary(pred, target, "prediction", classes).first()
                 rows.append((f, s["accuracy"], s["precision_weighted"], s["recall_weighted"], s["f1_weighted"]))
         schema = ("fold int, r2 double, rmse double, mae double" if task == "regression" else

@@ -16,7 +16,6 @@ from typing import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, key_hash, numeric_columns, to_double
-from quarry.functions.labels import sort_labels_local
 from quarry.operators import clean, metrics, outliers, select, split, transform
 from quarry.plans import models
 
@@ -139,7 +138,8 @@ def train(df: DataFrame, roles: Roles, cfg: TrainConfig) -> ModelRun:
         if task == "regression":
             m = metrics.regression_metrics(preds, tgt, f"Predicted_{tgt}", group=["split"])
         else:
-            classes = sort_labels_local([r[0] for r in preds.select(col(tgt).cast("string")).distinct().collect()])
+            from quarry.operators.native import class_list
+            classes = class_list(preds, tgt)  # bounded distinct labels, bin-aware order
             m = metrics.classification_summary(preds.where(F.col("split") == "test"), tgt,
                                                f"Predicted_{tgt}", classes).withColumn("split", F.lit("test"))
         mets.append(m.withColumn("target", F.lit(tgt)))
