@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.chat import OP7_SQL, op7_chat_format
+from quarry.llm.jaccard import op9_jaccard_join
 from quarry.llm.line_rules import OP10_SQL, op10_quality_rules
 from quarry.llm.mixing import OP6_SQL, op6_mix
 from quarry.llm.suffix_dedup import op5_suffix_dedup
@@ -13,6 +14,7 @@ REGISTRY = {
     "op6_mix": op6_mix,
     "op7_chat_format": op7_chat_format,
     "op8_url_filter": op8_url_filter,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {
