@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.chat import OP7_SQL, op7_chat_format
+from quarry.llm.decontaminate import OP2_SQL, op2_decontaminate
 from quarry.llm.jaccard import op9_jaccard_join
 from quarry.llm.line_rules import OP10_SQL, op10_quality_rules
 from quarry.llm.mixing import OP6_SQL, op6_mix
@@ -10,6 +11,7 @@ from quarry.llm.suffix_dedup import op5_suffix_dedup
 from quarry.llm.url_rules import OP8_SQL, op8_url_filter
 
 REGISTRY = {
+    "op2_decontaminate": op2_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
     "op7_chat_format": op7_chat_format,
@@ -18,6 +20,7 @@ REGISTRY = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLE = {
+    "op2_decontaminate": OP2_SQL,
     "op6_mix": OP6_SQL,
     "op7_chat_format": OP7_SQL,
     "op8_url_filter": OP8_SQL,
