@@ -5,12 +5,14 @@ from __future__ import annotations
 from quarry.llm.chat import OP7_SQL, op7_chat_format
 from quarry.llm.decontaminate import OP2_SQL, op2_decontaminate
 from quarry.llm.jaccard import op9_jaccard_join
+from quarry.llm.lang_crf import op1_language_crf
 from quarry.llm.line_rules import OP10_SQL, op10_quality_rules
 from quarry.llm.mixing import OP6_SQL, op6_mix
 from quarry.llm.suffix_dedup import op5_suffix_dedup
 from quarry.llm.url_rules import OP8_SQL, op8_url_filter
 
 REGISTRY = {
+    "op1_language_crf": op1_language_crf,
     "op2_decontaminate": op2_decontaminate,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
