@@ -8,12 +8,14 @@ from quarry.llm.jaccard import op9_jaccard_join
 from quarry.llm.lang_crf import op1_language_crf
 from quarry.llm.line_rules import OP10_SQL, op10_quality_rules
 from quarry.llm.mixing import OP6_SQL, op6_mix
+from quarry.llm.quality_eb import op3_quality_bayes
 from quarry.llm.suffix_dedup import op5_suffix_dedup
 from quarry.llm.url_rules import OP8_SQL, op8_url_filter
 
 REGISTRY = {
     "op1_language_crf": op1_language_crf,
     "op2_decontaminate": op2_decontaminate,
+    "op3_quality_bayes": op3_quality_bayes,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
     "op7_chat_format": op7_chat_format,

@@ -7,7 +7,7 @@ import pyarrow as pa
 
 from quarry.llm.repeats import MULT, _buffers, mix64, ranges
 
-SLICE = 4 << 20  # bytes worked on at a time
+SLICE = 2 << 20  # bytes worked on at a time
 _R = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -52,7 +52,13 @@ def word_spans(part: np.ndarray, begins: np.ndarray, ends: np.ndarray, inside: n
 
 
 def span_hashes(part: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = None, seed: int = 1) -> np.ndarray:
-    """A 64-bit hash of each stretch of bytes; ``fold`` maps bytes before."""
+    """A 64-bit hash of each stretch of bytes (stretches may not contain each other);
+    ``fold`` maps bytes before."""
+    if len(start) > 1 and (start[1:] < start[:-1]).any():
+        order = np.argsort(start, kind="stable")
+        out = np.empty(len(start), np.uint64)
+        out[order] = span_hashes(part, start[order], end[order], fold, seed)
+        return out
     table = mix64((np.arange(1, 257, dtype=np.uint64) + np.uint64(seed << 10)) * MULT)
     if fold is not None:
         table = table[fold]
