@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarry.llm.chat import OP7_SQL, op7_chat_format
 from quarry.llm.decontaminate import OP2_SQL, op2_decontaminate
+from quarry.llm.html_main import op4_html_main
 from quarry.llm.jaccard import op9_jaccard_join
 from quarry.llm.lang_crf import op1_language_crf
 from quarry.llm.line_rules import OP10_SQL, op10_quality_rules
@@ -16,6 +17,7 @@ REGISTRY = {
     "op1_language_crf": op1_language_crf,
     "op2_decontaminate": op2_decontaminate,
     "op3_quality_bayes": op3_quality_bayes,
+    "op4_html_main": op4_html_main,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix": op6_mix,
     "op7_chat_format": op7_chat_format,

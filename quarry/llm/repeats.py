@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.suffix import common_prefixes, suffix_order
 
-BUCKET_BYTES = 24 << 20   # of runs, uncompressed
-BLOCK_BYTES = 32 << 20    # of text per block
-CHUNK = 1 << 20           # positions hashed at a time
-SLICE_BYTES = 6 << 20     # of runs per suffix array
+BUCKET_BYTES = 12 << 20   # of runs, uncompressed
+BLOCK_BYTES = 8 << 20     # of text per block
+CHUNK = 1 << 19           # positions hashed at a time
+SLICE_BYTES = 2 << 20     # of runs per suffix array
 RUNS = "kind int, bucket int, id long, tag long, blob binary"
 SPANS = "id long, tag long, spans binary"
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -323,20 +323,22 @@ def match_bucket(table: pa.Table, window: int, smaller: bool) -> pa.Table:
 
 
 def repeated_spans(rows: DataFrame, id_col: Column, data: Column, group: Column | None = None, window: int = 50,
-                   gram: int = 16, smaller: bool = True, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                   gram: int = 16, smaller: bool = True, bucket_bytes: int = BUCKET_BYTES,
+                   total_bytes: int | None = None) -> DataFrame:
     """(id, tag, spans): per row the bytes covered by a repeated string, as packed
     pairs; a row may have several, to be merged with ``unpack``. ``tag`` is the
     hash of the bytes and tells rows of one id apart.
 
     ``smaller``: a string counts if a row of a smaller id holds it; else if any row
     of another id does. ``group``: strings match only inside a group. Rows without
-    an id take no part."""
+    an id take no part. ``total_bytes``: an estimate of the bytes of all rows, for the
+    number of buckets; counted where it isn't given."""
     if not 1 <= gram <= min(16, window):
         raise ValueError("gram must be 1 to 16 and not longer than the window")
     d = rows.select(id_col.cast("long").alias("id"), data.cast("binary").alias("data"),
                     (F.xxhash64(group) if group is not None else F.lit(0).cast("long")).alias("grp"))
     d = d.filter(F.col("id").isNotNull() & (F.octet_length("data") >= window)).withColumn("tag", F.xxhash64("data"))
-    total = d.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
+    total = total_bytes if total_bytes is not None else d.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     spread = 1 + (window - 1) * 2 / (window - gram + 2)  # bytes of runs per byte of text
     n_buckets = max(1, math.ceil(total * spread / bucket_bytes))
     runs = d.mapInArrow(lambda it: scan(it, window, gram, n_buckets, smaller), RUNS)

@@ -27,7 +27,7 @@ def smaller_than_next(text: np.ndarray) -> np.ndarray:
     step[:-1] = np.where(text[1:] > text[:-1], 1, np.where(text[1:] < text[:-1], -1, 0))
     step[-1] = -1
     # within a run of one byte the first change after the run decides
-    place = np.where(step != 0, np.arange(n), n)
+    place = np.where(step != 0, np.arange(n, dtype=np.int32), np.int32(n))
     nearest = np.minimum.accumulate(place[::-1])[::-1]
     return step[nearest] == 1
 
@@ -72,11 +72,11 @@ def suffix_order(text: np.ndarray, wanted: np.ndarray, depth: int) -> np.ndarray
     direct = smaller_than_next(text)
     # a larger suffix is induced from its successor, so chains are kept up to the
     # next directly sorted suffix (or the end of the text)
-    place = np.where(direct, np.arange(n), n)
+    place = np.where(direct, np.arange(n, dtype=np.int32), np.int32(n))
     base = np.minimum.accumulate(place[::-1])[::-1]
     at = np.flatnonzero(wanted)
-    ends = np.bincount(np.minimum(base[at], n - 1) + 1, minlength=n + 1)[:n]
-    needed = np.cumsum(wanted.astype(np.int64) - ends) > 0
+    ends = np.bincount(np.minimum(base[at], n - 1) + 1, minlength=n + 1)[:n].astype(np.int32)
+    needed = np.cumsum(wanted - ends, dtype=np.int32) > 0
     seeds = sort_directly(padded, np.flatnonzero(needed & direct), depth)
     by_byte = np.searchsorted(text[seeds], np.arange(257))
     induced = needed & ~direct
