@@ -76,7 +76,7 @@ HOST_RULES = (
     HostRule("com", "/de/", "block"),
 )
 PATTERN_RULES = (
-    PatternRule("spam-host", r"://(?:[^/?#]*[.-])?spam[.-]farm\.", ("spam", "farm")),
+    PatternRule("spam-host", r"(?i)://(?:[^/?#]*[.-])?spam[.-]farm\.", ("spam", "farm")),
     PatternRule("casino-host", r"(?i)://(?:[^/?#]*[.-])?casino[.-]", ("casino",)),
     PatternRule("adult-host", r"(?i)://(?:[^/?#]*[.-])?xxx[.-]", ("xxx",)),
     PatternRule("sign-in", r"(?i)://[^/?#]*/(?:[^?#]*/)?login(?:[/?#]|$)", ("login",)),
@@ -179,7 +179,7 @@ f AS (
     row_number() OVER (PARTITION BY page_id, url ORDER BY length(rhost || rpath) DESC NULLS LAST, rverdict DESC, rhost || rpath) AS k
   FROM s LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
 SELECT page_id, host, path, rule, coalesce(rverdict, CASE
-    WHEN regexp_matches(url, '://([^/?#]*[.-])?spam[.-]farm\.') OR regexp_matches(url, '(?i)://([^/?#]*[.-])?casino[.-]')
+    WHEN regexp_matches(url, '(?i)://([^/?#]*[.-])?spam[.-]farm\.') OR regexp_matches(url, '(?i)://([^/?#]*[.-])?casino[.-]')
       OR regexp_matches(url, '(?i)://([^/?#]*[.-])?xxx[.-]') OR regexp_matches(url, '(?i)://[^/?#]*/([^?#]*/)?login([/?#]|$)')
       OR regexp_matches(url, '(?i)\.exe([?#]|$)') THEN 'block' ELSE 'allow' END) AS verdict
 FROM f WHERE k = 1
