@@ -11,9 +11,6 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
 _FRACTIONAL = (T.FloatType, T.DoubleType)
 
 # Config keys read from the session (spark.conf) by the quantile helpers.
-EXACT_QUANTILE_MAX_ROWS = "spark.quarry.quantile.exactMaxRows"
-DEFAULT_EXACT_QUANTILE_MAX_ROWS = 20_000_000
-APPROX_ACCURACY = 1_000_000
 
 
 def q(name: str) -> str:
@@ -93,63 +90,6 @@ def round_doubles(df: DataFrame, digits: int = 6, per_col: dict | None = None) -
     return df.select(*out)
 
 
-def exact_quantile_limit(spark) -> int:
-    try:
-        return int(spark.conf.get(EXACT_QUANTILE_MAX_ROWS))
-    except Exception:
-        return DEFAULT_EXACT_QUANTILE_MAX_ROWS
-
-
-def quantile_expr(c: Column, probs: list[float], exact: bool) -> Column:
-    """``percentile`` (exact, linear interpolation like pandas/numpy) or its
-    approximate sketch twin for tables above the exact-row limit."""
-    arr = F.array(*[F.lit(float(p)) for p in probs])
-    if exact:
-        return F.percentile(c, arr)
-    return F.percentile_approx(c, arr, APPROX_ACCURACY)
-
-
-EXACT_QUANTILE_MAX_BYTES = "spark.quarry.quantile.exactMaxBytes"
-DEFAULT_EXACT_QUANTILE_MAX_BYTES = 2 * 1024 ** 3
-
-
-def plan_size_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimised plan (no job is run)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:
-        return None
-
-
-def use_exact_quantiles(df: DataFrame, n_rows: int | None = None) -> bool:
-    """Exact ``percentile`` keeps every distinct value in its buffer; above the
-    configured limit switch to ``percentile_approx``. The decision uses a known
-    row count when given, else Catalyst's size estimate (no extra job)."""
-    if n_rows is not None:
-        return n_rows <= exact_quantile_limit(df.sparkSession)
-    try:
-        max_bytes = int(df.sparkSession.conf.get(EXACT_QUANTILE_MAX_BYTES))
-    except Exception:
-        max_bytes = DEFAULT_EXACT_QUANTILE_MAX_BYTES
-    size = plan_size_bytes(df)
-    if size is None or size >= 2 ** 62:  # unknown (e.g. an RDD-backed frame): count instead
-        return df.count() <= exact_quantile_limit(df.sparkSession)
-    return size <= max_bytes
-
-
-def column_quantiles(df: DataFrame, cols: list[str], probs: list[float],
-                     exact: bool | None = None) -> dict[str, list[float | None]]:
-    """One aggregation pass; returns {column: [q(p) for p in probs]}."""
-    if not cols:
-        return {}
-    if exact is None:
-        exact = use_exact_quantiles(df)
-    row = df.agg(*[quantile_expr(to_double(c), probs, exact).alias(f"q{i}")
-                   for i, c in enumerate(cols)]).first()
-    return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
-            for i, c in enumerate(cols)}
-
-
 def one_row_stats(df: DataFrame, exprs: dict[str, Column]) -> dict:
     """Evaluate several aggregate expressions in a single pass."""
     if not exprs:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
-from quarry.functions.labels import sort_labels_local
+from quarry.functions.labels import order_labels
 
 
 @dataclass
@@ -99,7 +99,7 @@ def _class_stats(df: DataFrame, features: Sequence[str], label: str):
                  *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)],
                  *[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(xs)],
                  *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]).collect())  # one row per class
-    classes = sort_labels_local([r["__y"] for r in rows])
+    classes = order_labels([r["__y"] for r in rows])
     by = {r["__y"]: r for r in rows}
     p = len(features)
     n = np.array([by[c]["n"] for c in classes], float)
@@ -149,7 +149,7 @@ def fit_bernoulli_nb(df: DataFrame, features: Sequence[str], label: str, alpha:
     xs = [F.when(to_double(f) > F.lit(binarize), 1.0).otherwise(0.0) for f in features]
     rows = (df.where(col(label).isNotNull()).groupBy(col(label).cast("string").alias("__y"))
             .agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(xs)]).collect())
-    classes = sort_labels_local([r["__y"] for r in rows])
+    classes = order_labels([r["__y"] for r in rows])
     by = {r["__y"]: r for r in rows}
     n = np.array([by[c]["n"] for c in classes], float)
     S = np.array([[by[c][f"s{i}"] for i in range(len(features))] for c in classes], float)
@@ -167,7 +167,7 @@ def fit_categorical_nb(df: DataFrame, features: Sequence[str], label: str, alpha
     long = df.where(col(label).isNotNull()).select(y.alias("__y"), cells.alias("c")).select("__y", "c.f", "c.lvl")
     counts = long.groupBy("__y", "f", "lvl").count().collect()  # classes x features x levels
     ncls = {r["__y"]: r["n"] for r in df.groupBy(y.alias("__y")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    classes = sort_labels_local(list(ncls))
+    classes = order_labels(list(ncls))
     levels = [sorted({r["lvl"] for r in counts if r["f"] == i and r["lvl"] is not None}) for i in range(len(features))]
     tab = {(r["__y"], r["f"], r["lvl"]): r["count"] for r in counts}
     n = np.array([ncls[c] for c in classes], float)
@@ -188,7 +188,7 @@ def fit_categorical_nb(df: DataFrame, features: Sequence[str], label: str, alpha
 def _pooled_cov(df: DataFrame, features, label):
     from quarry.operators.linear import moments
     groups = moments(df.withColumn("__y", col(label).cast("string")), list(features), group="__y")
-    classes = sort_labels_local(list(groups))
+    classes = order_labels(list(groups))
     return classes, groups
 
 

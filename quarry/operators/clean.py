@@ -12,8 +12,8 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.exprs import (
-    all_true, any_true, col, column_quantiles, nan_to_null, numeric_columns,
-    to_double, use_exact_quantiles)
+    all_true, any_true, col, nan_to_null, numeric_columns, to_double)
+from quarry.functions.quantiles import column_quantiles
 
 SCOPES = ("all", "indicator", "target", "indicatorAndTarget")
 
@@ -41,8 +41,7 @@ def drop_missing(df: DataFrame, scope: str = "all", indicators=None, targets=Non
     return df.na.drop(how="any", subset=cols) if cols else df
 
 
-def impute(df: DataFrame, strategy, scope: str = "all", indicators=None, targets=None,
-           exact: bool | None = None) -> DataFrame:
+def impute(df: DataFrame, strategy, scope: str = "all", indicators=None, targets=None) -> DataFrame:
     """Fill NULLs of numeric scope columns with mean, median or a constant."""
     cols = scope_columns(df, scope, indicators, targets)
     if cols is None:
@@ -56,7 +55,7 @@ def impute(df: DataFrame, strategy, scope: str = "all", indicators=None, targets
         row = df.agg(*[F.avg(col(c)).alias(c) for c in num]).first()
         fills = {c: row[c] for c in num}
     elif strategy == "median":
-        qs = column_quantiles(df, num, [0.5], exact)
+        qs = column_quantiles(df, num, [0.5])
         fills = {c: qs[c][0] for c in num}
     else:
         fills = {c: float(strategy) for c in num}

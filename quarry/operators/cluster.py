@@ -112,7 +112,7 @@ def _ward_merge(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
 def agglomerative(df: DataFrame, feats: Sequence[str], k: int = 8, micro: int = 500, seed: int = 42) -> ClusterModel:
     """U5 (ward), re-aimed: <= ``micro`` k-means micro-clusters, ward merge on
     their weighted centers, rows labelled by nearest merged center."""
-    km = kmeans(df, feats, min(micro, max(k, 2)), seed, max_iter=20)
+    km = kmeans(df, feats, max(micro, k), seed, max_iter=20)  # Spark returns fewer where rows are fewer
     lab = nearest_center(df, feats, km.centers, "__m")
     w = {r["__m"]: r["n"] for r in lab.groupBy("__m").agg(F.count(F.lit(1)).alias("n")).collect()}
     cen = np.array(km.centers, float)

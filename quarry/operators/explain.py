@@ -12,7 +12,8 @@ from typing import Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quarry.functions.exprs import col, column_quantiles, key_hash, to_double
+from quarry.functions.exprs import col, key_hash, to_double
+from quarry.functions.quantiles import column_quantiles
 from quarry.operators import linear, metrics
 
 
@@ -32,7 +33,7 @@ def model_importance(model, features: Sequence[str], top: int = 30):
 
 def _score(df: DataFrame, y: str, pred: str, task: str) -> float:
     if task == "regression":
-        return metrics.regression_metrics(df, y, pred).first()["r2"]
+        return metrics.regression_metrics(df, y, pred, median=False).first()["r2"]
     return df.agg(F.avg((col(y).cast("string") == col(pred).cast("string")).cast("double"))).first()[0]
 
 
@@ -81,7 +82,7 @@ def kernel_shap(model, df: DataFrame, features: Sequence[str], key_cols: Sequenc
                 n_background: int = 100, n_perm: int = 10, seed: int = 42) -> DataFrame:
     """X4 (sampling Shapley values): for each explained row and permutation,
     features are switched from a background row to the explained row one at
-    a time; marginal prediction changes averaged per feature. Explained and
+    a time; signed changes are averaged per row and feature. Explained and
     background rows are seeded hash samples (the reference caps 200/100).
     Output: mean |SHAP| per feature."""
     spark = df.sparkSession
@@ -106,9 +107,11 @@ def kernel_shap(model, df: DataFrame, features: Sequence[str], key_cols: Sequenc
     scored = model.transform(hyb).select("row", "perm", "step", "feat", to_double("prediction").alias("y"))
     # consecutive hybrids differ in one feature: its contribution is y_t - y_(t-1)
     w = Window.partitionBy("row", "perm").orderBy("step")
-    contrib = scored.withColumn("d", F.abs(F.col("y") - F.lag("y").over(w))).where(F.col("step") > 0)
+    contrib = scored.withColumn("d", F.col("y") - F.lag("y").over(w)).where(F.col("step") > 0)
     names = F.array(*[F.lit(f) for f in features])
-    return (contrib.groupBy("feat").agg(F.avg("d").alias("mean_abs_shap"))
+    # a value is the mean over the row's permutations; the size is taken last
+    values = contrib.groupBy("row", "feat").agg(F.avg("d").alias("value"))
+    return (values.groupBy("feat").agg(F.avg(F.abs("value")).alias("mean_abs_shap"))
             .select(F.element_at(names, F.col("feat") + 1).alias("feature"), "mean_abs_shap"))
 
 

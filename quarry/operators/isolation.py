@@ -21,7 +21,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.functions.exprs import col, quantile_expr, to_double, use_exact_quantiles
+from quarry.functions.exprs import col, to_double
+from quarry.functions.quantiles import quantile
 
 EULER = 0.5772156649015329
 
@@ -138,6 +139,5 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key_cols: Seque
               np.array(r["size"])) for r in sorted(rows, key=lambda r: r["tree"])]
     model = IsolationForestModel(feats, trees, psi)
     scored = df.select((-model.score_expr()).alias("s"))
-    exact = use_exact_quantiles(df)
-    model.offset = scored.agg(quantile_expr(F.col("s"), [contamination], exact)[0]).first()[0]
+    model.offset = quantile(scored, F.col("s"), contamination)
     return model

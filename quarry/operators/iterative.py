@@ -286,7 +286,7 @@ def ransac(df: DataFrame, features: Sequence[str], target: str, key_cols: Sequen
            n_trials: int = 100, seed: int = 42) -> LinearModel:
     """Hypotheses from minimal subsets of a seeded pool; ONE pass counts
     every hypothesis's inliers (|r| <= MAD of y); best refit by Gram."""
-    from quarry.functions.exprs import column_quantiles
+    from quarry.functions.quantiles import column_quantiles
     from quarry.operators.linear import moments
     feats = list(features)
     p = len(feats)

@@ -360,7 +360,8 @@ def solve(mo: Moments, p: int, method: str = "ols", scale_x: bool = True, scale_
     elif method == "ridge":
         w = np.linalg.solve(G + kw.get("alpha", 1.0) * np.eye(p), c) if p else np.zeros(0)
         if kw.get("positive"):
-            w = coordinate_descent(G, c, n, 0.0, 0.0, positive=True) if p else w
+            # ||y - Xw||^2 + a ||w||^2 is 2n times the descent's objective at a / n
+            w = coordinate_descent(G, c, n, kw.get("alpha", 1.0) / n, 0.0, positive=True) if p else w
     elif method == "lasso":
         w = coordinate_descent(G, c, n, kw.get("alpha", 1.0), 1.0, positive=kw.get("positive", False))
     elif method == "elasticnet":
@@ -399,23 +400,64 @@ def cv_path_select(df: DataFrame, features: Sequence[str], target: str, fold_col
     fold's own moments, so no second pass over the data is needed.
     Returns (best_alpha, per-alpha mean MSE dict).
     """
-    p = len(features)
     fm = moments(df, list(features) + [target], group=fold_col)
+    return cv_select(fm, len(features), method, alphas, scale, scale, **kw)
+
+
+def sum_moments(parts: dict) -> Moments:
+    """All parts together."""
     total = None
-    for mo in fm.values():
+    for mo in parts.values():
         total = mo if total is None else total.combine(mo)
+    return total
+
+
+def cv_select(fm: dict, p: int, method: str, alphas: Sequence[float], scale_x: bool = True, scale_y: bool = True, **kw):
+    """The alpha of least mean held-out error, and every alpha's error, from the
+    moments of the folds."""
+    total = sum_moments(fm)
     scores = {}
     for a in alphas:
         errs = []
-        for g, part in fm.items():
-            train = total.minus(part)
-            coef, b, _ = solve(train, p, method, scale, scale, alpha=a, **kw)
+        for part in fm.values():
+            coef, b, _ = solve(total.minus(part), p, method, scale_x, scale_y, alpha=a, **kw)
             errs.append(heldout_mse(part, coef, b, p))
         scores[a] = float(np.mean(errs))
     best = min(scores, key=lambda a: (scores[a], a))
     return best, scores
 
 
+def lars_cv(fm: dict, features: Sequence[str], target: str, lasso: bool, scale_x: bool = True, scale_y: bool = True):
+    """Cross-validated least-angle path: every fold's path is evaluated at the knots of
+    all folds (coefficients are linear between a path's knots), and the path of all
+    rows is taken at the alpha of least mean held-out error."""
+    p, total = len(features), sum_moments(fm)
+
+    def path_of(mo):
+        G, c, _, sx, sy = _scaled_system(mo, p, scale_x, scale_y)
+        knots = lars_path(G, c, mo.n, lasso=lasso, max_steps=None if lasso else p)
+        alphas = np.array([a for a, _ in knots])[::-1]
+        coefs = np.array([w for _, w in knots])[::-1] * sy / sx
+        return alphas, coefs
+
+    def at(path, alpha):
+        alphas, coefs = path
+        return np.array([np.interp(alpha, alphas, coefs[:, j]) for j in range(p)])
+
+    paths = {g: path_of(total.minus(part)) for g, part in fm.items()}
+    knots = sorted({float(a) for alphas, _ in paths.values() for a in alphas})
+    scores = {}
+    for alpha in knots:
+        errs = []
+        for g, part in fm.items():
+            coef, train = at(paths[g], alpha), total.minus(part)
+            errs.append(heldout_mse(part, coef, float(train.mean[p] - coef @ train.mean[:p]), p))
+        scores[alpha] = float(np.mean(errs))
+    best = min(scores, key=lambda a: (scores[a], a))
+    coef = at(path_of(total), best)
+    return best, scores, LinearModel(list(features), coef, float(total.mean[p] - coef @ total.mean[:p]), target, {})
+
+
 def heldout_mse(part: Moments, coef: np.ndarray, b: float, p: int) -> float:
     """Mean of (y - b - x.w)^2 over a part, from its moments only."""
     v = np.concatenate([-coef, [1.0]])

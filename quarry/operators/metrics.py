@@ -12,7 +12,8 @@ from typing import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.functions.exprs import col, quantile_expr, to_double, use_exact_quantiles
+from quarry.functions.exprs import col, to_double
+from quarry.functions.quantiles import grouped_quantiles
 from quarry.functions.prefix import prefix_sums
 from quarry.operators.split import bin_by_edges
 
@@ -23,30 +24,40 @@ MAX_DENSE_CLASSES = 1000
 # ------------------------------------------------------------------ regression
 
 def regression_metrics(df: DataFrame, y: str, pred: str, group: Sequence[str] = (),
-                       exact: bool | None = None) -> DataFrame:
+                       median: bool = True) -> DataFrame:
     """R2, explained variance, MSE, RMSE, MAE, median AE, max error, MAPE
-    per group. R2/EV follow the usual finite convention for constant y."""
+    per group. R2/EV follow the usual finite convention for constant y. The exact
+    median costs passes of its own; ``median=False`` leaves it out."""
     yv, pv = to_double(y), to_double(pred)
     e = yv - pv
-    if exact is None:
-        exact = use_exact_quantiles(df)
     gcols = [col(g) for g in group]
-    agg = (df.where(yv.isNotNull() & pv.isNotNull())
+    paired = df.where(yv.isNotNull() & pv.isNotNull())
+    agg = (paired
            .groupBy(*gcols)
            .agg(F.count(F.lit(1)).alias("n"),
                 F.avg(e * e).alias("mse"),
                 F.avg(F.abs(e)).alias("mae"),
                 F.var_pop(yv).alias("_vy"),
                 F.var_pop(e).alias("_ve"),
-                quantile_expr(F.abs(e), [0.5], exact)[0].alias("median_ae"),
                 F.max(F.abs(e)).alias("max_error"),
                 F.avg(F.abs(e) / F.greatest(F.abs(yv), F.lit(EPS))).alias("mape")))
+    if median:
+        got = grouped_quantiles(paired, [F.abs(e)], [0.5], group)
+        fields = [f"__m{k} {paired.schema[g].dataType.simpleString()}" for k, g in enumerate(group)]
+        table = df.sparkSession.createDataFrame([(*k, v[0][0]) for k, v in got.items()], ", ".join([*fields, "median_ae double"]))
+        if group:  # one row per group
+            on = [agg[g].eqNullSafe(table[f"__m{k}"]) for k, g in enumerate(group)]
+            agg = agg.join(F.broadcast(table), on, "left")
+        else:
+            value = got[()][0][0] if got else None
+            agg = agg.withColumn("median_ae", F.lit(value).cast("double"))
+
     def finite_ratio(num: Column) -> Column:
         return (F.when(F.col("_vy") > 0, F.lit(1.0) - num / F.col("_vy"))
                 .when(num == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return agg.select(*group, "n", finite_ratio(F.col("mse")).alias("r2"),
                       finite_ratio(F.col("_ve")).alias("explained_variance"),
-                      "mse", F.sqrt("mse").alias("rmse"), "mae", "median_ae", "max_error", "mape")
+                      "mse", F.sqrt("mse").alias("rmse"), "mae", *(["median_ae"] if median else []), "max_error", "mape")
 
 
 def overall_row(metrics: DataFrame, name_col: str, value_cols: Sequence[str],
@@ -68,7 +79,7 @@ def spread_over_targets(metrics: DataFrame, cols: Sequence[str] = ("rmse", "mae"
 
 def metrics_by_bin(df: DataFrame, y: str, pred: str, bin_col: str) -> DataFrame:
     """R2, MSE, RMSE, MAE and n per stratum/quantile group."""
-    return regression_metrics(df, y, pred, group=[bin_col]).select(
+    return regression_metrics(df, y, pred, group=[bin_col], median=False).select(
         bin_col, "n", "r2", "mse", "rmse", "mae")
 
 

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
-from quarry.functions.labels import sort_labels_local
+from quarry.functions.labels import order_labels
 
 
 def assemble(df: DataFrame, feats: Sequence[str], out: str = "__x") -> DataFrame:
@@ -24,12 +24,11 @@ def assemble(df: DataFrame, feats: Sequence[str], out: str = "__x") -> DataFrame
                            handleInvalid="keep").transform(tmp).drop(*[f"__a{i}" for i in range(len(feats))])
 
 
-def class_list(df: DataFrame, label: str, max_classes: int = 10_000) -> list[str]:
+def class_list(df: DataFrame, label: str) -> list[str]:
+    """The classes in bin order: one value per class, which a classifier holds anyway."""
     vals = [r[0] for r in df.select(col(label).cast("string")).where(F.col(label).isNotNull())
-            .distinct().limit(max_classes + 1).collect()]
-    if len(vals) > max_classes:
-        raise ValueError(f"{label}: more than {max_classes} classes")
-    return sort_labels_local(vals)
+            .distinct().collect()]
+    return order_labels(vals)
 
 
 def encode_label(df: DataFrame, label: str, classes: Sequence[str], out: str = "__y") -> DataFrame:
@@ -93,10 +92,17 @@ def _ml():
     return C, R
 
 
+def _depth(max_depth: int) -> int:
+    """Spark trees go to depth 30; more is refused rather than cut."""
+    if max_depth > 30:
+        raise ValueError(f"max_depth {max_depth}: Spark trees are at most 30 deep")
+    return max_depth
+
+
 def decision_tree(task: str, max_depth: int = 30, seed: int = 42) -> SparkEstimator:
     C, R = _ml()
     cls = C.DecisionTreeClassifier if task == "classification" else R.DecisionTreeRegressor
-    return SparkEstimator(lambda: cls(maxDepth=min(max_depth, 30), seed=seed, maxBins=64), task, "DecisionTree")
+    return SparkEstimator(lambda: cls(maxDepth=_depth(max_depth), seed=seed, maxBins=64), task, "DecisionTree")
 
 
 def random_forest(task: str, n_trees: int = 100, subset: str = "sqrt", seed: int = 42,
@@ -104,21 +110,21 @@ def random_forest(task: str, n_trees: int = 100, subset: str = "sqrt", seed: int
     C, R = _ml()
     cls = C.RandomForestClassifier if task == "classification" else R.RandomForestRegressor
     return SparkEstimator(lambda: cls(numTrees=n_trees, featureSubsetStrategy=subset, seed=seed,
-                                      maxDepth=max_depth, maxBins=64), task, "RF")
+                                      maxDepth=_depth(max_depth), maxBins=64), task, "RF")
 
 
-def bagging(task: str, n_trees: int = 10, seed: int = 42) -> SparkEstimator:
+def bagging(task: str, n_trees: int = 10, seed: int = 42, max_depth: int = 16) -> SparkEstimator:
     """Bootstrap aggregation of full-feature trees."""
-    return random_forest(task, n_trees, "all", seed)
+    return random_forest(task, n_trees, "all", seed, max_depth)
 
 
-def extra_trees(task: str, n_trees: int = 100, seed: int = 42) -> SparkEstimator:
+def extra_trees(task: str, n_trees: int = 100, seed: int = 42, max_depth: int = 16) -> SparkEstimator:
     """No random thresholds in Spark trees; a forest without
     bootstrap over coarse random-width bins is the closest relative."""
     C, R = _ml()
     cls = C.RandomForestClassifier if task == "classification" else R.RandomForestRegressor
     return SparkEstimator(lambda: cls(numTrees=n_trees, featureSubsetStrategy="sqrt", seed=seed,
-                                      bootstrap=False, maxBins=16, maxDepth=16), task, "ExtraTrees")
+                                      bootstrap=False, maxBins=16, maxDepth=_depth(max_depth)), task, "ExtraTrees")
 
 
 def gradient_boosting(task: str, n_iter: int = 100, depth: int = 3, lr: float = 0.1, seed: int = 42,

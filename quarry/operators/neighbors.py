@@ -21,6 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.functions.exprs import col, to_double
+from quarry.functions.quantiles import quantile
 from quarry.session import cut_lineage
 
 BLOCK_ROWS = 4096
@@ -232,6 +233,5 @@ def local_outlier_factor(df: DataFrame, id_col: str, feats: Sequence[str], k: in
            .select(id_col, (F.col("m") / F.col("lrd")).alias("lof")))
     lof = cut_lineage(lof)
     nb.unpersist()
-    from quarry.functions.exprs import quantile_expr, use_exact_quantiles
-    thr = lof.agg(quantile_expr(-F.col("lof"), [contamination], use_exact_quantiles(lof))[0]).first()[0]
+    thr = quantile(lof, -F.col("lof"), contamination)
     return lof.withColumn("inlier", (-F.col("lof")) >= F.lit(thr))

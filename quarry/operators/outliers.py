@@ -11,12 +11,14 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.functions.exprs import all_true, col, column_quantiles, to_double
+from quarry.functions.exprs import all_true, col, to_double
+from quarry.functions.quantiles import column_quantiles
+from quarry.session import cut_lineage
 from quarry.operators.transform import ClipModel
 
 
-def iqr_bounds(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> ClipModel:
-    qs = column_quantiles(df, list(cols), [0.25, 0.75], exact)
+def iqr_bounds(df: DataFrame, cols: Sequence[str]) -> ClipModel:
+    qs = column_quantiles(df, list(cols), [0.25, 0.75])
     lo, hi = {}, {}
     for c in cols:
         q1, q3 = qs[c]
@@ -89,8 +91,8 @@ def handle(df: DataFrame, cols: Sequence[str], split_col: str = "split", method:
         flag = inlier
     elif method == "LocalOutlierFactor":
         from quarry.operators.neighbors import local_outlier_factor
-        keys = list(key_cols or cols)
-        ided = df.withColumn("__oid", F.xxhash64(*[col(k) for k in keys]))
+        # numbered rows, fixed by a checkpoint: equal rows stay apart
+        ided = cut_lineage(df.withColumn("__oid", F.monotonically_increasing_id()))
         lof = local_outlier_factor(ided.where(col(split_col) == "train"), "__oid", cols, 20, 0.1)
         df = ided.join(lof.select("__oid", F.col("inlier").alias("__lof_in")), "__oid", "left").drop("__oid")
         train = df.where(col(split_col) == "train")

@@ -13,7 +13,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.exprs import (
-    col, numeric_columns, quantile_expr, to_double, use_exact_quantiles)
+    col, numeric_columns, to_double)
+from quarry.functions.quantiles import column_quantiles
 
 DESCRIBE_PROBS = [0.25, 0.5, 0.75, 1.0]
 
@@ -28,23 +29,21 @@ def _stack_long(wide: DataFrame, cols: Sequence[str], fields: Sequence[str],
     return wide.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
 
 
-def describe(df: DataFrame, cols: Sequence[str] | None = None, exact: bool | None = None,
-             name_width: int | None = None) -> DataFrame:
+def describe(df: DataFrame, cols: Sequence[str] | None = None, name_width: int | None = None) -> DataFrame:
     """N, min, max, mean, sd (sample), 25/50/75/100 % per numeric column.
 
     ``sd`` is NULL for n <= 1 (pandas semantics). ``name_width`` cuts names
     (the reference shows 10 characters).
     """
     cols = numeric_columns(df, cols)
-    if exact is None:
-        exact = use_exact_quantiles(df)
+    quantiles = column_quantiles(df, cols, DESCRIBE_PROBS)
     aggs = []
     for i, c in enumerate(cols):
         x = to_double(c)
         aggs += [F.count(x).alias(f"c{i}__n"), F.min(x).alias(f"c{i}__min"),
                  F.max(x).alias(f"c{i}__max"), F.avg(x).alias(f"c{i}__mean"),
                  F.stddev_samp(x).alias(f"c{i}__sd"),
-                 quantile_expr(x, DESCRIBE_PROBS, exact).alias(f"c{i}__q")]
+                 F.array(*[F.lit(q).cast("double") for q in quantiles[c]]).alias(f"c{i}__q")]
     wide = df.agg(*aggs)
     fields = ["n", "min", "max", "mean", "sd", "q"]
     out = _stack_long(wide, cols, fields)
@@ -198,14 +197,12 @@ def kde_curve(df: DataFrame, c: str, grid_points: int = 200, bandwidth: float |
                                  "point int, x double, density double")
 
 
-def quantile_boundaries(df: DataFrame, c: str, q: int = 4, exact: bool | None = None) -> DataFrame:
+def quantile_boundaries(df: DataFrame, c: str, q: int = 4) -> DataFrame:
     """Quantile edges of a column (for drawing over its histogram)."""
-    if exact is None:
-        exact = use_exact_quantiles(df)
     probs = [j / q for j in range(q + 1)]
-    row = df.agg(quantile_expr(to_double(c), probs, exact).alias("e")).first()
+    edges = column_quantiles(df, [c], probs)[c]
     return df.sparkSession.createDataFrame(
-        [(j, float(p), (row["e"][j] if row["e"] else None)) for j, p in enumerate(probs)],
+        [(j, float(p), edges[j]) for j, p in enumerate(probs)],
         "edge int, prob double, value double")
 
 

@@ -24,15 +24,17 @@ def _top_k(scores: DataFrame, k: int | None) -> DataFrame:
 def f_regression(df: DataFrame, features: Sequence[str], target: str, k: int | None = None) -> DataFrame:
     """K1: F = r^2 / (1 - r^2) * (n - 2) per feature (r: Pearson with target)."""
     y = to_double(target)
-    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs = []
     for i, f in enumerate(features):
-        x = to_double(f)
-        aggs.append(F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)).alias(f"r{i}"))
+        x = to_double(f)  # everything over the rows that have both values
+        both = F.when(x.isNotNull(), y)
+        aggs += [F.count(x).alias(f"n{i}"),
+                 F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(both)).alias(f"r{i}")]
     wide = df.where(y.isNotNull()).agg(*aggs)
     parts = []
     for i, f in enumerate(features):
         r = F.col(f"r{i}")
-        score = F.try_divide(r * r, F.lit(1.0) - r * r) * (F.col("n") - 2)
+        score = F.try_divide(r * r, F.lit(1.0) - r * r) * (F.col(f"n{i}") - 2)
         parts.append(F.struct(F.lit(f).alias("feature"), score.alias("score")))
     scores = wide.select(F.explode(F.array(*parts)).alias("s")).select("s.*")
     return _top_k(scores, k)

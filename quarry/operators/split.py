@@ -281,7 +281,7 @@ def quantile_strata(df: DataFrame, target: str, max_bins: int = 5, min_bins: int
     All candidate edges come from one ``percentile`` pass; each candidate's
     bin counts from one grouped count. Returns (df_with_col or None, q, counts).
     """
-    from quarry.functions.exprs import column_quantiles
+    from quarry.functions.quantiles import column_quantiles
     probs = sorted({j / qq for qq in range(min_bins, max_bins + 1) for j in range(qq + 1)})
     qs = column_quantiles(df, [target], probs)[target]
     lookup = dict(zip(probs, qs))
@@ -353,22 +353,21 @@ def rank_quantile_strata(df: DataFrame, target: str, max_bins: int = 5, min_bins
     return (got.drop("__rq") if got is not None else None), q, counts
 
 
-def robustness_strata(df: DataFrame, target: str, test_size: float = 0.2, max_bins: int = 5,
-                      min_bins: int = 2, out_col: str = "__stratum"):
-    """Quantile bins max_bins -> min_bins; if none qualifies, equal-width
-    bins over [min, max] with the same range of counts; accepted when at
-    least 2 strata hold >= 2 rows each."""
-    got, q, counts = quantile_strata(df, target, max_bins, min_bins, test_size, out_col)
-    if got is not None:
-        return got, "quantile", counts
+def robustness_strata(df: DataFrame, target: str, max_bins: int = 5, min_bins: int = 2, out_col: str = "__stratum"):
+    """The largest number of quantile bins, from ``max_bins`` down to
+    ``min_bins``, for which there are at least two strata of at least two rows each
+    (equal edges fall together); a column of one value is tried with equal widths.
+    Missing targets, or no number of bins that qualifies, raise."""
+    from quarry.functions.quantiles import column_quantiles
     x = col(target).cast("double")
-    mm = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
-    lo, hi = mm["lo"], mm["hi"]
-    if lo is None or hi == lo:
-        return None, None, {}
-    for k in range(max_bins, min_bins - 1, -1):
-        lab = F.least(F.floor((x - F.lit(lo)) * F.lit(float(k)) / F.lit(hi - lo)).cast("int"), F.lit(k - 1))
-        counts = {r[0]: r[1] for r in df.groupBy(lab.alias("b")).count().collect() if r[0] is not None}
-        if sum(1 for v in counts.values() if v >= 2) >= 2:
-            return df.withColumn(out_col, lab), "width", dict(sorted(counts.items()))
-    return None, None, {}
+    seen = df.agg(F.count_if(x.isNull() | F.isnan(x)).alias("missing"), F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    if not seen["missing"] and seen["lo"] is not None:
+        for k in range(max_bins, min_bins - 1, -1):
+            edges = column_quantiles(df, [target], [j / k for j in range(1, k)])[target]
+            inner = sorted({e for e in edges if seen["lo"] < e < seen["hi"]})
+            how = "quantile" if inner or seen["lo"] < seen["hi"] else "width"
+            lab = bin_by_edges(x, inner)
+            counts = {r[0]: r[1] for r in df.groupBy(lab.alias("b")).count().collect()}
+            if len(counts) >= 2 and min(counts.values()) >= 2:
+                return df.withColumn(out_col, lab), how, dict(sorted(counts.items()))
+    raise ValueError(f"{target}: no strata of at least two rows each")

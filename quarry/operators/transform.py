@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.functions.exprs import col, column_quantiles, to_double
+from quarry.functions.exprs import col, to_double
+from quarry.functions.quantiles import column_quantiles
 
 
 @dataclass
@@ -58,9 +59,9 @@ def fit_minmax(df: DataFrame, cols: Sequence[str]) -> ScalerModel:
                        {c: _nz(row[f"b{i}"] - row[f"a{i}"]) for i, c in enumerate(cols)})
 
 
-def fit_robust(df: DataFrame, cols: Sequence[str], exact: bool | None = None) -> ScalerModel:
+def fit_robust(df: DataFrame, cols: Sequence[str]) -> ScalerModel:
     """median and IQR (IQR 0 -> 1)."""
-    qs = column_quantiles(df, list(cols), [0.25, 0.5, 0.75], exact)
+    qs = column_quantiles(df, list(cols), [0.25, 0.5, 0.75])
     return ScalerModel("robust", {c: qs[c][1] for c in cols},
                        {c: _nz(qs[c][2] - qs[c][0]) for c in cols})
 
@@ -99,24 +100,23 @@ class QuantileModel:
         return df.select(*[(make(c)(to_double(c)).alias(c) if c in cols else col(c)) for c in df.columns])
 
 
-def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000,
-                 exact: bool | None = None) -> QuantileModel:
+def fit_quantile(df: DataFrame, cols: Sequence[str], n_quantiles: int = 1000) -> QuantileModel:
     probs = list(np.linspace(0, 1, n_quantiles))
-    qs = column_quantiles(df, list(cols), probs, exact)
+    qs = column_quantiles(df, list(cols), probs)
     return QuantileModel({c: list(np.maximum.accumulate(np.asarray(qs[c], float))) for c in cols}, n_quantiles)
 
 
 def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard"):
-    kind = (kind or "none").lower()
-    if kind in ("standard", "standardscaler"):
-        return fit_standard(df, cols)
-    if kind in ("minmax", "minmaxscaler"):
-        return fit_minmax(df, cols)
-    if kind in ("robust", "robustscaler"):
-        return fit_robust(df, cols)
-    if kind in ("quantile", "quantiletransformer"):
-        return fit_quantile(df, cols)
-    return fit_identity(df, cols)
+    """Fit the scaler of that name; an unknown name raises."""
+    try:
+        fit = SCALERS[str(kind or "none").lower().removesuffix("scaler").removesuffix("transformer")]
+    except KeyError:
+        raise ValueError(f"unknown scaler {kind!r}; known: {', '.join(SCALERS)}") from None
+    return fit(df, cols)
+
+
+SCALERS = {"none": fit_identity, "standard": fit_standard, "minmax": fit_minmax,
+           "robust": fit_robust, "quantile": fit_quantile}
 
 
 @dataclass
@@ -175,9 +175,8 @@ class ClipModel:
         return df.select(*[(self.expr(c).alias(c) if c in self.lower else col(c)) for c in df.columns])
 
 
-def fit_winsorizer(df: DataFrame, cols: Sequence[str], lower: float = 0.01, upper: float = 0.99,
-                   exact: bool | None = None) -> ClipModel:
-    qs = column_quantiles(df, list(cols), [lower, upper], exact)
+def fit_winsorizer(df: DataFrame, cols: Sequence[str], lower: float = 0.01, upper: float = 0.99) -> ClipModel:
+    qs = column_quantiles(df, list(cols), [lower, upper])
     return ClipModel({c: qs[c][0] for c in cols}, {c: qs[c][1] for c in cols})
 
 
@@ -191,10 +190,9 @@ class ImputerModel:
                             if c in self.fills and self.fills[c] is not None else col(c)) for c in df.columns])
 
 
-def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median",
-                exact: bool | None = None) -> ImputerModel:
+def fit_imputer(df: DataFrame, cols: Sequence[str], strategy: str = "median") -> ImputerModel:
     if strategy == "mean":
         row = df.agg(*[F.avg(to_double(c)).alias(f"m{i}") for i, c in enumerate(cols)]).first()
         return ImputerModel({c: row[f"m{i}"] for i, c in enumerate(cols)})
-    qs = column_quantiles(df, list(cols), [0.5], exact)
+    qs = column_quantiles(df, list(cols), [0.5])
     return ImputerModel({c: qs[c][0] for c in cols})

@@ -118,7 +118,7 @@ def q_a15(spark, sf):
     sp = _split_li(spark, sf)
     model = linear.fit(sp.where(F.col("split") == "train"), ["l_quantity"], LI_TARGET, "ols")
     test = model.transform(sp.where(F.col("split") == "test"))
-    from quarry.functions.exprs import column_quantiles
+    from quarry.functions.quantiles import column_quantiles
     edges = column_quantiles(test, [LI_TARGET], [0.25, 0.5, 0.75])[LI_TARGET]
     binned = test.withColumn("bin", split.bin_by_edges(F.col(LI_TARGET), edges))
     return sig_all(metrics.metrics_by_bin(binned, LI_TARGET, "prediction", "bin"), 8)

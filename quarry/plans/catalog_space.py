@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.labels import sort_labels_local
+from quarry.functions.labels import order_labels
 from quarry.operators import metrics, neighbors, profile, split
 from quarry.plans.common import SEED, sig_all, t
 from quarry.plans.registry import HASH, SIG, register

@@ -1,14 +1,19 @@
 """Model registry: reference model keys -> trainers (plug-in point).
 
-A trainer has ``fit(df, features, target) -> fitted`` and the fitted object
-has ``transform(df)`` adding a ``prediction`` column (classifiers may add
-``prob_<class>``). Cluster entries take ``(df, features, k)``. NuSVR, NuSVC,
-affinity propagation, OPTICS and HDBSCAN are dense single-machine solvers;
-their keys route to the closest scalable method and say so in ``NOTES``.
+``make(key, params)`` builds a trainer; the hyper-parameters are the keyword
+arguments of the key's builder, under the names users of the reference know, and an
+unknown one raises. A trainer has ``fit(df, features, target) -> fitted`` and the
+fitted object has ``transform(df)`` adding a ``prediction`` column (classifiers may
+add ``prob_<class>``). Cluster entries take ``(df, features, k)``.
+
+NuSVR, NuSVC, affinity propagation, OPTICS and HDBSCAN are dense or sequential
+single-machine solvers: their keys are known but raise ``NotImplementedError``
+(``UNSUPPORTED``), so that no model runs under another's name.
 """
 
 from __future__ import annotations
 
+import inspect
 from dataclasses import dataclass, field
 from typing import Callable, Sequence
 
@@ -16,29 +21,39 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
-from quarry.operators import bayes, cluster, iterative, linear, native, neighbors
+from quarry.operators import bayes, cluster, iterative, linear, native, neighbors, split
 from quarry.operators.bayes import ScoreModel
+from quarry.session import cut_lineage
 
 
 @dataclass
 class GramTrainer:
-    """G family: standardised X and y (as the reference pipeline), one pass."""
+    """G family from one moments pass. X and y are standardised unless the caller has
+    scaled them already (``scale_x``, ``scale_y``). ``cv``: the penalty is chosen by
+    k-fold error first; folds are dealt by ``keys`` (default: all columns)."""
     method: str
     params: dict = field(default_factory=dict)
     cv: bool = False
+    scale_x: bool = True
+    scale_y: bool = True
+    keys: Sequence[str] | None = None
 
     def fit(self, df: DataFrame, features: Sequence[str], target: str):
         feats = list(features)
         if not self.cv:
-            return linear.fit(df, feats, target, self.method, **self.params)
-        k = self.params.get("folds", 5)
-        folded = df.withColumn("__fold", F.pmod(F.xxhash64(*[col(c) for c in feats + [target]]), F.lit(k)))
-        mo = linear.moments(folded, feats + [target])[None]
-        l1 = 0.5 if self.method == "elasticnet" else 1.0
-        alphas = self.params.get("alphas") or linear.default_alpha_grid(mo, len(feats), l1, 30)
-        kw = {"l1_ratio": l1} if self.method == "elasticnet" else {}
-        best, scores = linear.cv_path_select(folded, feats, target, "__fold", self.method, alphas, **kw)
-        m = linear.fit(df, feats, target, self.method, alpha=best, **kw)
+            return linear.fit(df, feats, target, self.method, self.scale_x, self.scale_y, **self.params)
+        kw = dict(self.params)
+        k, alphas, n_alphas = kw.pop("folds", 5), kw.pop("alphas", None), kw.pop("n_alphas", 100)
+        folded = split.kfold(df, list(self.keys or df.columns), k, out_col="__fold")
+        fm = linear.moments(folded, feats + [target], group="__fold")
+        if self.method in ("lars", "lasso_lars"):
+            best, scores, m = linear.lars_cv(fm, feats, target, self.method == "lasso_lars", self.scale_x, self.scale_y)
+        else:
+            total = linear.sum_moments(fm)
+            alphas = alphas or linear.default_alpha_grid(total, len(feats), kw.get("l1_ratio", 1.0), n_alphas, scale=self.scale_x)
+            best, scores = linear.cv_select(fm, len(feats), self.method, alphas, self.scale_x, self.scale_y, **kw)
+            coef, b, info = linear.solve(total, len(feats), self.method, self.scale_x, self.scale_y, alpha=best, **kw)
+            m = linear.LinearModel(feats, coef, b, target, info)
         m.info.update(alpha=best, cv_mse=scores)
         return m
 
@@ -118,105 +133,234 @@ class FnTrainer:
 
 @dataclass
 class KnnTrainer:
+    """Neighbour models. Rows get numbers that are fixed by a checkpoint, so equal rows
+    stay apart and no column of the caller is needed as an id."""
     task: str
     k: int = 5
     radius: float | None = None
-    id_col: str = "__rid"
+    weights: str = "uniform"
 
     def fit(self, df, features, target):
-        train = df
+        rid, feats = "__rid", list(features)
+        train = cut_lineage(df.select(*[to_double(f).alias(f) for f in feats], col(target).alias(target))
+                            .withColumn(rid, F.monotonically_increasing_id()))
 
         class _Fitted:
             def transform(self_inner, frame, out_col="prediction"):
-                # deterministic row id from the row's values when none is given
-                q = frame if self.id_col in frame.columns else frame.withColumn(
-                    self.id_col, F.xxhash64(*[col(c) for c in frame.columns]))
-                # identical rows share an id: query each distinct id once
-                qd = q.select(self.id_col, *[col(f) for f in features]).dropDuplicates([self.id_col])
+                q = cut_lineage(frame.withColumn(rid, F.monotonically_increasing_id()))
+                points = q.select(rid, *[to_double(f).alias(f) for f in feats])
                 if self.radius is not None:
-                    pred = neighbors.radius_regress(train, qd, self.id_col, features, target, self.radius)
+                    pred = neighbors.radius_regress(train, points, rid, feats, target, self.radius)
                 elif self.task == "regression":
-                    pred = neighbors.knn_regress(train, qd, self.id_col, features, target, self.k)
+                    pred = neighbors.knn_regress(train, points, rid, feats, target, self.k, self.weights)
                 else:
-                    pred = neighbors.knn_classify(train, qd, self.id_col, features, target, self.k)
-                return q.join(pred.withColumnRenamed("prediction", out_col), self.id_col, "left")
+                    pred = neighbors.knn_classify(train, points, rid, feats, target, self.k)
+                return q.join(pred.withColumnRenamed("prediction", out_col), rid, "left").drop(rid)
         return _Fitted()
 
 
-def _g(method, **kw):
-    return GramTrainer(method, kw)
-
-
 def _grad(task, **kw):
     return FnTrainer(lambda df, f, t: iterative.fit_gradient(df, f, t, task=task, **kw))
 
 
+def _gram(method, cv=False, **defaults):
+    """A builder whose parameters are those given here."""
+    def build(**params):
+        unknown = set(params) - set(defaults)
+        if unknown:
+            raise TypeError(f"unexpected parameters {sorted(unknown)}")
+        given = {k: v for k, v in {**defaults, **params}.items() if v is not None}
+        return GramTrainer(method, given, cv)
+    build.parameters = tuple(defaults)
+    return build
+
+
 def _nb(fn):
-    return FnTrainer(lambda df, f, t: fn(df, f, t))
-
-
-REGRESSION: dict[str, Callable[[], object]] = {
-    "Linear": lambda: _g("ols"),
-    "BayesianRidge": lambda: _g("bayesian_ridge"),
-    "ARDRegression": lambda: _g("ard"),
-    "Ridge": lambda: _g("ridge", alpha=1.0),
-    "Lasso": lambda: _g("lasso", alpha=1.0),
-    "ElasticNet": lambda: _g("elasticnet", alpha=1.0, l1_ratio=0.5),
-    "SVM": lambda: _grad("regression", loss="epsilon_insensitive", rff=200, eps=0.1),
-    "RF": lambda: native.random_forest("regression", 100, "sqrt"),
-    "ExtraTrees": lambda: native.extra_trees("regression"),
-    "MLP": lambda: _grad("regression", loss="squared", hidden=100, rounds=5, epochs=10, lr=1e-3),
-    "K-Nearest": lambda: KnnTrainer("regression", 5),
-    "gradient_boosting": lambda: native.gradient_boosting("regression"),
-    "AdaBoost": lambda: FnTrainer(lambda df, f, t: iterative.adaboost(df, f, t, "regression", 50)),
-    "Bagging": lambda: native.bagging("regression"),
-    "DecisionTree": lambda: native.decision_tree("regression"),
-    "ElasticNetCV": lambda: GramTrainer("elasticnet", {}, cv=True),
-    "HistGradientBoosting": lambda: native.hist_gradient_boosting("regression"),
-    "Huber": lambda: native.huber(),
-    "LARS": lambda: _g("lars"),
-    "LARSCV": lambda: GramTrainer("lars", {}, cv=False),
-    "LassoCV": lambda: GramTrainer("lasso", {}, cv=True),
-    "LassoLars": lambda: _g("lasso_lars", alpha=1.0),
-    "LassoLarsCV": lambda: GramTrainer("lasso", {}, cv=True),
-    "LinearSVR": lambda: _grad("regression", loss="epsilon_insensitive", eps=0.0),
-    "NuSVR": lambda: _grad("regression", loss="epsilon_insensitive", rff=200, eps=0.1),
-    "OMP": lambda: _g("omp"),
-    "PassiveAggressive": lambda: _grad("regression", loss="epsilon_insensitive", eps=0.1, l2=0.0),
-    "Quantile": lambda: FnTrainer(lambda df, f, t: iterative.quantile_regression(df, f, t, 0.5, 1.0)),
-    "RadiusNeighbors": lambda: KnnTrainer("regression", radius=1.0),
-    "RANSAC": lambda: FnTrainer(lambda df, f, t: iterative.ransac(df, f, t, f + [t])),
-    "RidgeCV": lambda: RidgeCVTrainer(),
-    "SGD": lambda: _grad("regression", loss="squared"),
-    "TheilSen": lambda: FnTrainer(lambda df, f, t: iterative.theil_sen(df, f, t, f + [t])),
-    "Polynomial": lambda: PolynomialTrainer(2),
-    "Perceptron": lambda: _grad("classification", loss="perceptron", l2=0.0),
+    def build(**params):
+        inspect.signature(fn).bind(None, None, None, **params)
+        return FnTrainer(lambda df, f, t: fn(df, f, t, **params))
+    build.parameters = tuple(inspect.signature(fn).parameters)[3:]
+    return build
+
+
+def _forest(task):
+    def build(n_estimators=100, max_features="sqrt", max_depth=16, random_state=42):
+        return native.random_forest(task, n_estimators, str(max_features), random_state, max_depth)
+    return build
+
+
+def _extra(task):
+    def build(n_estimators=100, max_depth=16, random_state=42):
+        return native.extra_trees(task, n_estimators, random_state, max_depth)
+    return build
+
+
+def _boost(task):
+    def build(n_estimators=100, max_depth=3, learning_rate=0.1, random_state=42):
+        return native.gradient_boosting(task, n_estimators, max_depth, learning_rate, random_state)
+    return build
+
+
+def _hist(task):
+    def build(max_iter=100, max_depth=5, learning_rate=0.1, max_bins=255, random_state=42):
+        return native.gradient_boosting(task, max_iter, max_depth, learning_rate, random_state, max_bins)
+    return build
+
+
+def _tree(task):
+    def build(max_depth=30, random_state=42):
+        return native.decision_tree(task, max_depth, random_state)
+    return build
+
+
+def _bag(task):
+    def build(n_estimators=10, max_depth=16, random_state=42):
+        return native.bagging(task, n_estimators, random_state, max_depth)
+    return build
+
+
+def _ada(task):
+    def build(n_estimators=50, max_depth=None, random_state=42):
+        return FnTrainer(lambda df, f, t: iterative.adaboost(df, f, t, task, n_estimators, max_depth, random_state))
+    return build
+
+
+def _mlp(task, loss):
+    def build(hidden_layer_size=100, max_iter=10, learning_rate_init=1e-3, alpha=1e-4, random_state=42):
+        return _grad(task, loss=loss, hidden=hidden_layer_size, rounds=5, epochs=max_iter, lr=learning_rate_init,
+                     l2=alpha, seed=random_state)
+    return build
+
+
+def _svm(task, loss):
+    def build(epsilon=0.1, gamma=None, n_components=200, alpha=1e-4, random_state=42):
+        return _grad(task, loss=loss, rff=n_components, eps=epsilon, gamma=gamma, l2=alpha, seed=random_state)
+    return build
+
+
+def _linear_loss(task, loss, epsilon=0.1, alpha=1e-4):
+    def build(epsilon=epsilon, alpha=alpha, eta0=0.01, max_iter=5, random_state=42):
+        return _grad(task, loss=loss, eps=epsilon, l2=alpha, lr=eta0, epochs=max_iter, seed=random_state)
+    return build
+
+
+def _knn(task):
+    def build(n_neighbors=5, weights="uniform"):
+        if weights not in ("uniform", "distance") or task == "classification" and weights != "uniform":
+            raise ValueError(f"weights {weights!r} isn't offered for {task}")
+        return KnnTrainer(task, n_neighbors, weights=weights)
+    return build
+
+
+def _radius(radius=1.0):
+    return KnnTrainer("regression", radius=radius)
+
+
+def _quantile(quantile=0.5, alpha=1.0, max_iter=20):
+    return FnTrainer(lambda df, f, t: iterative.quantile_regression(df, f, t, quantile, alpha, max_iter))
+
+
+def _ransac(max_trials=100, random_state=42):
+    return FnTrainer(lambda df, f, t: iterative.ransac(df, f, t, f + [t], max_trials, random_state))
+
+
+def _theil_sen(n_trials=1000, random_state=42):
+    return FnTrainer(lambda df, f, t: iterative.theil_sen(df, f, t, f + [t], n_trials, random_state))
+
+
+def _ridge_cv(alphas=(0.1, 1.0, 10.0)):
+    return RidgeCVTrainer(tuple(alphas))
+
+
+def _polynomial(degree=2):
+    return PolynomialTrainer(degree)
+
+
+def _ridge_classifier(alpha=1.0):
+    return RidgeClassifierTrainer(alpha)
+
+
+def _logistic(C=1.0, max_iter=100):
+    return native.logistic(C, max_iter)
+
+
+def _linear_svc(C=1.0, max_iter=1000):
+    return native.linear_svc(C, max_iter)
+
+
+def _huber(epsilon=1.35, alpha=1e-4):
+    return native.huber(epsilon, alpha)
+
+
+REGRESSION: dict[str, Callable[..., object]] = {
+    "Linear": _gram("ols"),
+    "BayesianRidge": _gram("bayesian_ridge"),
+    "ARDRegression": _gram("ard"),
+    "Ridge": _gram("ridge", alpha=1.0, positive=None),
+    "Lasso": _gram("lasso", alpha=1.0, positive=None),
+    "ElasticNet": _gram("elasticnet", alpha=1.0, l1_ratio=0.5),
+    "SVM": _svm("regression", "epsilon_insensitive"),
+    "RF": _forest("regression"),
+    "ExtraTrees": _extra("regression"),
+    "MLP": _mlp("regression", "squared"),
+    "K-Nearest": _knn("regression"),
+    "gradient_boosting": _boost("regression"),
+    "AdaBoost": _ada("regression"),
+    "Bagging": _bag("regression"),
+    "DecisionTree": _tree("regression"),
+    "ElasticNetCV": _gram("elasticnet", cv=True, l1_ratio=0.5, alphas=None, n_alphas=100, folds=5),
+    "HistGradientBoosting": _hist("regression"),
+    "Huber": _huber,
+    "LARS": _gram("lars", n_nonzero_coefs=500),
+    "LARSCV": _gram("lars", cv=True, folds=5),
+    "LassoCV": _gram("lasso", cv=True, alphas=None, n_alphas=100, folds=5, positive=None),
+    "LassoLars": _gram("lasso_lars", alpha=1.0),
+    "LassoLarsCV": _gram("lasso_lars", cv=True, folds=5),
+    "LinearSVR": _linear_loss("regression", "epsilon_insensitive", epsilon=0.0),
+    "OMP": _gram("omp", n_nonzero_coefs=None),
+    "PassiveAggressive": _linear_loss("regression", "epsilon_insensitive", alpha=0.0),
+    "Quantile": _quantile,
+    "RadiusNeighbors": _radius,
+    "RANSAC": _ransac,
+    "RidgeCV": _ridge_cv,
+    "SGD": _linear_loss("regression", "squared"),
+    "TheilSen": _theil_sen,
+    "Polynomial": _polynomial,
+    "Perceptron": _linear_loss("classification", "perceptron", alpha=0.0),
+}
+
+CLASSIFICATION: dict[str, Callable[..., object]] = {
+    "Logistic_classifier": _logistic,
+    "ExtraTrees_classifier": _extra("classification"),
+    "GaussianNB_classifier": _nb(bayes.fit_gaussian_nb),
+    "SGD_classifier": _linear_loss("classification", "hinge"),
+    "MLP_classifier": _mlp("classification", "softmax"),
+    "RF_classifier": _forest("classification"),
+    "SVC_classifier": _svm("classification", "hinge"),
+    "AdaBoost_classifier": _ada("classification"),
+    "Bagging_classifier": _bag("classification"),
+    "BernoulliNB_classifier": _nb(bayes.fit_bernoulli_nb),
+    "CategoricalNB_classifier": _nb(bayes.fit_categorical_nb),
+    "ComplementNB_classifier": _nb(bayes.fit_complement_nb),
+    "DecisionTree_classifier": _tree("classification"),
+    "GradientBoosting_classifier": _boost("classification"),
+    "HistGradientBoosting_classifier": _hist("classification"),
+    "KNeighbors_classifier": _knn("classification"),
+    "LDA_classifier": _nb(bayes.fit_lda),
+    "LinearSVC_classifier": _linear_svc,
+    "MultinomialNB_classifier": _nb(bayes.fit_multinomial_nb),
+    "PassiveAggressive_classifier": _linear_loss("classification", "hinge", alpha=0.0),
+    "QDA_classifier": _nb(bayes.fit_qda),
+    "Ridge_classifier": _ridge_classifier,
 }
 
-CLASSIFICATION: dict[str, Callable[[], object]] = {
-    "Logistic_classifier": lambda: native.logistic(1.0),
-    "ExtraTrees_classifier": lambda: native.extra_trees("classification"),
-    "GaussianNB_classifier": lambda: _nb(bayes.fit_gaussian_nb),
-    "SGD_classifier": lambda: _grad("classification", loss="hinge"),
-    "MLP_classifier": lambda: _grad("classification", loss="softmax", hidden=100, rounds=5, epochs=10, lr=1e-3),
-    "RF_classifier": lambda: native.random_forest("classification", 100, "sqrt"),
-    "SVC_classifier": lambda: _grad("classification", loss="hinge", rff=200),
-    "AdaBoost_classifier": lambda: FnTrainer(lambda df, f, t: iterative.adaboost(df, f, t, "classification", 50)),
-    "Bagging_classifier": lambda: native.bagging("classification"),
-    "BernoulliNB_classifier": lambda: _nb(bayes.fit_bernoulli_nb),
-    "CategoricalNB_classifier": lambda: _nb(bayes.fit_categorical_nb),
-    "ComplementNB_classifier": lambda: _nb(bayes.fit_complement_nb),
-    "DecisionTree_classifier": lambda: native.decision_tree("classification"),
-    "GradientBoosting_classifier": lambda: native.gradient_boosting("classification"),
-    "HistGradientBoosting_classifier": lambda: native.hist_gradient_boosting("classification"),
-    "KNeighbors_classifier": lambda: KnnTrainer("classification", 5),
-    "LDA_classifier": lambda: _nb(bayes.fit_lda),
-    "LinearSVC_classifier": lambda: native.linear_svc(1.0),
-    "MultinomialNB_classifier": lambda: _nb(bayes.fit_multinomial_nb),
-    "NuSVC_classifier": lambda: _grad("classification", loss="hinge", rff=200),
-    "PassiveAggressive_classifier": lambda: _grad("classification", loss="hinge", l2=0.0),
-    "QDA_classifier": lambda: _nb(bayes.fit_qda),
-    "Ridge_classifier": lambda: RidgeClassifierTrainer(1.0),
+# Known keys without a Spark form; ``make`` raises for them.
+UNSUPPORTED = {
+    "NuSVR": ("regression", "a dense nu-SVM solver; SVM offers the epsilon form"),
+    "NuSVC_classifier": ("classification", "a dense nu-SVM solver; SVC_classifier offers the C form"),
+    "affinity_propagation": ("cluster", "messages between all pairs of rows"),
+    "optics": ("cluster", "a sequential ordering of all rows; dbscan has a distributed form"),
+    "hdbscan": ("cluster", "a tree over all pairs of rows; dbscan has a distributed form"),
 }
 
 
@@ -230,7 +374,7 @@ def _cluster_fn(name):
             return cluster.bisecting_kmeans(df, feats, k, seed)
         if name == "gmm":
             return cluster.gaussian_mixture(df, feats, k, seed)
-        if name in ("agglo", "affinity_propagation"):
+        if name == "agglo":
             return cluster.agglomerative(df, feats, k)
         if name == "birch":
             return cluster.birch(df, feats, k)
@@ -238,43 +382,49 @@ def _cluster_fn(name):
             return cluster.mean_shift(df, feats)
         if name == "spectral":
             return cluster.spectral(df, id_col, feats, k)
-        if name in ("dbscan", "optics", "hdbscan"):
+        if name == "dbscan":
             return neighbors.dbscan(df, id_col, feats)
         raise KeyError(name)
     return run
 
 
-CLUSTER_KEYS = ["kmeans", "gmm", "agglo", "dbscan", "birch", "spectral", "affinity_propagation",
-                "bisecting_kmeans", "hdbscan", "meanshift", "minibatch_kmeans", "optics"]
-CLUSTERING = {k: (lambda k=k: _cluster_fn(k)) for k in CLUSTER_KEYS}
-
-NOTES = {
-    "NuSVR": "routed to the random-Fourier-feature epsilon-SVR (no dense nu-SVM solver)",
-    "NuSVC_classifier": "routed to the random-Fourier-feature SVC",
-    "affinity_propagation": "routed to micro-cluster ward agglomeration (dense n x n messages not built)",
-    "optics": "routed to DBSCAN (sequential ordering not built)",
-    "hdbscan": "routed to DBSCAN (condensed tree not built)",
-    "LARSCV": "LARS path end point (no per-fold path refit)",
-}
+CLUSTERING = {k: (lambda k=k: _cluster_fn(k)) for k in (
+    "kmeans", "gmm", "agglo", "dbscan", "birch", "spectral", "bisecting_kmeans", "meanshift", "minibatch_kmeans")}
 
 
 def problem_type(key: str) -> str:
-    if key in REGRESSION:
-        return "regression"
-    if key in CLASSIFICATION:
-        return "classification"
-    if key in CLUSTERING:
-        return "cluster"
+    for kind, registry in (("regression", REGRESSION), ("classification", CLASSIFICATION), ("cluster", CLUSTERING)):
+        if key in registry:
+            return kind
+    if key in UNSUPPORTED:
+        return UNSUPPORTED[key][0]
     raise KeyError(key)
 
 
-def make(key: str):
-    for reg in (REGRESSION, CLASSIFICATION, CLUSTERING):
-        if key in reg:
-            return reg[key]()
+def parameters(key: str) -> tuple[str, ...]:
+    """Names of the hyper-parameters that ``make`` takes for a model."""
+    build = {**REGRESSION, **CLASSIFICATION, **CLUSTERING}[key]
+    return getattr(build, "parameters", None) or tuple(p for p in inspect.signature(build).parameters if key not in CLUSTERING)
+
+
+def make(key: str, params: dict | None = None, prescaled: bool = False):
+    """The trainer of a model. ``prescaled``: the caller has applied the chosen scaler,
+    so Gram models don't standardise again."""
+    if key in UNSUPPORTED:
+        raise NotImplementedError(f"{key} needs {UNSUPPORTED[key][1]}")
+    for registry in (REGRESSION, CLASSIFICATION, CLUSTERING):
+        if key in registry:
+            try:
+                trainer = registry[key](**(params or {}))
+            except TypeError as e:
+                raise ValueError(f"{key}: {e}; it takes {', '.join(parameters(key)) or 'no parameters'}") from e
+            if prescaled and isinstance(trainer, GramTrainer):
+                trainer.scale_x = trainer.scale_y = False
+            return trainer
     raise KeyError(f"unknown model {key!r}")
 
 
 def registry_table(spark) -> DataFrame:
-    rows = [(k, problem_type(k), NOTES.get(k)) for k in list(REGRESSION) + list(CLASSIFICATION) + CLUSTER_KEYS]
+    rows = [(k, problem_type(k), UNSUPPORTED[k][1] if k in UNSUPPORTED else None)
+            for k in [*REGRESSION, *CLASSIFICATION, *CLUSTERING, *UNSUPPORTED]]
     return spark.createDataFrame(rows, "model string, problem_type string, note string")

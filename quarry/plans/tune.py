@@ -19,66 +19,93 @@ from quarry.operators import linear, metrics, split, transform
 from quarry.plans import models
 
 GRAM_METHODS = {"Linear": "ols", "Ridge": "ridge", "Lasso": "lasso", "ElasticNet": "elasticnet"}
+REPEATS = 2      # of the repeated kinds
+TEST_SIZE = 0.2  # of the shuffled kinds
 
 
-def fold_column(df: DataFrame, key_cols: Sequence[str], k: int = 5, kind: str = "KFold", seed: int = 42,
-                target: str | None = None) -> DataFrame:
-    """Fallbacks as the reference: k < 2 -> 5; stratified kinds need a class target."""
+def _stratify(kind: str, target: str | None) -> str | None:
+    """Stratified kinds need a class target; without one they run plain."""
+    return target if kind in ("StratifiedKFold", "RepeatedStratifiedKFold", "StratifiedShuffleSplit") else None
+
+
+def fold_frames(df: DataFrame, key_cols: Sequence[str], k: int = 5, kind: str = "KFold", seed: int = 42,
+                target: str | None = None) -> list[tuple[DataFrame, list[int]]]:
+    """Frames with a ``fold`` column and the folds to hold out in each: one frame for
+    k-fold, one per repeat for the repeated kinds, one per split (held out: fold 0)
+    for the shuffled kinds. Fewer than two folds become five; unknown kinds are KFold."""
     k = 5 if not k or k < 2 else k
-    strat = target if kind in ("StratifiedKFold", "RepeatedStratifiedKFold", "StratifiedShuffleSplit") else None
-    return split.kfold(df, list(key_cols), k, seed, stratify=strat)
+    strat = _stratify(kind, target)
+    if "ShuffleSplit" in kind:
+        return [(split.train_test_split(df, list(key_cols), TEST_SIZE, seed + i, strat)
+                 .withColumn("fold", F.when(F.col("split") == "test", 0).otherwise(1)).drop("split"), [0]) for i in range(k)]
+    repeats = REPEATS if kind.startswith("Repeated") else 1
+    return [(split.kfold(df, list(key_cols), k, seed + r, stratify=strat), list(range(k))) for r in range(repeats)]
+
+
+def _gram_route(model_key: str, scaler: str, y_scaler: str) -> bool:
+    """Whether fold moments give the model: they know standardised and raw columns,
+    and least squares doesn't depend on the scale."""
+    return model_key == "Linear" or model_key in GRAM_METHODS and {scaler, y_scaler} <= {"standard", "none"}
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, model_key: str,
                    key_cols: Sequence[str], k: int = 5, kind: str = "KFold", seed: int = 42,
-                   scaler: str = "standard", factory: Callable | None = None) -> tuple[DataFrame, DataFrame]:
-    """Per-fold scores and mean +- population sd.
-
-    Regression: R2, RMSE, MAE. Classification: accuracy and weighted
-    precision / recall / F1.
+                   scaler: str = "standard", factory: Callable | None = None, params: dict | None = None,
+                   y_scaler: str = "none") -> tuple[DataFrame, DataFrame]:
+    """Scores per held-out part (numbered through all repeats and splits) and
+    mean +- population sd.
+
+    Both scalers are fitted on the training part of each fold; predictions go back to
+    the target's own units before scoring. Regression: R2, RMSE, MAE. Classification:
+    accuracy and weighted precision / recall / F1.
     """
-    task = models.problem_type(model_key)
-    folded = fold_column(df, key_cols, k, kind, seed, target if task == "classification" else None)
-    folded = folded.persist()
-    n_folds = 5 if not k or k < 2 else k
-    rows = []
-    spark = df.sparkSession
-    if task == "regression" and model_key in GRAM_METHODS and factory is None:
-        fm = linear.moments(folded, list(features) + [target], group="fold")
-        total = None
-        for mo in fm.values():
-            total = mo if total is None else total.combine(mo)
-        # every fold's held-out predictions in ONE expression, scored in one grouped pass
-        pred = None
-        for f, part in sorted(fm.items()):
-            coef, b, _ = linear.solve(total.minus(part), len(features), GRAM_METHODS[model_key], True, True)
-            e = linear.LinearModel(list(features), coef, b, target).predict_expr()
-            pred = F.when(F.col("fold") == f, e) if pred is None else pred.when(F.col("fold") == f, e)
-        scored = folded.withColumn("prediction", pred)
-        # k rows: evaluate now, while the folded frame is still cached
-        got = (metrics.regression_metrics(scored, target, "prediction", group=["fold"])
-               .select(F.col("fold").cast("int").alias("fold"), "r2", "rmse", "mae").collect())
-        fold_df = spark.createDataFrame([tuple(r) for r in got], "fold int, r2 double, rmse double, mae double")
-    else:
-        for f in range(n_folds):
-            tr = folded.where(F.col("fold") != f)
-            te = folded.where(F.col("fold") == f)
-            sc = transform.fit_scaler(tr, list(features), scaler)
-            tr, te = sc.transform(tr, list(features)), sc.transform(te, list(features))
-            m = (factory() if factory else models.make(model_key)).fit(tr, list(features), target)
-            pred = m.transform(te)
-            if task == "regression":
-                r = metrics.regression_metrics(pred, target, "prediction").first()
-                rows.append((f, r["r2"], r["rmse"], r["mae"]))
-            else:
-                from quarry.operators.native import class_list
-                classes = class_list(folded, target)  # bounded distinct labels, bin-aware order
-                s = metrics.classification_summary(pred, target, "prediction", classes).first()
-                rows.append((f, s["accuracy"], s["precision_weighted"], s["recall_weighted"], s["f1_weighted"]))
-        schema = ("fold int, r2 double, rmse double, mae double" if task == "regression" else
-                  "fold int, accuracy double, precision double, recall double, f1 double")
-        fold_df = spark.createDataFrame(rows, schema)
-    folded.unpersist()
+    task, feats, spark = models.problem_type(model_key), list(features), df.sparkSession
+    scaler, y_scaler = (scaler or "none").lower(), (y_scaler or "none").lower()
+    rows: list[tuple] = []
+    for frame, held_out in fold_frames(df, key_cols, k, kind, seed, target if task == "classification" else None):
+        frame = frame.persist()
+        start = len(rows)
+        if task == "regression" and factory is None and _gram_route(model_key, scaler, y_scaler):
+            fm = linear.moments(frame, feats + [target], group="fold")
+            total = linear.sum_moments(fm)
+            # every held-out part's predictions in ONE expression, scored in one grouped pass
+            pred = F
+            for f in held_out:
+                coef, b, _ = linear.solve(total.minus(fm[f]), len(feats), GRAM_METHODS[model_key],
+                                          scaler != "none", y_scaler != "none", **(params or {}))
+                pred = pred.when(F.col("fold") == f, linear.LinearModel(feats, coef, b, target).predict_expr())
+            scored = frame.where(F.col("fold").isin(held_out)).withColumn("prediction", pred)
+            got = (metrics.regression_metrics(scored, target, "prediction", group=["fold"], median=False)
+                   .select("fold", "r2", "rmse", "mae").collect())
+            rows += [(start + int(r["fold"]), r["r2"], r["rmse"], r["mae"]) for r in got]
+        else:
+            classes = None
+            for f in held_out:
+                tr, te = frame.where(F.col("fold") != f), frame.where(F.col("fold") == f)
+                xs = transform.fit_scaler(tr, feats, scaler)
+                tr, te = xs.transform(tr, feats), xs.transform(te, feats)
+                ys = None
+                if task == "regression" and y_scaler != "none":
+                    ys = transform.fit_scaler(tr, [target], y_scaler)
+                    if not isinstance(ys, transform.ScalerModel):
+                        raise ValueError(f"{y_scaler} has no inverse for the target")
+                    tr = ys.transform(tr, [target])
+                m = (factory() if factory else models.make(model_key, params, prescaled=True)).fit(tr, feats, target)
+                pred = m.transform(te)
+                if ys is not None:
+                    pred = pred.withColumn("prediction", ys.inverse_expr(target, F.col("prediction")))
+                if task == "regression":
+                    r = metrics.regression_metrics(pred, target, "prediction", median=False).first()
+                    rows.append((start + f, r["r2"], r["rmse"], r["mae"]))
+                else:
+                    from quarry.operators.native import class_list
+                    classes = classes or class_list(frame, target)  # one value per class, in bin order
+                    s = metrics.classification_summary(pred, target, "prediction", classes).first()
+                    rows.append((start + f, s["accuracy"], s["precision_weighted"], s["recall_weighted"], s["f1_weighted"]))
+        frame.unpersist()
+    schema = ("fold int, r2 double, rmse double, mae double" if task == "regression" else
+              "fold int, accuracy double, precision double, recall double, f1 double")
+    fold_df = spark.createDataFrame(sorted(rows), schema)
     value_cols = [c for c in fold_df.columns if c != "fold"]
     summary = fold_df.agg(*[x for c in value_cols for x in
                             (F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_sd"))])
@@ -90,25 +117,63 @@ def _combos(grid: dict) -> list[dict]:
     return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
 
 
+def _distance(a: dict, b: dict, grid: dict) -> float:
+    """How far two settings lie apart on the grid, every parameter alike."""
+    d = 0.0
+    for key, values in grid.items():
+        d += ((values.index(a[key]) - values.index(b[key])) / max(len(values) - 1, 1)) ** 2
+    return d
+
+
+def _next_setting(left: list[dict], seen: list[tuple[dict, float]], grid: dict) -> dict:
+    """The untried setting of largest upper confidence under a kernel-smoothed
+    surrogate of the scores so far."""
+    scores = np.array([s for _, s in seen])
+    spread = float(scores.std()) or 1.0
+
+    def bound(c):
+        w = np.exp(-8.0 * np.array([_distance(c, s, grid) for s, _ in seen]))
+        mean = float((w * scores).sum() + scores.mean() * 0.1) / float(w.sum() + 0.1)
+        return mean + spread / np.sqrt(1.0 + w.sum())
+    return max(left, key=bound)
+
+
 def search(df: DataFrame, features: Sequence[str], target: str, model_key: str, grid: dict,
-           make_trainer: Callable[[dict], object], key_cols: Sequence[str], k: int = 5,
-           how: str = "grid", n_iter: int = 10, seed: int = 42) -> tuple[DataFrame, dict]:
-    """T1 (grid), T2 (seeded random subset of the same grid), T3 (Bayesian:
-    without an optimiser library the reference falls back to random; so do we).
-    Best = highest mean CV R2 (regression) or accuracy (classification)."""
+           make_trainer: Callable[[dict], object] | None = None, key_cols: Sequence[str] = (), k: int = 5,
+           how: str = "grid", n_iter: int = 10, seed: int = 42, refit: bool = False, **cv):
+    """T1 (grid), T2 (seeded random subset of the grid), T3 ('bayes': settings are
+    tried one after another where a surrogate of the scores so far promises most).
+
+    Score: mean over folds of minus the squared error (regression) or of accuracy.
+    Returns (params and score per setting, best setting), and with ``refit`` also the
+    model fitted to all rows with the best setting."""
     combos = _combos(grid)
-    if how in ("random", "bayes") and len(combos) > n_iter:
-        combos = random.Random(seed).sample(combos, n_iter)
     task = models.problem_type(model_key)
-    score_col = "r2_mean" if task == "regression" else "accuracy_mean"
-    rows = []
-    for params in combos:
-        _, summ = cross_validate(df, features, target, model_key, key_cols, k, seed=seed,
-                                 factory=lambda p=params: make_trainer(p))
-        rows.append((str(params), float(summ.first()[score_col])))
-    best = max(range(len(rows)), key=lambda i: (rows[i][1], -i))
-    res = df.sparkSession.createDataFrame(rows, "params string, score double")
-    return res, combos[best]
+
+    def score(params):
+        given = {"factory": lambda: make_trainer(params)} if make_trainer else {"params": params}
+        folds, _ = cross_validate(df, features, target, model_key, key_cols, k, seed=seed, **given, **cv)
+        value = F.avg(-F.col("rmse") * F.col("rmse")) if task == "regression" else F.avg("accuracy")
+        return float(folds.agg(value).first()[0])
+
+    tried: list[tuple[dict, float]] = []
+    if how == "bayes":
+        left = list(combos)
+        first = random.Random(seed).sample(left, min(3, len(left)))
+        while left and len(tried) < n_iter:
+            c = first[len(tried)] if len(tried) < len(first) else _next_setting(left, tried, grid)
+            left.remove(c)
+            tried.append((c, score(c)))
+    else:
+        if how == "random" and len(combos) > n_iter:
+            combos = random.Random(seed).sample(combos, n_iter)
+        tried = [(c, score(c)) for c in combos]
+    best = max(range(len(tried)), key=lambda i: (tried[i][1], -i))
+    res = df.sparkSession.createDataFrame([(str(c), s) for c, s in tried], "params string, score double")
+    if not refit:
+        return res, tried[best][0]
+    trainer = make_trainer(tried[best][0]) if make_trainer else models.make(model_key, tried[best][0])
+    return res, tried[best][0], trainer.fit(df, list(features), target)
 
 
 def gram_alpha_search(df: DataFrame, features: Sequence[str], target: str, key_cols: Sequence[str],

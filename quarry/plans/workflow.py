@@ -45,6 +45,7 @@ class TrainConfig:
     select_method: str | None = None  # 'SelectKBest' | 'RFE' | 'SelectFromModel'
     select_k: int | None = None
     n_clusters: int = 3
+    params: dict = field(default_factory=dict)  # hyper-parameters of the model
 
 
 @dataclass
@@ -106,7 +107,7 @@ def train(df: DataFrame, roles: Roles, cfg: TrainConfig) -> ModelRun:
                 sp = ys[tgt].transform(sp, [tgt])
     info = {}
     if cfg.outlier_method and cfg.outlier_method != "none":
-        sp, info["outliers"] = outliers.handle(sp, feats, "split", cfg.outlier_method, cfg.outlier_action)
+        sp, info["outliers"] = outliers.handle(sp, feats, "split", cfg.outlier_method, cfg.outlier_action, key_cols=roles.key)
     if cfg.select_method and (cfg.select_k or cfg.select_method == "SelectFromModel"):
         tr = sp.where(F.col("split") == "train")
         first = roles.targets[0]  # selection on the first target only
@@ -126,7 +127,7 @@ def train(df: DataFrame, roles: Roles, cfg: TrainConfig) -> ModelRun:
             feats = [f for f in feats if f in keep]
     fitted, preds = {}, sp
     for tgt in roles.targets:
-        m = models.make(cfg.model).fit(preds.where(F.col("split") == "train"), feats, tgt)
+        m = models.make(cfg.model, cfg.params, prescaled=True).fit(preds.where(F.col("split") == "train"), feats, tgt)
         fitted[tgt] = m
         preds = m.transform(preds).withColumnRenamed("prediction", f"Predicted_{tgt}")
         if tgt in ys and isinstance(ys[tgt], transform.ScalerModel):  # F8: back to original units

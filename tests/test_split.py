@@ -1,3 +1,4 @@
+import pytest
 import math
 
 from pyspark.sql import functions as F
@@ -74,5 +75,7 @@ def test_rank_fallback_and_robustness_strata(spark):
     df = spark.createDataFrame(rows, "id double, y double")
     got, q, counts = split.quantile_strata(df, "y", 5, 2, 0.2)
     assert got is not None and sum(counts.values()) == 100
-    g2, how, c2 = split.robustness_strata(df, "y", 0.2)
-    assert g2 is not None and sum(c2.values()) == 100
+    g2, how, c2 = split.robustness_strata(df, "y")
+    assert sum(c2.values()) == 100 and len(c2) >= 2 and min(c2.values()) >= 2
+    with pytest.raises(ValueError):
+        split.robustness_strata(df.limit(3).withColumn("y", df["id"]), "y")
