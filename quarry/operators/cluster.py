@@ -85,36 +85,39 @@ def minibatch_kmeans(df: DataFrame, feats: Sequence[str], k: int = 8, seed: int
 
 
 def _ward_merge(centers: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
-    """Ward agglomeration of weighted points down to k groups; returns labels."""
-    groups = [[i] for i in range(len(centers))]
-    cen = centers.copy()
-    w = weights.astype(float).copy()
-    active = list(range(len(centers)))
-    while len(active) > k:
-        best, pair = np.inf, None
-        A = cen[active]
-        Wa = w[active]
-        d2 = ((A[:, None, :] - A[None, :, :]) ** 2).sum(-1)
-        cost = (Wa[:, None] * Wa[None, :]) / (Wa[:, None] + Wa[None, :]) * d2
-        np.fill_diagonal(cost, np.inf)
-        i, j = np.unravel_index(np.argmin(cost), cost.shape)
-        a, b = active[i], active[j]
+    """Ward agglomeration of weighted points down to k groups; returns labels. Only
+    the merged row of the cost table is computed anew."""
+    cen, w = centers.astype(float).copy(), weights.astype(float).copy()
+    n = len(cen)
+    owner = np.arange(n)
+
+    def costs(i):
+        return w[i] * w / (w[i] + w) * ((cen - cen[i]) ** 2).sum(axis=1)
+
+    cost = np.array([costs(i) for i in range(n)])
+    np.fill_diagonal(cost, np.inf)
+    for _ in range(n - k):
+        a, b = sorted(np.unravel_index(np.argmin(cost), cost.shape))
         cen[a] = (w[a] * cen[a] + w[b] * cen[b]) / (w[a] + w[b])
         w[a] += w[b]
-        groups[a] += groups[b]
-        active.remove(b)
-    labels = np.zeros(len(centers), int)
-    for g, a in enumerate(sorted(active)):
-        labels[groups[a]] = g
-    return labels
-
-
-def agglomerative(df: DataFrame, feats: Sequence[str], k: int = 8, micro: int = 500, seed: int = 42) -> ClusterModel:
-    """U5 (ward), re-aimed: <= ``micro`` k-means micro-clusters, ward merge on
-    their weighted centers, rows labelled by nearest merged center."""
-    km = kmeans(df, feats, max(micro, k), seed, max_iter=20)  # Spark returns fewer where rows are fewer
-    lab = nearest_center(df, feats, km.centers, "__m")
-    w = {r["__m"]: r["n"] for r in lab.groupBy("__m").agg(F.count(F.lit(1)).alias("n")).collect()}
+        owner[owner == b] = a
+        gone = np.isinf(cost[a]) & (np.arange(n) != a)
+        row = costs(a)
+        row[gone] = np.inf
+        row[[a, b]] = np.inf
+        cost[a, :] = cost[:, a] = row
+        cost[b, :] = cost[:, b] = np.inf
+    return np.unique(owner, return_inverse=True)[1]
+
+
+def _merged(points: DataFrame, feats: Sequence[str], k: int, micro: int, seed: int, kind: str,
+            weight_col: str | None = None) -> ClusterModel:
+    """Ward merge of at most ``max(micro, k)`` weighted k-means micro-clusters of the
+    points; fewer distinct points are their own micro-clusters."""
+    km = kmeans(points, feats, max(micro, k), seed, max_iter=20, weight_col=weight_col)
+    lab = nearest_center(points, feats, km.centers, "__m")
+    weight = F.sum(weight_col) if weight_col else F.count(F.lit(1))
+    w = {r["__m"]: r["n"] for r in lab.groupBy("__m").agg(weight.alias("n")).collect()}
     cen = np.array(km.centers, float)
     weights = np.array([w.get(i, 0) for i in range(len(cen))], float)
     keep = weights > 0
@@ -122,61 +125,64 @@ def agglomerative(df: DataFrame, feats: Sequence[str], k: int = 8, micro: int =
     labels = _ward_merge(cen, weights, min(k, len(cen)))
     merged = [((cen[labels == g] * weights[labels == g, None]).sum(0) / weights[labels == g].sum()).tolist()
               for g in range(labels.max() + 1)]
-    return ClusterModel(list(feats), merged, "agglomerative")
+    return ClusterModel(list(feats), merged, kind)
 
 
-def birch(df: DataFrame, feats: Sequence[str], k: int = 8, threshold: float = 0.5) -> ClusterModel:
-    """Clustering features (n, sum x) per threshold-sized grid cell from one
-    groupBy, then a global ward merge of the cell centroids."""
+def agglomerative(df: DataFrame, feats: Sequence[str], k: int = 8, micro: int = 500, seed: int = 42) -> ClusterModel:
+    """U5 (ward), re-aimed: k-means micro-clusters, ward merge on their weighted
+    centers, rows labelled by nearest merged center."""
+    return _merged(df, feats, k, micro, seed, "agglomerative")
+
+
+def birch(df: DataFrame, feats: Sequence[str], k: int = 8, threshold: float = 0.5, micro: int = 500, seed: int = 42) -> ClusterModel:
+    """Clustering features (n, mean x) per threshold-sized grid cell from one
+    groupBy; the cells are reduced and ward-merged like the points of U5, by weight,
+    whatever their number."""
     cell = [F.floor(to_double(f) / F.lit(threshold)).cast("long").alias(f"__g{i}") for i, f in enumerate(feats)]
     cf = (df.select(*cell, *[to_double(f).alias(f"__v{i}") for i, f in enumerate(feats)])
           .groupBy(*[f"__g{i}" for i in range(len(feats))])
-          .agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"__v{i}").alias(f"m{i}") for i in range(len(feats))]))
-    n_cells = cf.count()
-    if n_cells > 5000:  # too many cells for the driver merge: summarise cells with k-means first
-        return agglomerative(df, feats, k)
-    rows = cf.collect()
-    cen = np.array([[r[f"m{i}"] for i in range(len(feats))] for r in rows], float)
-    weights = np.array([r["n"] for r in rows], float)
-    labels = _ward_merge(cen, weights, min(k, len(cen)))
-    merged = [((cen[labels == g] * weights[labels == g, None]).sum(0) / weights[labels == g].sum()).tolist()
-              for g in range(labels.max() + 1)]
-    return ClusterModel(list(feats), merged, "birch")
+          .agg(F.count(F.lit(1)).cast("double").alias("__n"), *[F.avg(f"__v{i}").alias(f) for i, f in enumerate(feats)])
+          .drop(*[f"__g{i}" for i in range(len(feats))]))
+    return _merged(cf, feats, k, micro, seed, "birch", "__n")
 
 
-def mean_shift(df: DataFrame, feats: Sequence[str], bandwidth: float | None = None, bins: int = 10,
-               max_iter: int = 30, seed: int = 42) -> ClusterModel:
-    """Bin seeding (as the usual bin_seeding option): seeds are the most
-    populated bandwidth-sized cells (``bins**2`` at most, a parameter); each
-    step moves every seed to the mean of the rows within the bandwidth (one
-    aggregation over rows x seeds expressions); converged seeds closer than
-    the bandwidth merge."""
+def mean_shift(df: DataFrame, feats: Sequence[str], bandwidth: float | None = None, min_bin_freq: int = 1,
+               max_iter: int = 30, seeds_per_pass: int = 64) -> ClusterModel:
+    """Bin seeding: every bandwidth-sized cell of at least ``min_bin_freq`` rows is
+    a seed. Each step moves every seed to the mean of the rows within the bandwidth
+    (an aggregation per ``seeds_per_pass`` seeds); converged seeds closer than the
+    bandwidth merge, the one with most rows first."""
     if bandwidth is None:
         sd = df.agg(*[F.stddev_pop(to_double(f)).alias(f"s{i}") for i, f in enumerate(feats)]).first()
         bandwidth = float(np.mean([sd[f"s{i}"] or 1.0 for i in range(len(feats))]))
     grid = df.select(*[F.floor(to_double(f) / F.lit(bandwidth)).alias(f"g{i}") for i, f in enumerate(feats)])
     gcols = [f"g{i}" for i in range(len(feats))]
-    # seeds: the most populated bandwidth cells (deterministic order), at most bins**2 of them
-    cells = (grid.groupBy(*gcols).count().orderBy(F.desc("count"), *gcols).limit(bins ** 2).collect())
+    cells = grid.groupBy(*gcols).count().where(F.col("count") >= min_bin_freq).orderBy(F.desc("count"), *gcols).collect()
     seeds = np.array([[(r[f"g{i}"] + 0.5) * bandwidth for i in range(len(feats))] for r in cells], float)
+    if not len(seeds):
+        raise ValueError(f"no cell of the bandwidth {bandwidth} has {min_bin_freq} rows")
+    rows, moving = np.zeros(len(seeds)), np.ones(len(seeds), bool)
     for _ in range(max_iter):
-        aggs = []
-        for s_i, s in enumerate(seeds):
-            d2 = sum(((to_double(f) - F.lit(float(v))) ** 2 for f, v in zip(feats, s)), F.lit(0.0))
-            inside = d2 <= F.lit(bandwidth ** 2)
-            aggs.append(F.count_if(inside).alias(f"n{s_i}"))
-            aggs += [F.avg(F.when(inside, to_double(f))).alias(f"m{s_i}_{i}") for i, f in enumerate(feats)]
-        row = df.agg(*aggs).first()
-        new = np.array([[row[f"m{s_i}_{i}"] if row[f"n{s_i}"] else seeds[s_i][i] for i in range(len(feats))]
-                        for s_i in range(len(seeds))], float)
-        if np.abs(new - seeds).max() < 1e-3 * bandwidth:
-            seeds = new
+        todo = np.flatnonzero(moving)
+        for start in range(0, len(todo), seeds_per_pass):
+            aggs = []
+            for s in todo[start:start + seeds_per_pass]:
+                d2 = sum(((to_double(f) - F.lit(float(v))) ** 2 for f, v in zip(feats, seeds[s])), F.lit(0.0))
+                inside = d2 <= F.lit(bandwidth ** 2)
+                aggs.append(F.count_if(inside).alias(f"n{s}"))
+                aggs += [F.avg(F.when(inside, to_double(f))).alias(f"m{s}_{i}") for i, f in enumerate(feats)]
+            got = df.agg(*aggs).first()
+            for s in todo[start:start + seeds_per_pass]:
+                rows[s] = got[f"n{s}"]
+                new = np.array([got[f"m{s}_{i}"] for i in range(len(feats))], float) if rows[s] else seeds[s]
+                moving[s] = np.abs(new - seeds[s]).max() >= 1e-3 * bandwidth
+                seeds[s] = new
+        if not moving.any():
             break
-        seeds = new
     uniq: list = []
-    for s in seeds:
-        if all(np.linalg.norm(s - u) > bandwidth for u in uniq):
-            uniq.append(s)
+    for s in np.argsort(-rows, kind="stable"):
+        if all(np.linalg.norm(seeds[s] - u) > bandwidth for u in uniq):
+            uniq.append(seeds[s])
     return ClusterModel(list(feats), [u.tolist() for u in uniq], "meanshift")
 
 

@@ -263,7 +263,7 @@ def theil_sen(df: DataFrame, features: Sequence[str], target: str, key_cols: Seq
     """Least squares on random (p+1)-row subsets, spatial median of solutions."""
     feats = list(features)
     p = len(feats)
-    X, y = _pool(df, feats, target, key_cols, min(n_trials * (p + 1), 100_000), seed)
+    X, y = _pool(df, feats, target, key_cols, n_trials * (p + 1), seed)
     rng = np.random.default_rng(seed)
     sols = []
     A = np.column_stack([np.ones(len(X)), X])
@@ -290,7 +290,7 @@ def ransac(df: DataFrame, features: Sequence[str], target: str, key_cols: Sequen
     from quarry.operators.linear import moments
     feats = list(features)
     p = len(feats)
-    X, y = _pool(df, feats, target, key_cols, min(n_trials * (p + 1), 100_000), seed)
+    X, y = _pool(df, feats, target, key_cols, n_trials * (p + 1), seed)
     med = column_quantiles(df, [target], [0.5])[target][0]
     mad = column_quantiles(df.select(F.abs(to_double(target) - F.lit(med)).alias("d")), ["d"], [0.5])["d"][0]
     rng = np.random.default_rng(seed)

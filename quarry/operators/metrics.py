@@ -18,7 +18,6 @@ from quarry.functions.prefix import prefix_sums
 from quarry.operators.split import bin_by_edges
 
 EPS = float(np.finfo(np.float64).eps)
-MAX_DENSE_CLASSES = 1000
 
 
 # ------------------------------------------------------------------ regression
@@ -86,23 +85,15 @@ def metrics_by_bin(df: DataFrame, y: str, pred: str, bin_col: str) -> DataFrame:
 # ------------------------------------------------------------------ classification
 
 def confusion_counts(df: DataFrame, y: str, pred: str, classes: Sequence[str]) -> DataFrame:
-    """Classes x classes counts, zero cells kept (classes is the label order).
-
-    The dense grid has classes^2 rows; above MAX_DENSE_CLASSES only the
-    non-zero cells are returned."""
+    """Classes x classes counts, zero cells kept (classes is the label order)."""
     spark = df.sparkSession
-    if len(classes) > MAX_DENSE_CLASSES:
-        idx = F.array(*[F.lit(c) for c in classes])
-        return (df.groupBy(col(y).cast("string").alias("actual"), col(pred).cast("string").alias("predicted"))
-                .agg(F.count(F.lit(1)).alias("count"))
-                .select("actual", "predicted", (F.array_position(idx, F.col("actual")) - 1).cast("int").alias("actual_idx"),
-                        (F.array_position(idx, F.col("predicted")) - 1).cast("int").alias("predicted_idx"), "count"))
-    pairs = spark.createDataFrame([(a, b, i, j) for i, a in enumerate(classes) for j, b in enumerate(classes)],
-                                  "actual string, predicted string, actual_idx int, predicted_idx int")
+    names = F.array(*[F.lit(c) for c in classes])
+    grid = (spark.createDataFrame([(c, i) for i, c in enumerate(classes)], "actual string, actual_idx int")
+            .withColumn("predicted_idx", F.explode(F.sequence(F.lit(0), F.lit(len(classes) - 1))))
+            .withColumn("predicted", F.element_at(names, F.col("predicted_idx") + 1)))
     counts = (df.groupBy(col(y).cast("string").alias("actual"), col(pred).cast("string").alias("predicted"))
               .agg(F.count(F.lit(1)).alias("count")))
-    # the class grid is classes^2 rows - bounded by the class count
-    return (pairs.join(F.broadcast(counts), ["actual", "predicted"], "left")
+    return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", "actual_idx", "predicted_idx",
                     F.coalesce("count", F.lit(0)).cast("long").alias("count")))
 

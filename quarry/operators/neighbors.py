@@ -12,6 +12,7 @@ unavoidable |Q| x |R| distance evaluations of an exact search.
 
 from __future__ import annotations
 
+import json
 import math
 from typing import Sequence
 
@@ -157,27 +158,32 @@ def sq_dist_expr(vec: Column, center: Sequence[float]) -> Column:
     return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def points_literal(points: Sequence[Sequence[float]]) -> Column:
+    """Points as ONE constant array column (folded once), not a literal per number."""
+    return F.from_json(F.lit(json.dumps([[float(v) for v in p] for p in points])), "array<array<double>>")
+
+
 def nearest_center(df: DataFrame, feats: Sequence[str], centers: Sequence[Sequence[float]],
                    out_col: str = "cluster") -> DataFrame:
-    """Arg-min squared distance to k broadcast centers (a JVM expression,
+    """Arg-min squared distance to k constant centers (a JVM expression,
     k bounded by the model); ties -> lowest center index."""
-    vec = F.array(*[to_double(f) for f in feats])
-    out = df.withColumn("__vec", vec)
-    arr = F.array(*[sq_dist_expr(F.col("__vec"), c) for c in centers])
-    out = out.withColumn("__d", arr)
-    best = F.array_min(F.col("__d"))
-    idx = F.array_position(F.col("__d"), best) - 1  # first (lowest) index on ties
+    out = df.withColumn("__vec", F.array(*[to_double(f) for f in feats]))
+
+    def sq_dist(c):
+        diffs = F.zip_with(F.col("__vec"), c, lambda a, b: (a - b) * (a - b))
+        return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
+    out = out.withColumn("__d", F.transform(points_literal(centers), sq_dist))
+    idx = F.array_position(F.col("__d"), F.array_min(F.col("__d"))) - 1  # first (lowest) index on ties
     return out.withColumn(out_col, idx.cast("int")).drop("__vec", "__d")
 
 
-def dbscan(df: DataFrame, id_col: str, feats: Sequence[str], eps: float = 0.5, min_samples: int = 5,
-           max_iter: int = 100) -> DataFrame:
+def dbscan(df: DataFrame, id_col: str, feats: Sequence[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
     """Density clustering.
 
     Neighbour pairs come from the radius join; core points have >=
     min_samples neighbours (self included). Components of the core graph are
     found by iterative min-label propagation (each round a join + groupBy;
-    lineage is cut with a reliable checkpoint every few rounds). Cluster id =
+    every round is cut with a reliable checkpoint). Cluster id =
     smallest core id of the component; a border point takes the smallest
     cluster id among its core neighbours; others are noise (-1).
     """
@@ -189,7 +195,7 @@ def dbscan(df: DataFrame, id_col: str, feats: Sequence[str], eps: float = 0.5, m
     edges = (pairs.join(core_ids, "r").join(core.withColumnRenamed("id", "q"), "q").select("q", "r")
              .persist(StorageLevel.MEMORY_AND_DISK))
     labels = cut_lineage(core.select("id", F.col("id").alias("lab")))
-    for it in range(max_iter):
+    while True:  # until no label changes
         prop = (edges.join(labels.withColumnRenamed("id", "r"), "r")
                 .groupBy(F.col("q").alias("id")).agg(F.min("lab").alias("cand")))
         # hook, then materialise: the shortcut below reads the result twice,

@@ -138,15 +138,14 @@ class OneHotModel:
         return df.select(*rest, *[e for c in self.levels for e in self.exprs(c)])
 
 
-def fit_onehot(df: DataFrame, cols: Sequence[str], max_levels: int = 50) -> OneHotModel:
-    """Levels seen in training, sorted; a distributed distinct with a limit of
-    max_levels + 1 per column, so a high-cardinality column fails fast
-    instead of buffering every value."""
+def fit_onehot(df: DataFrame, cols: Sequence[str], max_levels: int | None = None) -> OneHotModel:
+    """Levels seen in training, sorted: one per output column. With ``max_levels`` a
+    column of more levels raises, after reading no more than that many."""
     levels = {}
     for c in cols:
-        vals = [r[0] for r in df.select(col(c).cast("string").alias("v")).where(F.col("v").isNotNull())
-                .distinct().limit(max_levels + 1).collect()]
-        if len(vals) > max_levels:
+        found = df.select(col(c).cast("string").alias("v")).where(F.col("v").isNotNull()).distinct()
+        vals = [r[0] for r in (found if max_levels is None else found.limit(max_levels + 1)).collect()]
+        if max_levels is not None and len(vals) > max_levels:
             raise ValueError(f"{c}: more than {max_levels} levels; not categorical")
         levels[c] = sorted(vals)
     return OneHotModel(levels)

@@ -134,7 +134,7 @@ def q_t10(spark, sf):
 @register("u10_kmeans_scan_embeddings")
 def q_u10(spark, sf):
     e, feats = neighbors.vector_columns(t(spark, sf, "embeddings"), "embedding", 64)
-    return cluster.scan_k(e, feats, range(2, 4))
+    return cluster.scan_k(e, feats)
 
 
 @register("r4_lasso_cv_lineitem")
@@ -261,7 +261,7 @@ def q_i4(spark, sf):
 def q_x2(spark, sf):
     sp, m = _ols_fit(spark, sf)
     test = sp.where(F.col("split") == "test")
-    return explain.permutation_importance(m, test, LI_FEATS, LI_TARGET, LI_KEYS, "regression", repeats=2)
+    return explain.permutation_importance(m, test, LI_FEATS, LI_TARGET, LI_KEYS, "regression")
 
 
 @register("x4_shapley_lineitem")
@@ -275,16 +275,16 @@ def q_k4(spark, sf):
     from quarry.operators import select
     sp = split.train_test_split(t(spark, sf, "lineitem"), LI_KEYS, 0.2, SEED)
     return select.select_from_model(sp.where(F.col("split") == "train"), LI_FEATS + ["l_linenumber"],
-                                    LI_TARGET, "regression", n_trees=20)
+                                    LI_TARGET, "regression")
 
 
 @register("u1_cluster_models_embeddings")
 def q_u1(spark, sf):
-    e, feats = neighbors.vector_columns(t(spark, sf, "embeddings"), "embedding", 8)
+    e, feats = neighbors.vector_columns(t(spark, sf, "embeddings"), "embedding", 64)
     e = e.drop("embedding")
     fits = {"kmeans": lambda: cluster.kmeans(e, feats, 5),
             "bisecting_kmeans": lambda: cluster.bisecting_kmeans(e, feats, 5),
-            "agglo": lambda: cluster.agglomerative(e, feats, 5, micro=50),
+            "agglo": lambda: cluster.agglomerative(e, feats, 5),
             "birch": lambda: cluster.birch(e, feats, 5)}
     rows = []
     for name, fit in fits.items():

@@ -137,3 +137,24 @@ def test_f_scores_use_paired_rows(spark):
     keep = np.arange(60) % 4 != 0
     r = np.corrcoef(x[keep], y[keep])[0, 1]
     assert abs(got - r * r / (1 - r * r) * (keep.sum() - 2)) < 1e-9
+
+
+def test_birch_and_mean_shift_on_blobs(spark):
+    rng = np.random.default_rng(2)
+    pts = np.concatenate([rng.normal([0, 0], 0.3, (60, 2)), rng.normal([5, 5], 0.3, (40, 2))])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in pts], "x double, z double")
+    for m in (cluster.birch(df, ["x", "z"], 2, threshold=0.2), cluster.mean_shift(df, ["x", "z"], 1.5)):
+        got = [r.cluster for r in m.transform(df).collect()]
+        assert len(set(got[:60])) == len(set(got[60:])) == 1 and got[0] != got[-1]
+    with pytest.raises(ValueError):
+        cluster.mean_shift(df, ["x", "z"], 1.5, min_bin_freq=1000)
+
+
+def test_confusion_grid_is_full_at_any_size(spark):
+    from quarry.operators import metrics
+    names = [f"c{k:04d}" for k in range(1100)]
+    df = spark.createDataFrame([("c0001", "c0002"), ("c0001", "c0001"), ("c1099", "c0000")], "y string, p string")
+    got = metrics.confusion_counts(df, "y", "p", names)
+    assert got.count() == len(names) ** 2
+    assert sorted(tuple(r) for r in got.where("count > 0").select("actual", "predicted", "count").collect()) == [
+        ("c0001", "c0001", 1), ("c0001", "c0002", 1), ("c1099", "c0000", 1)]
