@@ -243,12 +243,20 @@ def auc_ap_summary(long: DataFrame) -> DataFrame:
     return agg.join(micro, "__one").drop("__one")
 
 
+MICRO = "micro"
+
+
 def _curve_cells(long: DataFrame):
+    """Distinct scores with running counts, per class and pooled over all (MICRO); and
+    the totals, a row per class."""
     from pyspark import StorageLevel
-    cells = _score_cells(long).persist(StorageLevel.MEMORY_AND_DISK)  # read by 3-4 jobs below
+    cells = _score_cells(long)
+    pooled = cells.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cells = (cells.select("class", "score", "pos", "neg")
+             .unionByName(pooled.withColumn("class", F.lit(MICRO))).persist(StorageLevel.MEMORY_AND_DISK))
     pre = prefix_sums(cells, "score", ["pos", "neg"], group="class", descending=True, inclusive=True)
     tot = cells.groupBy("class").agg(F.sum("pos").alias("P"), F.sum(F.col("neg")).alias("N"))
-    return cells, pre.join(F.broadcast(tot), "class")  # tot: one row per class
+    return cells, pre.join(F.broadcast(tot), "class"), tot
 
 
 def _materialise(df: DataFrame, cached: DataFrame) -> DataFrame:
@@ -259,20 +267,29 @@ def _materialise(df: DataFrame, cached: DataFrame) -> DataFrame:
     return out
 
 
+def _end_point(tot: DataFrame, **values: float) -> DataFrame:
+    """The point above every score: nothing predicted, no threshold."""
+    return tot.select("class", F.lit(None).cast("double").alias("threshold"), *[F.lit(v).alias(k) for k, v in values.items()])
+
+
 def roc_curve(long: DataFrame) -> DataFrame:
-    """(class, threshold, fpr, tpr) at every distinct score, descending."""
-    cells, j = _curve_cells(long)
-    return _materialise(j.select("class", F.col("score").alias("threshold"),
-                                 F.try_divide(F.col("neg_cum"), F.col("N")).alias("fpr"),
-                                 F.try_divide(F.col("pos_cum"), F.col("P")).alias("tpr")), cells)
+    """(class, threshold, fpr, tpr) at every distinct score, descending, after
+    (0, 0); class MICRO pools all classes."""
+    cells, j, tot = _curve_cells(long)
+    points = j.select("class", F.col("score").alias("threshold"),
+                      F.try_divide(F.col("neg_cum"), F.col("N")).alias("fpr"),
+                      F.try_divide(F.col("pos_cum"), F.col("P")).alias("tpr"))
+    return _materialise(points.unionByName(_end_point(tot, fpr=0.0, tpr=0.0)), cells)
 
 
 def pr_curve(long: DataFrame) -> DataFrame:
-    """(class, threshold, precision, recall) at every distinct score."""
-    cells, j = _curve_cells(long)
-    return _materialise(j.select("class", F.col("score").alias("threshold"),
-                                 F.try_divide(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum")).alias("precision"),
-                                 F.try_divide(F.col("pos_cum"), F.col("P")).alias("recall")), cells)
+    """(class, threshold, precision, recall) at every distinct score, and recall 0
+    at precision 1; class MICRO pools all classes."""
+    cells, j, tot = _curve_cells(long)
+    points = j.select("class", F.col("score").alias("threshold"),
+                      F.try_divide(F.col("pos_cum"), F.col("pos_cum") + F.col("neg_cum")).alias("precision"),
+                      F.try_divide(F.col("pos_cum"), F.col("P")).alias("recall"))
+    return _materialise(points.unionByName(_end_point(tot, precision=1.0, recall=0.0)), cells)
 
 
 def calibration_curve(long: DataFrame, n_bins: int = 10) -> DataFrame:

@@ -273,19 +273,22 @@ def q_e11(spark, sf):
 _CURVE_CELLS = f"""cells AS (
   SELECT class, score, sum(pos) OVER w AS tp, sum(neg) OVER w AS fp,
          sum(pos) OVER (PARTITION BY class) AS P, sum(neg) OVER (PARTITION BY class) AS N
-  FROM (SELECT class, score, sum(hit) AS pos, sum(1 - hit) AS neg FROM lg GROUP BY class, score)
+  FROM (SELECT class, score, sum(hit) AS pos, sum(1 - hit) AS neg
+        FROM (SELECT class, score, hit FROM lg UNION ALL SELECT 'micro', score, hit FROM lg) GROUP BY class, score)
   WINDOW w AS (PARTITION BY class ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
 
 
 @register("e12_roc_curve_nb_lineitem", f"""WITH {NB_CTE}, {_LONG_SQL}, {_CURVE_CELLS}
-SELECT class, {SIG('score', 10)} AS threshold, {SIG('fp / N', 10)} AS fpr, {SIG('tp / P', 10)} AS tpr FROM cells""")
+SELECT class, {SIG('score', 10)} AS threshold, {SIG('fp / N', 10)} AS fpr, {SIG('tp / P', 10)} AS tpr FROM cells
+UNION ALL SELECT DISTINCT class, CAST(NULL AS DOUBLE), 0.0::DOUBLE, 0.0::DOUBLE FROM cells""")
 def q_e12(spark, sf):
     return sig_all(metrics.roc_curve(_nb_long(spark, sf)), 10)
 
 
 @register("e13_pr_curve_nb_lineitem", f"""WITH {NB_CTE}, {_LONG_SQL}, {_CURVE_CELLS}
 SELECT class, {SIG('score', 10)} AS threshold, {SIG('tp / (tp + fp)', 10)} AS precision,
-       {SIG('tp / P', 10)} AS recall FROM cells""")
+       {SIG('tp / P', 10)} AS recall FROM cells
+UNION ALL SELECT DISTINCT class, CAST(NULL AS DOUBLE), 1.0::DOUBLE, 0.0::DOUBLE FROM cells""")
 def q_e13(spark, sf):
     return sig_all(metrics.pr_curve(_nb_long(spark, sf)), 10)
 
