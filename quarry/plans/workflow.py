@@ -107,7 +107,10 @@ def train(df: DataFrame, roles: Roles, cfg: TrainConfig) -> ModelRun:
                 sp = ys[tgt].transform(sp, [tgt])
     info = {}
     if cfg.outlier_method and cfg.outlier_method != "none":
+        before = sp
         sp, info["outliers"] = outliers.handle(sp, feats, "split", cfg.outlier_method, cfg.outlier_action, key_cols=roles.key)
+        if cfg.outlier_action == "remove":  # O7: the keys of the rows that went
+            info["outliers_removed"] = before.select(*roles.key).join(sp.select(*roles.key), roles.key, "left_anti")
     if cfg.select_method and (cfg.select_k or cfg.select_method == "SelectFromModel"):
         tr = sp.where(F.col("split") == "train")
         first = roles.targets[0]  # selection on the first target only
