@@ -10,7 +10,9 @@ from __future__ import annotations
 from typing import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quarry.functions.exprs import col, to_double
 from quarry.functions.quantiles import grouped_quantiles
@@ -25,31 +27,29 @@ EPS = float(np.finfo(np.float64).eps)
 def regression_metrics(df: DataFrame, y: str, pred: str, group: Sequence[str] = (),
                        median: bool = True) -> DataFrame:
     """R2, explained variance, MSE, RMSE, MAE, median AE, max error, MAPE
-    per group. R2/EV follow the usual finite convention for constant y. The exact
-    median costs passes of its own; ``median=False`` leaves it out."""
+    per group. R2/EV follow the usual finite convention for constant y. With the exact
+    median the pairs are read by several passes, so they are kept while those run and
+    the rows (one per group) come back evaluated; ``median=False`` stays one lazy pass."""
     yv, pv = to_double(y), to_double(pred)
-    e = yv - pv
-    gcols = [col(g) for g in group]
-    paired = df.where(yv.isNotNull() & pv.isNotNull())
-    agg = (paired
-           .groupBy(*gcols)
+    pairs = df.where(yv.isNotNull() & pv.isNotNull()).select(*[col(g) for g in group], yv.alias("__y"), pv.alias("__p"))
+    e = F.col("__y") - F.col("__p")
+    if median:
+        pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+    agg = (pairs
+           .groupBy(*[col(g) for g in group])
            .agg(F.count(F.lit(1)).alias("n"),
                 F.avg(e * e).alias("mse"),
                 F.avg(F.abs(e)).alias("mae"),
-                F.var_pop(yv).alias("_vy"),
+                F.var_pop("__y").alias("_vy"),
                 F.var_pop(e).alias("_ve"),
                 F.max(F.abs(e)).alias("max_error"),
-                F.avg(F.abs(e) / F.greatest(F.abs(yv), F.lit(EPS))).alias("mape")))
+                F.avg(F.abs(e) / F.greatest(F.abs("__y"), F.lit(EPS))).alias("mape")))
     if median:
-        got = grouped_quantiles(paired, [F.abs(e)], [0.5], group)
-        fields = [f"__m{k} {paired.schema[g].dataType.simpleString()}" for k, g in enumerate(group)]
-        table = df.sparkSession.createDataFrame([(*k, v[0][0]) for k, v in got.items()], ", ".join([*fields, "median_ae double"]))
-        if group:  # one row per group
-            on = [agg[g].eqNullSafe(table[f"__m{k}"]) for k, g in enumerate(group)]
-            agg = agg.join(F.broadcast(table), on, "left")
-        else:
-            value = got[()][0][0] if got else None
-            agg = agg.withColumn("median_ae", F.lit(value).cast("double"))
+        got = grouped_quantiles(pairs, [F.abs(e)], [0.5], group)
+        rows = [(*r, got[tuple(r[g] for g in group)][0][0] if r["n"] else None) for r in agg.collect()]
+        schema = StructType([*agg.schema.fields, StructField("median_ae", DoubleType())])
+        agg = df.sparkSession.createDataFrame(rows, schema)
+        pairs.unpersist()
 
     def finite_ratio(num: Column) -> Column:
         return (F.when(F.col("_vy") > 0, F.lit(1.0) - num / F.col("_vy"))
@@ -195,7 +195,6 @@ def rank_metrics(long: DataFrame, with_micro: bool = False) -> DataFrame:
     AP  = sum_s pos_s / P * precision at threshold s (scores descending).
     ``with_micro`` adds the pooled '__micro__' class in the same pass.
     """
-    from pyspark import StorageLevel
     cells = _score_cells(long)
     if with_micro:
         cells = cells.unionByName(_score_cells(long.withColumn("class", F.lit("__micro__"))))
@@ -249,7 +248,6 @@ MICRO = "micro"
 def _curve_cells(long: DataFrame):
     """Distinct scores with running counts, per class and pooled over all (MICRO); and
     the totals, a row per class."""
-    from pyspark import StorageLevel
     cells = _score_cells(long)
     pooled = cells.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     cells = (cells.select("class", "score", "pos", "neg")
