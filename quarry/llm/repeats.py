@@ -31,12 +31,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm.suffix import common_prefixes, suffix_order
 
-BUCKET_BYTES = 12 << 20   # of runs, uncompressed
+BUCKET_BYTES = 20 << 20   # of runs, uncompressed
 BLOCK_BYTES = 8 << 20     # of text per block
-CHUNK = 1 << 19           # positions hashed at a time
-SLICE_BYTES = 2 << 20     # of runs per suffix array
+CHUNK = 1 << 18           # positions hashed at a time
+SLICE_BYTES = 1 << 20     # of runs per suffix array
 RUNS = "kind int, bucket int, id long, tag long, blob binary"
-SPANS = "id long, tag long, spans binary"
+SPANS = "id long, tag long, span long"
 MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,14 +46,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+def gram_hashes(data: np.ndarray, gram: int, at: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of the ``gram`` (1 to 16) bytes from each position of ``data``,
-    which has 16 spare bytes at its end."""
-    n = len(data) - 16
+    which has 16 spare bytes at its end, or from the positions ``at``."""
     view = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    low = view[:len(data) - 16] if at is None else view[at]
     if gram <= 8:
-        return mix64((view[:n] << np.uint64(64 - 8 * gram)) * MULT + np.uint64(gram))
-    return mix64(view[:n] * MULT ^ mix64(view[gram - 8:n + gram - 8]))
+        return mix64((low << np.uint64(64 - 8 * gram)) * MULT + np.uint64(gram))
+    high = view[gram - 8:len(data) + gram - 24] if at is None else view[at + gram - 8]
+    return mix64(low * MULT ^ mix64(high))
 
 
 def anchors(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,10 +95,18 @@ def pack(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tup
             yield int(rows[a]), np.column_stack((s, e)).astype(np.int32).tobytes()
 
 
-def unpack(blobs: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    pairs = [np.frombuffer(b, np.int32).reshape(-1, 2) for b in blobs]
-    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int32)
-    return merge(both[:, 0], both[:, 1])
+def unpack(spans) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the union of spans (start in the upper half of a long)."""
+    spans = np.asarray(spans, np.int64)
+    return merge(spans >> 32, spans & 0xFFFFFFFF)
+
+
+def merge_by_row(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merged intervals of each row: rows, and spans."""
+    shift = rows.astype(np.int64) << 33  # rows lie apart on one line
+    s, e = merge(starts + shift, ends + shift)
+    mask = (1 << 33) - 1
+    return s >> 33, ((s & mask) << 32) | (e & mask)
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -110,7 +119,8 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def find_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, salts: np.ndarray, window: int, gram: int):
-    """Runs of a block: row, start, length in bytes, anchor hash and content hash.
+    """Runs of a block: row, start, length in bytes, anchor hash, content hash and the
+    anchor's place in the run.
     ``begins`` and ``ends``: the rows' texts in ``data``, in ascending order."""
     powers = np.multiply.accumulate(np.full(CHUNK + 128, MULT, np.uint64))
     inverse = np.uint64(pow(int(MULT), -1, 1 << 64))
@@ -140,7 +150,7 @@ def find_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, salts: np.
         sums = np.concatenate(([np.uint64(0)], np.cumsum(table[part] * powers[:len(part)], dtype=np.uint64)))
         content = (sums[start + length] - sums[start]) * inverses[start]
         gram_hash = mix64(h[anchor[first]] ^ salts[row[first]])
-        found.append((row[first], start + at, length, gram_hash, content))
+        found.append((row[first], start + at, length, gram_hash, content, (anchor[first] - start).astype(np.int16)))
     if not found:
         return None
     return [np.concatenate(x) for x in zip(*found)]
@@ -153,10 +163,10 @@ def block_rows(data, begins, ends, ids, tags, salts, window, gram, n_buckets, sm
     found = find_runs(data, begins, ends, salts, window, gram)
     if found is None:
         return
-    row, start, length, anchor, content = found
+    row, start, length, anchor, content, inner = found
     key = mix64(content + anchor * MULT)
     order = np.lexsort((ids[row], key))
-    row, start, length, anchor, key = row[order], start[order], length[order], anchor[order], key[order]
+    row, start, length, anchor, key, inner = (x[order] for x in (row, start, length, anchor, key, inner))
     first = np.concatenate(([True], key[1:] != key[:-1]))
     run = np.cumsum(first) - 1
     head = np.flatnonzero(first)
@@ -183,16 +193,20 @@ def block_rows(data, begins, ends, ids, tags, salts, window, gram, n_buckets, sm
     rec = np.concatenate((rec_first, extra))
     n_places = np.concatenate((n_places, np.zeros(len(extra), np.int64)))
     place_at = np.concatenate((place_at, np.zeros(len(extra), np.int64)))
-    order = np.argsort(bucket[rec], kind="stable")
+    order = np.lexsort((offset[rec], ids[row[rec]], bucket[rec]))  # ascending numbers pack well
     rec, n_places, place_at = rec[order], n_places[order], place_at[order]
     cuts = np.flatnonzero(np.diff(bucket[rec])) + 1
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=5)
+    by_id = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[by_id] = np.arange(len(ids))
     for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(rec)]))):
         r = rec[a:b]
-        used, local = np.unique(row[r], return_inverse=True)
+        used, local = np.unique(rank[row[r]], return_inverse=True)
+        used = by_id[used]
         parts = [
             np.array([len(r), len(used), int(n_places[a:b].sum()), int(length[r].sum())], np.int64),
-            ids[used], tags[used], anchor[r], local.astype(np.int32), length[r].astype(np.int32),
+            np.diff(ids[used], prepend=0), tags[used], salts[used], np.diff(local, prepend=0).astype(np.int32), length[r].astype(np.int16), inner[r],
             n_places[a:b].astype(np.int32), places[ranges(place_at[a:b], n_places[a:b])].astype(np.int32),
             data[ranges(start[r], length[r])],
         ]
@@ -236,10 +250,11 @@ def read_blob(blob: bytes):
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, n_rows, n_places, n_bytes = (int(x) for x in np.frombuffer(raw, np.int64, 4))
     at, out = 32, []
-    for kind, count in ((np.int64, n_rows), (np.int64, n_rows), (np.uint64, n), (np.int32, n), (np.int32, n),
-                        (np.int32, n), (np.int32, n_places), (np.uint8, n_bytes)):
+    for kind, count in ((np.int64, n_rows), (np.int64, n_rows), (np.uint64, n_rows), (np.int32, n), (np.int16, n),
+                        (np.int16, n), (np.int32, n), (np.int32, n_places), (np.uint8, n_bytes)):
         out.append(np.frombuffer(raw, kind, count, at))
         at += out[-1].nbytes
+    out[0], out[3] = np.cumsum(out[0]), np.cumsum(out[3], dtype=np.int64)  # sent as differences
     return out
 
 
@@ -268,23 +283,29 @@ def covered_strings(text, begins, lengths, ids, salts, window, smaller):
     return out
 
 
-def match_bucket(table: pa.Table, window: int, smaller: bool) -> pa.Table:
+def match_bucket(table: pa.Table, window: int, gram: int, smaller: bool) -> pa.Table:
     """Spans of one bucket's rows; spans that blocks reported pass through."""
     kinds = table.column("kind").to_numpy()
     passed = table.filter(pa.array(kinds == 1))
-    out_id, out_tag, out_spans = passed.column("id").to_pylist(), passed.column("tag").to_pylist(), passed.column("blob").to_pylist()
+    pairs = [np.frombuffer(b, np.int32).reshape(-1, 2).astype(np.int64) for b in passed.column("blob").to_pylist()]
+    times = [len(x) for x in pairs]
+    out = [(np.repeat(passed.column("id").to_numpy(), times), np.repeat(passed.column("tag").to_numpy(), times),
+            (x[:, 0] << 32) | x[:, 1])] if (x := np.concatenate(pairs) if pairs else None) is not None else []
     blobs = [read_blob(b) for b in table.filter(pa.array(kinds == 0)).column("blob").to_pylist()]
     if blobs:
         shift = np.cumsum([0] + [len(b[0]) for b in blobs])
         row_id, row_tag = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs])
-        anchor = np.concatenate([b[2] for b in blobs])
-        row = np.concatenate([b[3].astype(np.int64) + s for b, s in zip(blobs, shift)])
+        salt = np.concatenate([b[2] for b in blobs])
+        row = np.concatenate([b[3] + s for b, s in zip(blobs, shift)])
         length = np.concatenate([b[4] for b in blobs]).astype(np.int64)
-        n_places = np.concatenate([b[5] for b in blobs]).astype(np.int64)
-        places = np.concatenate([b[6] for b in blobs])
-        text = np.concatenate([b[7] for b in blobs])
+        begin = np.cumsum(length) - length
+        inner = begin + np.concatenate([b[5] for b in blobs])
+        n_places = np.concatenate([b[6] for b in blobs]).astype(np.int64)
+        places = np.concatenate([b[7] for b in blobs])
+        text = np.concatenate([b[8] for b in blobs] + [np.zeros(16, np.uint8)])
         del blobs
-        begin, place_at = np.cumsum(length) - length, np.cumsum(n_places) - n_places
+        place_at = np.cumsum(n_places) - n_places
+        anchor = mix64(gram_hashes(text, gram, inner) ^ salt[row])  # as the blocks had it
         # only anchors that two rows hold can match
         order = np.argsort(anchor, kind="stable")
         ids = row_id[row[order]]
@@ -315,31 +336,41 @@ def match_bucket(table: pa.Table, window: int, smaller: bool) -> pa.Table:
                 where = places[ranges(place_at[who], times)].astype(np.int64)
                 got.append((np.repeat(row[who], times), where + np.repeat(s, times), where + np.repeat(e, times)))
         if got:
-            for r, spans in pack(*[np.concatenate(x) for x in zip(*got)]):
-                out_id.append(int(row_id[r]))
-                out_tag.append(int(row_tag[r]))
-                out_spans.append(spans)
-    return pa.table({"id": pa.array(out_id, pa.int64()), "tag": pa.array(out_tag, pa.int64()), "spans": pa.array(out_spans, pa.binary())})
+            r, spans = merge_by_row(*[np.concatenate(x) for x in zip(*got)])
+            out.append((row_id[r], row_tag[r], spans))
+    cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
+    return pa.table(dict(zip(("id", "tag", "span"), (pa.array(c, pa.int64()) for c in cols))))
 
 
 def repeated_spans(rows: DataFrame, id_col: Column, data: Column, group: Column | None = None, window: int = 50,
-                   gram: int = 16, smaller: bool = True, bucket_bytes: int = BUCKET_BYTES,
-                   total_bytes: int | None = None) -> DataFrame:
-    """(id, tag, spans): per row the bytes covered by a repeated string, as packed
-    pairs; a row may have several, to be merged with ``unpack``. ``tag`` is the
-    hash of the bytes and tells rows of one id apart.
+                   gram: int = 12, smaller: bool = True, bucket_bytes: int = BUCKET_BYTES,
+                   total_bytes: int | None = None, tagged: bool | None = None) -> DataFrame:
+    """(id, tag, span): stretches of bytes covered by repeated strings, start and end in
+    one long; those of a row are merged with ``unpack``. ``tag`` is 0, or the hash of
+    the bytes if there are ids whose rows differ (see ``same_row``).
 
     ``smaller``: a string counts if a row of a smaller id holds it; else if any row
     of another id does. ``group``: strings match only inside a group. Rows without
     an id take no part. ``total_bytes``: an estimate of the bytes of all rows, for the
-    number of buckets; counted where it isn't given."""
+    number of buckets; counted where it isn't given. ``tagged``: whether to hash the
+    bytes; looked up where it isn't given, which reads all rows once more."""
     if not 1 <= gram <= min(16, window):
         raise ValueError("gram must be 1 to 16 and not longer than the window")
     d = rows.select(id_col.cast("long").alias("id"), data.cast("binary").alias("data"),
                     (F.xxhash64(group) if group is not None else F.lit(0).cast("long")).alias("grp"))
-    d = d.filter(F.col("id").isNotNull() & (F.octet_length("data") >= window)).withColumn("tag", F.xxhash64("data"))
+    d = d.filter(F.col("id").isNotNull() & (F.octet_length("data") >= window))
+    # hashes don't pack; they are only needed where rows of different bytes share an id
+    if tagged is None:
+        h = F.xxhash64("data")
+        tagged = not d.groupBy("id").agg(F.min(h).alias("a"), F.max(h).alias("b")).filter("a <> b").isEmpty()
+    d = d.withColumn("tag", F.xxhash64("data") if tagged else F.lit(0).cast("long"))
     total = total_bytes if total_bytes is not None else d.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     spread = 1 + (window - 1) * 2 / (window - gram + 2)  # bytes of runs per byte of text
     n_buckets = max(1, math.ceil(total * spread / bucket_bytes))
     runs = d.mapInArrow(lambda it: scan(it, window, gram, n_buckets, smaller), RUNS)
-    return runs.groupBy("bucket").applyInArrow(lambda t: match_bucket(t, window, smaller), SPANS)
+    return runs.groupBy("bucket").applyInArrow(lambda t: match_bucket(t, window, gram, smaller), SPANS)
+
+
+def same_row(id_col: Column, data: Column) -> Column:
+    """Join condition between a table and the spans of its rows."""
+    return (id_col.cast("long") == F.col("id")) & ((F.col("tag") == 0) | (F.col("tag") == F.xxhash64(data)))

@@ -18,6 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,30 +37,45 @@ def kept_parts(raw: bytes, blobs) -> tuple[bytes, int]:
     return b"".join(raw[edges[k]:edges[k + 1]] for k in range(0, len(edges), 2)), len(starts)
 
 
+def _packed(d: DataFrame) -> DataFrame:
+    """``d`` with compressed bytes in place of the text: texts cross the shuffle once,
+    and that is most of what this operator moves."""
+    d = d.withColumn("__null", F.col("text").isNull()).drop("text")
+    names, at = d.columns, d.columns.index("__raw")
+
+    def run(batches):
+        packer = zstandard.ZstdCompressor(level=5)
+        for batch in batches:
+            packed = pa.array([packer.compress(x.as_py()) for x in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if k == at else batch.column(k) for k in range(batch.num_columns)], names)
+    return d.mapInArrow(run, d.schema)
+
+
 def dedup(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
     """All rows of ``docs`` with the columns of OUT. ``with_text``: ``text`` becomes
     what is left of it; otherwise the text column is dropped."""
     need(docs, "doc_id", "text")
     d = without(docs, *OUT)
     spans = (repeated_spans(d, F.col("doc_id"), F.col("text"), window=window)
-             .groupBy("id", "tag").agg(F.collect_list("spans").alias("__spans")))
+             .groupBy("id", "tag").agg(F.collect_list("span").alias("__spans")))
     rest = [c for c in d.columns if c.lower() != "text"]
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    left = d.withColumn("__raw", raw).withColumn("__tag", F.xxhash64("__raw"))
-    joined = (left.join(spans, (F.col("doc_id").cast("long") == F.col("id")) & (F.col("__tag") == F.col("tag")), "left")
+    left = d.withColumn("__raw", raw).withColumn("__tag", F.xxhash64("__raw"))  # hashed before it is packed
+    joined = (_packed(left).join(spans, (F.col("doc_id").cast("long") == F.col("id")) & ((F.col("tag") == 0) | (F.col("tag") == F.col("__tag"))), "left")
               .select(*[F.col(f"`{c}`") for c in d.columns if c.lower() != "text"],
-                      F.col("text").isNull().alias("__null"), "__raw", "__spans"))
+                      "__null", "__raw", "__spans"))
     fields = [joined.schema[c] for c in joined.columns if c not in ("__null", "__raw", "__spans")]
     fields += [T.StructField("text", T.StringType())] if with_text else []
     fields += [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()),
                T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())]
 
     def cut(batches):
+        unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
             keep = [batch.column(k) for k in range(len(rest))]
             kept, sizes, counts = [], [], []
             for raw, blobs in zip(batch.column("__raw"), batch.column("__spans").to_pylist()):
-                raw = raw.as_py()
+                raw = unpacker.decompress(raw.as_py())
                 left, n = kept_parts(raw, blobs or ())
                 kept.append(left)
                 sizes.append(len(raw))

@@ -58,8 +58,8 @@ def local(rows, window, gram, smaller, n_buckets, groups=None):
         whole = pa.Table.from_batches(out)
         for k in set(whole.column("bucket").to_pylist()):
             mask = pa.array(np.array(whole.column("bucket").to_pylist()) == k)
-            got = repeats.match_bucket(whole.filter(mask), window, smaller)
-            for tag, blob in zip(got.column("tag").to_pylist(), got.column("spans").to_pylist()):
+            got = repeats.match_bucket(whole.filter(mask), window, gram, smaller)
+            for tag, blob in zip(got.column("tag").to_pylist(), got.column("span").to_pylist()):
                 spans[tag].append(blob)
     gone = []
     for blobs in spans:
