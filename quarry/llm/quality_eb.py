@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.exprs import bounded_broadcast
-from quarry.llm.common import key_of, need, read_table, without
+from quarry.llm.common import cut_lineage, key_of, need, read_table, without
 from quarry.llm.lang_crf import letter_bytes
 from quarry.llm.textvec import ascii_lower_table, ranges, slices, space_word_bytes, span_hashes, word_spans
 
@@ -92,21 +92,26 @@ def shape_features(data, begins, ends, row, start, end, h):
 
 
 def words_of(data, begins, ends):
-    """(row, word) pairs of each text's distinct words, and per distinct word of the
-    stretch its features: a hash of the word, and of each of its proper prefixes of
-    PREFIXES bytes (zero where it is shorter)."""
+    """(row, word) pairs of each text's distinct words, and the distinct words of the
+    stretch: their hashes, starts and ends."""
     row, start, end = word_spans(data, begins, ends, letter_bytes())
     h = span_hashes(data, start, end, ascii_lower_table())
     uniq, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    pairs = np.unique(row * len(uniq) + inverse) if len(row) else np.zeros(0, np.int64)
-    s, e = start[first], end[first]
-    feats = [uniq]
-    for n in PREFIXES:
-        f = np.zeros(len(uniq), np.uint64)
-        has = np.flatnonzero(e - s > n)
-        f[has] = span_hashes(data, s[has], s[has] + n, ascii_lower_table(), seed=2)
-        feats.append(f)
-    return pairs // max(len(uniq), 1), pairs % max(len(uniq), 1), feats
+    n = max(len(uniq), 1)
+    pairs = np.unique(row * n + inverse) if len(row) else np.zeros(0, np.int64)
+    return (pairs // n).astype(np.int32), (pairs % n).astype(np.int32), uniq, start[first], end[first]
+
+
+def word_features(data, uniq, start, end, kind: int):
+    """A feature per distinct word: its hash (kind 0), or that of its proper prefix of
+    PREFIXES[kind - 1] bytes, zero where the word is not longer."""
+    if kind == 0:
+        return uniq
+    n = PREFIXES[kind - 1]
+    out = np.zeros(len(uniq), np.uint64)
+    has = np.flatnonzero(end - start > n)
+    out[has] = span_hashes(data, start[has], start[has] + n, ascii_lower_table(), seed=2)
+    return out
 
 
 def shapes_of(data, begins, ends):
@@ -140,10 +145,14 @@ def fit_logistic(rows, cols, values, y, n_features, epochs: int = 60, rate: floa
     return w, bias, prior
 
 
-def train(texts: list[bytes], labels: dict[str, np.ndarray]) -> Model:
+def train(texts: pa.Array, labels: dict[str, np.ndarray]) -> Model:
     """Fit each label (an array with NaN where it is unknown) on the same texts."""
-    stretches = [(a, *words_of(d, b, e), shapes_of(d, b, e)) for a, d, b, e in slices(pa.array(texts, pa.binary()))]
-    shapes = np.concatenate([x[-1] for x in stretches])
+    stretches, shapes = [], []
+    for a, d, b, e in slices(texts):
+        row, word, uniq, start, end = words_of(d, b, e)
+        stretches.append((row + a, word, d, uniq, start.astype(np.int32), end.astype(np.int32)))
+        shapes.append(shapes_of(d, b, e))
+    shapes = np.concatenate(shapes)
     model = Model()
     for label, given in labels.items():
         docs = np.flatnonzero(~np.isnan(given))
@@ -157,8 +166,8 @@ def train(texts: list[bytes], labels: dict[str, np.ndarray]) -> Model:
         rows, cols, values = [np.repeat(np.arange(len(docs)), SHAPES)], [shapes[docs].ravel()], [np.ones(len(docs) * SHAPES)]
         n_keys = SHAPES * STEPS
         for kind in range(1 + len(PREFIXES) * USES_STEMS[label]):
-            r = np.concatenate([place[a + row] for a, row, *_ in stretches])
-            f = np.concatenate([feats[kind][word] for _, _, word, feats, _ in stretches])
+            r = np.concatenate([place[row] for row, *_ in stretches])
+            f = np.concatenate([word_features(*words, kind)[word] for _, word, *words in stretches])
             ok = (r >= 0) & (f != 0)
             r, f = r[ok], f[ok]
             uniq, slot = np.unique(f, return_inverse=True)
@@ -195,10 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 6000) -> Model:
     sample = (docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("__raw"))
               .join(bounded_broadcast(picked, 4 * max_fit), "doc_id"))
 
-    got = sample.collect()
-    got.sort(key=lambda r: (r["doc_id"], bytes(r["__raw"])))  # the fit must not depend on the order of tasks
-    values = {x: np.array([np.nan if r[x] is None else r[x] for r in got], float) for x in LABELS}
-    return train([bytes(r["__raw"]) for r in got], values) if got else Model()
+    got = sample.toArrow()
+    if not got.num_rows:
+        return Model()
+    got = got.sort_by([("doc_id", "ascending"), ("__raw", "ascending")])  # the fit must not depend on the order of tasks
+    values = {x: got.column(x).cast(pa.float64()).fill_null(np.nan).to_numpy() for x in LABELS}
+    return train(got.column("__raw").combine_chunks(), values)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -213,13 +224,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             odds = {x: [] for x in LABELS}
             for _, data, begins, ends in slices(batch.column("__raw")):
-                row, word, feats = words_of(data, begins, ends)
+                row, word, *words = words_of(data, begins, ends)
                 shapes = shapes_of(data, begins, ends)
                 for x in LABELS:
                     if x not in model.bias:
                         continue
-                    w = np.zeros(len(feats[0]))
-                    for f in feats if len(model.keys[x]) else ():
+                    w = np.zeros(len(words[0]))
+                    for kind in range(1 + len(PREFIXES) * USES_STEMS[x]) if len(model.keys[x]) else ():
+                        f = word_features(data, *words, kind)
                         at = np.minimum(np.searchsorted(model.keys[x], f), len(model.keys[x]) - 1)
                         w += np.where(model.keys[x][at] == f, model.weights[x][at], 0.0)
                     odds[x].append(np.bincount(row, w[word], len(begins)) + model.shape_weights[x][shapes].sum(axis=1) + model.bias[x])
@@ -233,10 +245,17 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def path_rates(scored: DataFrame, label: str) -> DataFrame:
+def path_sums(scored: DataFrame, labels) -> DataFrame:
+    """Documents and summed probabilities per path, from one pass over all documents;
+    written to the shared folder, as every rate starts from it."""
+    p = {x: 1 / (1 + F.exp(-F.col(f"__{x}"))) for x in labels}
+    return cut_lineage(scored.groupBy("__host", "__path").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(p[x]).alias(f"s_{x}") for x in labels]))
+
+
+def path_rates(sums: DataFrame, label: str) -> DataFrame:
     """(__host, __path, rate): the posterior rate of each path for one label."""
-    p = 1 / (1 + F.exp(-F.col(f"__{label}")))
-    paths = scored.groupBy("__host", "__path").agg(F.count(F.lit(1)).alias("n"), F.sum(p).alias("s"))
+    paths = sums.select("__host", "__path", "n", F.col(f"s_{label}").alias("s"))
     hosts = paths.groupBy("__host").agg(F.sum("n").alias("hn"), F.sum("s").alias("hs"))
     top = hosts.agg(F.sum("hn").alias("n"), F.sum("hs").alias("s")).first()
     mean = min(max((top["s"] or 0.0) / max(top["n"] or 0, 1), 1e-4), 1 - 1e-4)
@@ -267,13 +286,19 @@ def quality(docs: DataFrame, model: Model, host: Column, path: Column, min_good:
     d = without(docs, *OUT)
     columns = d.columns if columns is None else columns
     d = d.withColumn("__host", key_of(host)).withColumn("__path", key_of(path))
-    lean = score(d.select("text", "__host", "__path"), model).drop("text")
-    out = score(d, model)
+    known = [x for x in LABELS if x in model.bias]
+    if "text" in [c.lower() for c in columns]:
+        # texts are scored twice rather than stored: once for the rates, once for the rows
+        lean, out = score(d.select("text", "__host", "__path"), model), score(d, model)
+    else:
+        rest = [F.col(f"`{c}`") for c in columns]
+        lean = out = cut_lineage(score(d.select("text", "__host", "__path", *rest), model).drop("text"))
+    sums = path_sums(lean, known) if known else None
     for label, neutral in (("good", 1.0), ("toxic", 0.0)):
-        if label not in model.bias:
+        if label not in known:
             out = out.withColumn(f"p_{label}", F.lit(neutral))
             continue
-        rates = bounded_broadcast(path_rates(lean, label).withColumnRenamed("rate", f"__r_{label}"), 1 << 18)
+        rates = bounded_broadcast(cut_lineage(path_rates(sums, label).withColumnRenamed("rate", f"__r_{label}")), 1 << 18)
         start = float(np.log(model.rate[label] / (1 - model.rate[label])))
         out = out.join(rates, ["__host", "__path"]).withColumn(
             f"p_{label}", 1 / (1 + F.exp(-(F.col(f"__{label}") - start + _logit(F.col(f"__r_{label}"))))))

@@ -169,9 +169,10 @@ def test_language_of_held_out_and_odd_texts(spark, sf):
 
 # ---- quality
 def test_rates_of_sparse_paths_lean_on_their_host(spark):
-    from quarry.llm.quality_eb import path_rates
+    from quarry.llm.quality_eb import path_rates, path_sums
     rows = [("h1", "p1", 3.0)] * 400 + [("h1", "p2", -3.0)] + [("h2", "p3", -3.0)] * 400 + [("h2", "p4", 3.0)] + [("h3", "p5", 3.0), ("h3", "p5", -3.0)]
-    rates = {r["__path"]: r.rate for r in path_rates(spark.createDataFrame(rows, "__host string, __path string, __good double"), "good").collect()}
+    scored = spark.createDataFrame(rows, "__host string, __path string, __good double")
+    rates = {r["__path"]: r.rate for r in path_rates(path_sums(scored, ["good"]), "good").collect()}
     assert rates["p1"] > 0.9 and rates["p3"] < 0.1
     assert rates["p2"] > 0.5 and rates["p4"] < 0.5  # one document doesn't outweigh its host
     assert 0.3 < rates["p5"] < 0.7
