@@ -3,8 +3,8 @@ items, mix. Each stage takes (spark, docs, sf_dir) and returns a DataFrame, whic
 written as Parquet and read again as the next stage's docs.
 
 1. quality classifier: documents likelier bad than good, or toxic than not, go.
-2. n-gram Jaccard join: of linked documents the one with the smallest id stays; a row
-   that repeats another's id and text goes.
+2. n-gram Jaccard join on five words at 0.8: of linked documents the one with the
+   smallest id stays; a row that repeats another's id and text goes.
 3. suffix-array dedup: passages that a smaller id holds are cut out; documents that
    lose their whole text go; n_chars is counted anew.
 4. benchmark decontamination: contaminated documents go.
@@ -39,7 +39,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
-    found = jaccard.jaccard_groups(docs)
+    found = jaccard.jaccard_groups(docs, n=5, pct=80)
     linked = found.filter("component_id <> doc_id").select("doc_id").distinct()
     repeated = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
     kept = docs.join(bounded_broadcast(linked), "doc_id", "left_anti")
