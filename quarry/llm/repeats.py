@@ -13,9 +13,13 @@ occurrences of one string.
 Before the shuffle each block of rows keeps one run per content (a long text of
 one byte, or thousands of copies, send little); what the block itself shows to be
 covered is reported from there. So an anchor that a third of all rows share is met
-at most once per block and content. Buckets are as many as the bytes need; large
-ones are worked off in slices of whole anchors. Nothing is kept outside tasks, so
-a lost executor only repeats its own blocks and buckets.
+at most once per block and content. Runs of one anchor in ever other surroundings
+don't collapse; so anchors whose runs pass HOT_BYTES are looked for first in a sample
+of stretches, and their runs are cut into single strings, dealt by the hash of the
+whole string, which equal strings share. The sample only decides how strings are
+dealt, never which are compared. Buckets are as many as the bytes need; large
+ones are worked off in slices of whole anchors, or of whole strings. Nothing is kept
+outside tasks, so a lost executor only repeats its own blocks and buckets.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ BUCKET_BYTES = 20 << 20   # of runs, uncompressed
 BLOCK_BYTES = 8 << 20     # of text per block
 CHUNK = 1 << 18           # positions hashed at a time
 SLICE_BYTES = 1 << 20     # of runs per suffix array
+HOT_BYTES = 16 << 20      # of runs of one anchor that go to one bucket
+STRETCH = 4096            # bytes per stretch of the sample
+SAMPLE = 64               # one stretch of so many is sampled
 RUNS = "kind int, bucket int, id long, tag long, blob binary"
 SPANS = "id long, tag long, span long"
 MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -156,17 +163,42 @@ def find_runs(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, salts: np.
     return [np.concatenate(x) for x in zip(*found)]
 
 
-def block_rows(data, begins, ends, ids, tags, salts, window, gram, n_buckets, smaller):
-    """Rows of RUNS for one block: its runs by bucket, and what it covers itself."""
+def single_strings(data, row, start, length, anchor, inner, window):
+    """The strings of runs as runs of one string each, in the form of ``find_runs``."""
+    powers = np.multiply.accumulate(np.full(int(length.max()), MULT, np.uint64))
+    inverse = np.uint64(pow(int(MULT), -1, 1 << 64))
+    inverses = np.multiply.accumulate(np.full(len(powers), inverse, np.uint64))
+    table = mix64(np.arange(1, 257, dtype=np.uint64) * MULT)
+    first = np.cumsum(length) - length
+    inside = ranges(np.zeros(len(length), np.int64), length)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(table[data[ranges(start, length)]] * powers[inside], dtype=np.uint64)))
+    count = length - window + 1
+    of = np.repeat(np.arange(len(length)), count)
+    step = ranges(np.zeros(len(length), np.int64), count)
+    at = first[of] + step
+    content = (sums[at + window] - sums[at]) * inverses[step]
+    return row[of], start[of] + step, np.full(len(of), window, np.int64), anchor[of], content, (inner[of] - step).astype(np.int16)
+
+
+def block_rows(data, begins, ends, ids, tags, salts, window, gram, n_buckets, smaller, hot=None):
+    """Rows of RUNS for one block: its runs by bucket, and what it covers itself.
+    ``hot``: sorted anchor hashes whose strings are dealt singly."""
     order = np.argsort(begins, kind="stable")
     begins, ends, ids, tags, salts = (x[order] for x in (begins, ends, ids, tags, salts))
     found = find_runs(data, begins, ends, salts, window, gram)
     if found is None:
         return
+    single = np.zeros(len(found[0]), bool)
+    if hot is not None and len(hot):
+        single = hot[np.minimum(np.searchsorted(hot, found[3]), len(hot) - 1)] == found[3]
+    if single.any():
+        row, start, length, anchor, _, inner = (x[single] for x in found)
+        found = [np.concatenate((x[~single], y)) for x, y in zip(found, single_strings(data, row, start, length, anchor, inner, window))]
+        single = np.arange(len(found[0])) >= np.count_nonzero(~single)
     row, start, length, anchor, content, inner = found
     key = mix64(content + anchor * MULT)
     order = np.lexsort((ids[row], key))
-    row, start, length, anchor, key, inner = (x[order] for x in (row, start, length, anchor, key, inner))
+    row, start, length, anchor, key, inner, single = (x[order] for x in (row, start, length, anchor, key, inner, single))
     first = np.concatenate(([True], key[1:] != key[:-1]))
     run = np.cumsum(first) - 1
     head = np.flatnonzero(first)
@@ -189,7 +221,7 @@ def block_rows(data, begins, ends, ids, tags, salts, window, gram, n_buckets, sm
     n_places = np.diff(np.concatenate((np.searchsorted(rows, rec_first), [len(rows)])))
     places = offset[rows]
     place_at = np.cumsum(n_places) - n_places
-    bucket = (anchor % np.uint64(n_buckets)).astype(np.int64)
+    bucket = (np.where(single, key, anchor) % np.uint64(n_buckets)).astype(np.int64) * 2 + single
     rec = np.concatenate((rec_first, extra))
     n_places = np.concatenate((n_places, np.zeros(len(extra), np.int64)))
     place_at = np.concatenate((place_at, np.zeros(len(extra), np.int64)))
@@ -210,7 +242,7 @@ def block_rows(data, begins, ends, ids, tags, salts, window, gram, n_buckets, sm
             n_places[a:b].astype(np.int32), places[ranges(place_at[a:b], n_places[a:b])].astype(np.int32),
             data[ranges(start[r], length[r])],
         ]
-        yield 0, int(bucket[r[0]]), 0, 0, packer.compress(b"".join(x.tobytes() for x in parts))
+        yield 2 * int(single[r[0]]), int(bucket[r[0]]) // 2, 0, 0, packer.compress(b"".join(x.tobytes() for x in parts))
 
 
 def _buffers(column: pa.Array):
@@ -222,7 +254,7 @@ def _buffers(column: pa.Array):
     return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), limits
 
 
-def scan(batches, window, gram, n_buckets, smaller):
+def scan(batches, window, gram, n_buckets, smaller, hot=None):
     for batch in batches:
         data, limits = _buffers(batch.column("data"))
         ids = batch.column("id").fill_null(0).to_numpy(zero_copy_only=False)
@@ -235,7 +267,7 @@ def scan(batches, window, gram, n_buckets, smaller):
         block = (np.cumsum((limits[1:] - limits[:-1])[keep]) - 1) // BLOCK_BYTES
         for part in np.split(keep, np.flatnonzero(np.diff(block)) + 1):
             out = list(block_rows(data, limits[part], limits[part + 1], ids[part], tags[part], salts[part],
-                                  window, gram, n_buckets, smaller))
+                                  window, gram, n_buckets, smaller, hot))
             for k in range(0, len(out), 256):
                 cols = list(zip(*out[k:k + 256]))
                 yield pa.RecordBatch.from_arrays(
@@ -243,6 +275,34 @@ def scan(batches, window, gram, n_buckets, smaller):
                      pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.binary())], ["kind", "bucket", "id", "tag", "blob"])
 
 
+def anchor_bytes(batches, window, gram):
+    """(anchor, bytes): of the runs of each batch of stretches, each content once."""
+    for batch in batches:
+        data, limits = _buffers(batch.column("data"))
+        salts = batch.column("grp").to_numpy(zero_copy_only=False).view(np.uint64)
+        found = find_runs(data, limits[:-1], limits[1:], salts, window, gram) if len(batch) else None
+        if found is None:
+            continue
+        _, _, length, anchor, content, _ = found
+        _, first = np.unique(mix64(content + anchor * MULT), return_index=True)
+        names, of = np.unique(anchor[first], return_inverse=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.bincount(of, length[first]).astype(np.int64))],
+                                         ["anchor", "bytes"])
+
+
+def hot_anchors(d: DataFrame, window: int, gram: int) -> tuple[np.ndarray, int]:
+    """Sorted hashes of the anchors whose runs in ``d`` (id, data, grp) probably pass
+    HOT_BYTES, and about how many bytes all their runs have."""
+    size = F.octet_length("data")
+    stretches = F.filter(F.sequence(F.lit(0), F.floor((size - 1) / STRETCH).cast("int")),
+                         lambda k: F.pmod(F.xxhash64("id", k, F.lit(5)), F.lit(SAMPLE)) == 0)
+    sample = d.select("grp", F.explode(F.transform(
+        stretches, lambda k: F.substring(F.col("data"), k * STRETCH + 1, F.lit(STRETCH + window - 1)))).alias("data"))
+    got = (sample.mapInArrow(lambda it: anchor_bytes(it, window, gram), "anchor long, bytes long")
+           .groupBy("anchor").agg(F.sum("bytes").alias("bytes")).filter(F.col("bytes") >= HOT_BYTES // SAMPLE // 2).collect())
+    return np.sort(np.array([r["anchor"] for r in got], np.int64).view(np.uint64)), SAMPLE * sum(r["bytes"] for r in got)
+
+
 # ---------------------------------------------------------------- buckets
 
 
@@ -283,6 +343,65 @@ def covered_strings(text, begins, lengths, ids, salts, window, smaller):
     return out
 
 
+def string_hashes(strings: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    h = np.zeros(len(strings), np.uint64)
+    for k in range(strings.shape[1]):
+        h = mix64((h + strings[:, k]) * MULT)
+    return h
+
+
+def match_blobs(blobs, window: int, gram: int, smaller: bool, single: bool):
+    """Spans (id, tag, span) of a bucket's runs; ``single``: each run is one string."""
+    shift = np.cumsum([0] + [len(b[0]) for b in blobs])
+    row_id, row_tag = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs])
+    salt = np.concatenate([b[2] for b in blobs])
+    row = np.concatenate([b[3] + s for b, s in zip(blobs, shift)])
+    length = np.concatenate([b[4] for b in blobs]).astype(np.int64)
+    begin = np.cumsum(length) - length
+    inner = begin + np.concatenate([b[5] for b in blobs])
+    n_places = np.concatenate([b[6] for b in blobs]).astype(np.int64)
+    places = np.concatenate([b[7] for b in blobs])
+    text = np.concatenate([b[8] for b in blobs] + [np.zeros(16, np.uint8)])
+    del blobs
+    place_at = np.cumsum(n_places) - n_places
+    anchor = mix64(gram_hashes(text, gram, inner) ^ salt[row])  # as the blocks had it
+    name = anchor if not single else mix64(anchor * MULT + string_hashes(text[:-16].reshape(-1, window)))
+    # only anchors, or single strings, that two rows hold can match
+    order = np.argsort(name, kind="stable")
+    ids = row_id[row[order]]
+    head = np.flatnonzero(np.concatenate(([True], name[order][1:] != name[order][:-1])))
+    size = np.diff(np.concatenate((head, [len(order)])))
+    shared = np.repeat(np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head), size)
+    order, name_of = order[shared], np.repeat(np.arange(len(head)), size)[shared]
+    got = []
+    if len(order):
+        upto = np.cumsum(length[order])
+        part = upto // SLICE_BYTES
+        # whole names stay together: a slice ends with the one that fills it
+        last = np.concatenate((name_of[1:] != name_of[:-1], [True]))
+        part = part[np.flatnonzero(last)[np.searchsorted(np.flatnonzero(last), np.arange(len(order)))]]
+        for rec in np.split(order, np.flatnonzero(np.diff(part)) + 1):
+            lens = length[rec]
+            starts = np.cumsum(lens) - lens
+            hit = covered_strings(text[ranges(begin[rec], lens)], starts, lens, row_id[row[rec]], anchor[rec], window, smaller)
+            at = np.flatnonzero(hit)
+            if not len(at):
+                continue
+            owner = np.searchsorted(starts, at, side="right") - 1
+            first = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])))
+            end = at[np.concatenate((first[1:], [True]))] + window
+            at, owner = at[first], owner[first]
+            s, e, who = at - starts[owner], end - starts[owner], rec[owner]
+            times = n_places[who]
+            where = places[ranges(place_at[who], times)].astype(np.int64)
+            got.append((np.repeat(row[who], times), where + np.repeat(s, times), where + np.repeat(e, times)))
+    if not got:
+        return []
+    r, spans = merge_by_row(*[np.concatenate(x) for x in zip(*got)])
+    return [(row_id[r], row_tag[r], spans)]
+
+
 def match_bucket(table: pa.Table, window: int, gram: int, smaller: bool) -> pa.Table:
     """Spans of one bucket's rows; spans that blocks reported pass through."""
     kinds = table.column("kind").to_numpy()
@@ -291,53 +410,10 @@ def match_bucket(table: pa.Table, window: int, gram: int, smaller: bool) -> pa.T
     times = [len(x) for x in pairs]
     out = [(np.repeat(passed.column("id").to_numpy(), times), np.repeat(passed.column("tag").to_numpy(), times),
             (x[:, 0] << 32) | x[:, 1])] if (x := np.concatenate(pairs) if pairs else None) is not None else []
-    blobs = [read_blob(b) for b in table.filter(pa.array(kinds == 0)).column("blob").to_pylist()]
-    if blobs:
-        shift = np.cumsum([0] + [len(b[0]) for b in blobs])
-        row_id, row_tag = np.concatenate([b[0] for b in blobs]), np.concatenate([b[1] for b in blobs])
-        salt = np.concatenate([b[2] for b in blobs])
-        row = np.concatenate([b[3] + s for b, s in zip(blobs, shift)])
-        length = np.concatenate([b[4] for b in blobs]).astype(np.int64)
-        begin = np.cumsum(length) - length
-        inner = begin + np.concatenate([b[5] for b in blobs])
-        n_places = np.concatenate([b[6] for b in blobs]).astype(np.int64)
-        places = np.concatenate([b[7] for b in blobs])
-        text = np.concatenate([b[8] for b in blobs] + [np.zeros(16, np.uint8)])
-        del blobs
-        place_at = np.cumsum(n_places) - n_places
-        anchor = mix64(gram_hashes(text, gram, inner) ^ salt[row])  # as the blocks had it
-        # only anchors that two rows hold can match
-        order = np.argsort(anchor, kind="stable")
-        ids = row_id[row[order]]
-        head = np.flatnonzero(np.concatenate(([True], anchor[order][1:] != anchor[order][:-1])))
-        size = np.diff(np.concatenate((head, [len(order)])))
-        shared = np.repeat(np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head), size)
-        order, anchor_of = order[shared], np.repeat(np.arange(len(head)), size)[shared]
-        got = []
-        if len(order):
-            upto = np.cumsum(length[order])
-            part = upto // SLICE_BYTES
-            # whole anchors stay together: a slice ends with the anchor that fills it
-            last = np.concatenate((anchor_of[1:] != anchor_of[:-1], [True]))
-            part = part[np.flatnonzero(last)[np.searchsorted(np.flatnonzero(last), np.arange(len(order)))]]
-            for rec in np.split(order, np.flatnonzero(np.diff(part)) + 1):
-                lens = length[rec]
-                starts = np.cumsum(lens) - lens
-                hit = covered_strings(text[ranges(begin[rec], lens)], starts, lens, row_id[row[rec]], anchor[rec], window, smaller)
-                at = np.flatnonzero(hit)
-                if not len(at):
-                    continue
-                owner = np.searchsorted(starts, at, side="right") - 1
-                first = np.concatenate(([True], (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])))
-                end = at[np.concatenate((first[1:], [True]))] + window
-                at, owner = at[first], owner[first]
-                s, e, who = at - starts[owner], end - starts[owner], rec[owner]
-                times = n_places[who]
-                where = places[ranges(place_at[who], times)].astype(np.int64)
-                got.append((np.repeat(row[who], times), where + np.repeat(s, times), where + np.repeat(e, times)))
-        if got:
-            r, spans = merge_by_row(*[np.concatenate(x) for x in zip(*got)])
-            out.append((row_id[r], row_tag[r], spans))
+    for kind in (0, 2):
+        blobs = [read_blob(b) for b in table.filter(pa.array(kinds == kind)).column("blob").to_pylist()]
+        if blobs:
+            out += match_blobs(blobs, window, gram, smaller, kind == 2)
     cols = [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64)] * 3
     return pa.table(dict(zip(("id", "tag", "span"), (pa.array(c, pa.int64()) for c in cols))))
 
@@ -367,7 +443,12 @@ def repeated_spans(rows: DataFrame, id_col: Column, data: Column, group: Column
     total = total_bytes if total_bytes is not None else d.agg(F.sum(F.octet_length("data").cast("long"))).first()[0] or 0
     spread = 1 + (window - 1) * 2 / (window - gram + 2)  # bytes of runs per byte of text
     n_buckets = max(1, math.ceil(total * spread / bucket_bytes))
-    runs = d.mapInArrow(lambda it: scan(it, window, gram, n_buckets, smaller), RUNS)
+    hot = np.zeros(0, np.uint64)
+    if total * spread > HOT_BYTES:  # else no anchor can have so many
+        hot, more = hot_anchors(d, window, gram)
+        longest = 2 * window - gram  # bytes of a run, which has window - gram + 1 strings
+        n_buckets = max(1, math.ceil((total * spread + more * (window - gram + 1) * window / longest) / bucket_bytes))
+    runs = d.mapInArrow(lambda it: scan(it, window, gram, n_buckets, smaller, hot), RUNS)
     return runs.groupBy("bucket").applyInArrow(lambda t: match_bucket(t, window, gram, smaller), SPANS)
 
 
