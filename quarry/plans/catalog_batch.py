@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import cluster, linear, metrics, neighbors, split, transform
-from quarry.plans import batch, tune
+from quarry.plans import batch, models, tune
 from quarry.plans.catalog_models import REG_METRICS_SQL, solve_sql
 from quarry.plans.common import LI_FEATS, LI_KEYS, LI_TARGET, SEED, sig_all, t
 from quarry.plans.registry import HASH, LI_KEYS_SQL, SIG, register
@@ -105,6 +105,25 @@ def q_a16(spark, sf):
     return sig_all(batch.summarize(per, value_cols=("test_r2", "rmse", "mae")), 8)
 
 
+# The SQL twins of t9 and a16 fix one model on one feature; these run the whole of batch.robustness.
+ROBUST_MODELS = ["Linear", "Ridge"]
+
+
+def robustness_sets(spark, sf):
+    return batch.robustness(t(spark, sf, "lineitem"), batch.feature_sets(LI_FEATS, "l_quantity"), LI_TARGET,
+                            ROBUST_MODELS, SEEDS, LI_KEYS)
+
+
+@register("t9_robustness_sets_lineitem")
+def q_t9_sets(spark, sf):
+    return sig_all(robustness_sets(spark, sf), 8)
+
+
+@register("a16_seed_summary_sets_lineitem")
+def q_a16_sets(spark, sf):
+    return sig_all(batch.summarize(robustness_sets(spark, sf)), 8)
+
+
 # ------------------------------------------------------------------ T10 external validation
 
 @register("t10_external_ols_lineitem", f"""WITH
@@ -140,9 +159,15 @@ def q_u10(spark, sf):
 @register("r4_lasso_cv_lineitem")
 def q_r4(spark, sf):
     li = t(spark, sf, "lineitem")
-    best, scores = tune.gram_alpha_search(li, LI_FEATS, LI_TARGET, LI_KEYS, "lasso", [0.01, 0.1, 1.0, 10.0])
-    return spark.createDataFrame([(float(a), float(s), a == best) for a, s in scores.items()],
-                                 "alpha double, cv_mse double, best boolean")
+    trainer = models.make("LassoCV")
+    trainer.keys = LI_KEYS
+    m = trainer.fit(li, LI_FEATS, LI_TARGET)
+    best, scores = m.info["alpha"], m.info["cv_mse"]
+    fitted = (float(m.intercept), *[float(c) for c in m.coef])  # of the refit, beside its alpha
+    empty = (None,) * len(fitted)
+    return spark.createDataFrame([(float(a), float(e), bool(a == best), *(fitted if a == best else empty)) for a, e in scores.items()],
+                                 "alpha double, cv_mse double, best boolean, intercept double, "
+                                 + ", ".join(f"coef_{f} double" for f in LI_FEATS))
 
 
 @register("f5_quantile_transform_lineitem")
