@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from quarry.llm.bitplane_clusters import OP12_SQL, op12_bitplane_clusters
+from quarry.llm.byte_bpe import op11_byte_bpe
 from quarry.llm.chat import OP7_SQL, op7_chat_format
 from quarry.llm.decontaminate import OP2_SQL, op2_decontaminate
+from quarry.llm.fill_middle import OP13_SQL, op13_fill_middle
 from quarry.llm.html_main import op4_html_main
 from quarry.llm.jaccard import op9_jaccard_join
 from quarry.llm.lang_crf import op1_language_crf
@@ -24,6 +27,9 @@ REGISTRY = {
     "op8_url_filter": op8_url_filter,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_quality_rules": op10_quality_rules,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_bitplane_clusters": op12_bitplane_clusters,
+    "op13_fill_middle": op13_fill_middle,
 }
 ORACLE = {
     "op2_decontaminate": OP2_SQL,
@@ -31,4 +37,6 @@ ORACLE = {
     "op7_chat_format": OP7_SQL,
     "op8_url_filter": OP8_SQL,
     "op10_quality_rules": OP10_SQL,
+    "op12_bitplane_clusters": OP12_SQL,
+    "op13_fill_middle": OP13_SQL,
 }
