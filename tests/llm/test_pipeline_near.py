@@ -1,4 +1,5 @@
 import random
+import re
 
 import corpus_pipeline as cp
 from quarry.llm.jaccard import jaccard_groups
@@ -7,8 +8,9 @@ from quarry.llm.jaccard import jaccard_groups
 def brute_roots(rows, n, pct):
     sets = {}
     for i, t in rows:
-        w = t.split()
-        sets[i] = {tuple(w[k:k + n]) for k in range(max(len(w) - n + 1, 0))} or {tuple(w)}
+        w = re.sub("[A-Z]", lambda m: m.group().lower(), t)
+        w = re.findall(r"[^\x20\x09-\x0D]+", w)
+        sets[i] = {tuple(w[k:k + n]) for k in range(max(len(w) - n + 1, 0))} or ({tuple(w)} if w else set())
     root = {i: i for i in sets}
 
     def find(x):
@@ -17,7 +19,7 @@ def brute_roots(rows, n, pct):
         return x
     for a in sorted(sets):
         for b in sorted(sets):
-            if a < b and 100 * len(sets[a] & sets[b]) >= pct * len(sets[a] | sets[b]):
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= pct * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {i: find(i) for i in sets}
