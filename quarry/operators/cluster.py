@@ -14,12 +14,15 @@ from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
+from quarry.operators import neighbors
 from quarry.operators.metrics import cluster_scores, silhouette_squared
 from quarry.operators.neighbors import nearest_center
+from quarry.session import cut_lineage
 
 
 @dataclass
@@ -147,43 +150,59 @@ def birch(df: DataFrame, feats: Sequence[str], k: int = 8, threshold: float = 0.
 
 
 def mean_shift(df: DataFrame, feats: Sequence[str], bandwidth: float | None = None, min_bin_freq: int = 1,
-               max_iter: int = 30, seeds_per_pass: int = 64) -> ClusterModel:
+               max_iter: int = 30) -> ClusterModel:
     """Bin seeding: every bandwidth-sized cell of at least ``min_bin_freq`` rows is
-    a seed. Each step moves every seed to the mean of the rows within the bandwidth
-    (an aggregation per ``seeds_per_pass`` seeds); converged seeds closer than the
-    bandwidth merge, the one with most rows first."""
+    a seed. Seeds are a table; each step moves them to the mean of the rows within the
+    bandwidth by a radius join that returns sums. Settled seeds closer than the
+    bandwidth merge, the one with most rows first, in rounds of a join of the seeds
+    with themselves. Only the final centers reach the driver."""
+    p = len(feats)
     if bandwidth is None:
         sd = df.agg(*[F.stddev_pop(to_double(f)).alias(f"s{i}") for i, f in enumerate(feats)]).first()
-        bandwidth = float(np.mean([sd[f"s{i}"] or 1.0 for i in range(len(feats))]))
-    grid = df.select(*[F.floor(to_double(f) / F.lit(bandwidth)).alias(f"g{i}") for i, f in enumerate(feats)])
-    gcols = [f"g{i}" for i in range(len(feats))]
-    cells = grid.groupBy(*gcols).count().where(F.col("count") >= min_bin_freq).orderBy(F.desc("count"), *gcols).collect()
-    seeds = np.array([[(r[f"g{i}"] + 0.5) * bandwidth for i in range(len(feats))] for r in cells], float)
-    if not len(seeds):
+        bandwidth = float(np.mean([sd[f"s{i}"] or 1.0 for i in range(p)]))
+    rows = cut_lineage(neighbors._points(df.withColumn("__rid", F.monotonically_increasing_id()), "__rid", feats))
+    cell = F.transform("v", lambda x: F.floor(x / F.lit(bandwidth)))
+    seeds = (rows.groupBy(cell.alias("g")).count().where(F.col("count") >= min_bin_freq)
+             .select(F.monotonically_increasing_id().alias("id"), F.transform("g", lambda g: (g + 0.5) * F.lit(bandwidth)).alias("v"),
+                     F.lit(0).cast("long").alias("n"), F.lit(True).alias("moving")))
+    seeds = cut_lineage(seeds)
+    if seeds.isEmpty():
         raise ValueError(f"no cell of the bandwidth {bandwidth} has {min_bin_freq} rows")
-    rows, moving = np.zeros(len(seeds)), np.ones(len(seeds), bool)
+    grid = neighbors._grid(rows, p, bandwidth)
+
+    def sums(qdf, rdf, near):
+        keep = near.any(axis=1)
+        total = near[keep].astype(float) @ neighbors._matrix(rdf["v"])
+        return pd.DataFrame({"id": qdf["id"].to_numpy()[keep], "n": near[keep].sum(axis=1), "s": pd.Series(list(total), dtype=object)})
     for _ in range(max_iter):
-        todo = np.flatnonzero(moving)
-        for start in range(0, len(todo), seeds_per_pass):
-            aggs = []
-            for s in todo[start:start + seeds_per_pass]:
-                d2 = sum(((to_double(f) - F.lit(float(v))) ** 2 for f, v in zip(feats, seeds[s])), F.lit(0.0))
-                inside = d2 <= F.lit(bandwidth ** 2)
-                aggs.append(F.count_if(inside).alias(f"n{s}"))
-                aggs += [F.avg(F.when(inside, to_double(f))).alias(f"m{s}_{i}") for i, f in enumerate(feats)]
-            got = df.agg(*aggs).first()
-            for s in todo[start:start + seeds_per_pass]:
-                rows[s] = got[f"n{s}"]
-                new = np.array([got[f"m{s}_{i}"] for i in range(len(feats))], float) if rows[s] else seeds[s]
-                moving[s] = np.abs(new - seeds[s]).max() >= 1e-3 * bandwidth
-                seeds[s] = new
-        if not moving.any():
+        parts = neighbors.radius_tiles(seeds.where("moving").select("id", "v"), rows, p, bandwidth, sums, "id long, n long, s array<double>", grid=grid)
+        means = parts.groupBy("id").agg(F.sum("n").alias("n2"), F.array(*[F.sum(F.col("s")[i]) for i in range(p)]).alias("s"))
+        apart = F.array_max(F.zip_with("v", "v2", lambda a, b: F.abs(a - b)))
+        seeds = cut_lineage(
+            seeds.join(means, "id", "left").withColumn("v2", F.transform("s", lambda x: x / F.col("n2")))
+            .select("id", F.coalesce("v2", "v").alias("v"), F.coalesce("n2", "n").alias("n"),
+                    (F.col("moving") & F.coalesce(apart >= 1e-3 * bandwidth, F.lit(False))).alias("moving")))
+        if seeds.where("moving").isEmpty():
             break
-    uniq: list = []
-    for s in np.argsort(-rows, kind="stable"):
-        if all(np.linalg.norm(seeds[s] - u) > bandwidth for u in uniq):
-            uniq.append(seeds[s])
-    return ClusterModel(list(feats), [u.tolist() for u in uniq], "meanshift")
+
+    def beaten(qdf, rdf, near):
+        # more rows win, then the smaller id
+        n, m = qdf["n"].to_numpy()[:, None], rdf["n"].to_numpy()[None, :]
+        i, j = qdf["id"].to_numpy()[:, None], rdf["id"].to_numpy()[None, :]
+        return pd.DataFrame({"id": qdf["id"], "lost": (near & ((m > n) | ((m == n) & (j < i)))).any(axis=1)})
+
+    def close(qdf, rdf, near):
+        return pd.DataFrame({"id": qdf["id"].to_numpy()[near.any(axis=1)]})
+    left, centers = seeds.select("id", "v", "n"), []
+    while not left.isEmpty():
+        lost = (neighbors.radius_tiles(left, left, p, bandwidth, beaten, "id long, lost boolean", grid=grid)
+                .groupBy("id").agg(F.max("lost").alias("lost")))
+        won = cut_lineage(left.join(lost.where("NOT lost").select("id"), "id"))
+        centers += [(r["n"], r["v"]) for r in won.collect()]
+        gone = neighbors.radius_tiles(left, won, p, bandwidth, close, "id long", grid=grid).distinct()
+        left = cut_lineage(left.join(gone, "id", "left_anti"))
+    centers.sort(key=lambda c: (-c[0], c[1]))
+    return ClusterModel(list(feats), [c[1] for c in centers], "meanshift")
 
 
 def spectral(df: DataFrame, id_col: str, feats: Sequence[str], k: int = 8, n_neighbors: int = 10,

@@ -1,10 +1,6 @@
-"""Gradient-trained and trial-based models (I, P and B families).
+"""Reweighted, trial-based and boosted models (I and B families); gradient-trained
+ones are in ``gradient``.
 
-* Gradient models (SGD, passive-aggressive, linear SVR, perceptron, MLP,
-  random-Fourier-feature SVM): rounds of parameter averaging. Each round the
-  current parameters (model-sized, not data-sized) ship to every partition,
-  ``mapInPandas`` runs a few local mini-batch epochs there (numpy, Arrow
-  batches) and returns its parameters and row count; the driver averages.
 * Quantile regression: iteratively reweighted Gram solves (one weighted
   moments pass per iteration).
 * Theil-Sen / RANSAC: hypotheses from a bounded seeded sample of rows, then
@@ -16,189 +12,16 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.exprs import col, key_hash, to_double
 from quarry.operators.linear import LinearModel, Moments, coordinate_descent, solve
 from quarry.operators.native import class_list, decision_tree
 
-# ------------------------------------------------------------------ local numpy trainers
-
-
-def _init(p: int, k: int, hidden: int | None, seed: int) -> dict:
-    rng = np.random.default_rng(seed)
-    if hidden:
-        return {"W1": rng.normal(0, math.sqrt(2.0 / p), (p, hidden)), "b1": np.zeros(hidden),
-                "W2": rng.normal(0, math.sqrt(1.0 / hidden), (hidden, k)), "b2": np.zeros(k)}
-    return {"W": np.zeros((p, k)), "b": np.zeros(k)}
-
-
-def _forward(params: dict, X: np.ndarray):
-    if "W1" in params:
-        H = np.maximum(X @ params["W1"] + params["b1"], 0.0)
-        return H @ params["W2"] + params["b2"], H
-    return X @ params["W"] + params["b"], None
-
-
-def _grads(params: dict, X: np.ndarray, Y: np.ndarray, loss: str, eps: float, l2: float) -> dict:
-    out, H = _forward(params, X)
-    m = len(X)
-    if loss == "squared":
-        G = out - Y
-    elif loss == "epsilon_insensitive":
-        r = out - Y
-        G = np.sign(r) * (np.abs(r) > eps)
-    elif loss == "hinge":
-        G = -Y * ((Y * out) < 1)
-    elif loss == "perceptron":
-        G = -Y * ((Y * out) <= 0)
-    elif loss == "softmax":
-        z = out - out.max(axis=1, keepdims=True)
-        P = np.exp(z)
-        P /= P.sum(axis=1, keepdims=True)
-        G = P - Y
-    else:
-        raise ValueError(loss)
-    G = G / m
-    if "W1" in params:
-        dW2 = H.T @ G + l2 * params["W2"]
-        db2 = G.sum(0)
-        dH = (G @ params["W2"].T) * (H > 0)
-        return {"W1": X.T @ dH + l2 * params["W1"], "b1": dH.sum(0), "W2": dW2, "b2": db2}
-    return {"W": X.T @ G + l2 * params["W"], "b": G.sum(0)}
-
-
-def _local_train(X, Y, params, loss, epochs, lr, eps, l2, batch, seed):
-    rng = np.random.default_rng(seed)
-    mom = {k: np.zeros_like(v) for k, v in params.items()}
-    vel = {k: np.zeros_like(v) for k, v in params.items()}
-    t = 0
-    n = len(X)
-    for _ in range(epochs):
-        idx = rng.permutation(n)
-        for s in range(0, n, batch):
-            b = idx[s:s + batch]
-            g = _grads(params, X[b], Y[b], loss, eps, l2)
-            t += 1
-            for k in params:
-                mom[k] = 0.9 * mom[k] + 0.1 * g[k]
-                vel[k] = 0.999 * vel[k] + 0.001 * g[k] ** 2
-                params[k] = params[k] - lr * (mom[k] / (1 - 0.9 ** t)) / (np.sqrt(vel[k] / (1 - 0.999 ** t)) + 1e-8)
-    return params
-
-
-@dataclass
-class GradientModel:
-    features: list
-    params: dict
-    classes: list | None
-    feature_map: object = None  # optional random Fourier features
-    scale: tuple = field(default_factory=tuple)  # (mean, sd) arrays for inputs
-    yscale: tuple = (0.0, 1.0)  # regression target is standardised too
-
-    def _design(self, X: np.ndarray) -> np.ndarray:
-        mu, sd = self.scale
-        Z = (X - mu) / sd
-        return self.feature_map(Z) if self.feature_map is not None else Z
-
-    def transform(self, df: DataFrame, out_col: str = "prediction") -> DataFrame:
-        feats, params, classes = self.features, self.params, self.classes
-        design = self._design
-        ym, ys = self.yscale
-
-        @F.pandas_udf("double")
-        def score(*cols: pd.Series) -> pd.Series:
-            X = np.column_stack([c.to_numpy(float) for c in cols])
-            out, _ = _forward(params, design(X))
-            if classes is None:
-                return pd.Series(out[:, 0] * ys + ym)
-            return pd.Series(np.argmax(out, axis=1).astype(float))
-
-        s = score(*[to_double(f) for f in feats])
-        if classes is None:
-            return df.withColumn(out_col, s)
-        arr = F.array(*[F.lit(c) for c in classes])
-        return df.withColumn(out_col, F.element_at(arr, s.cast("int") + 1))
-
-
-def fit_gradient(df: DataFrame, features: Sequence[str], target: str, task: str = "regression",
-                 loss: str = "squared", hidden: int | None = None, rounds: int = 5, epochs: int = 5,
-                 lr: float = 0.01, eps: float = 0.1, l2: float = 1e-4, batch: int = 32, seed: int = 42,
-                 rff: int | None = None, gamma: float | None = None) -> GradientModel:
-    """Parameter-averaged distributed training (see module docstring)."""
-    feats = list(features)
-    p = len(feats)
-    yexprs = ([] if task == "classification" else
-              [F.avg(to_double(target)).alias("ym"), F.stddev_pop(to_double(target)).alias("ys")])
-    st = df.agg(*[x for i, f in enumerate(feats) for x in
-                  (F.avg(to_double(f)).alias(f"m{i}"), F.stddev_pop(to_double(f)).alias(f"s{i}"))],
-                *yexprs).first()
-    yscale = (0.0, 1.0) if task == "classification" else (st["ym"] or 0.0, st["ys"] or 1.0)
-    mu = np.array([st[f"m{i}"] or 0.0 for i in range(p)])
-    sd = np.array([st[f"s{i}"] or 1.0 for i in range(p)])
-    sd[sd == 0] = 1.0
-    fmap = None
-    dim = p
-    if rff:
-        rng = np.random.default_rng(seed)
-        g = gamma if gamma is not None else 1.0 / p  # inputs are standardised: 'scale' gamma
-        Om = rng.normal(0, math.sqrt(2 * g), (p, rff))
-        be = rng.uniform(0, 2 * math.pi, rff)
-
-        def fmap(Z, Om=Om, be=be, D=rff):
-            return math.sqrt(2.0 / D) * np.cos(Z @ Om + be)
-        dim = rff
-    classes = class_list(df, target) if task == "classification" else None
-    k = len(classes) if classes else 1
-    params = _init(dim, k, hidden, seed)
-    model = GradientModel(feats, params, classes, fmap, (mu, sd), yscale)
-    y = col(target).cast("string") if classes else to_double(target)
-    data = df.select(*[to_double(f).alias(f"f{i}") for i, f in enumerate(feats)], y.alias("y")).na.drop()
-    fnames = [f"f{i}" for i in range(p)]
-    for r in range(rounds):
-        cur = {kk: v.copy() for kk, v in model.params.items()}
-        design = model._design
-
-        def part(it, cur=cur, r=r):
-            Xs, Ys = [], []
-            for pdf in it:
-                Xs.append(pdf[fnames].to_numpy(float))
-                Ys.append(pdf["y"].to_numpy())
-            if not Xs or sum(len(x) for x in Xs) == 0:
-                return
-            X = design(np.vstack(Xs))
-            yv = np.concatenate(Ys)
-            if classes is None:
-                Y = ((yv.astype(float) - yscale[0]) / yscale[1])[:, None]
-            else:
-                idx = np.array([classes.index(v) for v in yv])
-                if loss == "softmax":
-                    Y = np.eye(k)[idx]
-                else:
-                    Y = np.where(np.eye(k)[idx] > 0, 1.0, -1.0)
-            out = _local_train(X, Y, {kk: v.copy() for kk, v in cur.items()}, loss, epochs, lr, eps, l2,
-                               batch, seed + r)
-            flat = np.concatenate([out[kk].ravel() for kk in sorted(out)])
-            yield pd.DataFrame({"n": [float(len(X))], "w": [flat.tolist()]})
-
-        rows = data.mapInPandas(part, "n double, w array<double>").collect()  # one row per partition
-        tot = sum(rw["n"] for rw in rows)
-        avg = sum(np.array(rw["w"]) * rw["n"] for rw in rows) / tot
-        off = 0
-        newp = {}
-        for kk in sorted(cur):
-            size = cur[kk].size
-            newp[kk] = avg[off:off + size].reshape(cur[kk].shape)
-            off += size
-        model.params = newp
-    return model
-
-
 # ------------------------------------------------------------------ quantile regression
 
 def weighted_moments(df: DataFrame, cols: Sequence[str], w: Column) -> Moments:

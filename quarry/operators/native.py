@@ -160,7 +160,7 @@ def logistic(C_: float = 1.0, max_iter: int = 100):
 
 
 def linear_svc(C_: float = 1.0, max_iter: int = 1000):
-    """C11: one-vs-rest linear SVM (hinge loss; the reference uses squared hinge)."""
+    """C11: one-vs-rest linear SVM with plain hinge loss (``gradient`` has the squared one)."""
     Cl, _ = _ml()
 
     class _SVC(SparkEstimator):

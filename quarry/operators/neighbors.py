@@ -1,31 +1,43 @@
 """Distance joins and neighbour-based models.
 
-Exact k-nearest and radius joins use a blocked plan: references are
-hash-split into blocks of at most ``block_rows`` rows, queries into chunks of
-the same size; every (chunk, block) pair meets in one ``cogroup`` task which
-computes its distance tile in numpy and emits only the k best candidates per
-query (or the pairs within the radius). A final window keeps the global k
-best per query (at most blocks x k candidates each). No task holds more than
-two blocks, no all-pairs table is materialised, and the total work is the
-unavoidable |Q| x |R| distance evaluations of an exact search.
+Exact joins that prune space before any row is copied. Rows with a missing or not
+finite feature meet nothing.
+
+* Radius joins use grid cells of the radius over at most ``GRID_DIMS`` features (the
+  ones with most spread in units of the radius): a query goes to its own cell, a
+  reference to its own and the adjoining ones, so a row has at most
+  ``3 ** GRID_DIMS`` copies whatever the number of rows.
+* k-nearest joins use pivots (rows of least hash): every reference belongs to the
+  cell of its nearest pivot. A first pass meets each query with its own cell, which
+  bounds its k-th distance; the triangle and half-space inequalities then tell which
+  other cells can hold something nearer, and only those get a copy of the query.
+* Cells of more than ``block_rows`` rows on a side are cut by hash into chunks of
+  queries and blocks of references; a task holds one of each. Copies of one point
+  beyond the k + 1 smallest ids can be no one's neighbours and are left out where
+  cells are crowded.
+* Where only sums, counts or minima of neighbours are wanted (radius regression,
+  density clustering, mean shift), tiles return those per query: pairs are never
+  stored.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from typing import Sequence
+from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.functions.exprs import col, to_double
+from quarry.functions.exprs import all_true, bounded_broadcast, col, to_double
 from quarry.functions.quantiles import quantile
 from quarry.session import cut_lineage
 
 BLOCK_ROWS = 4096
+GRID_DIMS = 3
+MAX_PIVOTS = 1024
 
 
 def vector_columns(df: DataFrame, vec_col: str, dim: int, prefix: str = "x") -> tuple[DataFrame, list[str]]:
@@ -34,22 +46,11 @@ def vector_columns(df: DataFrame, vec_col: str, dim: int, prefix: str = "x") ->
     return df.select("*", *[col(vec_col)[i].cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
-def _tiles(df: DataFrame, id_col: str, feats: Sequence[str], n_parts: int, part_col: str,
-           other_parts: int, other_col: str) -> DataFrame:
-    """Assign rows to ``n_parts`` hash parts and replicate them over the other side's parts."""
-    base = df.select(col(id_col).alias("__id"), *[to_double(f).alias(f"__f{i}") for i, f in enumerate(feats)])
-    base = base.withColumn(part_col, F.pmod(F.xxhash64("__id"), F.lit(n_parts)).cast("int"))
-    return base.withColumn(other_col, F.explode(F.sequence(F.lit(0), F.lit(other_parts - 1))))
-
-
-def _pairs_plan(queries: DataFrame, refs: DataFrame, qid: str, rid: str, feats: Sequence[str],
-                block_rows: int):
-    nq, nr = queries.count(), refs.count()
-    qparts = max(1, math.ceil(nq / block_rows))
-    rparts = max(1, math.ceil(nr / block_rows))
-    q = _tiles(queries, qid, feats, qparts, "__qc", rparts, "__rb")
-    r = _tiles(refs, rid, feats, rparts, "__rb", qparts, "__qc")
-    return q, r
+def _points(df: DataFrame, id_col: str, feats: Sequence[str], *extra: Column) -> DataFrame:
+    """(id, v, extra...) of the rows whose features are all finite."""
+    cols = [to_double(f) for f in feats]
+    return (df.where(all_true([F.abs(c) < float("inf") for c in cols]))
+            .select(col(id_col).cast("long").alias("id"), F.array(*cols).alias("v"), *extra))
 
 
 def _dist_tile(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
@@ -62,55 +63,221 @@ def _dist_tile(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
     return out
 
 
-def knn_join(queries: DataFrame, refs: DataFrame, qid: str, rid: str, feats: Sequence[str], k: int,
-             exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """For every query id its k nearest reference ids: (qid, rid, dist, rank 1..k).
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(float)
 
-    Ties on distance are broken by the reference id.
-    """
-    q, r = _pairs_plan(queries, refs, qid, rid, feats, block_rows)
-    p = len(feats)
-    fcols = [f"__f{i}" for i in range(p)]
-    kk = k + (1 if exclude_self else 0)
+
+def _meet(q: DataFrame, r: DataFrame, cell: Sequence[str], fn: Callable, schema: str, block_rows: int) -> DataFrame:
+    """``fn(queries, references)`` on every pair of a chunk and a block that share a
+    cell. Crowded cells are counted first; their table is broadcast if it is small."""
+    cell = list(cell)
+    # columns of its own for each side: a table may meet itself
+    q, r = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (q, r))
+    load = (q.groupBy(*cell).agg(F.count(F.lit(1)).alias("__nq")).join(r.groupBy(*cell).agg(F.count(F.lit(1)).alias("__nr")), cell)
+            .where((F.col("__nq") > block_rows) | (F.col("__nr") > block_rows))
+            .select(*cell, F.ceil(F.col("__nq") / block_rows).cast("int").alias("__chunks"),
+                    F.ceil(F.col("__nr") / block_rows).cast("int").alias("__blocks")))
+    load = bounded_broadcast(load)
+    chunks, blocks = F.coalesce("__chunks", F.lit(1)), F.coalesce("__blocks", F.lit(1))
+
+    def part(n):
+        return F.pmod(F.xxhash64("id", F.lit(7)), n).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+    q = q.join(load, cell, "left").withColumn("__c", part(chunks)).withColumn("__b", every(blocks)).drop("__chunks", "__blocks")
+    r = r.join(load, cell, "left").withColumn("__b", part(blocks)).withColumn("__c", every(chunks)).drop("__chunks", "__blocks")
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def tile(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
         if qdf.empty or rdf.empty:
-            return pd.DataFrame({"q": [], "r": [], "dist": []})
-        Q, R = qdf[fcols].to_numpy(float), rdf[fcols].to_numpy(float)
-        qi, ri = qdf["__id"].to_numpy(), rdf["__id"].to_numpy()
-        D = _dist_tile(Q, R)
-        if exclude_self:
-            D[qi[:, None] == ri[None, :]] = np.inf
-        order = np.lexsort((np.broadcast_to(ri, D.shape), D), axis=1)[:, :kk]
-        rows = np.repeat(np.arange(len(qi)), order.shape[1])
-        cols = order.ravel()
-        d = D[rows, cols]
-        keep = np.isfinite(d)
-        return pd.DataFrame({"q": qi[rows][keep], "r": ri[cols][keep], "dist": d[keep]})
-
-    cand = (q.groupBy("__qc", "__rb").cogroup(r.groupBy("__qc", "__rb"))
-            .applyInPandas(tile, "q long, r long, dist double"))
-    w = Window.partitionBy("q").orderBy("dist", "r")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(F.col("q").alias(qid), F.col("r").alias(f"nbr_{rid}" if qid == rid else rid),
-                    "dist", "rank"))
+            return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+        return fn(qdf, rdf)
+    keys = [*cell, "__c", "__b"]
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(tile, schema)
+
+
+# ---------------------------------------------------------------- radius
+
+
+def _grid(points: DataFrame, n_feats: int, radius: float) -> tuple[list[int], float]:
+    """Features of the grid and the cells' side. The side is a little over the radius,
+    so that rounding can't put two rows of this distance two cells apart."""
+    x = [F.col("v")[i] for i in range(n_feats)]
+    st = points.agg(*[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(x)],
+                    *[F.max(F.abs(c)).alias(f"m{i}") for i, c in enumerate(x)]).first()
+    spread = sorted(((st[f"s{i}"] or 0.0, i) for i in range(n_feats)), key=lambda t: (-t[0], t[1]))
+    dims = [i for s, i in spread[:GRID_DIMS] if s > 0.25 * radius]
+    far = max((st[f"m{i}"] or 0.0 for i in dims), default=0.0)
+    return dims, max(radius * (1 + 1e-6), far * 1e-9, 1e-300)
+
+
+def radius_tiles(queries: DataFrame, refs: DataFrame, n_feats: int, radius: float, fn: Callable, schema: str,
+                 block_rows: int = BLOCK_ROWS, grid: tuple | None = None) -> DataFrame:
+    """``fn(queries, references, near)`` for the tiles of a radius join of two tables
+    (id, v, ...); ``near`` tells which pairs lie within the radius. A pair is in
+    exactly one tile, a query in as many as its cell has blocks."""
+    dims, side = grid or _grid(refs, n_feats, radius)
+    cell = [f"__g{k}" for k in range(len(dims))] or ["__g"]
+    own = [F.floor(F.col("v")[i] / F.lit(side)) for i in dims] or [F.lit(0)]
+    q = queries.select("*", *[c.alias(n) for c, n in zip(own, cell)])
+    r = refs.select("*", *[c.alias(n) for c, n in zip(own, cell)])
+    for n in cell if dims else []:
+        r = r.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
+
+    def tile(qdf, rdf):
+        return fn(qdf, rdf, _dist_tile(_matrix(qdf["v"]), _matrix(rdf["v"])) <= radius)
+    return _meet(q, r, cell, tile, schema, block_rows)
 
 
 def radius_join(queries: DataFrame, refs: DataFrame, qid: str, rid: str, feats: Sequence[str],
                 radius: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """All (query, reference) pairs with distance <= radius."""
-    q, r = _pairs_plan(queries, refs, qid, rid, feats, block_rows)
-    fcols = [f"__f{i}" for i in range(len(feats))]
+    q, r = _points(queries, qid, feats), _points(refs, rid, feats)
+
+    def pairs(qdf, rdf, near):
+        a, b = np.nonzero(near)
+        Q, R = _matrix(qdf["v"]), _matrix(rdf["v"])
+        d = Q[a] - R[b]
+        return pd.DataFrame({"q": qdf["id"].to_numpy()[a], "r": rdf["id"].to_numpy()[b], "dist": np.sqrt(np.einsum("ij,ij->i", d, d))})
+    return radius_tiles(q, r, len(feats), radius, pairs, "q long, r long, dist double", block_rows)
 
-    def tile(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or rdf.empty:
-            return pd.DataFrame({"q": [], "r": [], "dist": []})
-        D = _dist_tile(qdf[fcols].to_numpy(float), rdf[fcols].to_numpy(float))
-        a, b = np.nonzero(D <= radius)
-        return pd.DataFrame({"q": qdf["__id"].to_numpy()[a], "r": rdf["__id"].to_numpy()[b], "dist": D[a, b]})
 
-    return (q.groupBy("__qc", "__rb").cogroup(r.groupBy("__qc", "__rb"))
-            .applyInPandas(tile, "q long, r long, dist double"))
+# ---------------------------------------------------------------- k nearest
+
+
+def _smallest(D: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least entries of every row, ties to the smaller id."""
+    if D.shape[1] > k:
+        limit = np.partition(D, k - 1, axis=1)[:, k - 1:k]
+        row, at = np.nonzero(D <= limit)
+    else:
+        row, at = (x.ravel() for x in np.indices(D.shape))
+    order = np.lexsort((ids[at], D[row, at], row))
+    row, at = row[order], at[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[rank < k], at[rank < k]
+
+
+def _nearest_in_cells(q: DataFrame, r: DataFrame, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """(q, r, dist): the k nearest references of each query in each block of a cell they share."""
+    def tile(qdf, rdf):
+        D = _dist_tile(_matrix(qdf["v"]), _matrix(rdf["v"]))
+        qi, ri = qdf["id"].to_numpy(), rdf["id"].to_numpy()
+        if exclude_self:
+            D[qi[:, None] == ri[None, :]] = np.inf
+        row, at = _smallest(D, ri, k)
+        keep = np.isfinite(D[row, at])
+        row, at = row[keep], at[keep]
+        return pd.DataFrame({"q": qi[row], "r": ri[at], "dist": D[row, at]})
+    return _meet(q, r, ["cell"], tile, "q long, r long, dist double", block_rows)
+
+
+def _best(cand: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("q").orderBy("dist", "r")
+    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _cells_of(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds ``cell``, the nearest pivot, and ``far``, the distance to it."""
+    def run(it):
+        for pdf in it:
+            out = pdf
+            if len(pdf):
+                D = _dist_tile(_matrix(pdf["v"]), pivots)
+                out = pdf.assign(cell=D.argmin(axis=1).astype("int32"), far=D.min(axis=1))
+            else:
+                out = pdf.assign(cell=np.zeros(0, "int32"), far=np.zeros(0))
+            yield out
+    return points.mapInPandas(run, "id long, v array<double>, cell int, far double")
+
+
+def _wanted_cells(Q: np.ndarray, own: np.ndarray, bound: np.ndarray, pivots: np.ndarray, radii: np.ndarray,
+                  sizes: np.ndarray, need: int) -> list[np.ndarray]:
+    """Cells other than a query's own that can hold one of its nearest. ``radii`` and
+    ``sizes``: largest distance to the pivot in each cell, and its rows (0: empty)."""
+    D = _dist_tile(Q, pivots)
+    # whatever the first pass found: enough rows lie within the distance to a pivot plus its radius
+    reach = np.where(sizes > 0, D + radii, np.inf)
+    order = np.argsort(reach, axis=1, kind="stable")
+    enough = np.cumsum(sizes[order], axis=1) >= need
+    first = np.where(enough.any(axis=1), enough.argmax(axis=1), len(sizes) - 1)
+    roof = reach[np.arange(len(Q)), order[np.arange(len(Q)), first]]
+    roof = np.where(enough.any(axis=1), roof, np.inf)
+    bound = np.minimum(bound, roof) * (1 + 1e-9)
+    between = _dist_tile(pivots, pivots)[own]
+    half = (D ** 2 - D[np.arange(len(Q)), own][:, None] ** 2) / (2 * np.where(between > 0, between, np.inf))
+    slack = 1e-9 * (1 + np.abs(D))
+    can = (D - radii - slack <= bound[:, None]) & (half - slack <= bound[:, None]) & (sizes > 0)
+    can[np.arange(len(Q)), own] = False
+    return [np.flatnonzero(row) for row in can]
+
+
+def _pivots(refs: DataFrame, n: int) -> np.ndarray:
+    rows = refs.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(n).collect()
+    return np.unique(np.array([r["v"] for r in rows], float), axis=0)
+
+
+def knn_candidates(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool, block_rows: int,
+                   n_pivots: int) -> tuple[DataFrame, DataFrame | None]:
+    """Candidates (q, r, dist) that hold every query's k nearest, and the copies (id, v,
+    cell) that queries sent to cells other than their own."""
+    one = [d.withColumn("cell", F.lit(0)) for d in (queries, refs)]
+    if n_pivots < 2:
+        return _nearest_in_cells(*one, k, exclude_self, block_rows), None
+    pivots = _pivots(refs, n_pivots)
+    if len(pivots) < 2:
+        return _nearest_in_cells(one[0], _few_copies(one[1], k), k, exclude_self, block_rows), None
+    r = cut_lineage(_cells_of(refs, pivots))
+    stats = r.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("radius")).collect()
+    if max(s["n"] for s in stats) > 4 * block_rows:
+        r = cut_lineage(_few_copies(r, k))
+    sizes, radii = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for s in stats:
+        # copies that were left out don't count: a bound from fewer rows is only wider
+        sizes[s["cell"]], radii[s["cell"]] = s["n"], s["radius"]
+    if max(s["n"] for s in stats) > 4 * block_rows:
+        for s in r.groupBy("cell").count().collect():
+            sizes[s["cell"]] = s["count"]
+    r = r.drop("far")
+    q = cut_lineage(_cells_of(queries, pivots).drop("far"))
+    near = cut_lineage(_best(_nearest_in_cells(q, r, k, exclude_self, block_rows), k))
+    bounds = near.where(F.col("rank") == k).select(F.col("q").alias("id"), F.col("dist").alias("bound"))
+    wide = q.join(bounds, "id", "left")
+
+    def run(it):
+        for pdf in it:
+            if not len(pdf):
+                continue
+            for a in range(0, len(pdf), 1024):
+                part = pdf.iloc[a:a + 1024]
+                cells = _wanted_cells(_matrix(part["v"]), part["cell"].to_numpy(), part["bound"].fillna(np.inf).to_numpy(float),
+                                      pivots, radii, sizes, k + exclude_self)
+                n = np.fromiter(map(len, cells), np.int64, len(cells))
+                at = np.repeat(np.arange(len(part)), n)
+                yield pd.DataFrame({"id": part["id"].to_numpy()[at], "v": part["v"].to_numpy()[at],
+                                    "cell": np.concatenate(cells).astype("int32") if len(at) else np.zeros(0, "int32")})
+    sent = cut_lineage(wide.mapInPandas(run, "id long, v array<double>, cell int"))
+    more = _nearest_in_cells(sent, r, k, exclude_self, block_rows)
+    return near.select("q", "r", "dist").union(more), sent
+
+
+def _few_copies(refs: DataFrame, k: int) -> DataFrame:
+    """Of equal points only the k + 1 smallest ids (Spark limits groups before it shuffles them)."""
+    w = Window.partitionBy("v").orderBy("id")
+    return refs.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= k + 1).drop("__n")
+
+
+def knn_join(queries: DataFrame, refs: DataFrame, qid: str, rid: str, feats: Sequence[str], k: int,
+             exclude_self: bool = False, block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """For every query id its k nearest reference ids: (qid, rid, dist, rank 1..k).
+
+    Ties on distance are broken by the reference id.
+    """
+    q, r = _points(queries, qid, feats), _points(refs, rid, feats)
+    n_pivots = min(max_pivots, math.ceil(r.count() / block_rows))
+    cand, _ = knn_candidates(q, r, k, exclude_self, block_rows, n_pivots)
+    return _best(cand, k).select(F.col("q").alias(qid), F.col("r").alias(f"nbr_{rid}" if qid == rid else rid), "dist", "rank")
 
 
 def knn_regress(train: DataFrame, test: DataFrame, id_col: str, feats: Sequence[str], target: str,
@@ -143,9 +310,13 @@ def knn_classify(train: DataFrame, test: DataFrame, id_col: str, feats: Sequence
 def radius_regress(train: DataFrame, test: DataFrame, id_col: str, feats: Sequence[str], target: str,
                    radius: float = 1.0) -> DataFrame:
     """Mean target of training points within ``radius``; none -> NULL."""
-    pairs = radius_join(test, train, id_col, id_col, feats, radius)
-    tgt = train.select(col(id_col).alias("r"), to_double(target).alias("__t"))
-    means = pairs.join(tgt, "r").groupBy(F.col("q").alias(id_col)).agg(F.avg("__t").alias("prediction"))
+    q = _points(test, id_col, feats)
+    r = _points(train.where(to_double(target).isNotNull()), id_col, feats, to_double(target).alias("t"))
+
+    def sums(qdf, rdf, near):
+        return pd.DataFrame({"id": qdf["id"], "n": near.sum(axis=1), "s": near @ rdf["t"].to_numpy(float)})
+    means = (radius_tiles(q, r, len(feats), radius, sums, "id long, n long, s double").where("n > 0")
+             .groupBy(F.col("id").alias(id_col)).agg((F.sum("s") / F.sum("n")).alias("prediction")))
     return test.select(id_col).join(means, id_col, "left")
 
 
@@ -177,48 +348,91 @@ def nearest_center(df: DataFrame, feats: Sequence[str], centers: Sequence[Sequen
     return out.withColumn(out_col, idx.cast("int")).drop("__vec", "__d")
 
 
-def dbscan(df: DataFrame, id_col: str, feats: Sequence[str], eps: float = 0.5, min_samples: int = 5) -> DataFrame:
-    """Density clustering.
+def _forest(near: np.ndarray, q_node: np.ndarray, r_node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least node) that connect what the pairs of a tile connect: at most
+    one for each node."""
+    nodes, at = np.unique(np.concatenate((q_node, r_node)), return_inverse=True)
+    qi, ri = at[:len(q_node)], at[len(q_node):]
+    lab = np.arange(len(nodes), dtype=np.int32)
+    none = np.int32(len(nodes))
+    while True:
+        new, by_r = lab.copy(), lab[ri]
+        low = np.full(len(ri), none)
+        for a in range(0, len(qi), 256):
+            part = near[a:a + 256]
+            low = np.minimum(low, np.where(part, lab[qi[a:a + 256]][:, None], none).min(axis=0))
+            np.minimum.at(new, qi[a:a + 256], np.where(part, by_r[None, :], none).min(axis=1))
+        np.minimum.at(new, ri, low)
+        new = new[new]
+        if (new == lab).all():
+            break
+        lab = new
+    move = np.flatnonzero(lab != np.arange(len(nodes)))
+    return nodes[move], nodes[lab[move]]
 
-    Neighbour pairs come from the radius join; core points have >=
-    min_samples neighbours (self included). Components of the core graph are
-    found by iterative min-label propagation (each round a join + groupBy;
-    every round is cut with a reliable checkpoint). Cluster id =
-    smallest core id of the component; a border point takes the smallest
-    cluster id among its core neighbours; others are noise (-1).
-    """
-    # reused every round: keep the neighbour pairs (bounded by density) materialised
-    pairs = radius_join(df, df, id_col, id_col, feats, eps).select("q", "r").persist(StorageLevel.MEMORY_AND_DISK)
-    deg = pairs.groupBy("q").agg(F.count(F.lit(1)).alias("deg"))
-    core = deg.where(F.col("deg") >= min_samples).select(F.col("q").alias("id"))
-    core_ids = core.withColumnRenamed("id", "r")
-    edges = (pairs.join(core_ids, "r").join(core.withColumnRenamed("id", "q"), "q").select("q", "r")
-             .persist(StorageLevel.MEMORY_AND_DISK))
-    labels = cut_lineage(core.select("id", F.col("id").alias("lab")))
+
+def connect(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, lab): the least node of each node's component; ``edges`` (u, v), ``nodes``
+    (id). Rounds of least neighbour and pointer jumping, each cut by a checkpoint."""
+    both = cut_lineage(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = cut_lineage(nodes.select("id", F.col("id").alias("lab")))
     while True:  # until no label changes
-        prop = (edges.join(labels.withColumnRenamed("id", "r"), "r")
-                .groupBy(F.col("q").alias("id")).agg(F.min("lab").alias("cand")))
+        least = (both.join(labels.withColumnRenamed("id", "v"), "v")
+                 .groupBy(F.col("u").alias("id")).agg(F.min("lab").alias("cand")))
         # hook, then materialise: the shortcut below reads the result twice,
         # so without a cut the plan would double every round
-        hooked = cut_lineage(labels.join(prop, "id", "left")
-                             .select("id", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
-        # shortcut (pointer jumping): a label's own label is in the same component
+        hooked = cut_lineage(labels.join(least, "id", "left").select("id", F.least("lab", F.coalesce("cand", "lab")).alias("lab")))
         jump = hooked.select(F.col("id").alias("lab"), F.col("lab").alias("lab2"))
-        new = cut_lineage(hooked.join(jump, "lab", "left")
-                          .select("id", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
-        changed = new.join(labels.withColumnRenamed("lab", "old"), "id").where(F.col("lab") != F.col("old")).count()
+        new = cut_lineage(hooked.join(jump, "lab", "left").select("id", F.least("lab", F.coalesce("lab2", "lab")).alias("lab")))
+        changed = new.join(labels.withColumnRenamed("lab", "old"), "id").where(F.col("lab") != F.col("old")).isEmpty()
         labels = new
-        if changed == 0:
-            break
-    border = (pairs.join(labels.withColumnRenamed("id", "r"), "r")
-              .groupBy(F.col("q").alias("id")).agg(F.min("lab").alias("blab")))
-    out = (df.select(col(id_col).alias("id")).join(labels, "id", "left").join(border, "id", "left")
-           .select(F.col("id").alias(id_col),
-                   F.coalesce("lab", "blab", F.lit(-1)).cast("long").alias("cluster")))
-    out = cut_lineage(out)  # materialise on shared storage, then release the cached inputs
-    for cached in (edges, pairs):
-        cached.unpersist()
-    return out
+        if changed:
+            return labels
+
+
+def dbscan(df: DataFrame, id_col: str, feats: Sequence[str], eps: float = 0.5, min_samples: int = 5,
+           block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Density clustering.
+
+    Tiles of the radius join count neighbours (self included): core points have at
+    least min_samples. Core points of one fine cell (diagonal eps) are all neighbours
+    and so one node. A second join of the core points returns for each tile the edges
+    of a spanning forest between nodes, at most one a node, so no list of pairs is
+    kept however dense the points lie; components of the forests are the clusters.
+    Cluster id = smallest core id; a border point takes the smallest cluster id among
+    its core neighbours (a third join, minima only); others are noise (-1).
+    """
+    p = len(feats)
+    pts = cut_lineage(_points(df, id_col, feats))
+    grid = _grid(pts, p, eps)
+
+    def count(qdf, rdf, near):
+        return pd.DataFrame({"id": qdf["id"], "n": near.sum(axis=1)})
+    deg = radius_tiles(pts, pts, p, eps, count, "id long, n long", block_rows, grid).groupBy("id").agg(F.sum("n").alias("n"))
+    marked = cut_lineage(pts.join(deg, "id").select("id", "v", (F.col("n") >= min_samples).alias("core")))
+    # a hair smaller than eps, so that rounding can't make the diagonal longer
+    side = max(eps / math.sqrt(max(p, 1)) * (1 - 1e-9), 1e-300)
+    fine = marked.where("core").withColumn("cell", F.transform("v", lambda x: F.floor(x / F.lit(side))))
+    names = fine.groupBy("cell").agg(F.min("id").alias("node"))
+    core = cut_lineage(fine.join(names, "cell").select("id", "v", "node"))
+
+    def link(qdf, rdf, near):
+        u, v = _forest(near, qdf["node"].to_numpy(), rdf["node"].to_numpy())
+        return pd.DataFrame({"u": u, "v": v})
+    edges = radius_tiles(core, core, p, eps, link, "u long, v long", block_rows, grid).distinct()
+    labels = connect(edges, core.select(F.col("node").alias("id")).distinct())
+    core = core.join(labels.withColumnRenamed("id", "node"), "node").select("id", "v", "lab")
+    core = cut_lineage(core)
+
+    def least(qdf, rdf, near):
+        lab = np.where(near, rdf["lab"].to_numpy()[None, :], np.iinfo(np.int64).max).min(axis=1)
+        keep = near.any(axis=1)
+        return pd.DataFrame({"id": qdf["id"].to_numpy()[keep], "blab": lab[keep]})
+    border = (radius_tiles(marked.where("NOT core").drop("core"), core, p, eps, least, "id long, blab long", block_rows, grid)
+              .groupBy("id").agg(F.min("blab").alias("blab")))
+    return cut_lineage(
+        df.select(col(id_col).cast("long").alias("id")).join(core.select("id", "lab"), "id", "left").join(border, "id", "left")
+        .select(F.col("id").alias(id_col), F.coalesce("lab", "blab", F.lit(-1)).cast("long").alias("cluster")))
 
 
 def local_outlier_factor(df: DataFrame, id_col: str, feats: Sequence[str], k: int = 20,

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
-from quarry.operators import bayes, cluster, iterative, linear, native, neighbors, split
+from quarry.operators import bayes, cluster, gradient, iterative, linear, native, neighbors, split
 from quarry.operators.bayes import ScoreModel
 from quarry.session import cut_lineage
 
@@ -160,7 +160,7 @@ class KnnTrainer:
 
 
 def _grad(task, **kw):
-    return FnTrainer(lambda df, f, t: iterative.fit_gradient(df, f, t, task=task, **kw))
+    return FnTrainer(lambda df, f, t: gradient.fit_gradient(df, f, t, task=task, **kw))
 
 
 def _gram(method, cv=False, **defaults):
@@ -226,24 +226,39 @@ def _ada(task):
 
 
 def _mlp(task, loss):
-    def build(hidden_layer_size=100, max_iter=10, learning_rate_init=1e-3, alpha=1e-4, random_state=42):
-        return _grad(task, loss=loss, hidden=hidden_layer_size, rounds=5, epochs=max_iter, lr=learning_rate_init,
-                     l2=alpha, seed=random_state)
+    def build(hidden_layer_sizes=(100,), max_iter=100, alpha=1e-4, random_state=42):
+        sizes = (hidden_layer_sizes,) if isinstance(hidden_layer_sizes, int) else tuple(hidden_layer_sizes)
+        return _grad(task, loss=loss, hidden=sizes, max_iter=max_iter, l2=alpha, seed=random_state)
     return build
 
 
 def _svm(task, loss):
-    def build(epsilon=0.1, gamma=None, n_components=200, alpha=1e-4, random_state=42):
-        return _grad(task, loss=loss, rff=n_components, eps=epsilon, gamma=gamma, l2=alpha, seed=random_state)
+    def build(kernel="rbf", C=1.0, degree=3, gamma=None, coef0=0.0, epsilon=0.1, n_components=200, max_iter=100, random_state=42):
+        return _grad(task, loss=loss, kernel=kernel, C=C, degree=degree, gamma=gamma, coef0=coef0, eps=epsilon,
+                     n_components=n_components, max_iter=max_iter, seed=random_state)
     return build
 
 
-def _linear_loss(task, loss, epsilon=0.1, alpha=1e-4):
-    def build(epsilon=epsilon, alpha=alpha, eta0=0.01, max_iter=5, random_state=42):
-        return _grad(task, loss=loss, eps=epsilon, l2=alpha, lr=eta0, epochs=max_iter, seed=random_state)
+def _sgd(task, loss):
+    def build(loss=loss, alpha=1e-4, epsilon=0.1, max_iter=100):
+        return _grad(task, loss=loss, l2=alpha, eps=epsilon, max_iter=max_iter)
     return build
 
 
+def _aggressive(task, loss):
+    def build(C=1.0, epsilon=0.1, max_iter=100):
+        return _grad(task, loss=loss, C=C, eps=epsilon, max_iter=max_iter)
+    return build
+
+
+def _linear_svr(epsilon=0.0, C=1.0, max_iter=100):
+    return _grad("regression", loss="epsilon_insensitive", eps=epsilon, C=C, max_iter=max_iter)
+
+
+def _perceptron(max_iter=100):
+    return _grad("classification", loss="perceptron", max_iter=max_iter)
+
+
 def _knn(task):
     def build(n_neighbors=5, weights="uniform"):
         if weights not in ("uniform", "distance") or task == "classification" and weights != "uniform":
@@ -284,8 +299,10 @@ def _logistic(C=1.0, max_iter=100):
     return native.logistic(C, max_iter)
 
 
-def _linear_svc(C=1.0, max_iter=1000):
-    return native.linear_svc(C, max_iter)
+def _linear_svc(C=1.0, loss="squared_hinge", max_iter=100):
+    if loss == "hinge":
+        return native.linear_svc(C, max_iter)
+    return _grad("classification", loss="squared_hinge", C=C, max_iter=max_iter)
 
 
 def _huber(epsilon=1.35, alpha=1e-4):
@@ -316,24 +333,24 @@ REGRESSION: dict[str, Callable[..., object]] = {
     "LassoCV": _gram("lasso", cv=True, alphas=None, n_alphas=100, folds=5, positive=None),
     "LassoLars": _gram("lasso_lars", alpha=1.0),
     "LassoLarsCV": _gram("lasso_lars", cv=True, folds=5),
-    "LinearSVR": _linear_loss("regression", "epsilon_insensitive", epsilon=0.0),
+    "LinearSVR": _linear_svr,
     "OMP": _gram("omp", n_nonzero_coefs=None),
-    "PassiveAggressive": _linear_loss("regression", "epsilon_insensitive", alpha=0.0),
+    "PassiveAggressive": _aggressive("regression", "pa_epsilon"),
     "Quantile": _quantile,
     "RadiusNeighbors": _radius,
     "RANSAC": _ransac,
     "RidgeCV": _ridge_cv,
-    "SGD": _linear_loss("regression", "squared"),
+    "SGD": _sgd("regression", "squared"),
     "TheilSen": _theil_sen,
     "Polynomial": _polynomial,
-    "Perceptron": _linear_loss("classification", "perceptron", alpha=0.0),
+    "Perceptron": _perceptron,
 }
 
 CLASSIFICATION: dict[str, Callable[..., object]] = {
     "Logistic_classifier": _logistic,
     "ExtraTrees_classifier": _extra("classification"),
     "GaussianNB_classifier": _nb(bayes.fit_gaussian_nb),
-    "SGD_classifier": _linear_loss("classification", "hinge"),
+    "SGD_classifier": _sgd("classification", "hinge"),
     "MLP_classifier": _mlp("classification", "softmax"),
     "RF_classifier": _forest("classification"),
     "SVC_classifier": _svm("classification", "hinge"),
@@ -349,7 +366,7 @@ CLASSIFICATION: dict[str, Callable[..., object]] = {
     "LDA_classifier": _nb(bayes.fit_lda),
     "LinearSVC_classifier": _linear_svc,
     "MultinomialNB_classifier": _nb(bayes.fit_multinomial_nb),
-    "PassiveAggressive_classifier": _linear_loss("classification", "hinge", alpha=0.0),
+    "PassiveAggressive_classifier": _aggressive("classification", "pa_hinge"),
     "QDA_classifier": _nb(bayes.fit_qda),
     "Ridge_classifier": _ridge_classifier,
 }

@@ -88,3 +88,82 @@ def test_lof_vs_numpy(spark):
     lof = lrd[N].mean(1) / lrd
     assert np.allclose([out[i] for i in range(len(X))], lof)
     assert out[60] == max(out.values())
+
+
+def test_pivots_prune_and_keep_every_neighbour(spark):
+    rng = np.random.default_rng(8)
+    blobs = rng.uniform(-50, 50, (12, 2))
+    R = np.concatenate([rng.normal(b, 0.5, (60, 2)) for b in blobs])
+    R[100:160] = R[100]                                # many copies of one point
+    R = np.concatenate([R, rng.integers(-3, 4, (80, 2))])  # ties
+    df = _frame(spark, R, rng.permutation(len(R)))
+    ids = np.array([r["id"] for r in df.collect()])
+    for k, own in ((4, False), (7, True), (70, True)):
+        out = neighbors.knn_join(df, df, "id", "id", ["x", "y"], k, exclude_self=own, block_rows=50)
+        got = {}
+        for r in out.collect():
+            got.setdefault(r["id"], {})[r["rank"]] = r["nbr_id"]
+        for a in range(0, len(R), 7):
+            d = np.sqrt(((R - R[a]) ** 2).sum(1))
+            d[a] = np.inf if own else d[a]
+            want = ids[np.lexsort((ids, d))[:k]]
+            assert [got[ids[a]][j + 1] for j in range(k)] == list(want)
+    points = neighbors._points(df, "id", ["x", "y"])
+    _, sent = neighbors.knn_candidates(points, points, 4, True, 50, 16)
+    assert sent.count() < 2 * len(R)  # of 15 other cells each
+
+
+def test_rows_without_a_place_meet_nothing(spark):
+    rows = [(1, 0.0, 0.0), (2, None, 0.0), (3, float("nan"), 0.0), (4, float("inf"), 1.0), (5, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    assert {(r["q"], r["r"]) for r in neighbors.radius_join(df, df, "id", "id", ["x", "y"], 0.0).collect()} == {(1, 1), (1, 5), (5, 1), (5, 5)}
+    assert {(r["id"], r["nbr_id"]) for r in neighbors.knn_join(df, df, "id", "id", ["x", "y"], 3).collect()} == {(1, 1), (1, 5), (5, 1), (5, 5)}
+    none = df.where("false")
+    assert neighbors.knn_join(df, none, "id", "id", ["x", "y"], 3).count() == 0
+    got = neighbors.dbscan(df, "id", ["x", "y"], 0.1, 2).collect()
+    assert sorted((r["id"], r["cluster"]) for r in got) == [(1, 1), (2, -1), (3, -1), (4, -1), (5, 1)]
+
+
+def test_grid_copies_do_not_grow_with_rows(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    seen = []
+    meet = neighbors._meet
+    monkeypatch.setattr(neighbors, "_meet", lambda q, r, *a: seen.append((q.count(), r.count())) or meet(q, r, *a))
+    for n in (300, 900):
+        df = _frame(spark, rng.uniform(0, 40, (n, 2)))
+        neighbors.radius_join(df, df, "id", "id", ["x", "y"], 0.5, block_rows=40)
+    assert seen == [(300, 2700), (900, 8100)]
+
+
+def test_radius_edges_of_cells(spark):
+    x = [0.1 * k for k in range(200)] + [-0.1 * k for k in range(1, 100)]
+    X = np.array([(a, 0.0) for a in x])
+    df = _frame(spark, X)
+    got = {(r["q"], r["r"]) for r in neighbors.radius_join(df, df, "id", "id", ["x", "y"], 0.1, block_rows=64).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    assert got == {(i, j) for i, j in zip(*np.nonzero(D <= 0.1))}
+
+
+def test_dbscan_of_a_dense_spot_and_a_chain(spark):
+    rng = np.random.default_rng(10)
+    X = np.vstack([rng.normal(0, 0.01, (150, 2)), [(0.25 * k, 2.0) for k in range(60)], np.repeat([[9.0, 9.0]], 30, axis=0), rng.uniform(-5, 5, (30, 2))])
+    got = {r["id"]: r["cluster"] for r in neighbors.dbscan(_frame(spark, X), "id", ["x", "y"], 0.3, 3, block_rows=32).collect()}
+    assert got == _dbscan_ref(X, 0.3, 3)
+    tile = np.array([[True, False, False], [True, True, False], [False, False, True]])
+    u, v = neighbors._forest(tile, np.array([5, 9, 4]), np.array([5, 7, 8]))
+    assert set(zip(u, v)) == {(7, 5), (9, 5), (8, 4)}
+
+
+def test_radius_regression_of_crowded_cells(spark):
+    rng = np.random.default_rng(11)
+    X = rng.uniform(0, 1, (200, 2))
+    y = rng.normal(size=200)
+    df = spark.createDataFrame([(i, float(a), float(b), float(t) if i % 9 else None) for i, ((a, b), t) in enumerate(zip(X, y))],
+                               "id long, x double, y double, t double")
+    far = spark.createDataFrame([(900, 50.0, 50.0, 0.0)], df.schema)
+    got = {r["id"]: r["prediction"] for r in neighbors.radius_regress(df, df.union(far), "id", ["x", "y"], "t", 0.3).collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1)) <= 0.3
+    has = np.arange(200) % 9 != 0
+    for i in range(200):
+        assert abs(got[i] - y[D[i] & has].mean()) < 1e-9
+    assert got[900] is None
