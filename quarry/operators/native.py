@@ -99,49 +99,32 @@ def _depth(max_depth: int) -> int:
     return max_depth
 
 
-def decision_tree(task: str, max_depth: int = 30, seed: int = 42) -> SparkEstimator:
-    C, R = _ml()
-    cls = C.DecisionTreeClassifier if task == "classification" else R.DecisionTreeRegressor
-    return SparkEstimator(lambda: cls(maxDepth=_depth(max_depth), seed=seed, maxBins=64), task, "DecisionTree")
+def _tree_factory(cls, task: str, min_leaf: int, criterion: str | None, **kw) -> Callable:
+    """``criterion``: gini or entropy for classes, squared_error for numbers."""
+    offered = {"classification": {"gini": "gini", "entropy": "entropy"}, "regression": {"squared_error": "variance"}}[task]
+    if criterion is not None and criterion not in offered:
+        raise ValueError(f"criterion {criterion!r}: {', '.join(offered)} are offered for {task}")
+    impurity = offered[criterion] if criterion else next(iter(offered.values()))
+    return lambda: cls(minInstancesPerNode=min_leaf, impurity=impurity, maxBins=64, **kw)
 
 
-def random_forest(task: str, n_trees: int = 100, subset: str = "sqrt", seed: int = 42,
-                  max_depth: int = 16) -> SparkEstimator:
+def decision_tree(task: str, max_depth: int = 30, seed: int = 42, min_leaf: int = 1, criterion: str | None = None) -> SparkEstimator:
     C, R = _ml()
-    cls = C.RandomForestClassifier if task == "classification" else R.RandomForestRegressor
-    return SparkEstimator(lambda: cls(numTrees=n_trees, featureSubsetStrategy=subset, seed=seed,
-                                      maxDepth=_depth(max_depth), maxBins=64), task, "RF")
-
-
-def bagging(task: str, n_trees: int = 10, seed: int = 42, max_depth: int = 16) -> SparkEstimator:
-    """Bootstrap aggregation of full-feature trees."""
-    return random_forest(task, n_trees, "all", seed, max_depth)
+    cls = C.DecisionTreeClassifier if task == "classification" else R.DecisionTreeRegressor
+    return SparkEstimator(_tree_factory(cls, task, min_leaf, criterion, maxDepth=_depth(max_depth), seed=seed), task, "DecisionTree")
 
 
-def extra_trees(task: str, n_trees: int = 100, seed: int = 42, max_depth: int = 16) -> SparkEstimator:
-    """No random thresholds in Spark trees; a forest without
-    bootstrap over coarse random-width bins is the closest relative."""
+def random_forest(task: str, n_trees: int = 100, subset: str = "sqrt", seed: int = 42, max_depth: int = 16,
+                  min_leaf: int = 1, criterion: str | None = None) -> SparkEstimator:
     C, R = _ml()
     cls = C.RandomForestClassifier if task == "classification" else R.RandomForestRegressor
-    return SparkEstimator(lambda: cls(numTrees=n_trees, featureSubsetStrategy="sqrt", seed=seed,
-                                      bootstrap=False, maxBins=16, maxDepth=_depth(max_depth)), task, "ExtraTrees")
+    return SparkEstimator(_tree_factory(cls, task, min_leaf, criterion, numTrees=n_trees, featureSubsetStrategy=subset, seed=seed,
+                                        maxDepth=_depth(max_depth)), task, "RF")
 
 
-def gradient_boosting(task: str, n_iter: int = 100, depth: int = 3, lr: float = 0.1, seed: int = 42,
-                      max_bins: int = 32) -> SparkEstimator:
-    C, R = _ml()
-    if task == "classification":
-        def f():
-            return C.OneVsRest(classifier=C.GBTClassifier(maxIter=n_iter, maxDepth=depth, stepSize=lr,
-                                                          seed=seed, maxBins=max_bins))
-        return SparkEstimator(f, task, "GradientBoosting")
-    return SparkEstimator(lambda: R.GBTRegressor(maxIter=n_iter, maxDepth=depth, stepSize=lr, seed=seed,
-                                                 maxBins=max_bins), task, "GradientBoosting")
-
-
-def hist_gradient_boosting(task: str, seed: int = 42) -> SparkEstimator:
-    """255 bins, depth-5 level-wise trees (Spark has no leaf-wise growth)."""
-    return gradient_boosting(task, 100, 5, 0.1, seed, max_bins=255)
+def bagging(task: str, n_trees: int = 10, seed: int = 42, max_depth: int = 16, min_leaf: int = 1) -> SparkEstimator:
+    """Bootstrap aggregation of full-feature trees."""
+    return random_forest(task, n_trees, "all", seed, max_depth, min_leaf)
 
 
 def logistic(C_: float = 1.0, max_iter: int = 100):

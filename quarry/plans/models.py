@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
-from quarry.operators import bayes, cluster, gradient, iterative, linear, native, neighbors, split
+from quarry.operators import bayes, cluster, gradient, iterative, linear, native, neighbors, split, trees
 from quarry.operators.bayes import ScoreModel
 from quarry.session import cut_lineage
 
@@ -184,38 +184,40 @@ def _nb(fn):
 
 
 def _forest(task):
-    def build(n_estimators=100, max_features="sqrt", max_depth=16, random_state=42):
-        return native.random_forest(task, n_estimators, str(max_features), random_state, max_depth)
+    def build(n_estimators=100, max_features="sqrt", max_depth=16, min_samples_leaf=1, criterion=None, random_state=42):
+        return native.random_forest(task, n_estimators, str(max_features), random_state, max_depth, min_samples_leaf, criterion)
     return build
 
 
 def _extra(task):
-    def build(n_estimators=100, max_depth=16, random_state=42):
-        return native.extra_trees(task, n_estimators, random_state, max_depth)
+    def build(n_estimators=100, max_features=None, max_depth=16, min_samples_split=2, min_samples_leaf=1, random_state=42):
+        return FnTrainer(lambda df, f, t: trees.extra_trees(df, f, t, task, n_estimators, max_features, max_depth,
+                                                            min_samples_split, min_samples_leaf, random_state))
     return build
 
 
 def _boost(task):
-    def build(n_estimators=100, max_depth=3, learning_rate=0.1, random_state=42):
-        return native.gradient_boosting(task, n_estimators, max_depth, learning_rate, random_state)
+    def build(n_estimators=100, max_depth=3, learning_rate=0.1, max_leaf_nodes=None, min_samples_leaf=1):
+        return FnTrainer(lambda df, f, t: trees.boost(df, f, t, task, n_estimators, learning_rate, max_leaf_nodes, max_depth, min_samples_leaf))
     return build
 
 
 def _hist(task):
-    def build(max_iter=100, max_depth=5, learning_rate=0.1, max_bins=255, random_state=42):
-        return native.gradient_boosting(task, max_iter, max_depth, learning_rate, random_state, max_bins)
+    def build(max_iter=100, max_depth=None, learning_rate=0.1, max_leaf_nodes=31, min_samples_leaf=20, l2_regularization=0.0, max_bins=255):
+        return FnTrainer(lambda df, f, t: trees.boost(df, f, t, task, max_iter, learning_rate, max_leaf_nodes, max_depth,
+                                                      min_samples_leaf, l2_regularization, max_bins))
     return build
 
 
 def _tree(task):
-    def build(max_depth=30, random_state=42):
-        return native.decision_tree(task, max_depth, random_state)
+    def build(max_depth=30, min_samples_leaf=1, criterion=None, random_state=42):
+        return native.decision_tree(task, max_depth, random_state, min_samples_leaf, criterion)
     return build
 
 
 def _bag(task):
-    def build(n_estimators=10, max_depth=16, random_state=42):
-        return native.bagging(task, n_estimators, random_state, max_depth)
+    def build(n_estimators=10, max_depth=16, min_samples_leaf=1, random_state=42):
+        return native.bagging(task, n_estimators, random_state, max_depth, min_samples_leaf)
     return build
 
 
