@@ -15,6 +15,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
@@ -22,6 +23,7 @@ from quarry.functions.exprs import col, to_double
 from quarry.operators import neighbors
 from quarry.operators.metrics import cluster_scores, silhouette_squared
 from quarry.operators.neighbors import nearest_center
+from quarry.operators.trees import grouped
 from quarry.session import cut_lineage
 
 
@@ -205,18 +207,98 @@ def mean_shift(df: DataFrame, feats: Sequence[str], bandwidth: float | None = No
     return ClusterModel(list(feats), [c[1] for c in centers], "meanshift")
 
 
+def _gram(table: DataFrame, cols: Sequence[str]) -> np.ndarray:
+    """Products of all pairs of columns, summed over the rows."""
+    def add(part, out):
+        out += part.T @ part
+    return grouped(table.select(*cols), len(cols), len(cols), add, "sum")
+
+
+def _combined(table: DataFrame, cols: Sequence[str], M: np.ndarray, names: Sequence[str]) -> DataFrame:
+    """(id, names...): the columns times a matrix."""
+    def run(batches):
+        for batch in batches:
+            X = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False) for c in cols])
+            Y = X @ M
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(Y[:, j]) for j in range(len(names))]], ["id", *names])
+    return table.select("id", *cols).mapInArrow(run, "id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def leading_vectors(edges: DataFrame, start: DataFrame, first: str, k: int, blocks: int = 10, restarts: int = 6,
+                    tol: float = 1e-4, seed: int = 42) -> tuple[DataFrame, np.ndarray]:
+    """(id, u0..): the ``k`` leading eigenvectors of a symmetric matrix (src, dst, w), and
+    their values. A block of k + 2 vectors is multiplied by the matrix (an edge join
+    and a grouped sum), made orthogonal to all before it from one pass of products, and
+    added to the basis; after ``blocks`` blocks the best vectors of the basis start anew,
+    until the products leave less than ``tol`` outside."""
+    b = k + 2
+
+    def orthonormal(gram: np.ndarray) -> np.ndarray:
+        """Combinations of columns of this Gram matrix that are orthonormal."""
+        vals, vecs = np.linalg.eigh((gram + gram.T) / 2)
+        keep = vals > 1e-12 * max(vals.max(), 1e-300)
+        return vecs[:, keep] / np.sqrt(vals[keep])
+    noise = [(F.xxhash64("id", F.lit(seed), F.lit(j)) / F.lit(2.0 ** 63)).alias(f"s{j}") for j in range(1, b)]
+    block = cut_lineage(start.select("id", col(first).cast("double").alias("s0"), *noise))
+    names = block.columns[1:]
+    values = np.zeros(k)
+    for _ in range(restarts):
+        M = orthonormal(_gram(block, names))
+        basis = [f"q{j}" for j in range(M.shape[1])]
+        table = cut_lineage(_combined(block, names, M, basis))
+        newest, H = list(basis), np.zeros((0, 0))
+        for step in range(blocks):
+            raw = [f"r{j}" for j in range(len(newest))]
+            moved = (edges.join(table.select(F.col("id").alias("dst"), *newest), "dst").groupBy(F.col("src").alias("id"))
+                     .agg(*[F.sum(F.col("w") * F.col(c)).alias(r) for c, r in zip(newest, raw)]))
+            table = cut_lineage(table.join(moved, "id", "left").na.fill(0.0, raw))
+            G = _gram(table, [*basis, *raw])
+            n, first_new = len(basis), len(basis) - len(newest)
+            P = G[:n, n:]  # basis times matrix times newest
+            grown = np.zeros((n, n))
+            grown[:len(H), :len(H)] = H
+            grown[:, first_new:] = P
+            grown[first_new:, :] = P.T
+            H = (grown + grown.T) / 2
+            rest = G[n:, n:] - P.T @ P
+            if step + 1 == blocks or np.trace(rest) < 1e-14 * np.trace(G[n:, n:]):
+                break
+            M = orthonormal(rest)
+            fresh = [f"q{n + j}" for j in range(M.shape[1])]
+            lift = np.zeros((n + len(raw), n + len(fresh)))
+            lift[:n, :n] = np.eye(n)
+            lift[:n, n:], lift[n:, n:] = -P @ M, M
+            table = cut_lineage(_combined(table, [*basis, *raw], lift, [*basis, *fresh]))
+            newest, basis = fresh, [*basis, *fresh]
+        vals, vecs = np.linalg.eigh(H)
+        best = np.argsort(vals)[::-1][:b]
+        names = [f"u{j}" for j in range(len(best))]
+        block = cut_lineage(_combined(table, basis, vecs[:, best], names))
+        values, top = vals[best], vecs[len(basis) - len(newest):, best[:k]]
+        # what the newest block sends outside the basis bounds the error of each vector
+        if np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", top, rest, top), 0)).max(initial=0.0) < tol:
+            break
+    return block.select("id", *names[:k]), values[:k]
+
+
 def spectral(df: DataFrame, id_col: str, feats: Sequence[str], k: int = 8, n_neighbors: int = 10,
              seed: int = 42) -> DataFrame:
-    """U8: power-iteration clustering over a k-nearest-neighbour rbf graph
-    (kNN join, so edges grow linearly with rows). Cannot label new points."""
-    from pyspark.ml.clustering import PowerIterationClustering
-    from quarry.operators.neighbors import knn_join
-    nb = knn_join(df, df, id_col, id_col, feats, n_neighbors, exclude_self=True)
+    """U8: k-means on the k leading vectors of the normalised graph of nearest
+    neighbours (kNN join, so edges grow linearly with rows). Cannot label new points."""
+    nb = neighbors.knn_join(df, df, id_col, id_col, feats, n_neighbors, exclude_self=True)
+    nb = cut_lineage(nb.select(col(id_col).cast("long").alias("src"), col(f"nbr_{id_col}").cast("long").alias("dst"), "dist"))
     sigma = nb.agg(F.avg("dist")).first()[0] or 1.0
-    edges = nb.select(F.col(id_col).alias("src"), F.col(f"nbr_{id_col}").alias("dst"),
-                      F.exp(-(F.col("dist") ** 2) / F.lit(2 * sigma ** 2)).alias("weight"))
-    pic = PowerIterationClustering(k=k, maxIter=30, weightCol="weight", srcCol="src", dstCol="dst")
-    return pic.assignClusters(edges).select(F.col("id").alias(id_col), F.col("cluster").cast("long"))
+    w = F.exp(-(F.col("dist") ** 2) / F.lit(2 * sigma ** 2)) / 2
+    both = nb.select("src", "dst", w.alias("w")).union(nb.select(F.col("dst").alias("src"), F.col("src").alias("dst"), w.alias("w")))
+    edges = cut_lineage(both.groupBy("src", "dst").agg(F.sum("w").alias("w")).where("w > 0"))
+    root = cut_lineage(edges.groupBy(F.col("src").alias("id")).agg(F.sqrt(F.sum("w")).alias("root")))
+    edges = cut_lineage(edges.join(root.select(F.col("id").alias("src"), F.col("root").alias("a")), "src")
+                        .join(root.select(F.col("id").alias("dst"), F.col("root").alias("b")), "dst")
+                        .select("src", "dst", (F.col("w") / (F.col("a") * F.col("b"))).alias("w")))
+    vectors, _ = leading_vectors(edges, root, "root", k, seed=seed)
+    names = [c for c in vectors.columns if c != "id"]
+    places = cut_lineage(vectors.join(root, "id").select("id", *[(F.col(c) / F.col("root")).alias(c) for c in names]))
+    return kmeans(places, names, k, seed).transform(places, "cluster").select(F.col("id").alias(id_col), F.col("cluster").cast("long"))
 
 
 def scan_k(df: DataFrame, feats: Sequence[str], ks: Sequence[int] = range(2, 9), method: str = "kmeans",

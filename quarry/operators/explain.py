@@ -1,16 +1,19 @@
 """Explanation tables.
 
 Every table is computed by Spark over the scored rows; the reference's work
-caps (200 explained rows, 100 background rows, 500 plotted points) are kept
-as explicit, seeded sampling parameters because there they are the feature.
+caps (200 explained rows, 100 background points, 500 plotted points) are kept
+as explicit, seeded parameters because there they are the feature.
 """
 
 from __future__ import annotations
 
+import json
+import math
+from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, key_hash, to_double
 from quarry.functions.quantiles import column_quantiles
@@ -78,60 +81,133 @@ def partial_dependence(model, df: DataFrame, feature: str, grid_points: int = 50
             .agg(F.avg(to_double("prediction")).alias("mean_prediction")))
 
 
-def kernel_shap(model, df: DataFrame, features: Sequence[str], key_cols: Sequence[str], n_explain: int = 200,
-                n_background: int = 100, n_perm: int = 10, seed: int = 42) -> DataFrame:
-    """X4 (sampling Shapley values): for each explained row and permutation,
-    features are switched from a background row to the explained row one at
-    a time; signed changes are averaged per row and feature. Explained and
-    background rows are seeded hash samples (the reference caps 200/100).
-    Output: mean |SHAP| per feature."""
-    spark = df.sparkSession
-    h = key_hash(seed, list(key_cols))
-    take = df.withColumn("__h", h).orderBy("__h")
-    ex = [[r[f] for f in features] for r in take.limit(n_explain).select(*[to_double(f).alias(f) for f in features]).collect()]
-    bg_df = df.withColumn("__h", key_hash(seed + 1, list(key_cols))).orderBy("__h").limit(n_background)
-    bg = [[r[f] for f in features] for r in bg_df.select(*[to_double(f).alias(f) for f in features]).collect()]
+def _coalitions(p: int, n_samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masks of feature sets and their kernel weights: all proper sets while there are
+    at most ``n_samples``, else sets drawn in complementary pairs by the kernel."""
+    if 2 ** p - 2 <= n_samples:
+        Z = np.array([[(m >> j) & 1 for j in range(p)] for m in range(1, 2 ** p - 1)], float).reshape(-1, p)
+        s = Z.sum(axis=1)
+        return Z, (p - 1) / (np.array([math.comb(p, int(k)) for k in s]) * s * (p - s))
     rng = np.random.default_rng(seed)
-    p = len(features)
+    sizes = np.arange(1, p)
+    share = (p - 1) / (sizes * (p - sizes))
     rows = []
-    for i, x in enumerate(ex):
-        for m in range(n_perm):
-            perm = rng.permutation(p)
-            cur = list(bg[rng.integers(len(bg))])
-            rows.append((i, m, 0, -1, *cur))
-            for step, j in enumerate(perm, start=1):
-                cur[j] = x[j]
-                rows.append((i, m, step, int(j), *cur))
-    schema = "row int, perm int, step int, feat int, " + ", ".join(f"`{f}` double" for f in features)
-    hyb = spark.createDataFrame(rows, schema)  # n_explain x n_perm x (p+1) rows: bounded by the caps
-    scored = model.transform(hyb).select("row", "perm", "step", "feat", to_double("prediction").alias("y"))
-    # consecutive hybrids differ in one feature: its contribution is y_t - y_(t-1)
-    w = Window.partitionBy("row", "perm").orderBy("step")
-    contrib = scored.withColumn("d", F.col("y") - F.lag("y").over(w)).where(F.col("step") > 0)
-    names = F.array(*[F.lit(f) for f in features])
-    # a value is the mean over the row's permutations; the size is taken last
-    values = contrib.groupBy("row", "feat").agg(F.avg("d").alias("value"))
-    return (values.groupBy("feat").agg(F.avg(F.abs("value")).alias("mean_abs_shap"))
-            .select(F.element_at(names, F.col("feat") + 1).alias("feature"), "mean_abs_shap"))
+    for k in rng.choice(sizes, n_samples // 2, p=share / share.sum()):
+        z = np.zeros(p)
+        z[rng.choice(p, k, replace=False)] = 1.0
+        rows += [z, 1 - z]
+    Z, n = np.unique(np.array(rows), axis=0, return_counts=True)
+    return Z, n.astype(float)
+
+
+def background(df: DataFrame, features: Sequence[str], size: int = 100, seed: int = 42) -> tuple[list, list]:
+    """At most ``size`` weighted points that stand for all rows: the rows themselves
+    if they are few, else the means and sizes of k-means clusters."""
+    from quarry.operators.cluster import kmeans
+    from quarry.operators.neighbors import nearest_center
+    rows = df.select(*[to_double(f).alias(f) for f in features]).na.drop()
+    few = rows.limit(size + 1).collect()
+    if len(few) <= size:
+        return [list(r) for r in few], [1 / len(few)] * len(few)
+    near = nearest_center(rows, features, kmeans(rows, features, size, seed, max_iter=20).centers, "__c")
+    got = near.groupBy("__c").agg(*[F.avg(f).alias(f) for f in features], F.count(F.lit(1)).alias("__n")).collect()
+    n = sum(r["__n"] for r in got)
+    return [[r[f] for f in features] for r in got], [r["__n"] / n for r in got]
+
+
+def shap_values(model, df: DataFrame, features: Sequence[str], key_cols: Sequence[str], points: list, weights: list,
+                n_samples: int = 2048, seed: int = 42) -> DataFrame:
+    """Kernel SHAP of every row of ``df``: its keys and a value per feature, which add up
+    to the row's prediction less the mean prediction of the background.
+
+    The weighted least squares has the same design for all rows, so a value is a fixed
+    combination of the mean predictions of the coalitions: every row is joined with
+    coalitions and background points (constants of the plan), the model scores these
+    hybrids, and one grouped sum gives the values. Rows that share their keys are averaged.
+    """
+    p = len(features)
+    Z, w = _coalitions(p, n_samples, seed)
+    X = Z[:, :-1] - Z[:, -1:]
+    A = np.linalg.pinv((X * w[:, None]).T @ X) @ (X * w[:, None]).T if p > 1 else np.zeros((0, len(Z)))
+    base = model.transform(df.sparkSession.createDataFrame([(*map(float, b), float(v)) for b, v in zip(points, weights)],
+                                                          ", ".join(f"`{f}` double" for f in features) + ", `__w` double"))
+    f0 = base.agg(F.sum(F.col("__w") * to_double("prediction"))).first()[0]
+    # the whole set is one more coalition, scored once: it is the row's own prediction
+    sets = [{"z": [int(v) for v in z], "a": list(map(float, A[:, i])), "own": 0.0} for i, z in enumerate(Z)]
+    own = {"z": [1] * p, "a": [0.0] * (p - 1), "own": 1.0}
+    backs = [{"b": list(map(float, b)), "w": float(v)} for b, v in zip(points, weights)]
+    pairs = [{**s, **b} for s in sets for b in backs] + [{**own, "b": [0.0] * p, "w": 1.0}]
+    table = F.from_json(F.lit(json.dumps(pairs)), "array<struct<z:array<int>,a:array<double>,own:double,b:array<double>,w:double>>")
+    xs = [f"__x{j}" for j in range(p)]
+    keys = [f"__k{j}" for j in range(len(key_cols))]
+    rows = df.select(*[col(c).alias(k) for c, k in zip(key_cols, keys)], *[to_double(f).alias(x) for f, x in zip(features, xs)])
+    rows = rows.where(F.coalesce(*[F.when(F.col(x).isNull() | F.isnan(x), 1) for x in xs], F.lit(0)) == 0)
+    hybrids = rows.withColumn("__t", F.explode(table)).select(
+        *keys, F.col("__t.a").alias("__a"), F.col("__t.own").alias("__o"), F.col("__t.w").alias("__w"), *[F.when(F.col("__t.z")[j] == 1, F.col(x)).otherwise(F.col("__t.b")[j]).alias(f)
+                                               for j, (f, x) in enumerate(zip(features, xs))])
+    scored = model.transform(hybrids).withColumn("__f", to_double("prediction"))
+    sums = scored.groupBy(*keys).agg(
+        F.sum("__o").alias("__n"), F.sum(F.col("__o") * F.col("__f")).alias("__own"),
+        *[F.sum(F.col("__a")[j] * F.col("__w") * F.col("__f")).alias(f"__s{j}") for j in range(p - 1)])
+    span = F.col("__own") / F.col("__n") - F.lit(f0)
+    values = [F.col(f"__s{j}") / F.col("__n") - F.lit(float(A[j].sum() * f0)) - F.lit(float(A[j] @ Z[:, -1])) * span for j in range(p - 1)]
+    last = span
+    for v in values:
+        last = last - v
+    return sums.select(*[F.col(k).alias(c) for c, k in zip(key_cols, keys)], *[v.alias(f"shap_{f}") for f, v in zip(features, [*values, last])])
+
+
+def kernel_shap(model, df: DataFrame, features: Sequence[str], key_cols: Sequence[str], n_explain: int | None = 200,
+                n_background: int = 100, n_samples: int = 2048, seed: int = 42, train: DataFrame | None = None) -> DataFrame:
+    """Mean |SHAP| per feature over ``n_explain`` rows (those of least seeded hash;
+    None: all), against a background that stands for ``train`` (default: ``df``)."""
+    points, weights = background(df if train is None else train, features, n_background, seed)
+    if n_explain is not None:
+        df = df.orderBy(key_hash(seed, list(key_cols)), *[col(c) for c in key_cols]).limit(n_explain)
+    values = shap_values(model, df, features, key_cols, points, weights, n_samples, seed)
+    means = values.agg(*[F.avg(F.abs(col(f"shap_{f}"))).alias(f) for f in features])
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), col(f).alias("mean_abs_shap")) for f in features])).alias("r")
+    return means.select(pairs).select("r.feature", "r.mean_abs_shap")
+
+
+@dataclass
+class PcaModel:
+    """Principal components of centered rows; each component's largest loading is positive."""
+    features: list
+    mean: list
+    components: list
+    ratio: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df
+        for c, weights in enumerate(self.components):
+            e = F.lit(0.0)
+            for f, m, w in zip(self.features, self.mean, weights):
+                e = e + (to_double(f) - F.lit(float(m))) * F.lit(float(w))
+            out = out.withColumn(f"pc{c + 1}", e)
+        return out
+
+    def project(self, points: Sequence[Sequence[float]]) -> list:
+        """Places of points such as cluster centers on the components."""
+        return ((np.asarray(points, float) - np.array(self.mean)) @ np.array(self.components).T).tolist()
+
+
+def fit_pca(df: DataFrame, features: Sequence[str], k: int = 2) -> PcaModel:
+    """From ONE co-moment pass."""
+    mo = linear.moments(df, list(features))[None]
+    vals, vecs = np.linalg.eigh(mo.C / max(mo.n - 1, 1))
+    order = np.argsort(vals)[::-1][:k]
+    W = vecs[:, order].T
+    W = W * np.sign(W[np.arange(len(W)), np.abs(W).argmax(axis=1)])[:, None]
+    ratio = (vals[order] / vals.sum()).tolist() if vals.sum() > 0 else [0.0] * k
+    return PcaModel(list(features), mo.mean[:len(features)].tolist(), W.tolist(), ratio)
 
 
 def pca2(df: DataFrame, features: Sequence[str], fit_df: DataFrame | None = None, k: int = 2):
-    """Principal components of the (centered) fitting rows from ONE
-    co-moment pass; projection is a column expression. Returns (projected
-    frame with pc1..pck, explained variance ratios)."""
-    src = fit_df if fit_df is not None else df
-    mo = linear.moments(src, list(features))[None]
-    cov = mo.C / max(mo.n - 1, 1)
-    vals, vecs = np.linalg.eigh(cov)
-    order = np.argsort(vals)[::-1][:k]
-    out = df
-    for c, j in enumerate(order):
-        e = F.lit(0.0)
-        for f, m, w in zip(features, mo.mean, vecs[:, j]):
-            e = e + (to_double(f) - F.lit(float(m))) * F.lit(float(w))
-        out = out.withColumn(f"pc{c + 1}", e)
-    ratio = (vals[order] / vals.sum()).tolist() if vals.sum() > 0 else [0.0] * k
-    return out, ratio
+    """(frame with pc1..pck, explained variance ratios); the components are those
+    of ``fit_df`` where it is given."""
+    m = fit_pca(fit_df if fit_df is not None else df, features, k)
+    return m.transform(df), m.ratio
 
 
 def residual_rows(scored: DataFrame, y: str, pred: str, split_col: str | None = "split",

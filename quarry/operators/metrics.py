@@ -345,7 +345,12 @@ def cluster_scores(df: DataFrame, feats: Sequence[str], label: str, noise_label=
 
 
 def silhouette_squared(df: DataFrame, feats: Sequence[str], label: str) -> DataFrame:
-    """E16 (squared-Euclidean form, O(n k)): a(i), b(i) from per-cluster
+    """The mean of ``silhouette_rows``; null for fewer than two clusters."""
+    return silhouette_rows(df, feats, label, "silhouette_sq").agg(F.avg("silhouette_sq").alias("silhouette_sq"))
+
+
+def silhouette_rows(df: DataFrame, feats: Sequence[str], label: str, out_col: str = "silhouette_sq") -> DataFrame:
+    """E16 per row (squared-Euclidean form, O(n k)): a(i), b(i) from per-cluster
     sums of x and |x|^2; reported under its own name, never as the Euclidean one.
 
     Per-cluster sums are one grouped pass (k rows); each row's mean squared
@@ -353,13 +358,13 @@ def silhouette_squared(df: DataFrame, feats: Sequence[str], label: str) -> DataF
     higher-order functions so the plan stays O(k) whatever the dimension.
     """
     vec = F.array(*[to_double(f) for f in feats])
-    base = df.select(col(label).alias("__c"), vec.alias("__v"))
+    base = df.withColumn("__c", col(label)).withColumn("__v", vec)
     sq = F.aggregate(F.transform("__v", lambda x: x * x), F.lit(0.0), lambda a, x: a + x)
     stats = base.groupBy("__c").agg(F.count(F.lit(1)).alias("n"), F.sum(sq).alias("q"),
                                     *[F.sum(F.col("__v")[i]).alias(f"s{i}") for i in range(len(feats))])
     rows = stats.collect()  # k rows
     if len(rows) < 2:
-        return df.sparkSession.createDataFrame([(None,)], "silhouette_sq double")
+        return df.withColumn(out_col, F.lit(None).cast("double"))
     w = base.withColumn("__xx", sq)
     mean_d = []
     for r in rows:
@@ -373,4 +378,4 @@ def silhouette_squared(df: DataFrame, feats: Sequence[str], label: str) -> DataF
     b = F.least(*[F.when(~o, d) for o, d, _ in mean_d])
     own_n = F.coalesce(*[F.when(o, F.lit(n_)) for o, _, n_ in mean_d])
     s = F.when(own_n <= 1, F.lit(0.0)).otherwise(F.try_divide(b - a, F.greatest(a, b)))
-    return w.agg(F.avg(s).alias("silhouette_sq"))
+    return w.withColumn(out_col, s).drop("__c", "__v", "__xx")

@@ -24,10 +24,29 @@ def test_kendall_pair_vs_brute_force_with_heavy_ties(spark):
     x[:100] = 0.5  # a third of the rows on one value
     y = np.round(x + rng.normal(size=300), 1)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(4)
-    got = kendall.kendall_pair(df, "x", "y", n_slabs=8)
+    got = kendall.kendall_pair(df, "x", "y", n_slabs=8, slab_rows=100)
     assert np.isclose(got, _brute(x, y))
 
 
+def test_inversions():
+    rng = np.random.default_rng(12)
+    for n in (0, 1, 2, 7, 100):
+        b = rng.integers(0, 20, n).astype(float)
+        assert kendall._inversions(b) == sum(b[i] > b[j] for i in range(n) for j in range(i + 1, n))
+
+
+def test_slabs_split_again_until_they_are_small(spark):
+    rng = np.random.default_rng(13)
+    x = np.exp(3 * rng.normal(size=500))  # long tail
+    x[:150] = 1.0
+    y = np.where(rng.random(500) < 0.3, 2.0, np.round(np.log(x) + rng.normal(size=500), 1))
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double").repartition(4)
+    for slabs, rows in ((3, 20), (6, 40), (256, 10)):  # several rounds each
+        assert np.isclose(kendall.kendall_pair(df, "x", "y", slabs, rows), _brute(x, y))
+    same = spark.createDataFrame([(1.0, 2.0)] * 60, "x double, y double")
+    assert kendall.kendall_pair(same, "x", "y", 3, 5) is None
+
+
 def test_isolation_forest_flags_far_points(spark):
     from quarry.operators.isolation import fit_isolation_forest
     rng = np.random.default_rng(11)

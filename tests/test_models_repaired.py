@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -114,10 +116,72 @@ def test_agglomerative_merges_micro_clusters(spark):
 
 def test_shapley_of_a_linear_model(table):
     m = linear.fit(table, FEATS, "y")
-    got = {r.feature: r.mean_abs_shap for r in explain.kernel_shap(m, table, FEATS, ["id"], n_perm=60).collect()}
+    got = {r.feature: r.mean_abs_shap for r in explain.kernel_shap(m, table, FEATS, ["id"], None).collect()}
     X = np.array([[r.a, r.b, r.c] for r in table.collect()])
     exact = np.abs(m.coef * (X - X.mean(axis=0))).mean(axis=0)
-    assert np.allclose([got[f] for f in FEATS], exact, rtol=0.12, atol=0.02)
+    assert np.allclose([got[f] for f in FEATS], exact)
+    assert len(explain.kernel_shap(m, table, FEATS, ["id"], 10).collect()) == 3
+
+
+def test_shapley_values_match_their_definition(table, spark):
+    class Bent:
+        def transform(self, df):
+            return df.withColumn("prediction", F.col("a") * F.col("b") + F.abs(F.col("c")) + 2 * F.col("d"))
+    names = ["a", "b", "c", "d"]
+    rng = np.random.default_rng(3)
+    X, B = rng.normal(size=(6, 4)), rng.normal(size=(5, 4))
+    w = np.array([0.1, 0.2, 0.3, 0.3, 0.1])
+    f = lambda x: x[..., 0] * x[..., 1] + np.abs(x[..., 2]) + 2 * x[..., 3]
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(X)], "id long, a double, b double, c double, d double")
+    got = {r["id"]: r for r in explain.shap_values(Bent(), df, names, ["id"], B.tolist(), w.tolist()).collect()}
+
+    def value(x, s):
+        return (w * f(np.where(np.isin(np.arange(4), s), x, B))).sum()
+    for i, x in enumerate(X):
+        want = np.zeros(4)
+        for order in itertools.permutations(range(4)):
+            for k, j in enumerate(order):
+                want[j] += (value(x, order[:k + 1]) - value(x, order[:k])) / 24
+        assert np.allclose([got[i][f"shap_{n}"] for n in names], want)
+    # drawn coalitions still add up to the prediction
+    drawn = explain.shap_values(Bent(), df, names, ["id"], B.tolist(), w.tolist(), n_samples=10).collect()
+    assert np.allclose([sum(r[f"shap_{n}"] for n in names) for r in drawn], [f(X[r["id"]]) - (w * f(B)).sum() for r in drawn])
+    one = explain.shap_values(linear.fit(table, ["a"], "y"), table.limit(3), ["a"], ["id"], [[0.0]], [1.0]).collect()
+    assert len(one) == 3
+
+
+def test_pca_signs_and_centers(table):
+    out, ratio = explain.pca2(table, FEATS)
+    X = np.array([[r.a, r.b, r.c] for r in table.collect()])
+    _, s, V = np.linalg.svd(X - X.mean(0), full_matrices=False)
+    V = V * np.sign(V[np.arange(3), np.abs(V).argmax(1)])[:, None]
+    got = np.array([[r.pc1, r.pc2] for r in out.collect()])
+    assert np.allclose(got, (X - X.mean(0)) @ V[:2].T) and np.allclose(ratio, (s ** 2 / (s ** 2).sum())[:2])
+    m = explain.fit_pca(table, FEATS)
+    assert np.allclose(m.project(X[:2]), got[:2])
+
+
+def test_spectral_separates_two_rings(spark):
+    rng = np.random.default_rng(6)
+    turn = np.concatenate([np.linspace(0, 2 * np.pi, 90, endpoint=False), np.linspace(0, 2 * np.pi, 150, endpoint=False)])
+    far = np.where(np.arange(240) < 90, 1.0, 3.0) + rng.normal(0, 0.08, 240)
+    df = spark.createDataFrame([(i, float(r * np.cos(a)), float(r * np.sin(a))) for i, (a, r) in enumerate(zip(turn, far))],
+                               "id long, x double, z double")
+    got = {r["id"]: r["cluster"] for r in cluster.spectral(df, "id", ["x", "z"], 2, 6).collect()}
+    assert len({got[i] for i in range(90)}) == len({got[i] for i in range(90, 240)}) == 1 and got[0] != got[239]
+
+
+def test_leading_vectors_match_numpy(spark):
+    rng = np.random.default_rng(7)
+    A = rng.normal(size=(50, 50)) * (rng.random((50, 50)) < 0.2)
+    A = A + A.T + np.diag(np.linspace(0, 8, 50))
+    edges = spark.createDataFrame([(int(i), int(j), float(A[i, j])) for i, j in zip(*np.nonzero(A))], "src long, dst long, w double")
+    start = spark.createDataFrame([(i, 1.0) for i in range(50)], "id long, one double")
+    vectors, values = cluster.leading_vectors(edges, start, "one", 3, blocks=5)
+    vals, vecs = np.linalg.eigh(A)
+    assert np.allclose(values, vals[::-1][:3], atol=1e-6)
+    U = np.array([[r[f"u{j}"] for j in range(3)] for r in vectors.orderBy("id").collect()])
+    assert np.allclose(np.abs((U * vecs[:, ::-1][:, :3]).sum(0)), 1, atol=1e-4)
 
 
 def test_lof_keeps_equal_rows_apart(table):
