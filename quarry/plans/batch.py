@@ -1,7 +1,7 @@
 """Batch evaluation.
 
 * ``robustness``: models x feature sets x seeds; each seed is an independent
-  md5 split; per-row CV R2 (on the training part) plus test R2/RMSE/MAE.
+  md5 split that keeps the target's strata; CV R2 (on the training part) plus test R2/RMSE/MAE.
 * ``external_validation``: fit on one table, score another.
 * ``summarize``: per (model, feature set) count, median / mean / sd of every
   metric and the 2.5 % / 97.5 % empirical interval in ONE aggregation, then
@@ -10,12 +10,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from quarry.functions.exprs import col, to_double
+from quarry.functions.quantiles import column_quantiles
 from quarry.operators import metrics, split, transform
 from quarry.plans import models, tune
+from quarry.sources import sinks
 
 
 def feature_sets(features: Sequence[str], keep: str | None = None) -> dict[str, list[str]]:
@@ -27,25 +31,87 @@ def feature_sets(features: Sequence[str], keep: str | None = None) -> dict[str,
     return out
 
 
-def robustness(df: DataFrame, features_by_set: dict, target: str, model_keys: Sequence[str],
+# The models that are compared, with their parameters; True: inputs are scaled.
+ROBUST_MODELS = {
+    "LinearRegression": ("Linear", {}, True),
+    "Ridge": ("Ridge", {"alpha": 1.0}, True),
+    "ElasticNet": ("ElasticNet", {"alpha": 0.01, "l1_ratio": 0.5}, True),
+    "BayesianRidge": ("BayesianRidge", {}, True),
+    "SVR_RBF": ("SVM", {"C": 10.0, "epsilon": 0.1, "kernel": "rbf"}, True),
+    "KNN": ("K-Nearest", {"n_neighbors": 7, "weights": "distance"}, True),
+    "GradientBoosting": ("gradient_boosting", {}, False),
+    "HistGradientBoosting": ("HistGradientBoosting", {}, False),
+    "RandomForest": ("RF", {"n_estimators": 500}, False),
+    "ExtraTrees": ("ExtraTrees", {"n_estimators": 500}, False),
+}
+
+
+@dataclass
+class Prepared:
+    """A model behind a median imputer and a scaler, both fitted on its training rows."""
+    key: str
+    params: dict
+    scaler: str = "standard"
+
+    def fit(self, df: DataFrame, features: Sequence[str], target: str):
+        feats = list(features)
+        middle = {f: q[0] for f, q in column_quantiles(df, feats, [0.5]).items()}
+
+        def filled(frame):
+            return frame.withColumns({f: F.coalesce(F.nanvl(to_double(f), F.lit(None)), F.lit(middle[f])) for f in feats})
+        train = filled(df)
+        scale = transform.fit_scaler(train, feats, self.scaler)
+        model = models.make(self.key, self.params, prescaled=True).fit(scale.transform(train, feats), feats, target)
+
+        class _Fitted:
+            def transform(self_inner, frame):
+                # the caller's features come back as they were
+                raw = {f: f"__raw_{i}" for i, f in enumerate(feats)}
+                out = model.transform(scale.transform(filled(frame.withColumns({v: col(k) for k, v in raw.items()})), feats))
+                return out.withColumns({k: col(v) for k, v in raw.items()}).drop(*raw.values())
+        return _Fitted()
+
+
+def robustness(df: DataFrame, features_by_set: dict, target: str, model_keys: Sequence[str] | dict,
                seeds: Sequence[int], key_cols: Sequence[str], test_size: float = 0.2,
-               cv_folds: int = 5, scaler: str = "standard") -> DataFrame:
-    """One row per (seed, feature_set, model)."""
+               cv_folds: int = 5, scaler: str = "standard", strata: bool = True, seeded: dict | None = None) -> DataFrame:
+    """One row per (seed, feature set, model): the mean and sd of R2 over folds of
+    the training part, test metrics, and the rows of both parts. ``model_keys``: keys, or a
+    table like ``ROBUST_MODELS``. ``strata``: every split keeps the shares of the target's
+    quantile bins (B6). Missing features take the training rows' median. ``seeded``: the
+    name of the parameter of a model key that takes the seed."""
+    table = model_keys if isinstance(model_keys, dict) else {k: (k, {}, True) for k in model_keys}
+    seeded = {"RF": "random_state", "ExtraTrees": "random_state"} if seeded is None else seeded
     rows = []
     spark = df.sparkSession
+    if strata:
+        df, _, _ = split.robustness_strata(df, target)
     for seed in seeds:
-        sp = split.train_test_split(df, list(key_cols), test_size, seed).persist()
+        sp = split.train_test_split(df, list(key_cols), test_size, seed, "__stratum" if strata else None).persist()
         tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+        size = {r["split"]: r["count"] for r in sp.groupBy("split").count().collect()}
         for set_name, feats in features_by_set.items():
-            for key in model_keys:
-                _, cv = tune.cross_validate(tr, feats, target, key, key_cols, cv_folds, seed=seed, scaler=scaler)
-                sc = transform.fit_scaler(tr, feats, scaler)
-                m = models.make(key, prescaled=True).fit(sc.transform(tr, feats), feats, target)
-                r = metrics.regression_metrics(m.transform(sc.transform(te, feats)), target, "prediction", median=False).first()
-                rows.append((int(seed), set_name, key, float(cv.first()["r2_mean"]), r["r2"], r["rmse"], r["mae"]))
+            whole = not sp.where(F.greatest(*[(to_double(f).isNull() | F.isnan(to_double(f))).cast("int") for f in [*feats, feats[0]]]) == 1).isEmpty()
+            for name, (key, params, scaled) in table.items():
+                how = scaler if scaled else "none"
+                params = {**params, **({seeded[key]: int(seed)} if key in seeded else {})}
+                # without missing values a Gram model's folds all follow from one pass
+                make = (lambda k=key, p=params, h=how: Prepared(k, p, h)) if whole or not tune._gram_route(key, how, "none") else None
+                _, cv = tune.cross_validate(tr, feats, target, key, key_cols, cv_folds, seed=seed, scaler=how if make is None else "none",
+                                            factory=make, params=params)
+                cv = cv.first()
+                m = Prepared(key, params, how).fit(tr, feats, target)
+                r = metrics.regression_metrics(m.transform(te), target, "prediction", median=False).first()
+                rows.append((int(seed), set_name, name, float(cv["r2_mean"]), r["r2"], r["rmse"], r["mae"], float(cv["r2_sd"]),
+                             int(size.get("train", 0)), int(size.get("test", 0))))
         sp.unpersist()
-    return spark.createDataFrame(rows, "seed int, feature_set string, model string, cv_r2 double, "
-                                       "test_r2 double, rmse double, mae double")
+    return spark.createDataFrame(rows, "seed int, feature_set string, model string, cv_r2 double, test_r2 double, rmse double, "
+                                       "mae double, cv_r2_sd double, n_train long, n_test long")
+
+
+def write_robustness(per_seed: DataFrame, folder: str, fmt: str = "csv") -> dict[str, str]:
+    """The table per seed and its summary, under ``folder``."""
+    return sinks.write_sheets({"per_seed_results": per_seed, "summary": summarize(per_seed)}, folder, fmt)
 
 
 def external_validation(train_df: DataFrame, external_df: DataFrame, features: Sequence[str], target: str,

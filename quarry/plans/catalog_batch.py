@@ -282,17 +282,39 @@ def q_i4(spark, sf):
 
 # ------------------------------------------------------------------ rows-only: explanations, selection, clusterers
 
-@register("x2_permutation_importance_lineitem")
+def _permuted_sql() -> str:
+    """A row gets the value of the row whose rank by the repeat's hash equals its own rank."""
+    parts = []
+    for j, a in enumerate(LI_FEATS):
+        pred = "b0x + " + " + ".join(f"b{i} * {'d.v' if i == j else 'te.' + x}" for i, x in enumerate(LI_FEATS))
+        for rep in range(5):
+            parts.append(f"""SELECT '{a}' AS feature, 1 - avg(power(te.{LI_TARGET} - ({pred}), 2)) / var_pop(te.{LI_TARGET}) AS r2
+  FROM te JOIN (SELECT row_number() OVER (ORDER BY {HASH(f'{SEED}|{rep}', LI_KEYS)}) AS rk, {a} AS v FROM te) d ON d.rk = te.r0, co""")
+    return " UNION ALL ".join(parts)
+
+
+@register("x2_permutation_importance_lineitem", f"""WITH {_ols_coef_cte()},
+te AS (SELECT *, row_number() OVER (ORDER BY {HASH('perm-base', LI_KEYS)}) AS r0 FROM sp WHERE split = 'test'),
+base AS (SELECT 1 - avg(power({LI_TARGET} - ({_PRED_SQL}), 2)) / var_pop({LI_TARGET}) AS r2 FROM te, co),
+runs AS ({_permuted_sql()})
+SELECT feature, {SIG('avg(base.r2 - runs.r2)', 5)} AS importance_mean, {SIG('stddev_pop(base.r2 - runs.r2)', 5)} AS importance_sd
+FROM runs, base GROUP BY feature""")
 def q_x2(spark, sf):
     sp, m = _ols_fit(spark, sf)
     test = sp.where(F.col("split") == "test")
-    return explain.permutation_importance(m, test, LI_FEATS, LI_TARGET, LI_KEYS, "regression")
+    return sig_all(explain.permutation_importance(m, test, LI_FEATS, LI_TARGET, LI_KEYS, "regression"), 5)
+
+
+_SHAP_SQL = " UNION ALL ".join(f"SELECT '{a}' AS feature, avg(abs(b{i} * ({a} - c{i}))) AS v FROM te, co, mid" for i, a in enumerate(LI_FEATS))
 
 
-@register("x4_shapley_lineitem")
+@register("x4_shapley_lineitem", f"""WITH {_ols_coef_cte()},
+te AS (SELECT * FROM sp WHERE split = 'test'),
+mid AS (SELECT {', '.join(f'avg({a}) AS c{i}' for i, a in enumerate(LI_FEATS))} FROM te)
+SELECT feature, {SIG('v', 6)} AS mean_abs_shap FROM ({_SHAP_SQL})""")
 def q_x4(spark, sf):
     sp, m = _ols_fit(spark, sf)
-    return explain.kernel_shap(m, sp.where(F.col("split") == "test"), LI_FEATS, LI_KEYS)
+    return sig_all(explain.kernel_shap(m, sp.where(F.col("split") == "test"), LI_FEATS, LI_KEYS, n_explain=None), 6)
 
 
 @register("k4_select_from_model_lineitem")

@@ -23,14 +23,47 @@ def test_robustness_matches_brute_force(spark, sf):
     got = batch.robustness(li, sets, LI_TARGET, ["Linear", "Ridge"], [1, 2], LI_KEYS).collect()
     assert {(r.seed, r.feature_set, r.model) for r in got} == {(s, f, m) for s in (1, 2) for f in sets for m in ("Linear", "Ridge")}
     for seed in (1, 2):
-        sp = split.train_test_split(li, LI_KEYS, 0.2, seed)
+        sp = split.train_test_split(split.robustness_strata(li, LI_TARGET)[0], LI_KEYS, 0.2, seed, "__stratum")
         train = split.kfold(sp.where(F.col("split") == "train"), LI_KEYS, 5, seed).collect()
         test = sp.where(F.col("split") == "test").collect()
         for r in (r for r in got if r.seed == seed and r.model == "Linear"):
             feats = sets[r.feature_set]
             assert np.allclose((r.test_r2, r.rmse), ols_r2(train, test, feats), rtol=1e-8)
             cv = [ols_r2([x for x in train if x.fold != k], [x for x in train if x.fold == k], feats)[0] for k in range(5)]
-            assert np.isclose(r.cv_r2, np.mean(cv), rtol=1e-8)
+            assert np.isclose(r.cv_r2, np.mean(cv), rtol=1e-8) and np.isclose(r.cv_r2_sd, np.std(cv), rtol=1e-6)
+            assert (r.n_train, r.n_test) == (640, 160)
+        # a fifth of the rows and of every quantile bin of the target
+        y = np.array([float(x[LI_TARGET]) for x in li.collect()])
+        edges = np.quantile(y, [0.2, 0.4, 0.6, 0.8])
+        assert set(np.bincount(np.searchsorted(edges, [float(x[LI_TARGET]) for x in test]))) == {32}
+
+
+def test_all_models_with_missing_features(spark, tmp_path):
+    rng = np.random.default_rng(0)
+    X = rng.normal(size=(90, 2))
+    y = X[:, 0] + 0.1 * rng.normal(size=90)
+    df = spark.createDataFrame([(i, None if i % 11 == 0 else float(a), float("nan") if i % 13 == 0 else float(b), float(v))
+                                for i, ((a, b), v) in enumerate(zip(X, y))], "id long, a double, b double, y double").coalesce(1)
+    small = {"SVR_RBF": {"max_iter": 5}, "GradientBoosting": {"n_estimators": 2}, "HistGradientBoosting": {"max_iter": 2},
+             "RandomForest": {"n_estimators": 3, "max_depth": 4}, "ExtraTrees": {"n_estimators": 3, "max_depth": 4}}
+    table = {k: (key, {**p, **small.get(k, {})}, s) for k, (key, p, s) in batch.ROBUST_MODELS.items()}
+    per = batch.robustness(df, {"all": ["a", "b"]}, "y", table, [3], ["id"], cv_folds=2)
+    rows = {r.model: r for r in per.collect()}
+    assert set(rows) == set(batch.ROBUST_MODELS) and all(r.n_train + r.n_test == 90 for r in rows.values())
+    assert rows["LinearRegression"].test_r2 > 0.5 and rows["KNN"].test_r2 > 0.3
+    # the imputer's medians are those of the training rows
+    sp = split.train_test_split(split.robustness_strata(df, "y")[0], ["id"], 0.2, 3, "__stratum").collect()
+    tr, te = [r for r in sp if r.split == "train"], [r for r in sp if r.split == "test"]
+    ok = lambda v: v is not None and v == v
+    mid = {f: np.median([r[f] for r in tr if ok(r[f])]) for f in "ab"}
+    mat = lambda part: np.array([[1.0, *[r[f] if ok(r[f]) else mid[f] for f in "ab"]] for r in part])
+    w = np.linalg.lstsq(mat(tr), np.array([r.y for r in tr]), rcond=None)[0]
+    z = np.array([r.y for r in te])
+    assert np.isclose(rows["LinearRegression"].test_r2, 1 - np.mean((z - mat(te) @ w) ** 2) / np.var(z))
+    paths = batch.write_robustness(per, str(tmp_path))
+    back = spark.read.option("header", True).csv(paths["per_seed_results"])
+    assert back.count() == 10 and "cv_r2_sd" in back.columns
+    assert spark.read.option("header", True).csv(paths["summary"]).count() == 10
 
 
 def test_lasso_cv_returns_the_path_and_the_refit(spark, sf):
