@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import inspect
 from dataclasses import dataclass, field
+from itertools import combinations_with_replacement
 from typing import Callable, Sequence
 
 import numpy as np
@@ -70,31 +71,39 @@ class RidgeCVTrainer:
         return m
 
 
+@dataclass
+class PolynomialModel:
+    features: list
+    degree: int
+    linear: linear.LinearModel
+
+    def terms(self) -> dict:
+        """Products of up to ``degree`` features by name."""
+        sets = [c for d in range(1, self.degree + 1) for c in combinations_with_replacement(self.features, d)]
+        return {"*".join(t): t for t in sets}
+
+    def expand(self, frame: DataFrame) -> DataFrame:
+        for name, t in self.terms().items():
+            if len(t) > 1:
+                e = to_double(t[0])
+                for f in t[1:]:
+                    e = e * to_double(f)
+                frame = frame.withColumn(name, e)
+        return frame
+
+    def transform(self, frame: DataFrame, out_col: str = "prediction") -> DataFrame:
+        return self.linear.transform(self.expand(frame), out_col).drop(*[n for n, t in self.terms().items() if len(t) > 1])
+
+
 @dataclass
 class PolynomialTrainer:
     """Degree-d expansion (JVM expressions) + OLS by Gram."""
     degree: int = 2
 
     def fit(self, df, features, target):
-        from itertools import combinations_with_replacement
-        terms = [c for d in range(1, self.degree + 1) for c in combinations_with_replacement(features, d)]
-        names = ["*".join(t) for t in terms]
-
-        def expand(frame):
-            out = frame
-            for t, n in zip(terms, names):
-                if len(t) > 1:
-                    e = F.lit(1.0)
-                    for f in t:
-                        e = e * to_double(f)
-                    out = out.withColumn(n, e)
-            return out
-        m = linear.fit(expand(df), names, target, "ols")
-
-        class _Poly:
-            def transform(self_inner, frame, out_col="prediction"):
-                return m.transform(expand(frame), out_col).drop(*[n for n, t in zip(names, terms) if len(t) > 1])
-        return _Poly()
+        m = PolynomialModel(list(features), self.degree, None)
+        m.linear = linear.fit(m.expand(df), list(m.terms()), target, "ols")
+        return m
 
 
 @dataclass
@@ -131,32 +140,43 @@ class FnTrainer:
         return self.fn(df, list(features), target)
 
 
+@dataclass
+class KnnModel:
+    """Neighbour model: the training rows are a table on shared storage."""
+    train: DataFrame
+    features: list
+    target: str
+    task: str
+    k: int = 5
+    radius: float | None = None
+    weights: str = "uniform"
+
+    def transform(self, frame: DataFrame, out_col: str = "prediction") -> DataFrame:
+        rid, feats = "__rid", self.features
+        q = cut_lineage(frame.withColumn(rid, F.monotonically_increasing_id()))
+        points = q.select(rid, *[to_double(f).alias(f) for f in feats])
+        if self.radius is not None:
+            pred = neighbors.radius_regress(self.train, points, rid, feats, self.target, self.radius)
+        elif self.task == "regression":
+            pred = neighbors.knn_regress(self.train, points, rid, feats, self.target, self.k, self.weights)
+        else:
+            pred = neighbors.knn_classify(self.train, points, rid, feats, self.target, self.k)
+        return q.join(pred.withColumnRenamed("prediction", out_col), rid, "left").drop(rid)
+
+
 @dataclass
 class KnnTrainer:
-    """Neighbour models. Rows get numbers that are fixed by a checkpoint, so equal rows
-    stay apart and no column of the caller is needed as an id."""
+    """Rows get numbers that are fixed by a checkpoint, so equal rows stay apart and no
+    column of the caller is needed as an id."""
     task: str
     k: int = 5
     radius: float | None = None
     weights: str = "uniform"
 
     def fit(self, df, features, target):
-        rid, feats = "__rid", list(features)
-        train = cut_lineage(df.select(*[to_double(f).alias(f) for f in feats], col(target).alias(target))
-                            .withColumn(rid, F.monotonically_increasing_id()))
-
-        class _Fitted:
-            def transform(self_inner, frame, out_col="prediction"):
-                q = cut_lineage(frame.withColumn(rid, F.monotonically_increasing_id()))
-                points = q.select(rid, *[to_double(f).alias(f) for f in feats])
-                if self.radius is not None:
-                    pred = neighbors.radius_regress(train, points, rid, feats, target, self.radius)
-                elif self.task == "regression":
-                    pred = neighbors.knn_regress(train, points, rid, feats, target, self.k, self.weights)
-                else:
-                    pred = neighbors.knn_classify(train, points, rid, feats, target, self.k)
-                return q.join(pred.withColumnRenamed("prediction", out_col), rid, "left").drop(rid)
-        return _Fitted()
+        train = cut_lineage(df.select(*[to_double(f).alias(f) for f in features], col(target).alias(target))
+                            .withColumn("__rid", F.monotonically_increasing_id()))
+        return KnnModel(train, list(features), target, self.task, self.k, self.radius, self.weights)
 
 
 def _grad(task, **kw):

@@ -74,55 +74,80 @@ def _distributed_rank(df: DataFrame, key: str) -> DataFrame:
             .withColumn("__rank", F.col("__off") + F.row_number().over(w) - 1).drop("__b", "__off"))
 
 
+def _plain(v):
+    """Arrays and tuples as marked JSON values, so that they come back as they were."""
+    import numpy as np
+    if isinstance(v, np.ndarray):
+        return {"__array": v.tolist()}
+    if isinstance(v, np.generic):
+        return v.item()
+    if isinstance(v, tuple):
+        return {"__tuple": [_plain(x) for x in v]}
+    if isinstance(v, list):
+        return [_plain(x) for x in v]
+    if isinstance(v, dict):
+        return {"__dict": [[_plain(k), _plain(x)] for k, x in v.items()]}
+    return v
+
+
+def _restored(v):
+    import numpy as np
+    if isinstance(v, list):
+        return [_restored(x) for x in v]
+    if isinstance(v, dict):
+        (kind, x), = v.items()
+        return {"__array": lambda: np.array(x), "__tuple": lambda: tuple(map(_restored, x)),
+                "__dict": lambda: {_restored(a): _restored(b) for a, b in x}}[kind]()
+    return v
+
+
 def save_model(spark: SparkSession, model, path: str) -> str:
     """Persist a fitted model for later scoring.
 
-    Spark ML models use their own writer; expression models (linear, naive
-    Bayes family, scalers, clusters) are small JSON documents.
+    Spark ML models use their own writer. Other models are dataclasses: their fields go
+    to a small JSON document, a field that is a table (the rows of neighbour models) to
+    parquet, and fields that are models, or lists of them, to folders of their own.
     """
     import dataclasses
-    import numpy as np
     inner = getattr(model, "model", None)
     if inner is not None and hasattr(inner, "write"):
         inner.write().overwrite().save(f"{path}/spark_model")
-        meta = {"kind": "spark", "class": type(inner).__name__, "features": model.features,
+        meta = {"kind": "spark", "module": type(inner).__module__, "class": type(inner).__name__, "features": model.features,
                 "classes": model.classes}
         return write_json_doc(spark, meta, f"{path}/meta")
-
-    def enc(v):
-        if isinstance(v, np.ndarray):
-            return v.tolist()
-        if isinstance(v, dict):
-            return {k: enc(x) for k, x in v.items()}
-        if isinstance(v, (list, tuple)):
-            return [enc(x) for x in v]
-        return v
-    if not dataclasses.is_dataclass(model):
+    if not dataclasses.is_dataclass(model) or not type(model).__module__.startswith("quarry."):
         raise TypeError(f"cannot save {type(model).__name__}")
-    doc = {"kind": type(model).__name__, "fields": {f.name: enc(getattr(model, f.name))
-                                                     for f in dataclasses.fields(model)
-                                                     if f.name not in ("feature_map",)}}
+
+    def is_model(v):
+        return dataclasses.is_dataclass(v) and not isinstance(v, type)
+    doc = {"kind": "fields", "module": type(model).__module__, "class": type(model).__name__, "fields": {}, "tables": [], "models": {}}
+    for f in dataclasses.fields(model):
+        v = getattr(model, f.name)
+        if isinstance(v, DataFrame):
+            v.write.mode("overwrite").parquet(f"{path}/{f.name}")
+            doc["tables"].append(f.name)
+        elif is_model(v) or isinstance(v, list) and v and all(map(is_model, v)):
+            for i, part in enumerate(v if isinstance(v, list) else [v]):
+                save_model(spark, part, f"{path}/{f.name}/{i}")
+            doc["models"][f.name] = len(v) if isinstance(v, list) else None
+        else:
+            doc["fields"][f.name] = _plain(v)
     return write_json_doc(spark, doc, f"{path}/meta")
 
 
 def load_model(spark: SparkSession, path: str):
-    """Inverse of ``save_model``."""
+    """Inverse of ``save_model``; only classes of this library and of Spark ML are made."""
     import importlib
-    import numpy as np
     meta = read_json_doc(spark, f"{path}/meta")
+    if not meta["module"].startswith(("quarry.", "pyspark.ml.")):
+        raise TypeError(f"{meta['module']} holds no model of this library")
+    cls = getattr(importlib.import_module(meta["module"]), meta["class"])
     if meta["kind"] == "spark":
         from quarry.operators.native import FittedSpark
-        mod = importlib.import_module("pyspark.ml.classification")
-        cls = getattr(mod, meta["class"] if hasattr(mod, meta["class"]) else "", None)
-        if cls is None:
-            cls = getattr(importlib.import_module("pyspark.ml.regression"), meta["class"])
         return FittedSpark(cls.load(f"{path}/spark_model"), meta["features"], meta["classes"])
-    from quarry.operators import bayes, cluster, linear, transform
-    for m in (linear, bayes, transform, cluster):
-        if hasattr(m, meta["kind"]):
-            cls = getattr(m, meta["kind"])
-            f = meta["fields"]
-            if meta["kind"] == "LinearModel":
-                f["coef"] = np.array(f["coef"])
-            return cls(**f)
-    raise TypeError(meta["kind"])
+    fields = {k: _restored(v) for k, v in meta["fields"].items()}
+    fields.update({t: spark.read.parquet(f"{path}/{t}") for t in meta["tables"]})
+    for name, n in meta["models"].items():
+        parts = [load_model(spark, f"{path}/{name}/{i}") for i in range(1 if n is None else n)]
+        fields[name] = parts[0] if n is None else parts
+    return cls(**fields)

@@ -47,6 +47,31 @@ def test_every_key_fits_and_scores(table, key):
     assert out.count() == df.count()
 
 
+@pytest.mark.parametrize("key", ["Linear", "SGD", "SVM", "MLP_classifier", "PassiveAggressive", "AdaBoost", "AdaBoost_classifier", "K-Nearest",
+                                 "KNeighbors_classifier", "RadiusNeighbors", "Polynomial", "ExtraTrees", "HistGradientBoosting_classifier",
+                                 "RF_classifier", "GaussianNB_classifier", "Quantile"])
+def test_saved_models_score_alike(spark, table, key, tmp_path):
+    from quarry.sources.sinks import load_model, save_model
+    target = "label" if models.problem_type(key) == "classification" else "y"
+    m = models.make(key, small(key)).fit(table, FEATS, target)
+    save_model(spark, m, f"{tmp_path}/m")
+    back = load_model(spark, f"{tmp_path}/m")
+    short = lambda v: round(v, 9) if isinstance(v, float) else v
+    got = [sorted((r["id"], short(r["prediction"])) for r in x.transform(table).collect()) for x in (m, back)]
+    assert got[0] == got[1] and any(v is not None for _, v in got[0])
+
+
+def test_isolation_forest_is_saved(spark, table, tmp_path):
+    from quarry.operators.isolation import fit_isolation_forest
+    from quarry.sources.sinks import load_model, save_model
+    m = fit_isolation_forest(table, FEATS, ["id"], n_trees=5)
+    save_model(spark, m, f"{tmp_path}/m")
+    got = [sorted((r["id"], r["if_score"], r["inlier"]) for r in x.transform(table).collect()) for x in (m, load_model(spark, f"{tmp_path}/m"))]
+    assert got[0] == got[1]
+    with pytest.raises(TypeError):
+        save_model(spark, object(), f"{tmp_path}/o")
+
+
 def test_unsupported_and_unknown(table):
     for key in models.UNSUPPORTED:
         with pytest.raises(NotImplementedError):
