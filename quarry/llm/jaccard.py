@@ -13,7 +13,9 @@ differ in few elements for their size.
    hashes, at last by their smallest shingle hashes (a prefix of which linked sets
    share), so no link is lost. Before the shuffle a block of documents keeps one
    document per tile key and links its others to that one, so a key that a third
-   of all documents share brings at most one row per block to its bucket.
+   of all documents share brings at most one row per block to its bucket. At low
+   similarities, where parts would hold few shingles, keys are each set's rarest
+   shingles instead (``rare_prefix``).
 3. Documents that share a tile key, directly or in a chain, are a candidate group. The
    documents of a group meet as tiles of bounded size: a small group is one tile, a
    large one is cut by size band and hash, and only tiles of compatible sizes are
@@ -41,6 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import rare_prefix
 from quarry.llm.common import cut_lineage, need, read_table, without
 from quarry.llm.links import components
 from quarry.llm.textvec import MULT, ascii_lower_table, mix64, ranges, slices, space_word_bytes, span_hashes, word_spans
@@ -152,10 +155,14 @@ def set_keys(who, h, n_rows):
     return out.view(np.int64)
 
 
-def signatures(batches, n: int):
-    """doc_id, n_shingles and set keys of every row."""
+def signatures(batches, n: int, count: bool = False):
+    """doc_id, n_shingles and set keys of every row; with ``count`` also, on the first row
+    of each batch, the shingles that many of its documents have."""
     for batch in batches:
         ids = batch.column("doc_id")
+        if count:
+            yield _counted(batch, ids, n)
+            continue
         for a, part, begins, ends in slices(batch.column("data")):
             who, h = shingles(part, begins, ends, n)
             keys = set_keys(who, h, len(begins))
@@ -164,6 +171,20 @@ def signatures(batches, n: int):
                  pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64())], ["doc_id", "n_shingles", "k1", "k2"])
 
 
+def _counted(batch, ids, n: int) -> pa.RecordBatch:
+    size, keys, hashes = [], [], []
+    for _, part, begins, ends in slices(batch.column("data")):
+        who, h = shingles(part, begins, ends, n)
+        size.append(np.bincount(who, minlength=len(begins)))
+        keys.append(set_keys(who, h, len(begins)))
+        hashes.append(h)
+    keys = np.concatenate(keys, axis=1) if keys else np.zeros((2, 0), np.int64)
+    many = [rare_prefix.often(hashes)] + [None] * (len(ids) - 1)
+    return pa.RecordBatch.from_arrays(
+        [ids, pa.array(np.concatenate(size) if size else [], pa.int64()), pa.array(keys[0], pa.int64()), pa.array(keys[1], pa.int64()),
+         pa.array(many[:len(ids)], pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "often"])
+
+
 def _star(key, who):
     """Rows of each key as a star: the first row of every key (sorted by id), and the
     pairs (id, least id of its key) of the others, each once."""
@@ -180,7 +201,6 @@ def deal_keys(batches, n: int, pct: int, n_buckets: int):
     """Rows (bucket, kind, blob): packed tile keys with a document of the batch that
     has them (kind 0), and links of the batch's other documents to it (kind 1)."""
     edges = bands()
-    packer = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
         got_key, got_id = [], []
@@ -189,21 +209,28 @@ def deal_keys(batches, n: int, pct: int, n_buckets: int):
             row, key = tile_keys(who, h, len(begins), edges, pct)
             got_key.append(key)
             got_id.append(ids[a:a + len(begins)][row].astype(np.int64))
-        key, who, pairs = _star(np.concatenate(got_key), np.concatenate(got_id))
-        rows = []
-        for kind, dealt, data in ((0, (key >> np.uint64(20)) % np.uint64(n_buckets), (key, who)),
-                                  (1, mix64(pairs[:, 0].view(np.uint64)) % np.uint64(n_buckets), (pairs[:, 0], pairs[:, 1]))):
-            order = np.argsort(dealt, kind="stable")
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(dealt[order])) + 1, [len(order)]))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if b > a:
-                    rows.append((int(dealt[order[a]]), kind, packer.compress(b"".join(x[order[a:b]].tobytes() for x in data))))
+        rows = dealt_rows(np.concatenate(got_key), np.concatenate(got_id), n_buckets)
         for k in range(0, len(rows), 256):
             cols = list(zip(*rows[k:k + 256]))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())],
                                              ["bucket", "kind", "blob"])
 
 
+def dealt_rows(key, who, n_buckets: int) -> list:
+    """(bucket, kind, blob) of the keys of some documents, as ``deal_keys`` sends them."""
+    packer = zstandard.ZstdCompressor(level=1)
+    key, who, pairs = _star(key, who)
+    rows = []
+    for kind, dealt, data in ((0, (key >> np.uint64(20)) % np.uint64(n_buckets), (key, who)),
+                              (1, mix64(pairs[:, 0].view(np.uint64)) % np.uint64(n_buckets), (pairs[:, 0], pairs[:, 1]))):
+        order = np.argsort(dealt, kind="stable")
+        cuts = np.concatenate(([0], np.flatnonzero(np.diff(dealt[order])) + 1, [len(order)]))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if b > a:
+                rows.append((int(dealt[order[a]]), kind, packer.compress(b"".join(x[order[a:b]].tobytes() for x in data))))
+    return rows
+
+
 def shared_keys(table: pa.Table) -> pa.Table:
     """Links (u, v) between documents that share a key of the bucket, as stars."""
     unpacker = zstandard.ZstdDecompressor()
@@ -330,17 +357,23 @@ def jaccard_groups(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     need(docs, "doc_id", "text")
     rows = without(docs, *OUT)
     raw = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
-    narrow = cut_lineage(raw.mapInArrow(lambda it: signatures(it, n), "doc_id long, n_shingles long, k1 long, k2 long"))
+    rare = rare_prefix.needed(pct)
+    schema = "doc_id long, n_shingles long, k1 long, k2 long" + ", often binary" * rare
+    full = cut_lineage(raw.mapInArrow(lambda it: signatures(it, n, rare), schema))
+    narrow = full.drop("often")
     known = narrow.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
     placed = cut_lineage(narrow.join(nodes, ["k1", "k2"], "left").withColumn(
         "node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node"))))
 
-    total = known.agg(F.sum("n_shingles")).first()[0] or 0
-    n_buckets = max(1, math.ceil(total / 5 / BUCKET_KEYS))
     named = raw.filter("doc_id IS NOT NULL")
-    chain = (named.mapInArrow(lambda it: deal_keys(it, n, pct, n_buckets), "bucket int, kind int, blob binary")
-             .groupBy("bucket").applyInArrow(shared_keys, "u long, v long"))
+    if rare:
+        dealt, _ = rare_prefix.prefix_keys(named, full, pct, lambda part, b, e: shingles(part, b, e, n), set_keys, dealt_rows)
+    else:
+        total = known.agg(F.sum("n_shingles")).first()[0] or 0
+        n_buckets = max(1, math.ceil(total / 5 / BUCKET_KEYS))
+        dealt = named.mapInArrow(lambda it: deal_keys(it, n, pct, n_buckets), "bucket int, kind int, blob binary")
+    chain = dealt.groupBy("bucket").applyInArrow(shared_keys, "u long, v long")
     equal = placed.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     roots = components(chain.union(equal))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -1,7 +1,11 @@
 import random
 import re
 
+import numpy as np
+import pytest
+
 import corpus_pipeline as cp
+from quarry.llm import rare_prefix
 from quarry.llm.jaccard import jaccard_groups
 
 
@@ -53,3 +57,48 @@ def test_stage_joins_five_words_at_four_fifths(spark, sf):
     got = cp.near_copies_stage(spark, docs, sf).collect()
     assert sorted(r.doc_id for r in got) == sorted(i for i in want if want[i] == i)
     assert {r.doc_id: r.component_id for r in jaccard_groups(docs).collect()} == thin
+
+
+def crowded(seed):
+    """Texts with common phrases, copies, chains of small changes, short texts and repeated ids."""
+    rng = random.Random(seed)
+    words = lambda k: [f"w{rng.randrange(3000)}" for _ in range(k)]
+    common = [words(20) for _ in range(3)]
+    bases = [words(rng.choice([4, 5, 6, 12, 40, 150])) for _ in range(12)]
+    texts = []
+    for _ in range(170):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 4, 8])):
+            k = rng.randrange(len(w))
+            w[k:k + rng.randint(0, 1)] = words(1)
+        if rng.random() < 0.5:
+            w += rng.choice(common)
+        texts.append(" ".join(w))
+    return [(i, t) for i, t in enumerate(texts)] + [(500 + i, texts[3]) for i in range(15)] + [(700, ""), (701, "a b"), (702, "a b")]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rare_prefixes_lose_no_link(spark, monkeypatch, seed):
+    monkeypatch.setattr(rare_prefix, "BUCKET_ROWS", 2000)
+    monkeypatch.setattr(rare_prefix, "OFTEN", 3)
+    monkeypatch.setattr(rare_prefix, "LEAST", 8)
+    rows = crowded(seed)
+    want = brute_roots(rows, 5, 80)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard_groups(df, 5, 80).collect()}
+    assert got == {**want, 700: 700}
+    # rows of one id are one document: each of its texts links it
+    again = df.union(spark.createDataFrame([(0, rows[60][1]), (0, rows[90][1]), (1, rows[1][1])], df.schema))
+    assert rare_prefix.needed(80) and not rare_prefix.needed(90)
+    near = {r.doc_id: r.component_id for r in jaccard_groups(again, 5, 80).collect()}
+    join = {want[0], want[60], want[90]}
+    assert near == {i: min(join) if want[i] in join else want[i] for i in want}
+    none = df.filter("false")
+    assert jaccard_groups(none, 5, 80).count() == 0
+
+
+def test_packed_arrays_come_back():
+    rng = random.Random(0)
+    a, b = (np.array([rng.randrange(2**64) for _ in range(50)], np.uint64) for _ in range(2))
+    got = rare_prefix.unpack([rare_prefix.pack(a, b), rare_prefix.pack(a[:3], b[:3])], 2)
+    assert (got[0] == np.concatenate((a, a[:3]))).all() and (got[1] == np.concatenate((b, b[:3]))).all()
