@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from quarry.llm import rare_prefix
 from quarry.llm.common import cut_lineage, need, read_table, without
 from quarry.llm.links import components
-from quarry.llm.textvec import MULT, ascii_lower_table, mix64, ranges, slices, space_word_bytes, span_hashes, word_spans
+from quarry.llm.textvec import MULT, ascii_lower_table, mix64, portions, ranges, slices, space_word_bytes, span_hashes, word_spans
 
 OUT = ("n_shingles", "component_id")
 LEVELS = 3                   # deals by other hashes before the prefix is used
@@ -158,7 +158,7 @@ def set_keys(who, h, n_rows):
 def signatures(batches, n: int, count: bool = False):
     """doc_id, n_shingles and set keys of every row; with ``count`` also, on the first row
     of each batch, the shingles that many of its documents have."""
-    for batch in batches:
+    for batch in portions(batches, "data") if count else batches:
         ids = batch.column("doc_id")
         if count:
             yield _counted(batch, ids, n)

@@ -214,31 +214,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit: int = 6000) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``__good`` and ``__toxic``: log odds of the classifier, null
-    where there is no model of the label."""
-    raw = docs.withColumn("__raw", F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    where there is no model of the label. Texts pass once, in small batches."""
     schema = T.StructType([*docs.schema.fields, *[T.StructField(f"__{x}", T.DoubleType()) for x in LABELS]])
+    at = [c.lower() for c in docs.columns].index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = sent.value
         for batch in batches:
-            odds = {x: [] for x in LABELS}
-            for _, data, begins, ends in slices(batch.column("__raw")):
-                row, word, *words = words_of(data, begins, ends)
-                shapes = shapes_of(data, begins, ends)
-                for x in LABELS:
-                    if x not in model.bias:
-                        continue
-                    w = np.zeros(len(words[0]))
-                    for kind in range(1 + len(PREFIXES) * USES_STEMS[x]) if len(model.keys[x]) else ():
-                        f = word_features(data, *words, kind)
-                        at = np.minimum(np.searchsorted(model.keys[x], f), len(model.keys[x]) - 1)
-                        w += np.where(model.keys[x][at] == f, model.weights[x][at], 0.0)
-                    odds[x].append(np.bincount(row, w[word], len(begins)) + model.shape_weights[x][shapes].sum(axis=1) + model.bias[x])
-            cols = [pa.array(np.concatenate(odds[x]), pa.float64()) if odds[x] else pa.nulls(batch.num_rows, pa.float64()) for x in LABELS]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(batch.num_columns - 1)] + cols, schema.names)
-
-    return raw.mapInArrow(run, schema)
+            # a null text has no bytes in Spark's batches
+            for first, data, begins, ends in slices(batch.column(at).cast(pa.binary())):
+                odds = _odds(model, data, begins, ends)
+                part = batch.slice(first, len(begins))
+                cols = [pa.array(odds[x], pa.float64()) if x in odds else pa.nulls(len(begins), pa.float64()) for x in LABELS]
+                yield pa.RecordBatch.from_arrays([*part.columns, *cols], schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _odds(model: Model, data, begins, ends) -> dict:
+    row, word, *words = words_of(data, begins, ends)
+    shapes = shapes_of(data, begins, ends)
+    odds = {}
+    for x in model.bias:
+        w = np.zeros(len(words[0]))
+        for kind in range(1 + len(PREFIXES) * USES_STEMS[x]) if len(model.keys[x]) else ():
+            f = word_features(data, *words, kind)
+            at = np.minimum(np.searchsorted(model.keys[x], f), len(model.keys[x]) - 1)
+            w += np.where(model.keys[x][at] == f, model.weights[x][at], 0.0)
+        odds[x] = np.bincount(row, w[word], len(begins)) + model.shape_weights[x][shapes].sum(axis=1) + model.bias[x]
+    return odds
 
 
 def _logit(p: Column) -> Column:

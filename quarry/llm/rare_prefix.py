@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.textvec import mix64, slices
+from quarry.llm.textvec import mix64, portions, slices
 
 LOAD = 6                  # fewer shingles than this in a part: prefixes instead
 HOT = 1000
@@ -119,7 +119,7 @@ def posts(batches, shingles, set_keys, hot: np.ndarray, n_buckets: int):
     """Step 1. Kind 0: (shingle, id) in the shingle's bucket. Kind 1, in the id's
     bucket: (id, number of shingles, number of very frequent ones). Kind 2: (id, hash)
     of the very frequent ones."""
-    for batch in batches:
+    for batch in portions(batches, "data"):
         ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         at, hs, sets = [], [], []
         for a, part, begins, ends in slices(batch.column("data")):

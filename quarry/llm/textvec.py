@@ -36,6 +36,18 @@ def slices(column: pa.Array, size: int = SLICE):
         a = b
 
 
+def portions(batches, column: str, size: int = 4 * SLICE):
+    """Batches cut into runs of rows of about ``size`` bytes of a column; a longer row is
+    a batch of its own."""
+    for batch in batches:
+        _, limits = _buffers(batch.column(column))
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(limits, limits[a] + size, side="right")) - 1)
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def word_spans(part: np.ndarray, begins: np.ndarray, ends: np.ndarray, inside: np.ndarray):
     """Row, start and end of each word, a run of bytes for which ``inside`` holds."""
     w = np.zeros(len(part) + 1, bool)
@@ -91,4 +103,4 @@ def _powers(n: int, base: np.uint64) -> np.ndarray:
     return have[:n]
 
 
-__all__ = ["MULT", "ascii_lower_table", "mix64", "ranges", "slices", "space_word_bytes", "span_hashes", "word_spans"]
+__all__ = ["MULT", "ascii_lower_table", "mix64", "portions", "ranges", "slices", "space_word_bytes", "span_hashes", "word_spans"]
