@@ -6,7 +6,8 @@ an anchor: its leftmost ``gram`` of smallest hash. Equal strings have equal
 anchors, and neighbouring strings mostly share theirs, so a text becomes runs:
 stretches of strings with one anchor, each sent once (about 67 bytes for 18
 strings) to the bucket of its anchor. In a bucket, runs whose anchor only one row
-holds can't match anything; the others are laid end to end, their suffixes are
+holds can't match anything, nor can runs that agree with no other row on either side
+of the anchor; the others are laid end to end, their suffixes are
 sorted in two stages, and neighbours with a common prefix of ``window`` bytes are
 occurrences of one string.
 
@@ -351,6 +352,28 @@ def string_hashes(strings: np.ndarray) -> np.ndarray:
     return h
 
 
+def shared_sides(text, begin, length, inner, anchor, ids, window: int, gram: int) -> np.ndarray:
+    """Which runs can hold a string of another row. A string that holds its anchor has
+    at least half of its other bytes on one side of it, so that many bytes before or
+    after the anchor, with the anchor, must be in a run of another id."""
+    half = -(-(window - gram) // 2)
+    size = half + gram
+    keep = np.zeros(len(begin), bool)
+    for first in (inner - half, inner):
+        at = np.flatnonzero((first >= begin) & (first + size <= begin + length))
+        if not len(at):
+            continue
+        key = anchor[at]
+        for k in sorted({*range(0, size - 16, 16), max(size - 16, 0)}):
+            key = mix64(key * MULT + gram_hashes(text, min(size, 16), first[at] + k))
+        order = np.argsort(key, kind="stable")
+        key, own = key[order], ids[at][order]
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        several = np.minimum.reduceat(own, head) != np.maximum.reduceat(own, head)
+        keep[at[order[np.repeat(several, np.diff(np.append(head, len(key))))]]] = True
+    return keep
+
+
 def match_blobs(blobs, window: int, gram: int, smaller: bool, single: bool):
     """Spans (id, tag, span) of a bucket's runs; ``single``: each run is one string."""
     shift = np.cumsum([0] + [len(b[0]) for b in blobs])
@@ -374,6 +397,9 @@ def match_blobs(blobs, window: int, gram: int, smaller: bool, single: bool):
     size = np.diff(np.concatenate((head, [len(order)])))
     shared = np.repeat(np.minimum.reduceat(ids, head) != np.maximum.reduceat(ids, head), size)
     order, name_of = order[shared], np.repeat(np.arange(len(head)), size)[shared]
+    if not single and len(order):
+        keep = shared_sides(text, begin[order], length[order], inner[order], anchor[order], row_id[row[order]], window, gram)
+        order, name_of = order[keep], name_of[keep]
     got = []
     if len(order):
         upto = np.cumsum(length[order])

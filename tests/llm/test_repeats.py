@@ -119,3 +119,29 @@ def test_dedup_on_spark(spark):
     assert sorted([h for h in have if h[0] is not None], key=repr) == want
     assert [h[2] for h in have if h[0] is None] == [0]
     assert dedup(df.filter("false")).count() == 0
+
+
+def test_sides_of_anchors_drop_only_runs_without_a_match():
+    rng = random.Random(8)
+    window, gram = 50, 12
+    anchor = bytes(rng.randrange(97, 123) for _ in range(gram))
+    pad = lambda n: bytes(rng.randrange(97, 123) for _ in range(n))
+    common = pad(88)
+    runs, where = [], []
+    for k in range(60):
+        before, after = pad(rng.randrange(0, 39)), pad(38)
+        if k % 3 == 0:  # a string of another run, at a random place around the anchor
+            b = rng.randrange(0, 39)
+            before, after = pad(rng.randrange(0, 3)) + common[:b], common[b:38] + pad(rng.randrange(0, 9))
+            before = before[-38:]
+        runs.append(before + anchor + after)
+        where.append(len(before))
+    text = np.frombuffer(b"".join(runs) + bytes(16), np.uint8)
+    length = np.array([len(r) for r in runs])
+    begin = np.cumsum(length) - length
+    keep = repeats.shared_sides(text, begin, length, begin + np.array(where), np.full(60, 5, np.uint64), np.arange(60), window, gram)
+    strings = [{r[i:i + window] for i in range(len(r) - window + 1) if i <= w <= i + window - gram} for r, w in zip(runs, where)]
+    for k in range(60):
+        if any(strings[k] & strings[j] for j in range(60) if j != k):
+            assert keep[k]
+    assert keep.sum() < 40
