@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +15,29 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle Python workers live on between stages,
+    beside the workers of the next one."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(rows):
+    """The rows of a task's generator; then its memory goes back."""
+    try:
+        yield from rows
+    finally:
+        give_back()
+
+
+def tidied(result):
+    """A group's result, with its working memory given back."""
+    give_back()
+    return result
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns that an operator is about to write, whatever their case."""
     taken = {n.lower() for n in names}

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import cut_lineage, need, read_table, without
+from quarry.llm.common import cut_lineage, need, read_table, tidy, without
 from quarry.llm.repeats import merge
 from quarry.llm.textvec import word_spans
 
@@ -146,7 +146,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, min_hit_p
             raise ValueError("a group of benchmark windows is too large for one automaton")
         name = hashlib.sha256(repr(sorted(rows)).encode()).hexdigest()
         sent = spark.sparkContext.broadcast(rows)
-        d = d.mapInArrow(_scan(sent, name), d.schema)
+        scan = _scan(sent, name)
+        d = d.mapInArrow(lambda it, scan=scan: tidy(scan(it)), d.schema)
         if g + 1 < n_groups:
             d = cut_lineage(d)
     n_hit = F.col("n_hit")

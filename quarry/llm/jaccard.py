@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import rare_prefix
-from quarry.llm.common import cut_lineage, need, read_table, without
+from quarry.llm.common import cut_lineage, need, read_table, tidied, tidy, without
 from quarry.llm.links import components
 from quarry.llm.textvec import MULT, ascii_lower_table, mix64, portions, ranges, slices, space_word_bytes, span_hashes, word_spans
 
@@ -359,7 +359,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     raw = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"))
     rare = rare_prefix.needed(pct)
     schema = "doc_id long, n_shingles long, k1 long, k2 long" + ", often binary" * rare
-    full = cut_lineage(raw.mapInArrow(lambda it: signatures(it, n, rare), schema))
+    full = cut_lineage(raw.mapInArrow(lambda it: tidy(signatures(it, n, rare)), schema))
     narrow = full.drop("often")
     known = narrow.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     nodes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"))
@@ -372,8 +372,8 @@ def jaccard_groups(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     else:
         total = known.agg(F.sum("n_shingles")).first()[0] or 0
         n_buckets = max(1, math.ceil(total / 5 / BUCKET_KEYS))
-        dealt = named.mapInArrow(lambda it: deal_keys(it, n, pct, n_buckets), "bucket int, kind int, blob binary")
-    chain = dealt.groupBy("bucket").applyInArrow(shared_keys, "u long, v long")
+        dealt = named.mapInArrow(lambda it: tidy(deal_keys(it, n, pct, n_buckets)), "bucket int, kind int, blob binary")
+    chain = dealt.groupBy("bucket").applyInArrow(lambda t: tidied(shared_keys(t)), "u long, v long")
     equal = placed.filter("doc_id <> node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     roots = components(chain.union(equal))
     roots = roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
@@ -385,7 +385,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     met = (raw.withColumnRenamed("doc_id", "node").join(tiles, "node")
            .withColumn("task", F.pmod(F.xxhash64("tile"), F.lit(max(1, n_tiles // 2048)))))
     links = met.groupBy("task").applyInArrow(
-        lambda t: match_tiles(t.select(["tile", "side", "node", "data"]), n, pct), "u long, v long")
+        lambda t: tidied(match_tiles(t.select(["tile", "side", "node", "data"]), n, pct)), "u long, v long")
     found = components(links)
     out = (placed.join(found.select("node", "root"), "node", "left")
            .select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id")))

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.exprs import bounded_broadcast
-from quarry.llm.common import cut_lineage, key_of, need, read_table, without
+from quarry.llm.common import cut_lineage, key_of, need, read_table, tidy, without
 from quarry.llm.lang_crf import letter_bytes
 from quarry.llm.textvec import ascii_lower_table, ranges, slices, space_word_bytes, span_hashes, word_spans
 
@@ -229,7 +229,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 cols = [pa.array(odds[x], pa.float64()) if x in odds else pa.nulls(len(begins), pa.float64()) for x in LABELS]
                 yield pa.RecordBatch.from_arrays([*part.columns, *cols], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lambda it: tidy(run(it)), schema)
 
 
 def _odds(model: Model, data, begins, ends) -> dict:

@@ -31,6 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidied, tidy
 from quarry.llm.textvec import mix64, portions, slices
 
 LOAD = 6                  # fewer shingles than this in a part: prefixes instead
@@ -221,7 +222,7 @@ def prefix_keys(raw: DataFrame, narrow: DataFrame, pct: int, shingles, set_keys,
 
     def prefixes(table: pa.Table) -> pa.Table:
         return _table(deal(*keys(table, pct), n_buckets))
-    rows = (raw.mapInArrow(lambda it: posts(it, shingles, set_keys, hot.value, n_buckets), schema)
-            .groupBy("bucket").applyInArrow(lambda t: shared(t, n_buckets), schema)
-            .groupBy("bucket").applyInArrow(prefixes, schema))
+    rows = (raw.mapInArrow(lambda it: tidy(posts(it, shingles, set_keys, hot.value, n_buckets)), schema)
+            .groupBy("bucket").applyInArrow(lambda t: tidied(shared(t, n_buckets)), schema)
+            .groupBy("bucket").applyInArrow(lambda t: tidied(prefixes(t)), schema))
     return rows, n_buckets

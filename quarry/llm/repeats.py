@@ -34,6 +34,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import tidied, tidy
 from quarry.llm.suffix import common_prefixes, suffix_order
 
 BUCKET_BYTES = 20 << 20   # of runs, uncompressed
@@ -474,8 +475,8 @@ def repeated_spans(rows: DataFrame, id_col: Column, data: Column, group: Column
         hot, more = hot_anchors(d, window, gram)
         longest = 2 * window - gram  # bytes of a run, which has window - gram + 1 strings
         n_buckets = max(1, math.ceil((total * spread + more * (window - gram + 1) * window / longest) / bucket_bytes))
-    runs = d.mapInArrow(lambda it: scan(it, window, gram, n_buckets, smaller, hot), RUNS)
-    return runs.groupBy("bucket").applyInArrow(lambda t: match_bucket(t, window, gram, smaller), SPANS)
+    runs = d.mapInArrow(lambda it: tidy(scan(it, window, gram, n_buckets, smaller, hot)), RUNS)
+    return runs.groupBy("bucket").applyInArrow(lambda t: tidied(match_bucket(t, window, gram, smaller)), SPANS)
 
 
 def same_row(id_col: Column, data: Column) -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import need, read_table, without
+from quarry.llm.common import need, read_table, tidy, without
 from quarry.llm.repeats import repeated_spans, unpack
 
 OUT = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -48,7 +48,7 @@ def _packed(d: DataFrame) -> DataFrame:
         for batch in batches:
             packed = pa.array([packer.compress(x.as_py()) for x in batch.column(at)], pa.binary())
             yield pa.RecordBatch.from_arrays([packed if k == at else batch.column(k) for k in range(batch.num_columns)], names)
-    return d.mapInArrow(run, d.schema)
+    return d.mapInArrow(lambda it: tidy(run(it)), d.schema)
 
 
 def dedup(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFrame:
@@ -88,7 +88,7 @@ def dedup(docs: DataFrame, window: int = 50, with_text: bool = False) -> DataFra
             keep += [pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(keep, [f.name for f in fields])
 
-    return joined.mapInArrow(cut, T.StructType(fields))
+    return joined.mapInArrow(lambda it: tidy(cut(it)), T.StructType(fields))
 
 
 def op5_suffix_dedup(spark, sf_dir: str) -> DataFrame:
