@@ -187,6 +187,13 @@ def _score_cells(long: DataFrame) -> DataFrame:
                                               F.sum(F.lit(1) - F.col("hit")).alias("neg"))
 
 
+def _pooled_with(cells: DataFrame, name: str) -> DataFrame:
+    """The cells and, as class ``name``, those of all classes together."""
+    pooled = cells.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return (cells.select("class", "score", "pos", "neg")
+            .unionByName(pooled.withColumn("class", F.lit(name))))
+
+
 def rank_metrics(long: DataFrame, with_micro: bool = False) -> DataFrame:
     """E9-E11 per class from ONE prefix-sum pass over distinct scores:
     (class, roc_auc, average_precision, support).
@@ -196,8 +203,8 @@ def rank_metrics(long: DataFrame, with_micro: bool = False) -> DataFrame:
     ``with_micro`` adds the pooled '__micro__' class in the same pass.
     """
     cells = _score_cells(long)
-    if with_micro:
-        cells = cells.unionByName(_score_cells(long.withColumn("class", F.lit("__micro__"))))
+    if with_micro:  # the pooled class from the cells, not from the rows again
+        cells = _pooled_with(cells, "__micro__")
     # the distinct-score table feeds four jobs; keep it while they run
     cells = cells.persist(StorageLevel.MEMORY_AND_DISK)
     pre = prefix_sums(cells, "score", ["pos", "neg"], group="class", descending=True, inclusive=True)
@@ -248,10 +255,7 @@ MICRO = "micro"
 def _curve_cells(long: DataFrame):
     """Distinct scores with running counts, per class and pooled over all (MICRO); and
     the totals, a row per class."""
-    cells = _score_cells(long)
-    pooled = cells.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    cells = (cells.select("class", "score", "pos", "neg")
-             .unionByName(pooled.withColumn("class", F.lit(MICRO))).persist(StorageLevel.MEMORY_AND_DISK))
+    cells = _pooled_with(_score_cells(long), MICRO).persist(StorageLevel.MEMORY_AND_DISK)
     pre = prefix_sums(cells, "score", ["pos", "neg"], group="class", descending=True, inclusive=True)
     tot = cells.groupBy("class").agg(F.sum("pos").alias("P"), F.sum(F.col("neg")).alias("N"))
     return cells, pre.join(F.broadcast(tot), "class"), tot
