@@ -3,145 +3,152 @@
 Every row gets ``h = md5(seed|key...)``. A split "first m rows in h order" is
 resolved without a global sort:
 
-1. one aggregation counts rows per (stratum, leading-4-hex-digit bucket)
-   -> at most strata x 4,096 small rows on the driver;
-2. for every cut rank the driver finds the bucket holding it and the offset
-   inside that bucket, then narrows it with the next 4 hex digits (one small
-   grouped count per level) until the bucket is small enough to read its
-   hashes: the cut becomes an exact threshold hash h*;
-3. every row's piece is ``sum(h >= h*)`` - a single projection, no window,
-   no shuffle, no union - so every later pass pays for one md5 only.
-
-md5 prefixes are uniform, so each narrowing level divides the bucket by
-65,536 whatever the skew of the strata. The result is identical to
-``row_number() OVER (PARTITION BY stratum ORDER BY h)`` cut at the same
-ranks, which is what the SQL oracle computes.
+1. one aggregation counts rows per (stratum, leading 3 hex digits); only a row
+   per stratum goes to the driver, which turns sizes into cut ranks;
+2. running sums over a stratum's buckets (at most 4,096 rows a window) find the
+   bucket that holds each cut and the offset inside; a bucket of more than
+   ``MAX_WINDOW`` rows is counted again by its next 4 digits, all such cuts in one
+   grouped count, until it is that small; a window inside the bucket then names
+   the threshold hash h*. The driver reads a row per cut;
+3. every row's piece is the number of its stratum's thresholds with h >= h*: one
+   projection, or, with many strata, one join with the table of thresholds.
+
+md5 prefixes are uniform, so each narrowing divides a bucket by 65,536 whatever
+the skew of the strata; rows of equal keys share a hash, and a bucket that is down
+to one hash needs no narrowing. The result is identical to ``row_number() OVER
+(PARTITION BY stratum ORDER BY h)`` cut at the same ranks, which is what the SQL
+oracle computes (rows with equal keys never part).
 """
 
 from __future__ import annotations
 
 import math
-from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.functions.exprs import col, hash_bucket, key_hash
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from quarry.functions.exprs import bounded_broadcast, col, key_hash
 
 BUCKET_DIGITS = 3
-_H, _B, _S = "__h", "__bucket", "__stratum"
+HASH_DIGITS = 32
+MAX_WINDOW = 10_000  # rows of a bucket that one window may order
+MAX_CASES = 64  # strata up to which thresholds are a CASE; beyond, a join
+_H, _S = "__h", "__stratum"
 
 
 def _with_hash(df: DataFrame, seed, key_cols: list[str], strata_col: str | None) -> DataFrame:
-    h = key_hash(seed, key_cols)
-    out = df.withColumn(_H, h).withColumn(_B, hash_bucket(F.col(_H), BUCKET_DIGITS))
     s = col(strata_col).cast("string") if strata_col else F.lit(None).cast("string")
-    return out.withColumn(_S, s)
-
-
-def _bucket_counts(hdf: DataFrame) -> dict[str | None, list[tuple[int, int]]]:
-    # bounded: strata x 16**BUCKET_DIGITS rows, fetched as one Arrow batch
-    pdf = hdf.groupBy(_S, _B).count().toPandas()
-    out: dict = {}
-    for s_, b, c in zip(pdf[_S], pdf[_B], pdf["count"]):
-        s_ = None if s_ is None or (isinstance(s_, float) and s_ != s_) else s_
-        out.setdefault(s_, []).append((int(b), int(c)))
-    for v in out.values():
-        v.sort()
-    return out
-
-
-def _locate(buckets: list[tuple[int, int]], cut_rank: int) -> tuple[int, int] | None:
-    """Bucket and in-bucket offset of 0-based rank ``cut_rank``."""
-    acc = 0
-    for b, c in buckets:
-        if cut_rank < acc + c:
-            return b, cut_rank - acc
-        acc += c
-    return None  # cut beyond the end: nothing reaches it
-
-
-MAX_COLLECT = 100_000  # rows of one hash-prefix bucket that may be read on the driver
-
-
-def _strata_cond(stratum) -> Column:
-    return F.col(_S).isNull() if stratum is None else (F.col(_S) == F.lit(stratum))
-
-
-def _sel(items) -> Column:
-    out = None
-    for stratum, plen, prefix in items:
-        c = _strata_cond(stratum) & (F.substring(_H, 1, plen) == F.lit(prefix))
-        out = c if out is None else out | c
-    return out
-
-
-def _threshold_hashes(hdf: DataFrame, wanted: list[tuple]) -> dict:
-    """Exact hash value at each (stratum, rank) via hierarchical prefix counts.
-
-    ``wanted``: [(stratum, level-1 bucket, offset inside it, bucket count)].
-    A bucket holding <= MAX_COLLECT rows has its hashes read and the
-    offset-th smallest is the threshold; a larger one is split by the next
-    4 hex digits (one grouped count for all such cuts) and the search goes on
-    in the sub-bucket holding the offset.
-    """
-    todo = {(s, b, o): (BUCKET_DIGITS, f"{b:0{BUCKET_DIGITS}x}", o, n) for s, b, o, n in wanted}
-    done: dict = {}
-    while todo:
-        small = {k: v for k, v in todo.items() if v[3] <= MAX_COLLECT}
-        big = {k: v for k, v in todo.items() if v[3] > MAX_COLLECT}
+    return df.withColumn(_H, key_hash(seed, key_cols)).withColumn(_S, s)
+
+
+class _Counts:
+    """Rows per (stratum, leading digits), kept until the cuts are found."""
+
+    def __init__(self, hdf: DataFrame):
+        prefix = F.substring(_H, 1, BUCKET_DIGITS)
+        self.table = hdf.groupBy(_S, prefix.alias("p")).agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.sizes = {r[_S]: r["n"] for r in self.table.groupBy(_S).agg(F.sum("c").alias("n")).collect()}
+
+    def release(self) -> None:
+        self.table.unpersist()
+
+
+def _narrow(counts: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
+    """(cut, stratum, prefix, offset inside it, its rows) for the bucket of ``counts``
+    (``by``, p, c) that holds each cut's offset."""
+    w = Window.partitionBy(*by).orderBy("p")
+    placed = (counts.withColumn("__to", F.sum("c").over(w)).withColumn("__from", F.col("__to") - F.col("c"))
+              .withColumnRenamed(_S, "__s2").withColumnRenamed("__parent", "__p2"))
+    on = F.col("__s2").eqNullSafe(F.col(_S))
+    if "__parent" in by:
+        on = on & (F.col("__p2") == F.col("prefix"))
+    # the cuts are a local table of a row per stratum and cut
+    hit = placed.join(cuts, on).where((F.col("off") >= F.col("__from")) & (F.col("off") < F.col("__to")))
+    return hit.select("cut", _S, F.col("p").alias("prefix"), (F.col("off") - F.col("__from")).alias("off"),
+                      F.col("c").alias("n"))
+
+
+_CUTS = f"cut long, {_S} string, prefix string, off long, n long"
+
+
+def _threshold_hashes(hdf: DataFrame, counts: _Counts, wanted: list[tuple], max_window: int = MAX_WINDOW) -> dict[int, str]:
+    """The hash at each (cut, stratum, rank); cuts past the end have none."""
+    spark = hdf.sparkSession
+    found: dict[int, str] = {}
+    cuts = spark.createDataFrame([(i, s, "", int(r), 0) for i, s, r in wanted], _CUTS)
+    open_ = _narrow(counts.table, cuts, [_S]).collect()  # a row per cut
+    digits = BUCKET_DIGITS
+    while open_:
+        found.update({r["cut"]: r["prefix"] for r in open_ if digits >= HASH_DIGITS})
+        open_ = [r for r in open_ if digits < HASH_DIGITS]
+        small = [tuple(r) for r in open_ if r["n"] <= max_window]
+        large = [tuple(r) for r in open_ if r["n"] > max_window]
         if small:
-            pdf = hdf.where(_sel([(k[0], v[0], v[1]) for k, v in small.items()])).select(_S, _H).toPandas()
-            strata = [None if (x is None or (isinstance(x, float) and x != x)) else x for x in pdf[_S]]
-            for key, (plen, prefix, off, _) in small.items():
-                hs = sorted(h for st, h in zip(strata, pdf[_H]) if st == key[0] and h.startswith(prefix))
-                done[key] = hs[off]
-        todo = {}
-        for plen in sorted({v[0] for v in big.values()}):
-            group = {k: v for k, v in big.items() if v[0] == plen}
-            sub = F.substring(_H, 1, plen + 4)
-            rows = (hdf.where(_sel([(k[0], v[0], v[1]) for k, v in group.items()]))
-                    .groupBy(_S, sub.alias("p")).count().collect())  # <= cuts x 65,536 rows
-            by: dict = {}
-            for r in rows:
-                by.setdefault((r[_S], r["p"][:plen]), []).append((r["p"], r["count"]))
-            for key, (_, prefix, off, _) in group.items():
-                acc = 0
-                for p2, c in sorted(by.get((key[0], prefix), [])):
-                    if off < acc + c:
-                        todo[key] = (plen + 4, p2, off - acc, c)
-                        break
-                    acc += c
-    return done
+            found.update(_ranked(hdf, spark.createDataFrame(small, _CUTS), digits))
+        if not large:
+            break
+        cuts = spark.createDataFrame(large, _CUTS)
+        finer = min(digits + 4, HASH_DIGITS)
+        rows = (_rows_of(hdf, cuts, digits)
+                .groupBy(_S, F.col("__at").alias("__parent"), F.substring(_H, 1, finer).alias("p"))
+                .agg(F.count(F.lit(1)).alias("c")))
+        open_ = _narrow(rows, cuts, [_S, "__parent"]).collect()
+        digits = finer
+    return found
+
+
+def _rows_of(hdf: DataFrame, cuts: DataFrame, digits: int) -> DataFrame:
+    """The hashes of rows in the buckets of the cuts, once per bucket."""
+    buckets = cuts.select(F.col(_S).alias("__s2"), F.col("prefix").alias("__at")).distinct()
+    rows = hdf.select(_S, _H)
+    return (rows.join(bounded_broadcast(buckets), F.col(_S).eqNullSafe(F.col("__s2"))
+                      & (F.substring(_H, 1, digits) == F.col("__at"))).drop("__s2"))
+
+
+def _ranked(hdf: DataFrame, cuts: DataFrame, digits: int) -> dict[int, str]:
+    w = Window.partitionBy(_S, "__at").orderBy(_H)
+    rows = (_rows_of(hdf, cuts, digits).withColumn("__r", F.row_number().over(w) - 1)
+            .withColumnRenamed(_S, "__s2"))
+    hit = rows.join(cuts, F.col("__s2").eqNullSafe(F.col(_S)) & (F.col("__at") == F.col("prefix"))
+                    & (F.col("__r") == F.col("off")))
+    return {r["cut"]: r[_H] for r in hit.select("cut", _H).collect()}  # a row per cut
+
+
+def _pieces(hdf: DataFrame, by_stratum: dict, out_col: str) -> DataFrame:
+    """Number of the stratum's thresholds not above the row's hash."""
+    if len(by_stratum) <= MAX_CASES:
+        expr = None
+        for s, hashes in by_stratum.items():
+            val = F.lit(0)
+            for t in hashes:
+                val = val + (F.col(_H) >= F.lit(t)).cast("int")
+            cond = F.col(_S).isNull() if s is None else F.col(_S) == F.lit(s)
+            expr = F.when(cond, val) if expr is None else expr.when(cond, val)
+        return hdf.withColumn(out_col, F.lit(0) if expr is None else expr.otherwise(F.lit(0)))
+    table = hdf.sparkSession.createDataFrame([(s, h) for s, h in by_stratum.items()], "__s2 string, __t array<string>")
+    reached = F.size(F.filter("__t", lambda t: t <= F.col(_H)))
+    return (hdf.join(bounded_broadcast(table), F.col(_S).eqNullSafe(F.col("__s2")), "left")
+            .withColumn(out_col, F.when(F.col("__t").isNotNull(), reached).otherwise(F.lit(0))).drop("__s2", "__t"))
 
 
 def assign_pieces(df: DataFrame, seed, key_cols: list[str], cuts_by_stratum,
                   strata_col: str | None = None, out_col: str = "piece",
-                  counts: dict | None = None) -> DataFrame:
+                  counts: _Counts | None = None, max_window: int = MAX_WINDOW) -> DataFrame:
     """Label each row with the number of cut ranks <= its rank in h order.
 
     ``cuts_by_stratum``: function ``(stratum, n_stratum) -> sorted cut ranks``.
-    Each cut becomes an exact threshold hash, so the label is one projection
-    (``piece = sum(h >= h*)``): no window, no shuffle, no union.
+    Each cut becomes an exact threshold hash; rows are neither sorted nor moved.
     """
     hdf = _with_hash(df, seed, key_cols, strata_col)
-    counts = counts if counts is not None else _bucket_counts(hdf)
-    wanted, per_stratum = [], {}
-    for s_, buckets in counts.items():
-        n_s = sum(c for _, c in buckets)
-        for r in cuts_by_stratum(s_, n_s):
-            loc = _locate(buckets, int(r))
-            if loc is not None:
-                size = dict(buckets)[loc[0]]
-                wanted.append((s_, loc[0], loc[1], size))
-                per_stratum.setdefault(s_, []).append((s_, loc[0], loc[1]))
-    thresholds = _threshold_hashes(hdf, wanted) if wanted else {}
-    expr = None
-    for s_, keys in per_stratum.items():
-        val = F.lit(0)
-        for key in keys:
-            val = val + (F.col(_H) >= F.lit(thresholds[key])).cast("int")
-        cond = _strata_cond(s_)
-        expr = F.when(cond, val) if expr is None else expr.when(cond, val)
-    piece = F.lit(0) if expr is None else expr.otherwise(F.lit(0))
-    return hdf.withColumn(out_col, piece).drop(_H, _B, _S)
+    counts = counts if counts is not None else _Counts(hdf)
+    wanted = [(s, r) for s, n in counts.sizes.items() for r in cuts_by_stratum(s, n)]
+    found = _threshold_hashes(hdf, counts, [(i, s, r) for i, (s, r) in enumerate(wanted)], max_window) if wanted else {}
+    counts.release()
+    by_stratum: dict = {}
+    for i, (s, _) in enumerate(wanted):
+        if i in found:
+            by_stratum.setdefault(s, []).append(found[i])
+    return _pieces(hdf, by_stratum, out_col).drop(_H, _S)
 
 
 # ---------------------------------------------------------------- split sizes
@@ -200,8 +207,8 @@ def train_test_split(df: DataFrame, key_cols: list[str], test_size: float = 0.2,
     a largest-remainder allocation when ``stratify`` is given).
     """
     hdf = _with_hash(df, seed, key_cols, stratify)
-    counts = _bucket_counts(hdf)
-    sizes = {s: sum(c for _, c in b) for s, b in counts.items()}
+    counts = _Counts(hdf)
+    sizes = counts.sizes
     n = sum(sizes.values())
     n_test = n_test_for(n, test_size)
     alloc = largest_remainder(sizes, n_test) if stratify else {None: n_test}
@@ -225,8 +232,8 @@ def kfold(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42,
         return assign_pieces(df, seed, key_cols,
                              lambda s, n_s: _cum(kfold_sizes(n_s, k)), out_col=out_col)
     hdf = _with_hash(df, seed, key_cols, stratify)
-    counts = _bucket_counts(hdf)
-    sizes = {s: sum(c for _, c in b) for s, b in counts.items()}
+    counts = _Counts(hdf)
+    sizes = counts.sizes
     offsets, acc = {}, 0
     for s in sorted(sizes, key=lambda x: (x is None, str(x))):
         offsets[s] = acc

@@ -46,7 +46,6 @@ def downsample_evenly(df: DataFrame, order_cols: list[str], n_keep: int = 500) -
     most ``n_keep`` rows.
     """
     from quarry.functions.exprs import key_hash
-    from quarry.operators.split import assign_pieces  # noqa: F401  (same bucketing idea)
     n = df.count()
     if n <= n_keep:
         return df

@@ -79,3 +79,43 @@ def test_rank_fallback_and_robustness_strata(spark):
     assert sum(c2.values()) == 100 and len(c2) >= 2 and min(c2.values()) >= 2
     with pytest.raises(ValueError):
         split.robustness_strata(df.limit(3).withColumn("y", df["id"]), "y")
+
+
+def _ranked_pieces(rows, cuts, seed="s"):
+    """Plain loop: pieces by the rank of md5(seed|key) within the stratum; equal hashes stay together."""
+    import hashlib
+    by = {}
+    for k, s in rows:
+        by.setdefault(s, []).append(hashlib.md5(f"{seed}|{k}".encode()).hexdigest())
+    out = []
+    for k, s in rows:
+        hs = sorted(by[s])
+        h = hashlib.md5(f"{seed}|{k}".encode()).hexdigest()
+        out.append((k, s, sum(h >= hs[c] for c in cuts(s, len(hs)) if c < len(hs))))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("max_window", [1, 7, 10_000])
+def test_cuts_are_exact_however_small_the_windows(spark, max_window):
+    # a large stratum, a small one, missing strata, and a key that half of one stratum holds
+    rows = ([(i, "a") for i in range(9000)] + [(i, "b") for i in range(5)] + [(i, None) for i in range(300)]
+            + [(7, "c")] * 400 + [(i, "c") for i in range(1000, 1400)])
+    cuts = lambda s, n: [n // 5, n // 2, n - 1, n, n + 3]
+    df = spark.createDataFrame(rows, "k long, s string").repartition(6)
+    got = split.assign_pieces(df, "s", ["k"], cuts, "s", max_window=max_window)
+    assert got.columns == ["k", "s", "piece"]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _ranked_pieces(rows, cuts)
+
+
+def test_more_strata_than_cases(spark):
+    rows = [(i, f"g{i % 150}") for i in range(1500)] + [(5000 + i, None) for i in range(9)]
+    df = spark.createDataFrame(rows, "k long, s string")
+    cuts = lambda s, n: [n // 3, 2 * n // 3]
+    got = split.assign_pieces(df, "s", ["k"], cuts, "s")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == _ranked_pieces(rows, cuts)
+
+
+def test_split_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "k long, s string")
+    assert split.train_test_split(df, ["k"], 0.2, 1, stratify="s").count() == 0
+    assert split.kfold(df, ["k"], 3, 1).count() == 0
