@@ -236,10 +236,11 @@ def nan_fallback(df: DataFrame, cols: Sequence[str]) -> tuple[DataFrame, dict]:
 
 def infer_predictors(df: DataFrame, target: str | None = None, max_levels: int = 50) -> DataFrame:
     """Role per column: numeric / categorical (<= max_levels distinct) / unused."""
+    from quarry.operators.profile import distinct_counts
     cols = [c for c in df.columns if c != target]
     num = set(numeric_columns(df, cols))
     other = [c for c in cols if c not in num]
-    row = df.agg(*[F.count_distinct(col(c)).alias(c) for c in other]).first() if other else {}
+    row = distinct_counts(df, other)
     rows = []
     for i, c in enumerate(cols):
         if c in num:

@@ -55,16 +55,39 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, name_width: int |
         F.col("q")[2].alias("p75"), F.col("q")[3].alias("p100"))
 
 
+def distinct_counts(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
+    """Exact distinct non-null values of every column: cells stacked as (column,
+    value) and grouped once, so a column's hot value is counted before the shuffle
+    and no row is carried along whole."""
+    types = {f.name: f.dataType.typeName() for f in df.schema.fields}
+
+    def text(c: str):
+        x = col(c)
+        if types[c] in ("double", "float"):
+            x = x + F.lit(0.0)  # -0.0 is 0.0
+        elif types[c] == "timestamp":
+            x = F.unix_micros(x)  # the clock change repeats an hour in text form
+        return x.cast("string")
+    if not cols:
+        return {}
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), text(c).alias("v")) for i, c in enumerate(cols)]))
+    rows = (df.select(cells.alias("s")).select("s.*").where(F.col("v").isNotNull())
+            .groupBy("i", "v").agg(F.lit(1).alias("one")).groupBy("i").count().collect())  # a row per column
+    found = {r["i"]: r["count"] for r in rows}
+    return {c: found.get(i, 0) for i, c in enumerate(cols)}
+
+
 def detect_categorical(df: DataFrame, max_levels: int = 50) -> DataFrame:
     """A3: non-numeric columns, or integer columns with <= max_levels distinct
     values and min >= 0."""
+    distinct = distinct_counts(df, df.columns)
     aggs = []
     for i, f in enumerate(df.schema.fields):
-        aggs.append(F.count_distinct(col(f.name)).alias(f"c{i}__n_distinct"))
+        aggs.append(F.lit(distinct[f.name]).cast("long").alias(f"c{i}__n_distinct"))
         is_int = f.dataType.typeName() in ("integer", "long", "short", "byte")
         aggs.append((F.min(col(f.name)).cast("double") if is_int else F.lit(None).cast("double"))
                     .alias(f"c{i}__min"))
-    wide = df.agg(*aggs)
+    wide = df.agg(F.count(F.lit(1)).alias("__rows"), *aggs)
     kinds = []
     for f in df.schema.fields:
         t = f.dataType.typeName()

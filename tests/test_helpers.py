@@ -27,3 +27,13 @@ def test_grid_search_picks_best(spark, sf):
                             lambda p: models.GramTrainer("ridge", {"alpha": p["alpha"]}), KEYS, k=3)
     scores = {r["params"]: r["score"] for r in res.collect()}
     assert str(best) in scores and scores[str(best)] == max(scores.values())
+
+
+def test_distinct_counts_match_plain_sets(spark):
+    import datetime as dt
+    from quarry.operators.profile import distinct_counts
+    rows = [(1, "a", 0.0, dt.datetime(2020, 10, 25, 1)), (1, None, -0.0, None), (2, "", float("nan"), None),
+            (None, "a", float("nan"), dt.datetime(2020, 10, 25, 2))]
+    df = spark.createDataFrame(rows, "`i.x` int, s string, d double, w timestamp")
+    assert distinct_counts(df, df.columns) == {"i.x": 2, "s": 2, "d": 2, "w": 2}
+    assert distinct_counts(df.limit(0), ["s"]) == {"s": 0} and distinct_counts(df, []) == {}
