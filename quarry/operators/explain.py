@@ -69,16 +69,27 @@ def partial_dependence(model, df: DataFrame, feature: str, grid_points: int = 50
                        lo_q: float = 0.05, hi_q: float = 0.95) -> DataFrame:
     """Mean prediction with ``feature`` forced to each grid value.
 
-    The grid (a parameter, ``grid_points`` values between the 5 % and 95 %
-    quantiles) is generated per row with ``explode``; one ``transform`` and
-    one ``groupBy(grid)`` follow.
+    The grid has ``grid_points`` values between the 5 % and 95 % quantiles. A model
+    that is one expression is averaged at every grid value in a single aggregation,
+    without copies of rows. For any other model the distinct rows of its remaining
+    features, with their counts, are copied to the grid and scored once.
     """
     lo, hi = column_quantiles(df, [feature], [lo_q, hi_q])[feature]
-    grid = list(np.linspace(lo, hi, grid_points))
-    exploded = (df.withColumn("__g", F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-                .withColumn(feature, F.col("__g")))
-    return (model.transform(exploded).groupBy(F.col("__g").alias("value"))
-            .agg(F.avg(to_double("prediction")).alias("mean_prediction")))
+    if lo is None:
+        return df.sparkSession.createDataFrame([], "value double, mean_prediction double")
+    grid = sorted({float(g) for g in np.linspace(lo, hi, grid_points)})
+    if hasattr(model, "predict_expr"):
+        means = df.agg(*[F.avg(model.predict_expr({feature: g})).alias(f"g{i}") for i, g in enumerate(grid)])
+        points = [F.struct(F.lit(g).alias("value"), F.col(f"g{i}").alias("mean_prediction")) for i, g in enumerate(grid)]
+        return means.select(F.explode(F.array(*points)).alias("s")).select("s.*")
+    others = [f for f in getattr(model, "features", df.columns) if f != feature]
+    counted = df.groupBy(*[col(f) for f in others]).agg(F.count(F.lit(1)).alias("__n"))
+    copies = (counted.withColumn("__g", F.explode(F.array(*[F.lit(g) for g in grid])))
+              .withColumn(feature, F.col("__g")))
+    scored = model.transform(copies).select("__g", "__n", to_double("prediction").alias("__p"))
+    scored = scored.where(F.col("__p").isNotNull())
+    return (scored.groupBy(F.col("__g").alias("value"))
+            .agg((F.sum(F.col("__p") * F.col("__n")) / F.sum("__n")).alias("mean_prediction")))
 
 
 def _coalitions(p: int, n_samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -315,10 +315,12 @@ class LinearModel:
     target: str = "y"
     info: dict = field(default_factory=dict)
 
-    def predict_expr(self) -> Column:
+    def predict_expr(self, forced: dict[str, float] | None = None) -> Column:
+        """The prediction; features in ``forced`` have that value on every row."""
+        forced = forced or {}
         e = F.lit(float(self.intercept))
         for f, w in zip(self.features, self.coef):
-            e = e + F.lit(float(w)) * to_double(f)
+            e = e + F.lit(float(w)) * (F.lit(float(forced[f])) if f in forced else to_double(f))
         return e
 
     def transform(self, df: DataFrame, out_col: str = "prediction") -> DataFrame:

@@ -1,6 +1,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -247,3 +248,25 @@ def test_confusion_grid_is_full_at_any_size(spark):
     assert got.count() == len(names) ** 2
     assert sorted(tuple(r) for r in got.where("count > 0").select("actual", "predicted", "count").collect()) == [
         ("c0001", "c0001", 1), ("c0001", "c0002", 1), ("c1099", "c0000", 1)]
+
+
+def test_partial_dependence_of_expressions_and_of_any_model(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"a": rng.normal(size=120), "b": rng.integers(0, 4, 120).astype(float), "id": range(120)})
+    pdf["y"] = 2 * pdf.a - pdf.b
+    df = spark.createDataFrame(pdf)
+    m = linear.LinearModel(["a", "b"], np.array([2.0, -1.0]), 0.5, "y")
+
+    class Opaque:  # no expression to force a value in
+        features = ["a", "b"]
+
+        def transform(self, d):
+            return d.withColumn("prediction", F.col("a") * F.col("a") * F.col("b"))
+
+    lo, hi = np.quantile(pdf.b, [0.05, 0.95])
+    want = {g: 2 * pdf.a.mean() - g + 0.5 for g in np.linspace(lo, hi, 7)}
+    got = {r["value"]: r["mean_prediction"] for r in explain.partial_dependence(m, df, "b", 7).collect()}
+    assert got.keys() == want.keys() and all(abs(got[g] - want[g]) < 1e-9 for g in want)
+    got = {r["value"]: r["mean_prediction"] for r in explain.partial_dependence(Opaque(), df, "a", 5).collect()}
+    assert len(got) == 5 and all(abs(v - g * g * pdf.b.mean()) < 1e-9 for g, v in got.items())
+    assert explain.partial_dependence(m, df.limit(0), "b", 7).count() == 0
