@@ -11,6 +11,8 @@ finite feature meet nothing.
   cell of its nearest pivot. A first pass meets each query with its own cell, which
   bounds its k-th distance; the triangle and half-space inequalities then tell which
   other cells can hold something nearer, and only those get a copy of the query.
+* Other cells of a radius join are dealt by hash to groups of about ``block_rows`` rows,
+  so that a task works many small cells at once, in batches of whole cells.
 * Cells of more than ``block_rows`` rows on a side are cut by hash into chunks of
   queries and blocks of references; a task holds one of each. Copies of one point
   beyond the k + 1 smallest ids can be no one's neighbours and are left out where
@@ -36,6 +38,7 @@ from quarry.functions.quantiles import quantile
 from quarry.session import cut_lineage
 
 BLOCK_ROWS = 4096
+BATCH_PAIRS = 1 << 18  # pairs of a batch of small cells
 GRID_DIMS = 3
 MAX_PIVOTS = 1024
 
@@ -67,9 +70,28 @@ def _matrix(v: pd.Series) -> np.ndarray:
     return np.stack(v.to_numpy()).astype(float)
 
 
-def _meet(q: DataFrame, r: DataFrame, cell: Sequence[str], fn: Callable, schema: str, block_rows: int) -> DataFrame:
+def _batches(qc: np.ndarray, rc: np.ndarray):
+    """(queries, references) of batches of whole cells, given the cell of every row: up to
+    ``BATCH_PAIRS`` pairs unless one cell has more. Cells of one side only are left out."""
+    order = [np.argsort(c, kind="stable") for c in (qc, rc)]
+    cells = np.intersect1d(qc, rc)
+    lo, hi = ([np.searchsorted(c[o], cells, side) for c, o in zip((qc, rc), order)] for side in ("left", "right"))
+    n = [h - l for h, l in zip(hi, lo)]
+    a = 0
+    while a < len(cells):
+        pairs = np.cumsum(n[0][a:a + BATCH_PAIRS]) * np.cumsum(n[1][a:a + BATCH_PAIRS])
+        b = a + max(1, int(np.searchsorted(pairs, BATCH_PAIRS, "right")))
+        yield tuple(o[np.repeat(l[a:b] - np.cumsum(k[a:b]) + k[a:b], k[a:b]) + np.arange(k[a:b].sum())]
+                    for o, l, k in zip(order, lo, n))
+        a = b
+
+
+def _meet(q: DataFrame, r: DataFrame, cell: Sequence[str], fn: Callable, schema: str, block_rows: int,
+          groups: int = 0) -> DataFrame:
     """``fn(queries, references)`` on every pair of a chunk and a block that share a
-    cell. Crowded cells are counted first; their table is broadcast if it is small."""
+    cell. Crowded cells are counted first; their table is broadcast if it is small.
+    With ``groups`` all other cells are dealt to that many groups: ``fn`` gets a group's
+    rows and finds their cells in the columns ``cell``."""
     cell = list(cell)
     # columns of its own for each side: a table may meet itself
     q, r = (d.select(*[F.col(c).alias(c) for c in d.columns]) for d in (q, r))
@@ -85,8 +107,9 @@ def _meet(q: DataFrame, r: DataFrame, cell: Sequence[str], fn: Callable, schema:
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), n - 1))
-    q = q.join(load, cell, "left").withColumn("__c", part(chunks)).withColumn("__b", every(blocks)).drop("__chunks", "__blocks")
-    r = r.join(load, cell, "left").withColumn("__b", part(blocks)).withColumn("__c", every(chunks)).drop("__chunks", "__blocks")
+    crowded = F.col("__chunks").isNotNull()
+    q = q.join(load, cell, "left").withColumns({"__c": part(chunks), "__crowded": crowded}).withColumn("__b", every(blocks)).drop("__chunks", "__blocks")
+    r = r.join(load, cell, "left").withColumns({"__b": part(blocks), "__crowded": crowded}).withColumn("__c", every(chunks)).drop("__chunks", "__blocks")
     names = [f.split()[0] for f in schema.split(", ")]
 
     def tile(qdf: pd.DataFrame, rdf: pd.DataFrame) -> pd.DataFrame:
@@ -94,6 +117,12 @@ def _meet(q: DataFrame, r: DataFrame, cell: Sequence[str], fn: Callable, schema:
             return pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
         return fn(qdf, rdf)
     keys = [*cell, "__c", "__b"]
+    if groups:
+        keys = [f"__k{i}" for i in range(len(cell) + 1)]
+        q, r = (d.select("*", *[F.when(F.col("__crowded"), F.col(c)).otherwise(0).alias(k) for c, k in zip(cell, keys)],
+                         F.when(F.col("__crowded"), F.lit(-1)).otherwise(F.pmod(F.xxhash64(*cell), F.lit(groups))).alias(keys[-1]))
+                for d in (q, r))
+        keys += ["__c", "__b"]
     return q.groupBy(*keys).cogroup(r.groupBy(*keys)).applyInPandas(tile, schema)
 
 
@@ -125,9 +154,18 @@ def radius_tiles(queries: DataFrame, refs: DataFrame, n_feats: int, radius: floa
     for n in cell if dims else []:
         r = r.withColumn(n, F.explode(F.array(F.col(n) - 1, F.col(n), F.col(n) + 1)))
 
+    names = [f.split()[0] for f in schema.split(", ")]
+
     def tile(qdf, rdf):
-        return fn(qdf, rdf, _dist_tile(_matrix(qdf["v"]), _matrix(rdf["v"])) <= radius)
-    return _meet(q, r, cell, tile, schema, block_rows)
+        _, code = np.unique(np.concatenate((qdf[cell].to_numpy(), rdf[cell].to_numpy())), axis=0, return_inverse=True)
+        qc, rc = code[:len(qdf)], code[len(qdf):]
+        Q, R, out = _matrix(qdf["v"]), _matrix(rdf["v"]), []
+        for a, b in _batches(qc, rc):
+            near = (_dist_tile(Q[a], R[b]) <= radius) & (qc[a][:, None] == rc[b][None, :])
+            out.append(fn(qdf.iloc[a], rdf.iloc[b], near))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({n: pd.Series([], dtype=object) for n in names})
+    groups = max(1, math.ceil(max(queries.count(), refs.count() * 3 ** len(dims)) / block_rows))
+    return _meet(q, r, cell, tile, schema, block_rows, groups)
 
 
 def radius_join(queries: DataFrame, refs: DataFrame, qid: str, rid: str, feats: Sequence[str],
@@ -314,7 +352,7 @@ def radius_regress(train: DataFrame, test: DataFrame, id_col: str, feats: Sequen
     r = _points(train.where(to_double(target).isNotNull()), id_col, feats, to_double(target).alias("t"))
 
     def sums(qdf, rdf, near):
-        return pd.DataFrame({"id": qdf["id"], "n": near.sum(axis=1), "s": near @ rdf["t"].to_numpy(float)})
+        return pd.DataFrame({"id": qdf["id"], "n": near.sum(axis=1), "s": np.where(near, rdf["t"].to_numpy(float), 0.0).sum(axis=1)})
     means = (radius_tiles(q, r, len(feats), radius, sums, "id long, n long, s double").where("n > 0")
              .groupBy(F.col("id").alias(id_col)).agg((F.sum("s") / F.sum("n")).alias("prediction")))
     return test.select(id_col).join(means, id_col, "left")

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarry.operators import neighbors
@@ -167,3 +168,16 @@ def test_radius_regression_of_crowded_cells(spark):
     for i in range(200):
         assert abs(got[i] - y[D[i] & has].mean()) < 1e-9
     assert got[900] is None
+
+
+def test_small_cells_share_tasks_and_crowded_ones_are_cut(spark):
+    rng = np.random.default_rng(15)
+    X = np.concatenate((rng.uniform(0, 40, size=(300, 2)), rng.uniform(0, 0.4, size=(90, 2))))
+    pts = neighbors._points(_frame(spark, X), "id", ["x", "y"])
+
+    def links(qdf, rdf, near):
+        return pd.DataFrame({"n": [int(near.sum())]})
+    got = neighbors.radius_tiles(pts, pts, 2, 0.5, links, "n long", block_rows=64).collect()
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    assert sum(r["n"] for r in got) == (D <= 0.5).sum()
+    assert len(got) < 150  # not one call for each of some 300 cells
