@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
 from quarry.functions.quantiles import column_quantiles
-from quarry.operators import metrics, split, transform
+from quarry.operators import linear, metrics, split, transform
 from quarry.plans import models, tune
 from quarry.sources import sinks
 
@@ -48,19 +48,27 @@ ROBUST_MODELS = {
 
 @dataclass
 class Prepared:
-    """A model behind a median imputer and a scaler, both fitted on its training rows."""
+    """A model behind a median imputer and a scaler, both fitted on its training rows.
+    ``known`` keeps both for models that share the same rows: columns are fitted once."""
     key: str
     params: dict
     scaler: str = "standard"
+    known: dict | None = None
 
     def fit(self, df: DataFrame, features: Sequence[str], target: str):
         feats = list(features)
-        middle = {f: q[0] for f, q in column_quantiles(df, feats, [0.5]).items()}
+        known = {} if self.known is None else self.known
+        middle = known.setdefault("middle", {})
+        todo = [f for f in feats if f not in middle]
+        middle.update({f: q[0] for f, q in column_quantiles(df, todo, [0.5]).items()})
 
         def filled(frame):
             return frame.withColumns({f: F.coalesce(F.nanvl(to_double(f), F.lit(None)), F.lit(middle[f])) for f in feats})
         train = filled(df)
-        scale = transform.fit_scaler(train, feats, self.scaler)
+        scale = known.get(self.scaler)
+        if scale is None or not set(feats) <= scale[0]:
+            scale = known[self.scaler] = (set(feats), transform.fit_scaler(train, feats, self.scaler))
+        scale = scale[1]
         model = models.make(self.key, self.params, prescaled=True).fit(scale.transform(train, feats), feats, target)
 
         class _Fitted:
@@ -86,25 +94,42 @@ def robustness(df: DataFrame, features_by_set: dict, target: str, model_keys: Se
     spark = df.sparkSession
     if strata:
         df, _, _ = split.robustness_strata(df, target)
+    every = list(dict.fromkeys(f for feats in features_by_set.values() for f in feats))
     for seed in seeds:
         sp = split.train_test_split(df, list(key_cols), test_size, seed, "__stratum" if strata else None).persist()
         tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-        size = {r["split"]: r["count"] for r in sp.groupBy("split").count().collect()}
-        for set_name, feats in features_by_set.items():
-            whole = not sp.where(F.greatest(*[(to_double(f).isNull() | F.isnan(to_double(f))).cast("int") for f in [*feats, feats[0]]]) == 1).isEmpty()
+        # folds, missing values, medians, scales and fold moments are the same for all models and sets
+        frames = [(frame.persist(), held_out) for frame, held_out in tune.fold_frames(tr, key_cols, cv_folds, seed=seed)]
+        seen = sp.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(to_double(f).isNull() | F.isnan(to_double(f))).alias(f"m{i}")
+                                                                       for i, f in enumerate(every)]).collect()
+        size = {r["split"]: r["n"] for r in seen}
+        missing = {f for i, f in enumerate(every) if any(r[f"m{i}"] for r in seen)}
+        known: dict = {}
+        fold_moments: dict = {}
+        for set_name, feats in sorted(features_by_set.items(), key=lambda x: -len(x[1])):  # scales are first fitted for the largest set
+            whole = not missing.isdisjoint(feats)
             for name, (key, params, scaled) in table.items():
                 how = scaler if scaled else "none"
                 params = {**params, **({seeded[key]: int(seed)} if key in seeded else {})}
                 # without missing values a Gram model's folds all follow from one pass
-                make = (lambda k=key, p=params, h=how: Prepared(k, p, h)) if whole or not tune._gram_route(key, how, "none") else None
+                gram = not whole and tune._gram_route(key, how, "none")
+                make = None if gram else (lambda k=key, p=params, h=how: Prepared(k, p, h))
+                if gram and tuple(feats) not in fold_moments:
+                    fold_moments[tuple(feats)] = [linear.moments(frame, [*feats, target], group="fold") for frame, _ in frames]
                 _, cv = tune.cross_validate(tr, feats, target, key, key_cols, cv_folds, seed=seed, scaler=how if make is None else "none",
-                                            factory=make, params=params)
+                                            factory=make, params=params, frames=frames,
+                                            fold_moments=fold_moments.get(tuple(feats)) if gram else None)
                 cv = cv.first()
-                m = Prepared(key, params, how).fit(tr, feats, target)
+                m = Prepared(key, params, how, known).fit(tr, feats, target)
                 r = metrics.regression_metrics(m.transform(te), target, "prediction", median=False).first()
                 rows.append((int(seed), set_name, name, float(cv["r2_mean"]), r["r2"], r["rmse"], r["mae"], float(cv["r2_sd"]),
                              int(size.get("train", 0)), int(size.get("test", 0))))
+        for frame, _ in frames:
+            frame.unpersist()
         sp.unpersist()
+    place = {name: i for i, name in enumerate(features_by_set)}
+    rows.sort(key=lambda r: place[r[1]])
+    rows.sort(key=lambda r: list(map(int, seeds)).index(r[0]))
     return spark.createDataFrame(rows, "seed int, feature_set string, model string, cv_r2 double, test_r2 double, rmse double, "
                                        "mae double, cv_r2_sd double, n_train long, n_test long")
 

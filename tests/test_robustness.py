@@ -78,3 +78,20 @@ def test_lasso_cv_returns_the_path_and_the_refit(spark, sf):
     pull = z.T @ ((y - y.mean()) / sy - z @ w) / len(y)  # the gradient is alpha where a coefficient isn't 0
     assert all(np.isclose(g, best[0].alpha * np.sign(c), atol=1e-7) if c else abs(g) <= best[0].alpha + 1e-9 for g, c in zip(pull, w))
     assert np.isclose(best[0].intercept, y.mean() - x.mean(0) @ (w * sy / x.std(0)))
+
+
+def test_models_and_sets_of_a_seed_share_folds_and_scales(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    X = rng.normal(size=(60, 2))
+    df = spark.createDataFrame([(i, float(a), float(b), float(a - b + 0.1 * e)) for i, ((a, b), e) in enumerate(zip(X, rng.normal(size=60)))],
+                               "id long, a double, b double, y double").coalesce(1)
+    calls = {"kfold": 0, "fit_scaler": 0}
+    for module, name in ((split, "kfold"), (batch.transform, "fit_scaler")):
+        def counted(*args, _real=getattr(module, name), _name=name, **kw):
+            calls[_name] += 1
+            return _real(*args, **kw)
+        monkeypatch.setattr(module, name, counted)
+    sets = {"one": ["b"], "both": ["a", "b"]}
+    got = batch.robustness(df, sets, "y", ["Linear", "Ridge"], [4], ["id"], cv_folds=2).collect()
+    assert [(r.feature_set, r.model) for r in got] == [(s, m) for s in sets for m in ("Linear", "Ridge")]
+    assert calls == {"kfold": 1, "fit_scaler": 1}
