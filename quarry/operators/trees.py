@@ -3,7 +3,8 @@
 A pass over the rows computes, for every open node, a row of statistics: each task
 keeps dense arrays over the open nodes (bounded by ``CELLS``; more nodes take more
 passes), Spark adds them up by groups of nodes, and the driver picks the splits.
-Rows are never moved; which node a row is in follows from the tree so far.
+Rows travel once, into blocks of packed columns (``BLOCK`` rows in a table row) that
+are dealt evenly to tasks; which node a row is in follows from the tree so far.
 
 * Extremely randomised trees: level by level. One pass finds the range of every
   feature in every open node; a threshold per candidate feature is drawn by a seeded
@@ -40,6 +41,7 @@ CELLS = 4_000_000   # statistics of one pass
 CHUNK = 64          # nodes whose statistics travel together
 REWRITE = 10        # boosting rounds between writes of the scores
 BATCH = 8192
+BLOCK = 1 << 16     # rows packed together
 
 
 # ------------------------------------------------------------------ trees
@@ -78,18 +80,47 @@ def leaves(tree: tuple, X: np.ndarray) -> np.ndarray:
     return node
 
 
-def grouped(data: DataFrame, n_nodes: int, width: int, add: Callable, op: str) -> np.ndarray:
-    """Statistics (n_nodes x width) of all rows. ``add(table, out)`` works a batch into
-    a task's array; ``op`` ('sum' or 'min') joins arrays."""
+def packed(data: DataFrame, p: int, code: Callable | None = None) -> DataFrame:
+    """(x, y): the rows of (f0, f1, .., y) as blocks of about ``BLOCK``, dealt to tasks.
+    x holds a block's features one after another, each as ``code(number, values)``."""
+    def block(held):
+        cols = [np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(p + 1)]
+        x = b"".join(np.ascontiguousarray(code(f, c) if code else c).tobytes() for f, c in enumerate(cols[:p]))
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()), pa.array([cols[p].tobytes()], pa.binary())], ["x", "y"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK:
+                yield block(held)
+                held, n = [], 0
+        if n:
+            yield block(held)
+    return data.mapInArrow(run, "x binary, y binary").repartition(2 * data.sparkSession.sparkContext.defaultParallelism)
+
+
+def unpacked(batch: pa.RecordBatch, p: int, dtype=np.float64):
+    """(X by feature, y, further columns) of every block."""
+    for x, y, *more in zip(*(batch.column(i) for i in range(batch.num_columns))):
+        yield (np.frombuffer(x.as_buffer(), dtype).reshape(p, -1), np.frombuffer(y.as_buffer()),
+               *[np.frombuffer(m.as_buffer()) for m in more])
+
+
+def totals(data: DataFrame, n_nodes: int, width: int, work: Callable, op: str) -> np.ndarray:
+    """Statistics (n_nodes x width) of all rows. ``work(batch, out)`` adds an Arrow batch
+    to a task's array; ``op`` ('sum' or 'min') joins arrays."""
     start, join = (0.0, np.add) if op == "sum" else (np.inf, np.minimum)
 
     def run(batches):
         out = np.full((n_nodes, width), start)
+        seen = False
         for batch in batches:
-            table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]) if batch.num_rows else np.zeros((0, batch.num_columns))
-            for a in range(0, len(table), BATCH):
-                add(table[a:a + BATCH], out)
-        chunks = range(0, n_nodes, CHUNK)
+            if batch.num_rows:
+                seen = True
+                work(batch, out)
+        chunks = range(0, n_nodes if seen else 0, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK for k in chunks], pa.int32()),
                                           pa.array([out[k:k + CHUNK].tobytes() for k in chunks], pa.binary())], ["chunk", "data"])
 
@@ -107,6 +138,42 @@ def grouped(data: DataFrame, n_nodes: int, width: int, add: Callable, op: str) -
     return out
 
 
+def grouped(data: DataFrame, n_nodes: int, width: int, add: Callable, op: str) -> np.ndarray:
+    """``totals`` of plain rows: ``add(table, out)`` works some rows into a task's array."""
+    def work(batch, out):
+        table = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        for a in range(0, len(table), BATCH):
+            add(table[a:a + BATCH], out)
+    return totals(data, n_nodes, width, work, op)
+
+
+def rows_of(tree: tuple, X: np.ndarray, wanted: set):
+    """(node, its rows) of the wanted nodes that have rows; only paths to them are
+    followed. X is by feature."""
+    feature, threshold, left, _ = tree
+    parent = {int(c) + k: i for i, c in enumerate(left) if c >= 0 for k in (0, 1)}
+    path: set = set()
+    for node in wanted:
+        while node is not None and node not in path:
+            path.add(node)
+            node = parent.get(node)
+    todo = [(0, np.arange(X.shape[1]))]
+    while todo:
+        node, rows = todo.pop()
+        if node in wanted:
+            yield node, rows
+        first = int(left[node])
+        if first < 0 or path.isdisjoint((first, first + 1)):
+            continue
+        column = X[feature[node]]
+        goes = (column if node == 0 else column[rows]) <= X.dtype.type(threshold[node])
+        for child, side in ((first, goes), (first + 1, ~goes)):
+            if child in path:
+                part = rows[side]
+                if len(part):
+                    todo.append((child, part))
+
+
 def draw(*key) -> float:
     """A number in [0, 1) that follows from the key alone."""
     return int.from_bytes(hashlib.sha256(repr(key).encode()).digest()[:7], "big") / 2 ** 56
@@ -368,34 +435,26 @@ def boost(df: DataFrame, features: Sequence[str], target: str, task: str, n_iter
     if classes is not None and len(classes) < 2:
         raise ValueError("a classifier needs two classes")
     n_out = 1 if classes is None or len(classes) == 2 else len(classes)
-    data = _training(df, feats, target, classes)
-    edges = bin_edges(data, p, max_bins)
-
-    def to_bins(batches):
-        for batch in batches:
-            cols = [pa.array(np.searchsorted(e, c.to_numpy(zero_copy_only=False)).astype(np.int16)) for e, c in zip(edges, batch.columns)]
-            yield pa.RecordBatch.from_arrays([*cols, batch.column(p)], [*[f"f{i}" for i in range(p)], "y"])
-    rows = cut_lineage(data.mapInArrow(to_bins, ", ".join(f"f{i} short" for i in range(p)) + ", y double"))
-    first = rows.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), *[F.count_if(F.col("y") == c).alias(f"c{c}") for c in range(len(classes or []))]).first()
-    n = first["n"]
-    if not n:
-        raise ValueError("no row has a target and all features")
+    data = _training(df, feats, target, classes).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        edges = bin_edges(data, p, max_bins)
+        first = data.agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y"), *[F.count_if(F.col("y") == c).alias(f"c{c}") for c in range(len(classes or []))]).first()
+        n = first["n"]
+        if not n:
+            raise ValueError("no row has a target and all features")
+        blocks = cut_lineage(packed(data, p, lambda f, c: np.searchsorted(edges[f], c).astype(np.uint8)))
+    finally:
+        data.unpersist()
     if classes is None:
         base = [first["y"]]
     else:
         share = [max(first[f"c{c}"] / n, 1e-12) for c in range(len(classes))]
         base = [math.log(share[1] / share[0])] if n_out == 1 else [math.log(s) for s in share]
     trees, losses = [], []
-    done = 0  # trees in the written scores
-    score_cols = [f"s{c}" for c in range(n_out)]
-    rows = rows.select("*", *[F.lit(float(b)).alias(c) for b, c in zip(base, score_cols)])
     bins = max_bins
+    rows = _rescored(blocks, p, [stump(b) for b in base])
 
-    def parts(table):
-        X = table[:, :p].astype(np.int64)
-        return X, table[:, p], raw_scores([arrays_of(t) for t in trees[done:]], base, X, table[:, p + 1:])
-
-    def histograms(open_: list, growing: list) -> list[np.ndarray]:
+    def histograms(open_: list, growing: list, loss: bool = False) -> list[np.ndarray]:
         """Histograms of leaves (output, leaf number) of the growing trees; the row after
         them is the loss."""
         out = []
@@ -404,23 +463,26 @@ def boost(df: DataFrame, features: Sequence[str], target: str, task: str, n_iter
         now = [arrays_of(t) for t in growing]
         for a in range(0, len(open_), per_pass):
             some = open_[a:a + per_pass]
-
-            def add(table, acc):
-                X, y, raw = parts(table)
-                loss, g, h = loss_terms(raw, y, task)
-                acc[len(some), 0] += loss.sum()
-                for c in {c for c, _ in some}:
-                    numbers = np.full(len(now[c][0]), -1)
-                    for i, (d, node) in enumerate(some):
-                        if d == c:
-                            numbers[node] = i
-                    at = numbers[leaves(now[c], X)]
-                    keep = np.flatnonzero(at >= 0)
-                    for f in range(p):
-                        cell = (at[keep] * p + f) * bins + X[keep, f]
-                        for j, v in enumerate((g[keep, c], h[keep, c], None)):
-                            acc[:len(some)].reshape(-1)[j::3] += np.bincount(cell, v, len(some) * p * bins)
-            got = grouped(rows, len(some) + 1, width, add, "sum")
+            numbers = [{node: i for i, (d, node) in enumerate(some) if d == c} for c in range(n_out)]
+
+            def work(batch, acc):
+                for X, y, raw in unpacked(batch, p, np.uint8):
+                    each, g, h = loss_terms(raw.reshape(n_out, -1).T, y, task)
+                    if loss:
+                        acc[len(some), 0] += each.sum()
+                    for c in range(n_out):
+                        gc, hc = np.ascontiguousarray(g[:, c]), None if classes is None else np.ascontiguousarray(h[:, c])
+                        for node, at in rows_of(now[c], X, set(numbers[c])):
+                            hist = acc[numbers[c][node]].reshape(p, bins, 3)
+                            whole = len(at) == len(y)
+                            ga, ha = (gc, hc) if whole else (gc[at], None if hc is None else hc[at])
+                            for f in range(p):
+                                cell = (X[f] if whole else X[f][at]).astype(np.intp)
+                                count = np.bincount(cell, minlength=bins)
+                                hist[f, :, 0] += np.bincount(cell, ga, bins)
+                                hist[f, :, 1] += count if ha is None else np.bincount(cell, ha, bins)
+                                hist[f, :, 2] += count
+            got = totals(rows, len(some) + 1, width, work, "sum")
             losses_now.append(got[-1, 0] / n)
             out += [x.reshape(p, bins, 3) for x in got[:-1]]
         return out
@@ -428,15 +490,18 @@ def boost(df: DataFrame, features: Sequence[str], target: str, task: str, n_iter
     def leaf_value(hist):
         g, h, _ = hist[0].sum(axis=0)
         return float(-learning_rate * g / max(h + l2, 1e-300))
+    rows, past = rows.persist(StorageLevel.MEMORY_AND_DISK), None
     for _ in range(n_iter):
         losses_now: list = []
         grown = [stump(0.0) for _ in range(n_out)]
         queues = []
-        for c, hist in enumerate(histograms([(c, 0) for c in range(n_out)], grown)):
+        for c, hist in enumerate(histograms([(c, 0) for c in range(n_out)], grown, loss=True)):
             leaf = _Leaf(0, 0, hist, best_split(hist, min_samples_leaf, l2))
             grown[c]["value"][0] = leaf_value(hist)
             queues.append([leaf])
         losses.append(losses_now[0])
+        if past is not None:  # the newer scores are kept now
+            past.unpersist()
         left = [(max_leaf_nodes or 1 << 30) - 1] * n_out
         while True:
             # take splits in best-first order as far as the children are known
@@ -469,24 +534,35 @@ def boost(df: DataFrame, features: Sequence[str], target: str, task: str, n_iter
                 pair = (hist, leaf.hist - hist)
                 leaf.kids = pair[::-1] if small else pair
         trees += grown
+        past, rows = rows, _rescored(rows, p, grown)
         if len(trees) // n_out % REWRITE == 0:
-            rows = cut_lineage(_rescored(rows, parts, p, score_cols))
-            done = len(trees)
-
-    def only_loss(table, acc):
-        _, y, raw = parts(table)
-        acc[0, 0] += loss_terms(raw, y, task)[0].sum()
-    losses.append(grouped(rows, 1, 1, only_loss, "sum")[0, 0] / n)
+            rows = cut_lineage(rows)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def only_loss(batch, acc):
+        for _, y, raw in unpacked(batch, p, np.uint8):
+            acc[0, 0] += loss_terms(raw.reshape(n_out, -1).T, y, task)[0].sum()
+    losses.append(totals(rows, 1, 1, only_loss, "sum")[0, 0] / n)
+    for kept in (past, rows):
+        if kept is not None:
+            kept.unpersist()
     for t in trees:  # bins to values
         t["threshold"] = [float(edges[f][int(b)]) if f >= 0 else 0.0 for f, b in zip(t["feature"], t["threshold"])]
     return TreeModel(feats, trees, classes, "boost", base, {"loss": losses})
 
 
-def _rescored(rows: DataFrame, parts: Callable, p: int, score_cols: list) -> DataFrame:
+def _rescored(blocks: DataFrame, p: int, grown: list) -> DataFrame:
+    """Blocks with the scores s (output by output) after one more tree of each output;
+    without scores yet, they are the trees' values."""
+    now = [arrays_of(t) for t in grown]
+    ends = [{i for i, c in enumerate(t[2]) if c < 0} for t in now]
+
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            _, _, raw = parts(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:p + 1], *[pa.array(raw[:, c]) for c in range(len(score_cols))]], batch.schema.names)
-    return rows.mapInArrow(run, rows.schema)
+            for k, (X, y, *raw) in enumerate(unpacked(batch, p, np.uint8)):
+                out = raw[0].reshape(len(now), -1).copy() if raw else np.zeros((len(now), len(y)))
+                for c, t in enumerate(now):
+                    for node, at in rows_of(t, X, ends[c]):
+                        out[c, at] += t[3][node]
+                yield pa.RecordBatch.from_arrays([*[batch.column(j).slice(k, 1) for j in range(2)], pa.array([out.tobytes()], pa.binary())], ["x", "y", "s"])
+    return blocks.mapInArrow(run, "x binary, y binary, s binary")

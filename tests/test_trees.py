@@ -143,3 +143,21 @@ def test_criterion_and_smallest_leaf_of_forests(table):
     assert len({r["prediction"] for r in one.transform(table.where("id < 900")).collect()}) == 1
     with pytest.raises(ValueError):
         models.make("RF", {"criterion": "gini"}).fit(table, FEATS, "y")
+
+
+def test_blocks_hold_every_row_and_find_its_leaf(spark, data, monkeypatch):
+    """Boosting passes read packed blocks with the scores so far; rows don't travel again."""
+    X, y = data
+    monkeypatch.setattr(T, "BLOCK", 64)
+    rows = spark.createDataFrame([(*map(float, x), float(v)) for x, v in zip(X, y)], "f0 double, f1 double, f2 double, y double")
+    blocks = T.packed(rows, 3).collect()
+    assert 1 < len(blocks) <= 16
+    got = np.vstack([np.column_stack((np.frombuffer(bytes(b["x"])).reshape(3, -1).T, np.frombuffer(bytes(b["y"])))) for b in blocks])
+    assert sorted(map(tuple, got)) == sorted(map(tuple, np.column_stack((X, y))))
+    tree = T.stump(0.0)
+    T.grow(tree, T.grow(tree, 0, 1, 2.0, (0.0, 0.0))[1], 0, 4.0, (0.0, 0.0))
+    arrays = T.arrays_of(tree)
+    at = T.leaves(arrays, X)
+    for wanted in ({1, 3, 4}, {3}, {0}):
+        found = dict(T.rows_of(arrays, np.ascontiguousarray(X.T), wanted))
+        assert all(sorted(found[w]) == (list(range(len(X))) if w == 0 else np.flatnonzero(at == w).tolist()) for w in wanted)
