@@ -19,6 +19,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
@@ -63,24 +64,21 @@ def _grow(X: np.ndarray, rng: np.random.Generator, max_depth: int):
 
 
 def _path_lengths(X: np.ndarray, tree) -> np.ndarray:
-    feat, thr, left, right, size = tree
-    out = np.zeros(len(X))
-    node = np.zeros(len(X), dtype=int)
-    depth = np.zeros(len(X))
-    active = np.ones(len(X), dtype=bool)
-    while active.any():
-        f = feat[node]
-        leaf = f < 0
-        done = active & leaf
-        out[done] = depth[done] + np.array([c_factor(s) for s in size[node[done]]])
-        active &= ~leaf
-        if not active.any():
-            break
-        idx = np.nonzero(active)[0]
-        go_left = X[idx, f[idx]] < thr[node[idx]]
-        node[idx] = np.where(go_left, left[node[idx]], right[node[idx]])
-        depth[idx] += 1
-    return out
+    """Path length of every row: all rows step down together, a leaf leads to itself."""
+    feat, thr, left, right, size = (np.asarray(a) for a in tree)
+    n, leaf = len(X), feat < 0
+    here = np.arange(len(feat))
+    column = np.where(leaf, 0, feat) * n
+    kids = np.column_stack((np.where(leaf, here, right), np.where(leaf, here, left))).ravel()
+    depth = np.zeros(len(feat))
+    for i in here[~leaf]:  # children follow their parent
+        depth[[left[i], right[i]]] = depth[i] + 1
+    length = depth + np.array([c_factor(s) for s in size])
+    values, rows = np.ascontiguousarray(X.T).ravel(), np.arange(n)
+    node = np.zeros(n, np.int64)
+    for _ in range(int(depth.max())):
+        node = kids.take(2 * node + (values.take(column.take(node) + rows) < thr.take(node)))
+    return length.take(node)
 
 
 @dataclass
@@ -97,7 +95,7 @@ class IsolationForestModel:
         @F.pandas_udf("double")
         def score(*cols: pd.Series) -> pd.Series:
             X = np.column_stack([c.to_numpy(float) for c in cols])
-            h = np.mean([_path_lengths(X, t) for t in trees], axis=0)
+            h = sum(_path_lengths(X, t) for t in trees) / len(trees)
             return pd.Series(2.0 ** (-h / cn))
 
         return score(*[to_double(f) for f in self.features])
@@ -138,6 +136,7 @@ def fit_isolation_forest(df: DataFrame, features: Sequence[str], key_cols: Seque
     trees = [(np.array(r["feat"]), np.array(r["thr"]), np.array(r["left"]), np.array(r["right"]),
               np.array(r["size"])) for r in sorted(rows, key=lambda r: r["tree"])]
     model = IsolationForestModel(feats, trees, psi)
-    scored = df.select((-model.score_expr()).alias("s"))
+    scored = df.select((-model.score_expr()).alias("s")).persist(StorageLevel.MEMORY_AND_DISK)  # the quantile reads them several times
     model.offset = quantile(scored, F.col("s"), contamination)
+    scored.unpersist()
     return model

@@ -57,3 +57,22 @@ def test_isolation_forest_flags_far_points(spark):
     assert not out[500] and not out[501] and not out[502]
     share = sum(1 for v in out.values() if not v) / len(out)
     assert 0.05 < share < 0.15
+
+
+def test_isolation_paths_cost_a_tree_not_a_row(monkeypatch):
+    """Leaves' lengths are worked out once a tree; every row walks to its own leaf."""
+    import numpy as np
+    from quarry.operators import isolation as I
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(2000, 3))
+    X[0, 1] = np.nan
+    feat, thr, left, right, size = I._grow(X[1:200], rng, 6)
+    calls, plain = [], I.c_factor
+    monkeypatch.setattr(I, "c_factor", lambda n: calls.append(n) or plain(n))
+    got = I._path_lengths(X, (feat, thr, left, right, size))
+    assert len(calls) <= len(feat)
+    for x, h in zip(X, got):
+        node, depth = 0, 0
+        while feat[node] >= 0:
+            node, depth = (left if x[feat[node]] < thr[node] else right)[node], depth + 1
+        assert h == depth + plain(size[node])
