@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from typing import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, key_hash, to_double
@@ -44,24 +45,30 @@ def permutation_importance(model, df: DataFrame, features: Sequence[str], target
                            task: str = "regression", repeats: int = 5, seed: int = 42) -> DataFrame:
     """Score drop when one feature's values are permuted.
 
-    The permutation is a rank join: rows ranked by md5(key) receive the value
+    The permutation is a rank join: rows ranked by md5(key) receive the values
     of the row with the same rank under md5(seed|repeat|key). Both ranks come
-    from the distributed bucket-rank helper (no single-task window).
+    from the distributed bucket-rank helper (no single-task window). A repeat's
+    ranks and join serve all features.
     """
     from quarry.sources.sinks import _distributed_rank
-    base = _score(model.transform(df), target, "prediction", task)
-    keyed = df.withColumn("__k0", key_hash("perm-base", list(key_cols)))
-    r0 = _distributed_rank(keyed, "__k0").withColumnRenamed("__rank", "__r").persist()
-    rows = []
-    for f in features:
-        drops = []
-        for rep in range(repeats):
-            donor = _distributed_rank(df.withColumn("__k1", key_hash(f"{seed}|{rep}", list(key_cols))), "__k1")
-            donor = donor.select(F.col("__rank").alias("__r"), to_double(f).alias("__v"))
-            shuffled = r0.join(donor, "__r").withColumn(f, F.col("__v")).drop("__v")
-            drops.append(base - _score(model.transform(shuffled), target, "prediction", task))
-        rows.append((f, float(np.mean(drops)), float(np.std(drops))))
+    feats, keys = list(features), list(key_cols)
+    used = [*feats, *(model.features if hasattr(model, "predict_expr") else df.columns), target, *keys]
+    src = df.select(*[col(c) for c in dict.fromkeys(used)]).persist(StorageLevel.MEMORY_AND_DISK)
+    base = _score(model.transform(src), target, "prediction", task)
+    ranked = _distributed_rank(src.withColumn("__k0", key_hash("perm-base", keys)), "__k0")
+    r0 = ranked.drop("__k0").withColumnRenamed("__rank", "__r").persist(StorageLevel.MEMORY_AND_DISK)
+    drops: dict[str, list] = {f: [] for f in feats}
+    for rep in range(repeats):
+        hashed = src.select(key_hash(f"{seed}|{rep}", keys).alias("__k1"), *[to_double(f).alias(f"__v{i}") for i, f in enumerate(feats)])
+        donor = _distributed_rank(hashed, "__k1").drop("__k1").withColumnRenamed("__rank", "__r")
+        joined = r0.join(donor, "__r").persist(StorageLevel.MEMORY_AND_DISK)
+        for i, f in enumerate(feats):
+            shuffled = joined.withColumn(f, F.col(f"__v{i}"))
+            drops[f].append(base - _score(model.transform(shuffled), target, "prediction", task))
+        joined.unpersist()
     r0.unpersist()
+    src.unpersist()
+    rows = [(f, float(np.mean(drops[f])), float(np.std(drops[f]))) for f in feats]
     return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_sd double")
 
 
