@@ -7,8 +7,10 @@ re-fits on the surviving columns each round.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.functions.exprs import col, to_double
@@ -62,6 +64,28 @@ def f_classif(df: DataFrame, features: Sequence[str], target: str, k: int | None
     return _top_k(scores, k)
 
 
+ROWS_PER_TASK = 500_000  # a forest keeps a row's features and its counts in all trees
+
+
+@contextmanager
+def _kept(df: DataFrame, features: Sequence[str], target: str):
+    """The columns that forests read, kept on disk while they are grown, in parts of
+    about ``ROWS_PER_TASK`` rows if one has more."""
+    slim = df.select(*[col(c) for c in dict.fromkeys([*features, target])]).persist(StorageLevel.DISK_ONLY)
+    size = slim.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count").alias("most"), F.sum("count").alias("n")).first()
+    try:
+        if (size["most"] or 0) <= ROWS_PER_TASK:
+            yield slim
+        else:
+            parts = slim.repartition(-(-size["n"] // ROWS_PER_TASK)).persist(StorageLevel.DISK_ONLY)
+            try:
+                yield parts
+            finally:
+                parts.unpersist()
+    finally:
+        slim.unpersist()
+
+
 def _forest_importances(df: DataFrame, features: Sequence[str], target: str, task: str,
                         n_trees: int = 50, seed: int = 42) -> dict:
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -87,12 +111,13 @@ def rfe(df: DataFrame, features: Sequence[str], target: str, k: int, task: str =
     if k <= 0:
         raise ValueError("k must be positive")
     step = len(keep)
-    while len(keep) > k:
-        imp = _forest_importances(df, keep, target, task, n_trees, seed)
-        worst = min(keep, key=lambda f: (imp[f], f))
-        ranking[worst] = step
-        step -= 1
-        keep.remove(worst)
+    with _kept(df, features, target) as rows:
+        while len(keep) > k:
+            imp = _forest_importances(rows, keep, target, task, n_trees, seed)
+            worst = min(keep, key=lambda f: (imp[f], f))
+            ranking[worst] = step
+            step -= 1
+            keep.remove(worst)
     for f in keep:
         ranking[f] = 1
     return spark.createDataFrame([(f, int(ranking[f]), f in keep) for f in features],
@@ -102,7 +127,8 @@ def rfe(df: DataFrame, features: Sequence[str], target: str, k: int, task: str =
 def select_from_model(df: DataFrame, features: Sequence[str], target: str, task: str = "regression",
                       n_trees: int = 50, seed: int = 42) -> DataFrame:
     """K4: keep features whose importance >= mean importance (k ignored)."""
-    imp = _forest_importances(df, features, target, task, n_trees, seed)
+    with _kept(df, features, target) as rows:
+        imp = _forest_importances(rows, features, target, task, n_trees, seed)
     thr = sum(imp.values()) / max(len(imp), 1)
     return df.sparkSession.createDataFrame([(f, imp[f], imp[f] >= thr) for f in features],
                                            "feature string, importance double, selected boolean")
