@@ -16,6 +16,7 @@ from typing import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
@@ -309,9 +310,10 @@ def scan_k(df: DataFrame, feats: Sequence[str], ks: Sequence[int] = range(2, 9),
     for k in ks:
         fn = {"kmeans": kmeans, "bisecting_kmeans": bisecting_kmeans}.get(method, kmeans)
         m = fn(df, feats, k, seed)
-        lab = m.transform(df, "cluster_k")
+        lab = m.transform(df, "cluster_k").persist(StorageLevel.MEMORY_AND_DISK)  # the scores read it four times
         s = silhouette_squared(lab, feats, "cluster_k").first()[0]
         cs = cluster_scores(lab, feats, "cluster_k").first()
+        lab.unpersist()
         rows.append((int(k), s, cs["calinski_harabasz"], cs["davies_bouldin"]))
     return df.sparkSession.createDataFrame(
         rows, "k int, silhouette_sq double, calinski_harabasz double, davies_bouldin double")

@@ -24,7 +24,6 @@ finite feature meet nothing.
 
 from __future__ import annotations
 
-import json
 import math
 from typing import Callable, Sequence
 
@@ -367,23 +366,34 @@ def sq_dist_expr(vec: Column, center: Sequence[float]) -> Column:
     return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def points_literal(points: Sequence[Sequence[float]]) -> Column:
-    """Points as ONE constant array column (folded once), not a literal per number."""
-    return F.from_json(F.lit(json.dumps([[float(v) for v in p] for p in points])), "array<array<double>>")
-
-
 def nearest_center(df: DataFrame, feats: Sequence[str], centers: Sequence[Sequence[float]],
                    out_col: str = "cluster") -> DataFrame:
-    """Arg-min squared distance to k constant centers (a JVM expression,
-    k bounded by the model); ties -> lowest center index."""
-    out = df.withColumn("__vec", F.array(*[to_double(f) for f in feats]))
-
-    def sq_dist(c):
-        diffs = F.zip_with(F.col("__vec"), c, lambda a, b: (a - b) * (a - b))
-        return F.aggregate(diffs, F.lit(0.0), lambda acc, x: acc + x)
-    out = out.withColumn("__d", F.transform(points_literal(centers), sq_dist))
-    idx = F.array_position(F.col("__d"), F.array_min(F.col("__d"))) - 1  # first (lowest) index on ties
-    return out.withColumn(out_col, idx.cast("int")).drop("__vec", "__d")
+    """Arg-min squared distance to k constant centers (k bounded by the model);
+    ties -> lowest center index. Batches of rows meet all centers, a feature at a time;
+    a distance that isn't a number is the largest."""
+    points = [list(c) for c in centers]
+
+    @F.pandas_udf("int")
+    def nearest(*cols: pd.Series) -> pd.Series:
+        X, C = np.column_stack([c.to_numpy(float) for c in cols]), np.array(points, float)
+        out = np.zeros(len(X), np.int32)
+        step = max(1, 200_000 // max(1, len(C)))
+        for a in range(0, len(X), step):
+            part = X[a:a + step]
+            D = np.zeros((len(part), len(C)))
+            with np.errstate(invalid="ignore", over="ignore"):
+                for j in range(C.shape[1]):
+                    d = part[:, j, None] - C[None, :, j]
+                    d *= d
+                    D += d
+            bad = np.isnan(D)
+            best = np.where(bad, np.inf, D).argmin(axis=1)
+            if bad.any():
+                best = np.where(np.take_along_axis(bad, best[:, None], 1)[:, 0], (~bad).argmax(axis=1), best)
+            out[a:a + step] = best
+        return pd.Series(out)
+    xs = [to_double(f) for f in feats]
+    return df.withColumn(out_col, F.when(all_true([x.isNotNull() for x in xs]), nearest(*xs)))
 
 
 def _forest(near: np.ndarray, q_node: np.ndarray, r_node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -335,8 +335,9 @@ def q_u1(spark, sf):
             "birch": lambda: cluster.birch(e, feats, 5)}
     rows = []
     for name, fit in fits.items():
-        lab = fit().transform(e, "cluster")
+        lab = fit().transform(e, "cluster").persist()
         s = metrics.cluster_scores(lab, feats, "cluster").first()
+        lab.unpersist()
         rows.append((name, int(s["n_clusters"]), s["calinski_harabasz"], s["davies_bouldin"]))
     return spark.createDataFrame(rows, "model string, n_clusters long, calinski_harabasz double, "
                                        "davies_bouldin double")

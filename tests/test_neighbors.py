@@ -181,3 +181,19 @@ def test_small_cells_share_tasks_and_crowded_ones_are_cut(spark):
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     assert sum(r["n"] for r in got) == (D <= 0.5).sum()
     assert len(got) < 150  # not one call for each of some 300 cells
+
+
+def test_nearest_center_meets_all_centers_in_batches(spark):
+    """No step per feature and center is interpreted for every row."""
+    rng = np.random.default_rng(8)
+    X, C = rng.normal(size=(300, 6)), rng.normal(size=(40, 6))
+    rows = [(i, *map(float, x)) for i, x in enumerate(X)]
+    rows += [(300, None, *[1.0] * 5), (301, float("nan"), *[1.0] * 5), (302, float("inf"), *[1.0] * 5)]
+    feats = [f"x{j}" for j in range(6)]
+    out = neighbors.nearest_center(spark.createDataFrame(rows, "id long, " + ", ".join(f"{f} double" for f in feats)), feats, C.tolist(), "c")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "ArrowEvalPython" in plan
+    got = {r["id"]: r["c"] for r in out.collect()}
+    want = ((X[:, None] - C[None]) ** 2).sum(axis=2).argmin(axis=1)
+    assert [got[i] for i in range(300)] == want.tolist()
+    assert (got[300], got[301], got[302]) == (None, 0, 0)
