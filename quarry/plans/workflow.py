@@ -10,14 +10,16 @@ metric rows reach the driver.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, key_hash, numeric_columns, to_double
 from quarry.operators import clean, metrics, outliers, select, split, transform
 from quarry.plans import models
+from quarry.session import cut_lineage
 
 
 @dataclass
@@ -73,7 +75,8 @@ def _prepare(df: DataFrame, roles: Roles, cfg: TrainConfig):
     return frame
 
 
-def train(df: DataFrame, roles: Roles, cfg: TrainConfig) -> ModelRun:
+def split_frame(df: DataFrame, roles: Roles, cfg: TrainConfig) -> DataFrame:
+    """The cleaned modelling frame with its split; outliers and selection play no part in it."""
     task = models.problem_type(cfg.model)
     frame = _prepare(df, roles, cfg)
     strat = None
@@ -87,7 +90,13 @@ def train(df: DataFrame, roles: Roles, cfg: TrainConfig) -> ModelRun:
             got, _, _ = split.quantile_strata(frame, scol, 5, 2, cfg.test_size)
         if got is not None:
             frame, strat = got, "__stratum"
-    sp = split.train_test_split(frame, roles.key, cfg.test_size, cfg.seed, stratify=strat)
+    return split.train_test_split(frame, roles.key, cfg.test_size, cfg.seed, stratify=strat)
+
+
+def train(df: DataFrame, roles: Roles, cfg: TrainConfig, sp: DataFrame | None = None) -> ModelRun:
+    """``sp``: the result of ``split_frame``, where several runs share it."""
+    task = models.problem_type(cfg.model)
+    sp = split_frame(df, roles, cfg) if sp is None else sp
     train_df = sp.where(F.col("split") == "train")
     num = numeric_columns(sp, roles.indicators)
     oh = transform.fit_onehot(train_df, roles.categoricals) if roles.categoricals else None
@@ -184,13 +193,20 @@ def prediction_summary(scored: DataFrame, pred_col: str) -> DataFrame:
 
 
 def baseline_vs_advanced(df: DataFrame, roles: Roles, cfg: TrainConfig) -> DataFrame:
-    """When outliers or selection are on, also fit without them; metrics tagged."""
-    from dataclasses import replace
-    adv = train(df, roles, cfg).metrics.withColumn("run", F.lit("advanced"))
+    """When outliers or selection are on, also fit without them; metrics tagged.
+    Both runs read one cached split; each run's caches end with it."""
     if (cfg.outlier_method in (None, "none")) and not cfg.select_method:
-        return adv
-    base = train(df, roles, replace(cfg, outlier_method="none", select_method=None)).metrics
-    return base.withColumn("run", F.lit("baseline")).unionByName(adv)
+        return train(df, roles, cfg).metrics.withColumn("run", F.lit("advanced"))
+    sp = split_frame(df, roles, cfg).persist(StorageLevel.MEMORY_AND_DISK)
+    out = []
+    try:
+        for name, one in (("baseline", replace(cfg, outlier_method="none", select_method=None)), ("advanced", cfg)):
+            run = train(df, roles, one, sp)
+            out.append(cut_lineage(run.metrics.withColumn("run", F.lit(name))))
+            run.predictions.unpersist()
+    finally:
+        sp.unpersist()
+    return out[0].unionByName(out[1])
 
 
 def add_row_key(df: DataFrame, cols: Sequence[str], name: str = "__rid") -> DataFrame:

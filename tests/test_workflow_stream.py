@@ -67,3 +67,24 @@ def test_cluster_run(spark, sf):
     r = run.scores.first()
     assert r["n_clusters"] == run.k and r["calinski_harabasz"] > 0
     assert run.sizes.agg(F.sum("size")).first()[0] == emb.count()
+
+
+def test_both_runs_share_one_split_and_leave_no_cache(spark, sf, monkeypatch):
+    df = spark.read.parquet(f"{sf}/lineitem.parquet")
+    roles = workflow.Roles(["l_quantity", "l_discount"], ["l_extendedprice"], ["l_orderkey", "l_linenumber"])
+    cfg = workflow.TrainConfig(outlier_method="IQR")
+    want = {}
+    for name, one in (("baseline", workflow.TrainConfig()), ("advanced", cfg)):
+        run = workflow.train(df, roles, one)
+        want.update({(name, r["split"]): r for r in run.metrics.collect()})
+        run.predictions.unpersist()
+    calls, cached = [], spark.sparkContext._jsc.getPersistentRDDs().size()
+    whole = workflow.split.train_test_split
+    monkeypatch.setattr(workflow.split, "train_test_split", lambda *a, **k: calls.append(1) or whole(*a, **k))
+    got = workflow.baseline_vs_advanced(df, roles, cfg).collect()
+    assert len(calls) == 1
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+    assert len(got) == len(want) == 4
+    for r in got:
+        for c, v in want[r["run"], r["split"]].asDict().items():
+            assert abs(r[c] - v) <= 1e-9 * abs(v) if isinstance(v, float) else r[c] == v
