@@ -42,6 +42,7 @@ CHUNK = 64          # nodes whose statistics travel together
 REWRITE = 10        # boosting rounds between writes of the scores
 BATCH = 8192
 BLOCK = 1 << 16     # rows packed together
+NODE_ROWS = 64      # rows of a block per open node, below which nodes aren't worked one by one
 
 
 # ------------------------------------------------------------------ trees
@@ -108,18 +109,30 @@ def unpacked(batch: pa.RecordBatch, p: int, dtype=np.float64):
                *[np.frombuffer(m.as_buffer()) for m in more])
 
 
-def totals(data: DataFrame, n_nodes: int, width: int, work: Callable, op: str) -> np.ndarray:
+def together(batches, size: int):
+    """Batches of at least ``size`` rows, but for the last."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= size:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
+def totals(data: DataFrame, n_nodes: int, width: int, work: Callable, op: str, size: int = 1) -> np.ndarray:
     """Statistics (n_nodes x width) of all rows. ``work(batch, out)`` adds an Arrow batch
-    to a task's array; ``op`` ('sum' or 'min') joins arrays."""
+    (of ``size`` rows or more) to a task's array; ``op`` ('sum' or 'min') joins arrays."""
     start, join = (0.0, np.add) if op == "sum" else (np.inf, np.minimum)
 
     def run(batches):
         out = np.full((n_nodes, width), start)
         seen = False
-        for batch in batches:
-            if batch.num_rows:
-                seen = True
-                work(batch, out)
+        for batch in together(batches, size):
+            seen = True
+            work(batch, out)
         chunks = range(0, n_nodes if seen else 0, CHUNK)
         yield pa.RecordBatch.from_arrays([pa.array([k // CHUNK for k in chunks], pa.int32()),
                                           pa.array([out[k:k + CHUNK].tobytes() for k in chunks], pa.binary())], ["chunk", "data"])
@@ -238,8 +251,25 @@ def _by_node(node: np.ndarray):
     return order, head, sorted_[head]
 
 
+def _open_nodes(forest: list, slot: list, X: np.ndarray):
+    """(open node's number, its rows) of every open node that has rows. X is by feature.
+    Trees with many open nodes are worked in pieces, all nodes of a piece at a time."""
+    for tree, numbers in zip(forest, slot):
+        wanted = np.flatnonzero(numbers >= 0)
+        if len(wanted) * NODE_ROWS <= X.shape[1]:
+            for node, rows in rows_of(tree, X, set(wanted.tolist())):
+                yield int(numbers[node]), rows
+
+
+def _many_open(forest: list, slot: list, n_rows: int):
+    """The trees that ``_open_nodes`` leaves out, and their open nodes."""
+    many = [k for k, numbers in enumerate(slot) if np.count_nonzero(numbers >= 0) * NODE_ROWS > n_rows]
+    return [forest[k] for k in many], [slot[k] for k in many]
+
+
 def _open_rows(forest: list, slot: list, X: np.ndarray):
-    """(row, open node's number) of every row and tree; ``slot``: number by leaf, -1 if closed."""
+    """(row, open node's number) of every row and tree; ``slot``: number by leaf, -1 if closed.
+    X is by row."""
     rows, nodes = [], []
     for tree, numbers in zip(forest, slot):
         at = numbers[leaves(tree, X)]
@@ -263,6 +293,9 @@ def extra_trees(df: DataFrame, features: Sequence[str], target: str, task: str,
     m = max(1, int(math.sqrt(p)) if max_features == "sqrt" else int(max_features * p) if isinstance(max_features, float) else min(p, max_features))
     data = _training(df, feats, target, classes).persist(StorageLevel.MEMORY_AND_DISK)
 
+    def by_feature(batch):
+        return np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+
     def stats(y):
         return np.eye(k)[y.astype(int)] if classes else np.column_stack((np.ones(len(y)), y, y * y))
 
@@ -298,14 +331,22 @@ def extra_trees(df: DataFrame, features: Sequence[str], target: str, task: str,
                 for number, (t, node, _) in enumerate(some):
                     slot[used.index(t)][node] = number
 
-                def ranges(table, out):
-                    X = table[:, :p]
+                def ranges(batch, out):
+                    X = by_feature(batch)[:p]
+                    for i, rows in _open_nodes(trees, slot, X):
+                        V = X[:, rows]
+                        out[i] = np.minimum(out[i], np.concatenate((V.min(axis=1), -V.max(axis=1))))
+                    deep = _many_open(trees, slot, X.shape[1])
+                    for b in range(0, X.shape[1] if deep[0] else 0, BATCH):
+                        range_piece(X[:, b:b + BATCH].T, *deep, out)
+
+                def range_piece(X, trees, slot, out):
                     row, node = _open_rows(trees, slot, X)
                     order, head, nodes = _by_node(node)
                     if len(nodes):
                         both = np.concatenate((X, -X), axis=1)[row[order]]
                         out[nodes] = np.minimum(out[nodes], np.minimum.reduceat(both, head))
-                span = grouped(data, len(some), 2 * p, ranges, "min")
+                span = totals(data, len(some), 2 * p, ranges, "min", BLOCK)
                 chosen, cut = np.zeros((len(some), m), np.int64), np.zeros((len(some), m))
                 for i, (t, node, _) in enumerate(some):
                     low, high = span[i, :p], -span[i, p:]
@@ -316,16 +357,27 @@ def extra_trees(df: DataFrame, features: Sequence[str], target: str, task: str,
                         chosen[i, j] = f
                         cut[i, j] = low[f] + draw(seed, t, node, f) * (high[f] - low[f])
 
-                def sides(table, out):
-                    X = table[:, :p]
+                def sides(batch, out):
+                    table = by_feature(batch)
+                    X, S = table[:p], stats(table[p])
+                    for i, rows in _open_nodes(trees, slot, X):
+                        part = S[rows]
+                        for j in range(m):
+                            goes = X[chosen[i, j]][rows] <= cut[i, j]
+                            out[i, j * k:(j + 1) * k] += goes.astype(float) @ part
+                    deep = _many_open(trees, slot, X.shape[1])
+                    for b in range(0, X.shape[1] if deep[0] else 0, BATCH):
+                        side_piece(X[:, b:b + BATCH].T, S[b:b + BATCH], *deep, out)
+
+                def side_piece(X, S, trees, slot, out):
                     row, node = _open_rows(trees, slot, X)
                     order, head, nodes = _by_node(node)
                     if len(nodes):
                         row, node = row[order], node[order]
                         goes = X[row[:, None], chosen[node]] <= cut[node]
-                        both = goes[:, :, None] * stats(table[:, p])[row][:, None, :]
+                        both = goes[:, :, None] * S[row][:, None, :]
                         out[nodes] += np.add.reduceat(both.reshape(len(row), -1), head)
-                left = grouped(data, len(some), m * k, sides, "sum").reshape(len(some), m, k)
+                left = totals(data, len(some), m * k, sides, "sum", BLOCK).reshape(len(some), m, k)
                 for i, (t, node, whole) in enumerate(some):
                     gains = [purity(x) + purity(whole - x) if min(size(x), size(whole - x)) >= min_samples_leaf else -math.inf for x in left[i]]
                     best = max(gains)

@@ -161,3 +161,26 @@ def test_blocks_hold_every_row_and_find_its_leaf(spark, data, monkeypatch):
     for wanted in ({1, 3, 4}, {3}, {0}):
         found = dict(T.rows_of(arrays, np.ascontiguousarray(X.T), wanted))
         assert all(sorted(found[w]) == (list(range(len(X))) if w == 0 else np.flatnonzero(at == w).tolist()) for w in wanted)
+
+
+def test_open_nodes_are_worked_by_their_rows(spark, monkeypatch):
+    """Shallow trees need no expansion to a row per tree; deep ones give the same trees either way."""
+    rng = np.random.default_rng(31)
+    X = rng.normal(size=(700, 3))
+    y = X[:, 0] * 2 + np.abs(X[:, 1])
+    df = spark.createDataFrame([(*map(float, x), float(t), "ab"[int(t > 1)]) for x, t in zip(X, y)], "a double, b double, c double, y double, l string")
+    for target, task in (("y", "regression"), ("l", "classification")):
+        got = []
+        for size in (0, 64, 1 << 30):  # by node, mixed, by piece
+            monkeypatch.setattr(T, "NODE_ROWS", size)
+            got.append(T.extra_trees(df.repartition(2), ["a", "b", "c"], target, task, 3, max_depth=5).trees)
+        for other in got[1:]:
+            for a, b in zip(got[0], other):
+                assert a["feature"] == b["feature"] and a["left"] == b["left"] and a["threshold"] == b["threshold"]
+                assert np.allclose(np.array(a["value"]), np.array(b["value"]), rtol=1e-9)
+    tree = T.arrays_of({"feature": [0, -1, -1], "threshold": [0.0, 0.0, 0.0], "left": [1, -1, -1], "value": [0.0, 0.0, 0.0]})
+    monkeypatch.setattr(T, "NODE_ROWS", 64)
+    monkeypatch.setattr(T, "_open_rows", None)
+    nodes = dict(T._open_nodes([tree, tree], [np.array([-1, 0, 1]), np.array([-1, -1, 2])], X.T))
+    assert {i: len(r) for i, r in nodes.items()} == {0: (X[:, 0] <= 0).sum(), 1: (X[:, 0] > 0).sum(), 2: (X[:, 0] > 0).sum()}
+    assert T._many_open([tree], [np.array([-1, 0, 1])], 700) == ([], [])
