@@ -43,6 +43,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.exprs import bounded_broadcast
 from quarry.llm import rare_prefix
 from quarry.llm.common import cut_lineage, need, read_table, tidied, tidy, without
 from quarry.llm.links import components
@@ -339,8 +340,9 @@ def _tiles(nodes: DataFrame, pct: int) -> DataFrame:
     lower, upper = F.element_at(limits, F.col("band") + 1), F.element_at(limits, F.col("other") + 1)
     upto = F.element_at(limits, F.col("band") + 2) - 1
     others = cells.select("root", F.col("band").alias("other"), F.col("cells").alias("o_cells"))
-    reach = [F.lit(k) for k in range(-3, 4)]
-    pairs = (large.withColumn("other", F.explode(F.transform(F.array(*reach), lambda k: (F.col("band") + k).cast("int"))))
+    reach = F.transform(F.array(*[F.lit(k) for k in range(-3, 4)]), lambda k: (F.col("band") + k).cast("int"))
+    # bands start at 0: the filter below may run before the join, and limits have no place under the first
+    pairs = (large.withColumn("other", F.explode(F.filter(reach, lambda b: b >= 0)))
              .join(others, ["root", "other"])
              .filter((F.col("other") == F.col("band"))
                      | ((F.col("other") > F.col("band")) & (upper * pct <= upto * 100))
@@ -352,6 +354,18 @@ def _tiles(nodes: DataFrame, pct: int) -> DataFrame:
     return small.union(pairs)
 
 
+def _one_of_each_set(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, data) less those of ids that only repeat another document's set."""
+    nodes = placed.filter("doc_id = node").select("doc_id").distinct()
+    copies = placed.filter("doc_id <> node").select("doc_id").distinct().join(nodes, "doc_id", "left_anti")
+    n_copies = copies.count()
+    if not n_copies:
+        return rows
+    if n_copies <= BROADCAST_ROWS:  # counted: 8 bytes a row
+        return rows.join(F.broadcast(copies), "doc_id", "left_anti")
+    return rows.join(bounded_broadcast(nodes, BROADCAST_ROWS), "doc_id", "left_semi")
+
+
 def jaccard_groups(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
     """All rows and columns of ``docs`` with n_shingles and component_id."""
     need(docs, "doc_id", "text")
@@ -368,7 +382,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, pct: int = 90) -> DataFrame:
 
     named = raw.filter("doc_id IS NOT NULL")
     if rare:
-        dealt, _ = rare_prefix.prefix_keys(named, full, pct, lambda part, b, e: shingles(part, b, e, n), set_keys, dealt_rows)
+        dealt, _ = rare_prefix.prefix_keys(_one_of_each_set(named, placed), full, pct, lambda part, b, e: shingles(part, b, e, n), set_keys, dealt_rows)
     else:
         total = known.agg(F.sum("n_shingles")).first()[0] or 0
         n_buckets = max(1, math.ceil(total / 5 / BUCKET_KEYS))

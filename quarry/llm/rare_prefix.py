@@ -6,8 +6,8 @@ by document frequency, rarest first (ties by hash). Two linked sets share one of
 first ``n - ceil(pct * n) + 1`` shingles in this order, so those are a set's keys;
 common phrases come last and are hardly ever keys.
 
-1. Shingles go to buckets by hash with their document's id, packed and compressed. A
-   batch sends one document for each distinct set.
+1. Shingles go to buckets by hash with their document's id, packed and compressed. One
+   document is sent for each distinct set (the caller's ``raw``, and each batch, see to that).
 2. A bucket counts documents per shingle. Shingles of one document can't be shared;
    the others return to their documents' buckets with their frequency.
 3. A document of which fewer than ``ceil(pct * n)`` shingles are shared links with

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as cp
-from quarry.llm import rare_prefix
+from quarry.llm import jaccard, rare_prefix
 from quarry.llm.jaccard import jaccard_groups
 
 
@@ -102,3 +102,37 @@ def test_packed_arrays_come_back():
     a, b = (np.array([rng.randrange(2**64) for _ in range(50)], np.uint64) for _ in range(2))
     got = rare_prefix.unpack([rare_prefix.pack(a, b), rare_prefix.pack(a[:3], b[:3])], 2)
     assert (got[0] == np.concatenate((a, a[:3]))).all() and (got[1] == np.concatenate((b, b[:3]))).all()
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_large_groups_of_tiny_sets_meet(spark, monkeypatch, least):
+    monkeypatch.setattr(jaccard, "TILE", 8)
+    size = {i: least + i % 7 for i in range(60)}
+    nodes = spark.createDataFrame([(i, n, 0) for i, n in size.items()], "node long, n_shingles long, root long")
+    tiles = {}
+    for r in jaccard._tiles(nodes, 80).collect():
+        tiles.setdefault(r.tile, {0: set(), 1: set()})[r.side].add(r.node)
+    met = {(a, b) for t in tiles.values() for a in t[0] | t[1] for b in t[0] | t[1]
+           if not (t[0] and t[1]) or (a in t[0]) != (b in t[0])}
+    assert all((a, b) in met for a in size for b in size if a != b and 80 * size[a] <= 100 * size[b] <= 125 * size[a])
+
+
+def test_one_document_of_each_set_is_dealt(spark, monkeypatch):
+    dealt = []
+    real = rare_prefix.prefix_keys
+
+    def seen(raw, *args):
+        dealt.append(sorted(r.doc_id for r in raw.collect()))
+        return real(raw, *args)
+    monkeypatch.setattr(rare_prefix, "prefix_keys", seen)
+    rows = planted()
+    want = brute_roots(rows, 5, 80)
+    copies = [(i + k * 1000, t) for k in (1, 2) for i, t in rows]
+    # 1005 also has a text of its own: all its rows are dealt
+    df = spark.createDataFrame(rows + copies + [(1005, "a text that no other document of the table has at all")], "doc_id long, text string")
+    for most in (jaccard.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(jaccard, "BROADCAST_ROWS", most)
+        got = jaccard_groups(df.repartition(6), n=5, pct=80).collect()
+        assert {r.doc_id: r.component_id for r in got if r.doc_id < 1000} == want
+        assert {r.doc_id: r.component_id for r in got if r.doc_id >= 2000} == {i + 2000: c for i, c in want.items()}
+    assert dealt == [sorted([*want, 1005, 1005])] * 2
