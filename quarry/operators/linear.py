@@ -58,6 +58,15 @@ class Moments:
         C = self.C - part.C - np.outer(d, d) * (part.n * n / self.n)
         return Moments(n, mean, C)
 
+    def of(self, at: Sequence[int]) -> "Moments":
+        """Those of some of the columns."""
+        return Moments(self.n, self.mean[list(at)], self.C[np.ix_(at, at)])
+
+    def rescaled(self, center: Sequence[float], scale: Sequence[float]) -> "Moments":
+        """Those of (x - center) / scale."""
+        c, s = np.asarray(center, float), np.asarray(scale, float)
+        return Moments(self.n, (self.mean - c) / s, self.C / np.outer(s, s))
+
     @property
     def cov_pop(self) -> np.ndarray:
         return self.C / self.n if self.n else self.C * np.nan
@@ -336,6 +345,21 @@ class LinearModel:
         return LinearModel(d["features"], np.array(d["coef"]), d["intercept"], d["target"])
 
 
+def predict_by(df: DataFrame, fitted: Sequence[dict[int, LinearModel]], by: str) -> tuple[DataFrame, list[Column]]:
+    """``df`` joined with the models that the numbers in its int column ``by`` name, and per dict
+    of models the prediction. Rows without a model go. The joined table has a row per number."""
+    names = [[f"__w{i}_{j}" for j in range(len(next(iter(ms.values())).features) + 1)] for i, ms in enumerate(fitted)]
+    rows = [(k, *[float(v) for ms in fitted for v in (ms[k].intercept, *ms[k].coef)]) for k in fitted[0]]
+    table = df.sparkSession.createDataFrame(rows, f"{by} int, " + ", ".join(f"{n} double" for of in names for n in of))
+    preds = []
+    for of, ms in zip(names, fitted):
+        e = F.col(of[0])
+        for n, f in zip(of[1:], next(iter(ms.values())).features):
+            e = e + F.col(n) * to_double(f)
+        preds.append(e)
+    return df.join(F.broadcast(table), by), preds
+
+
 def _scaled_system(mo: Moments, p: int, scale_x: bool, scale_y: bool):
     """Centered Gram and X'y (optionally standardised by population sd)."""
     G = mo.C[:p, :p].copy()
@@ -389,7 +413,11 @@ def solve(mo: Moments, p: int, method: str = "ols", scale_x: bool = True, scale_
 
 def fit(df: DataFrame, features: Sequence[str], target: str, method: str = "ols",
         scale_x: bool = True, scale_y: bool = True, **kw) -> LinearModel:
-    mo = moments(df, list(features) + [target])[None]
+    return fit_moments(moments(df, list(features) + [target])[None], features, target, method, scale_x, scale_y, **kw)
+
+
+def fit_moments(mo: Moments, features: Sequence[str], target: str, method: str = "ols",
+                scale_x: bool = True, scale_y: bool = True, **kw) -> LinearModel:
     coef, b, info = solve(mo, len(features), method, scale_x, scale_y, **kw)
     return LinearModel(list(features), coef, b, target, info)
 

@@ -59,6 +59,25 @@ def regression_metrics(df: DataFrame, y: str, pred: str, group: Sequence[str] =
                       "mse", F.sqrt("mse").alias("rmse"), "mae", *(["median_ae"] if median else []), "max_error", "mape")
 
 
+def regression_scores(df: DataFrame, y: str, preds: Sequence[Column], group: Sequence[str] = ()) -> list[dict[tuple, tuple]]:
+    """Per prediction {group: (R2, RMSE, MAE)} as of ``regression_metrics``, of any number
+    of predictions in ONE pass. The driver reads a row per group."""
+    d = df.select(*[col(g) for g in group], to_double(y).alias("__y"), *[to_double(p).alias(f"__p{i}") for i, p in enumerate(preds)])
+    aggs = []
+    for i in range(len(preds)):
+        e = F.col("__y") - F.col(f"__p{i}")
+        aggs += [F.count(e).alias(f"n{i}"), F.avg(e * e).alias(f"s{i}"), F.avg(F.abs(e)).alias(f"a{i}"),
+                 F.var_pop(F.when(F.col(f"__p{i}").isNotNull(), F.col("__y"))).alias(f"v{i}")]
+    out: list[dict] = [{} for _ in preds]
+    for r in d.groupBy(*[col(g) for g in group]).agg(*aggs).collect():
+        for i, scores in enumerate(out):
+            n, mse, mae, var = (r[f"{x}{i}"] for x in "nsav")
+            if n or not group:
+                r2 = 1.0 - mse / var if n and not var <= 0 else 1.0 if mse == 0 else 0.0
+                scores[tuple(r[g] for g in group)] = (r2, None if mse is None else float(np.sqrt(mse)), mae)
+    return out
+
+
 def overall_row(metrics: DataFrame, name_col: str, value_cols: Sequence[str],
                 nan_skip: Sequence[str] = ("mape",), digits: int | None = 3) -> DataFrame:
     """Append the mean over targets as an 'Overall' row (optionally rounded half-even)."""

@@ -18,6 +18,10 @@ the skew of the strata; rows of equal keys share a hash, and a bucket that is do
 to one hash needs no narrowing. The result is identical to ``row_number() OVER
 (PARTITION BY stratum ORDER BY h)`` cut at the same ranks, which is what the SQL
 oracle computes (rows with equal keys never part).
+
+Where a table is split many times, ``hash_prefixes`` gives it the leading digits of each
+seed's hash as a small number. Given such a column (``prefix``), the counts and nearly
+all labels come from it, and md5 is only computed in the buckets that hold a cut.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.functions.exprs import bounded_broadcast, col, key_hash
+from quarry.functions.exprs import bounded_broadcast, col, hash_bucket, key_hash
 
 BUCKET_DIGITS = 3
 HASH_DIGITS = 32
@@ -41,12 +45,22 @@ def _with_hash(df: DataFrame, seed, key_cols: list[str], strata_col: str | None)
     return df.withColumn(_H, key_hash(seed, key_cols)).withColumn(_S, s)
 
 
+def hash_prefixes(df: DataFrame, key_cols: list[str], seeds) -> tuple[DataFrame, dict]:
+    """``df`` with a column per seed that has its hash's leading digits as a number, and
+    the columns' names by seed."""
+    names = {seed: f"__prefix_{i}" for i, seed in enumerate(dict.fromkeys(seeds))}
+    return df.withColumns({name: hash_bucket(key_hash(seed, key_cols), BUCKET_DIGITS).cast("smallint") for seed, name in names.items()}), names
+
+
 class _Counts:
     """Rows per (stratum, leading digits), kept until the cuts are found."""
 
-    def __init__(self, hdf: DataFrame):
-        prefix = F.substring(_H, 1, BUCKET_DIGITS)
-        self.table = hdf.groupBy(_S, prefix.alias("p")).agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+    def __init__(self, hdf: DataFrame, prefix: str | None = None):
+        p = F.substring(_H, 1, BUCKET_DIGITS) if prefix is None else col(prefix)
+        table = hdf.groupBy(_S, p.alias("p")).agg(F.count(F.lit(1)).alias("c"))
+        if prefix is not None:
+            table = table.withColumn("p", F.lpad(F.lower(F.hex(F.col("p").cast("long"))), BUCKET_DIGITS, "0"))
+        self.table = table.persist(StorageLevel.MEMORY_AND_DISK)
         self.sizes = {r[_S]: r["n"] for r in self.table.groupBy(_S).agg(F.sum("c").alias("n")).collect()}
 
     def release(self) -> None:
@@ -71,12 +85,15 @@ def _narrow(counts: DataFrame, cuts: DataFrame, by: list[str]) -> DataFrame:
 _CUTS = f"cut long, {_S} string, prefix string, off long, n long"
 
 
-def _threshold_hashes(hdf: DataFrame, counts: _Counts, wanted: list[tuple], max_window: int = MAX_WINDOW) -> dict[int, str]:
+def _threshold_hashes(hdf: DataFrame, counts: _Counts, wanted: list[tuple], max_window: int = MAX_WINDOW,
+                      prefix: str | None = None) -> dict[int, str]:
     """The hash at each (cut, stratum, rank); cuts past the end have none."""
     spark = hdf.sparkSession
     found: dict[int, str] = {}
     cuts = spark.createDataFrame([(i, s, "", int(r), 0) for i, s, r in wanted], _CUTS)
     open_ = _narrow(counts.table, cuts, [_S]).collect()  # a row per cut
+    if prefix is not None:  # no other row needs its hash
+        hdf = hdf.where(col(prefix).isin(sorted({int(r["prefix"], 16) for r in open_})))
     digits = BUCKET_DIGITS
     while open_:
         found.update({r["cut"]: r["prefix"] for r in open_ if digits >= HASH_DIGITS})
@@ -114,18 +131,27 @@ def _ranked(hdf: DataFrame, cuts: DataFrame, digits: int) -> dict[int, str]:
     return {r["cut"]: r[_H] for r in hit.select("cut", _H).collect()}  # a row per cut
 
 
-def _pieces(hdf: DataFrame, by_stratum: dict, out_col: str) -> DataFrame:
-    """Number of the stratum's thresholds not above the row's hash."""
+def _reached(hashes: list[str], h: Column, prefix: str | None) -> Column:
+    """How many of the hashes aren't above the row's."""
+    exact = sum(((h >= F.lit(t)).cast("int") for t in hashes), F.lit(0))
+    if prefix is None:
+        return exact
+    heads = [int(t[:BUCKET_DIGITS], 16) for t in hashes]
+    # a branch of its own, so that md5 is left alone for rows in other buckets
+    return F.when(col(prefix).isin(sorted(set(heads))), exact).otherwise(sum(((col(prefix) > F.lit(x)).cast("int") for x in heads), F.lit(0)))
+
+
+def _pieces(hdf: DataFrame, by_stratum: dict, out_col: str, h: Column, prefix: str | None = None) -> DataFrame:
+    """Number of the stratum's thresholds not above the row's hash ``h``."""
     if len(by_stratum) <= MAX_CASES:
         expr = None
         for s, hashes in by_stratum.items():
-            val = F.lit(0)
-            for t in hashes:
-                val = val + (F.col(_H) >= F.lit(t)).cast("int")
+            val = _reached(hashes, h, prefix)
             cond = F.col(_S).isNull() if s is None else F.col(_S) == F.lit(s)
             expr = F.when(cond, val) if expr is None else expr.when(cond, val)
         return hdf.withColumn(out_col, F.lit(0) if expr is None else expr.otherwise(F.lit(0)))
     table = hdf.sparkSession.createDataFrame([(s, h) for s, h in by_stratum.items()], "__s2 string, __t array<string>")
+    hdf = hdf.withColumn(_H, h)
     reached = F.size(F.filter("__t", lambda t: t <= F.col(_H)))
     return (hdf.join(bounded_broadcast(table), F.col(_S).eqNullSafe(F.col("__s2")), "left")
             .withColumn(out_col, F.when(F.col("__t").isNotNull(), reached).otherwise(F.lit(0))).drop("__s2", "__t"))
@@ -133,22 +159,24 @@ def _pieces(hdf: DataFrame, by_stratum: dict, out_col: str) -> DataFrame:
 
 def assign_pieces(df: DataFrame, seed, key_cols: list[str], cuts_by_stratum,
                   strata_col: str | None = None, out_col: str = "piece",
-                  counts: _Counts | None = None, max_window: int = MAX_WINDOW) -> DataFrame:
+                  counts: _Counts | None = None, max_window: int = MAX_WINDOW, prefix: str | None = None) -> DataFrame:
     """Label each row with the number of cut ranks <= its rank in h order.
 
     ``cuts_by_stratum``: function ``(stratum, n_stratum) -> sorted cut ranks``.
     Each cut becomes an exact threshold hash; rows are neither sorted nor moved.
     """
     hdf = _with_hash(df, seed, key_cols, strata_col)
-    counts = counts if counts is not None else _Counts(hdf)
+    counts = counts if counts is not None else _Counts(hdf, prefix)
     wanted = [(s, r) for s, n in counts.sizes.items() for r in cuts_by_stratum(s, n)]
-    found = _threshold_hashes(hdf, counts, [(i, s, r) for i, (s, r) in enumerate(wanted)], max_window) if wanted else {}
+    found = _threshold_hashes(hdf, counts, [(i, s, r) for i, (s, r) in enumerate(wanted)], max_window, prefix) if wanted else {}
     counts.release()
     by_stratum: dict = {}
     for i, (s, _) in enumerate(wanted):
         if i in found:
             by_stratum.setdefault(s, []).append(found[i])
-    return _pieces(hdf, by_stratum, out_col).drop(_H, _S)
+    if prefix is None:
+        return _pieces(hdf, by_stratum, out_col, F.col(_H)).drop(_H, _S)
+    return _pieces(hdf.drop(_H), by_stratum, out_col, key_hash(seed, key_cols), prefix).drop(_H, _S)
 
 
 # ---------------------------------------------------------------- split sizes
@@ -200,39 +228,41 @@ def round_robin_sizes(offset: int, count: int, k: int) -> list[int]:
 
 def train_test_split(df: DataFrame, key_cols: list[str], test_size: float = 0.2,
                      seed: int = 42, stratify: str | None = None,
-                     out_col: str = "split") -> DataFrame:
+                     out_col: str = "split", prefix: str | None = None) -> DataFrame:
     """Exact-size seeded split; ``split`` is 'train' or 'test'.
 
     Test rows are the first ceil(n*test_size) rows in h order (per stratum with
-    a largest-remainder allocation when ``stratify`` is given).
+    a largest-remainder allocation when ``stratify`` is given). ``prefix``: the
+    seed's column of ``hash_prefixes``.
     """
     hdf = _with_hash(df, seed, key_cols, stratify)
-    counts = _Counts(hdf)
+    counts = _Counts(hdf, prefix)
     sizes = counts.sizes
     n = sum(sizes.values())
     n_test = n_test_for(n, test_size)
     alloc = largest_remainder(sizes, n_test) if stratify else {None: n_test}
     pieces = assign_pieces(df, seed, key_cols, lambda s, n_s: [alloc.get(s, 0)],
-                           strata_col=stratify, out_col="__piece", counts=counts)
+                           strata_col=stratify, out_col="__piece", counts=counts, prefix=prefix)
     return pieces.withColumn(out_col, F.when(F.col("__piece") == 0, F.lit("test"))
                              .otherwise(F.lit("train"))).drop("__piece")
 
 
 def kfold(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42,
-          stratify: str | None = None, out_col: str = "fold") -> DataFrame:
+          stratify: str | None = None, out_col: str = "fold", prefix: str | None = None) -> DataFrame:
     """Shuffled (stratified) k-fold; fold = contiguous rank range.
 
     Plain: fold sizes n//k (+1 for the first n%k folds). Stratified: each
     class gets the per-fold counts of a round-robin deal of the label-sorted
-    table, so fold sizes and class mix match a stratified k-fold.
+    table, so fold sizes and class mix match a stratified k-fold. ``prefix``: the
+    seed's column of ``hash_prefixes``.
     """
     if k is None or k < 2:
         k = 5
     if not stratify:
         return assign_pieces(df, seed, key_cols,
-                             lambda s, n_s: _cum(kfold_sizes(n_s, k)), out_col=out_col)
+                             lambda s, n_s: _cum(kfold_sizes(n_s, k)), out_col=out_col, prefix=prefix)
     hdf = _with_hash(df, seed, key_cols, stratify)
-    counts = _Counts(hdf)
+    counts = _Counts(hdf, prefix)
     sizes = counts.sizes
     offsets, acc = {}, 0
     for s in sorted(sizes, key=lambda x: (x is None, str(x))):
@@ -241,7 +271,7 @@ def kfold(df: DataFrame, key_cols: list[str], k: int = 5, seed: int = 42,
     return assign_pieces(
         df, seed, key_cols,
         lambda s, n_s: _cum(round_robin_sizes(offsets[s], n_s, k)),
-        strata_col=stratify, out_col=out_col, counts=counts)
+        strata_col=stratify, out_col=out_col, counts=counts, prefix=prefix)
 
 
 def repeated_kfold(df: DataFrame, key_cols: list[str], k: int = 5, repeats: int = 2,

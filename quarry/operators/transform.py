@@ -115,6 +115,7 @@ def fit_scaler(df: DataFrame, cols: Sequence[str], kind: str = "standard"):
     return fit(df, cols)
 
 
+AFFINE = ("none", "standard", "minmax", "robust")
 SCALERS = {"none": fit_identity, "standard": fit_standard, "minmax": fit_minmax,
            "robust": fit_robust, "quantile": fit_quantile}
 

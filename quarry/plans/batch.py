@@ -13,6 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from quarry.functions.exprs import col, to_double
@@ -55,6 +56,23 @@ class Prepared:
     scaler: str = "standard"
     known: dict | None = None
 
+    def scale(self, train: DataFrame, feats: list[str]):
+        """The scaler of training rows without missing values."""
+        known = {} if self.known is None else self.known
+        found = known.get(self.scaler)
+        if found is None or not set(feats) <= found[0]:
+            found = known[self.scaler] = (set(feats), transform.fit_scaler(train, feats, self.scaler))
+        return found[1]
+
+    def fit_moments(self, train: DataFrame, total: linear.Moments, feats: list[str], target: str) -> linear.LinearModel:
+        """The model of a Gram key in raw units, from ``total``, the moments of the features
+        and target of training rows without missing features: their medians aren't used."""
+        sc = self.scale(train, feats)
+        center, scale = np.array([sc.center[f] for f in feats]), np.array([sc.scale[f] for f in feats])
+        m = models.make(self.key, self.params, prescaled=True).fit_moments(
+            total.rescaled([*center, 0.0], [*scale, 1.0]), feats, target)
+        return linear.LinearModel(feats, m.coef / scale, float(m.intercept - m.coef @ (center / scale)), target, m.info)
+
     def fit(self, df: DataFrame, features: Sequence[str], target: str):
         feats = list(features)
         known = {} if self.known is None else self.known
@@ -65,10 +83,7 @@ class Prepared:
         def filled(frame):
             return frame.withColumns({f: F.coalesce(F.nanvl(to_double(f), F.lit(None)), F.lit(middle[f])) for f in feats})
         train = filled(df)
-        scale = known.get(self.scaler)
-        if scale is None or not set(feats) <= scale[0]:
-            scale = known[self.scaler] = (set(feats), transform.fit_scaler(train, feats, self.scaler))
-        scale = scale[1]
+        scale = self.scale(train, feats)
         model = models.make(self.key, self.params, prescaled=True).fit(scale.transform(train, feats), feats, target)
 
         class _Fitted:
@@ -95,41 +110,67 @@ def robustness(df: DataFrame, features_by_set: dict, target: str, model_keys: Se
     if strata:
         df, _, _ = split.robustness_strata(df, target)
     every = list(dict.fromkeys(f for feats in features_by_set.values() for f in feats))
+    seen = df.agg(*[F.count_if(to_double(f).isNull() | F.isnan(to_double(f))).alias(f"m{i}") for i, f in enumerate(every)]).first() if every else ()
+    missing = {f for f, n in zip(every, seen) if n}
+    jobs = [(set_name, list(feats), name, key, params, scaler if scaled else "none")
+            for set_name, feats in sorted(features_by_set.items(), key=lambda x: -len(x[1]))  # scales are first fitted for the largest set
+            for name, (key, params, scaled) in table.items()]
+    # without missing values the Gram models of all sets, and their folds, follow from one pass, and are scored in another
+    by_moments = {(j[0], j[2]): missing.isdisjoint(j[1]) and tune._gram_route(j[3], j[5], "none")
+                  and j[5] in ("none", *transform.AFFINE) for j in jobs}
+    rest = not all(by_moments.values())
+    prefixes: dict = {}
+    if not rest:  # no other column is read; what is kept is a few numbers a row, and splits are read off it
+        df = df.select(*[col(c) for c in dict.fromkeys([*key_cols, *every, target, *(["__stratum"] if strata else [])])])
+        df, prefixes = split.hash_prefixes(df, list(key_cols), seeds)
+        df = df.persist()
     for seed in seeds:
-        sp = split.train_test_split(df, list(key_cols), test_size, seed, "__stratum" if strata else None).persist()
+        sp = split.train_test_split(df, list(key_cols), test_size, seed, "__stratum" if strata else None, prefix=prefixes.get(seed))
+        # folds, medians, scales and fold moments are the same for all models and sets
+        sp = sp.persist() if rest else sp
         tr, te = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
-        # folds, missing values, medians, scales and fold moments are the same for all models and sets
-        frames = [(frame.persist(), held_out) for frame, held_out in tune.fold_frames(tr, key_cols, cv_folds, seed=seed)]
-        seen = sp.groupBy("split").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(to_double(f).isNull() | F.isnan(to_double(f))).alias(f"m{i}")
-                                                                       for i, f in enumerate(every)]).collect()
-        size = {r["split"]: r["n"] for r in seen}
-        missing = {f for i, f in enumerate(every) if any(r[f"m{i}"] for r in seen)}
+        frames = tune.fold_frames(tr, key_cols, cv_folds, seed=seed, prefix=prefixes.get(seed))
+        frames = [(frame.persist() if rest else frame, held_out) for frame, held_out in frames]
+        size = {r["split"]: r["count"] for r in sp.groupBy("split").count().collect()}
         known: dict = {}
-        fold_moments: dict = {}
-        for set_name, feats in sorted(features_by_set.items(), key=lambda x: -len(x[1])):  # scales are first fitted for the largest set
-            whole = not missing.isdisjoint(feats)
-            for name, (key, params, scaled) in table.items():
-                how = scaler if scaled else "none"
-                params = {**params, **({seeded[key]: int(seed)} if key in seeded else {})}
-                # without missing values a Gram model's folds all follow from one pass
-                gram = not whole and tune._gram_route(key, how, "none")
-                make = None if gram else (lambda k=key, p=params, h=how: Prepared(k, p, h))
-                if gram and tuple(feats) not in fold_moments:
-                    fold_moments[tuple(feats)] = [linear.moments(frame, [*feats, target], group="fold") for frame, _ in frames]
-                _, cv = tune.cross_validate(tr, feats, target, key, key_cols, cv_folds, seed=seed, scaler=how if make is None else "none",
-                                            factory=make, params=params, frames=frames,
-                                            fold_moments=fold_moments.get(tuple(feats)) if gram else None)
-                cv = cv.first()
-                m = Prepared(key, params, how, known).fit(tr, feats, target)
-                r = metrics.regression_metrics(m.transform(te), target, "prediction", median=False).first()
-                rows.append((int(seed), set_name, name, float(cv["r2_mean"]), r["r2"], r["rmse"], r["mae"], float(cv["r2_sd"]),
-                             int(size.get("train", 0)), int(size.get("test", 0))))
-        for frame, _ in frames:
-            frame.unpersist()
-        sp.unpersist()
-    place = {name: i for i, name in enumerate(features_by_set)}
-    rows.sort(key=lambda r: place[r[1]])
-    rows.sort(key=lambda r: list(map(int, seeds)).index(r[0]))
+
+        def told(params, key):
+            return {**params, **({seeded[key]: int(seed)} if key in seeded else {})}
+
+        def add(set_name, name, cv, test):
+            rows.append((int(seed), set_name, name, float(cv[0]), *test, float(cv[1]), int(size.get("train", 0)), int(size.get("test", 0))))
+        quick = [j for j in jobs if by_moments[j[0], j[2]]]
+        if quick:
+            (frame, held_out), = frames
+            wide = list(dict.fromkeys(f for j in quick for f in j[1]))
+            fm = linear.moments(frame, [*wide, target], group="fold")
+            of_set = {j[0]: {g: mo.of([*map(wide.index, j[1]), len(wide)]) for g, mo in fm.items()} for j in quick}
+            cvs = tune.gram_scores(frame, held_out, [(feats, key, how != "none", False, told(params, key), of_set[s])
+                                                     for s, feats, _, key, params, how in quick], target)
+            fitted = [Prepared(key, told(params, key), how, known).fit_moments(tr, linear.sum_moments(of_set[s]), feats, target)
+                      for s, feats, _, key, params, how in quick]
+            tests = metrics.regression_scores(te, target, [m.predict_expr() for m in fitted])
+            for j, cv, test in zip(quick, cvs, tests):
+                r2 = [r[1] for r in cv]
+                add(j[0], j[2], (np.mean(r2), np.std(r2)), test[()])
+        for set_name, feats, name, key, params, how in (j for j in jobs if not by_moments[j[0], j[2]]):
+            params = told(params, key)
+            gram = missing.isdisjoint(feats) and tune._gram_route(key, how, "none")
+            make = None if gram else (lambda k=key, p=params, h=how: Prepared(k, p, h))
+            _, cv = tune.cross_validate(tr, feats, target, key, key_cols, cv_folds, seed=seed, scaler=how if make is None else "none",
+                                        factory=make, params=params, frames=frames)
+            cv = cv.first()
+            m = Prepared(key, params, how, known).fit(tr, feats, target)
+            r = metrics.regression_metrics(m.transform(te), target, "prediction", median=False).first()
+            add(set_name, name, (cv["r2_mean"], cv["r2_sd"]), (r["r2"], r["rmse"], r["mae"]))
+        if rest:
+            for frame, _ in frames:
+                frame.unpersist()
+            sp.unpersist()
+    if not rest:
+        df.unpersist()
+    place = {(s, name): i for i, (s, name) in enumerate((s, name) for s in features_by_set for name in table)}
+    rows.sort(key=lambda r: (list(map(int, seeds)).index(r[0]), place[r[1], r[2]]))
     return spark.createDataFrame(rows, "seed int, feature_set string, model string, cv_r2 double, test_r2 double, rmse double, "
                                        "mae double, cv_r2_sd double, n_train long, n_test long")
 

@@ -42,7 +42,7 @@ class GramTrainer:
     def fit(self, df: DataFrame, features: Sequence[str], target: str):
         feats = list(features)
         if not self.cv:
-            return linear.fit(df, feats, target, self.method, self.scale_x, self.scale_y, **self.params)
+            return self.fit_moments(linear.moments(df, feats + [target])[None], feats, target)
         kw = dict(self.params)
         k, alphas, n_alphas = kw.pop("folds", 5), kw.pop("alphas", None), kw.pop("n_alphas", 100)
         folded = split.kfold(df, list(self.keys or df.columns), k, out_col="__fold")
@@ -58,6 +58,10 @@ class GramTrainer:
         m.info.update(alpha=best, cv_mse=scores)
         return m
 
+    def fit_moments(self, mo: linear.Moments, feats: list[str], target: str) -> linear.LinearModel:
+        """The model of rows with these moments of features and target."""
+        return linear.fit_moments(mo, feats, target, self.method, self.scale_x, self.scale_y, **self.params)
+
 
 @dataclass
 class RidgeCVTrainer:

@@ -29,17 +29,19 @@ def _stratify(kind: str, target: str | None) -> str | None:
 
 
 def fold_frames(df: DataFrame, key_cols: Sequence[str], k: int = 5, kind: str = "KFold", seed: int = 42,
-                target: str | None = None) -> list[tuple[DataFrame, list[int]]]:
+                target: str | None = None, prefix: str | None = None) -> list[tuple[DataFrame, list[int]]]:
     """Frames with a ``fold`` column and the folds to hold out in each: one frame for
     k-fold, one per repeat for the repeated kinds, one per split (held out: fold 0)
-    for the shuffled kinds. Fewer than two folds become five; unknown kinds are KFold."""
+    for the shuffled kinds. Fewer than two folds become five; unknown kinds are KFold.
+    ``prefix``: the seed's column of ``split.hash_prefixes``."""
     k = 5 if not k or k < 2 else k
     strat = _stratify(kind, target)
     if "ShuffleSplit" in kind:
         return [(split.train_test_split(df, list(key_cols), TEST_SIZE, seed + i, strat)
                  .withColumn("fold", F.when(F.col("split") == "test", 0).otherwise(1)).drop("split"), [0]) for i in range(k)]
     repeats = REPEATS if kind.startswith("Repeated") else 1
-    return [(split.kfold(df, list(key_cols), k, seed + r, stratify=strat), list(range(k))) for r in range(repeats)]
+    return [(split.kfold(df, list(key_cols), k, seed + r, stratify=strat, prefix=prefix if r == 0 else None), list(range(k)))
+            for r in range(repeats)]
 
 
 def _gram_route(model_key: str, scaler: str, y_scaler: str) -> bool:
@@ -48,6 +50,20 @@ def _gram_route(model_key: str, scaler: str, y_scaler: str) -> bool:
     return model_key == "Linear" or model_key in GRAM_METHODS and {scaler, y_scaler} <= {"standard", "none"}
 
 
+def gram_scores(frame: DataFrame, held_out: list[int], jobs: Sequence[tuple], target: str) -> list[list[tuple]]:
+    """Per job (features, model key, scale x, scale y, params, moments of each fold):
+    (fold, R2, RMSE, MAE) of every held-out part, whose model is that of the other
+    folds' moments. All jobs' predictions are scored in ONE grouped pass."""
+    fitted = []
+    for feats, key, scale_x, scale_y, params, fm in jobs:
+        total = linear.sum_moments(fm)
+        fitted.append({f: linear.fit_moments(total.minus(fm[f]), feats, target, GRAM_METHODS[key], scale_x, scale_y, **(params or {}))
+                       for f in held_out})
+    held, preds = linear.predict_by(frame, fitted, "fold")
+    scores = metrics.regression_scores(held, target, preds, ["fold"])
+    return [sorted((int(f), *s) for (f,), s in found.items()) for found in scores]
+
+
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, model_key: str,
                    key_cols: Sequence[str], k: int = 5, kind: str = "KFold", seed: int = 42,
                    scaler: str = "standard", factory: Callable | None = None, params: dict | None = None,
@@ -71,17 +87,8 @@ def cross_validate(df: DataFrame, features: Sequence[str], target: str, model_ke
         start = len(rows)
         if task == "regression" and factory is None and _gram_route(model_key, scaler, y_scaler):
             fm = fold_moments[i] if fold_moments else linear.moments(frame, feats + [target], group="fold")
-            total = linear.sum_moments(fm)
-            # every held-out part's predictions in ONE expression, scored in one grouped pass
-            pred = F
-            for f in held_out:
-                coef, b, _ = linear.solve(total.minus(fm[f]), len(feats), GRAM_METHODS[model_key],
-                                          scaler != "none", y_scaler != "none", **(params or {}))
-                pred = pred.when(F.col("fold") == f, linear.LinearModel(feats, coef, b, target).predict_expr())
-            scored = frame.where(F.col("fold").isin(held_out)).withColumn("prediction", pred)
-            got = (metrics.regression_metrics(scored, target, "prediction", group=["fold"], median=False)
-                   .select("fold", "r2", "rmse", "mae").collect())
-            rows += [(start + int(r["fold"]), r["r2"], r["rmse"], r["mae"]) for r in got]
+            got = gram_scores(frame, held_out, [(feats, model_key, scaler != "none", y_scaler != "none", params, fm)], target)[0]
+            rows += [(start + f, *scores) for f, *scores in got]
         else:
             classes = None
             for f in held_out:

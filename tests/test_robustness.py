@@ -95,3 +95,30 @@ def test_models_and_sets_of_a_seed_share_folds_and_scales(spark, monkeypatch):
     got = batch.robustness(df, sets, "y", ["Linear", "Ridge"], [4], ["id"], cv_folds=2).collect()
     assert [(r.feature_set, r.model) for r in got] == [(s, m) for s in sets for m in ("Linear", "Ridge")]
     assert calls == {"kfold": 1, "fit_scaler": 1}
+
+
+def test_a_seed_takes_a_fixed_number_of_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    X = rng.normal(size=(80, 3))
+    df = spark.createDataFrame([(i, *map(float, x), float(x @ [1, -2, 0.5] + 0.1 * e), "not read") for i, (x, e) in enumerate(zip(X, rng.normal(size=80)))],
+                               "id long, a double, b double, c double, y double, text string").coalesce(2)
+    calls = []
+    for module, name in ((batch.linear, "moments"), (batch.metrics, "regression_scores"), (batch.metrics, "regression_metrics")):
+        def counted(*args, _real=getattr(module, name), _name=name, **kw):
+            calls.append(_name)
+            return _real(*args, **kw)
+        monkeypatch.setattr(module, name, counted)
+    sets = {"two": ["c", "a"], **batch.feature_sets(["a", "b", "c"])}
+    table = {"ols": ("Linear", {}, True), "ridge": ("Ridge", {"alpha": 2.0}, True), "raw": ("Ridge", {"alpha": 2.0}, False)}
+    got = batch.robustness(df, sets, "y", table, [1, 2], ["id"], cv_folds=4).collect()
+    assert sorted(calls) == ["moments"] * 2 + ["regression_scores"] * 4
+    assert [(r.seed, r.feature_set, r.model) for r in got] == [(s, f, m) for s in (1, 2) for f in sets for m in table]
+    monkeypatch.undo()
+    for r in got:  # as by the passes per model, over the same rows
+        sp = split.train_test_split(split.robustness_strata(df, "y")[0], ["id"], 0.2, r.seed, "__stratum")
+        tr, te = sp.where("split = 'train'"), sp.where("split = 'test'")
+        key, params, scaled = table[r.model]
+        if r.feature_set in ("two", "all"):
+            m = batch.Prepared(key, params, "standard" if scaled else "none").fit(tr, sets[r.feature_set], "y")
+            want = batch.metrics.regression_metrics(m.transform(te), "y", "prediction", median=False).first()
+            assert np.allclose((r.test_r2, r.rmse, r.mae), (want.r2, want.rmse, want.mae), rtol=1e-9)

@@ -119,3 +119,15 @@ def test_split_of_an_empty_table(spark):
     df = spark.createDataFrame([], "k long, s string")
     assert split.train_test_split(df, ["k"], 0.2, 1, stratify="s").count() == 0
     assert split.kfold(df, ["k"], 3, 1).count() == 0
+
+
+def test_splits_by_prefixes_are_the_same(spark):
+    rows = [(i // 3, None if i % 7 == 0 else i % 5, i % 90) for i in range(900)]
+    df = spark.createDataFrame(rows, "k long, s long, many long").repartition(3)
+    with_prefix, names = split.hash_prefixes(df, ["k"], [1, 2, 1])
+    assert list(names) == [1, 2]
+    for seed, name in names.items():
+        for how in (None, "s", "many"):
+            for fn, args in ((split.train_test_split, (0.2, seed, how)), (split.kfold, (4, seed, how))):
+                want = sorted(map(str, fn(df, ["k"], *args).collect()))
+                assert sorted(map(str, fn(with_prefix, ["k"], *args, prefix=name).drop(*names.values()).collect())) == want
